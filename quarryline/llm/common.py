@@ -3,17 +3,16 @@
 from __future__ import annotations
 
 import atexit
-import shutil
 import tempfile
 import uuid
-import zipfile
-from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-BATCH_BYTES = "8m"
+from ..session import ship
+
+BATCH_BYTES = "6m"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -32,25 +31,10 @@ def shared_dir(spark: SparkSession) -> str:
 def prepare(spark: SparkSession) -> None:
     """Checkpoints go to the shared folder, workers can import this package, and Arrow batches are bounded by bytes."""
     shared_dir(spark)
-    _ship(spark)
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
 
 
-def _ship(spark: SparkSession) -> None:
-    """Send the package's sources to the workers once, through the driver's file server."""
-    sc = spark.sparkContext
-    if getattr(sc, "_quarryline_shipped", False):
-        return
-    root = Path(__file__).resolve().parent.parent
-    folder = tempfile.mkdtemp(prefix="quarryline-")
-    atexit.register(shutil.rmtree, folder, ignore_errors=True)
-    with zipfile.ZipFile(path := f"{folder}/{root.name}_sources.zip", "w") as z:
-        for p in sorted(root.rglob("*.py")):
-            z.write(p, p.relative_to(root.parent))
-    sc.addPyFile(path)
-    sc._quarryline_shipped = True
-
-
 def stored(df: DataFrame, name: str, **options: str) -> DataFrame:
     """Write a table into the shared folder and read it again: lineage ends here and nothing runs twice.
 

@@ -25,8 +25,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.graph import components
 from .common import arrow_column, encoded_texts, prepare, stored
-from .graph import components
 
 BITS, TAU, SEGMENTS, BUCKET = 64, 4, 5, 4096
 _EDGES = [round(i * BITS / SEGMENTS) for i in range(SEGMENTS + 1)]
