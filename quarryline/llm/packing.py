@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from .common import prepare, stored
 from .pretokens import library_encoder, rows_of, with_end
 
-MAX_QUEUES = 4096
+MAX_QUEUES, SMALL = 4096, 100_000
 QUEUED = "doc_id long, queue string, part int, in_part long, doc_tokens long, ids binary"
 _QUEUED = pa.schema([("doc_id", pa.int64()), ("queue", pa.string()), ("part", pa.int32()), ("in_part", pa.int64()), ("doc_tokens", pa.int64()), ("ids", pa.binary())])
 SLICE = "span long, queue string, at long, doc_id long, start long, doc_tokens long, ids binary"
@@ -208,11 +208,13 @@ def pack(docs: DataFrame, path: str, size: int = 1024, targets: dict | None = No
     if rows.select("queue").distinct().limit(MAX_QUEUES + 1).count() > MAX_QUEUES:
         rows = rows.withColumn("queue", F.pmod(F.xxhash64("queue"), F.lit(MAX_QUEUES)).cast("string"))
     kept = stored(rows.mapInArrow(_queued(path, end_id), QUEUED), "queues", compression="zstd")
-    sums = kept.groupBy("part", "queue").agg(F.sum("doc_tokens").alias("n"))
-    totals = {r["queue"]: r["n"] for r in kept.groupBy("queue").agg(F.sum("doc_tokens").alias("n")).collect()}  # MAX_QUEUES rows at most
+    sums = stored(kept.groupBy("part", "queue").agg(F.sum("doc_tokens").alias("n")), "sums")
+    totals = {r["queue"]: r["n"] for r in sums.groupBy("queue").agg(F.sum("n").alias("n")).collect()}  # MAX_QUEUES rows at most
     points = schedule(totals, targets)
     before = Window.partitionBy("queue").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     base = sums.select("part", "queue", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    if sums.count() <= SMALL:
+        base = F.broadcast(base)  # SMALL rows at most; else Spark shuffles both sides
     placed = kept.join(base, ["part", "queue"]).select("doc_id", "queue", (F.col("base") + F.col("in_part")).alias("at"), "doc_tokens", "ids")
     slices = placed.mapInArrow(_sliced(points, size * windows), SLICE)
     return slices.groupBy("span").applyInArrow(_packed(points, size, windows, min_piece), PIECE)
