@@ -3,14 +3,16 @@
 A single space or line feed between two characters that aren't white space always ends a match of the byte-level
 pattern: the space starts the next match, the line feed is a match by itself. So a text may be cut there and each
 chunk encoded by itself: the ids are those of the whole text. Arrow splits a batch and finds its distinct chunks;
-those that the worker hasn't seen are encoded together. The cache holds at most ``CACHE_CHUNKS`` chunks of at most
-``CACHE_CHARS`` characters and starts anew when full, so a worker's memory has a bound. Texts with other white space
-go through the encoder whole.
+those that the worker hasn't seen are encoded together. The cache starts anew past ``CACHE_CHUNKS`` chunks, or past
+``LONG_CHARS`` characters in chunks of more than ``CACHE_CHARS``, with those of the batch at hand, so a worker's memory has a bound. Stops and commas between
+a letter and a space are chunks of their own. Texts with other white space go through the encoder whole.
 """
 
 from __future__ import annotations
 
 import functools
+import gc
+import itertools
 import re
 from collections.abc import Callable
 
@@ -18,17 +20,12 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CACHE_CHUNKS, CACHE_CHARS = 600_000, 48
+CACHE_CHUNKS, CACHE_CHARS, LONG_CHARS = 600_000, 48, 4 << 20
 HEAD = "\x02"  # marks a chunk without a leading space
-_OTHER_SPACE = re.compile(r"[^\S \n]|\x02")
-_ASCII_OTHER = "\t\x02\x0b\x0c\r\x1c\x1d\x1e\x1f"
-
-
-def _plain(text: str) -> bool:
-    """True if the only white space is single spaces and line feeds between other characters."""
-    if "  " in text or " \n" in text or "\n " in text or "\n\n" in text or text[:1] in (" ", "\n") or text[-1:] in (" ", "\n"):
-        return False
-    return not any(c in text for c in _ASCII_OTHER) if text.isascii() else not _OTHER_SPACE.search(text)
+_WORD = re.compile(" ?[A-Za-zÀ-ÖØ-öø-ɏ]+")
+_STOPS = r"(\pL)([.,;:!?]+) "  # a letter, then only these up to a space: the marks are a match by themselves
+# white space other than single spaces and line feeds between other characters, or the mark
+_ODD = r"[\t\x02\x0b\x0c\r\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]|[ \n][ \n]|\A[ \n]|[ \n]\z"
 
 
 class ChunkEncoder:
@@ -38,39 +35,73 @@ class ChunkEncoder:
     """
 
     def __init__(self, encode: Callable[[list[str]], list[np.ndarray]], encode_whole: Callable[[str], np.ndarray]):
-        self.encode, self.encode_whole, self.cache = encode, encode_whole, {}
-
-    def _known(self, found: list[str]) -> list[np.ndarray]:
-        cache = self.cache
-        new = [c for c in found if c not in cache]
-        if len(cache) + len(new) > CACHE_CHUNKS:
-            cache.clear()
-            new = found
-        ids = self.encode([c[1:] if c[:1] == HEAD else " " + c for c in new if c not in ("\n", HEAD)])
-        at = iter(ids)
-        for c in new:
-            cache[c] = self.encode_whole(c) if c == "\n" else np.zeros(0, np.uint32) if c == HEAD else next(at)
-        out = [cache[c] for c in found]
-        for c in new:
-            if len(c) > CACHE_CHARS:
-                del cache[c]
-        return out
+        self.encode, self.encode_whole = encode, encode_whole
+        self._start()
+
+    def _start(self) -> None:
+        """An empty cache: a chunk's number, and by number where its ids lie in the pool."""
+        self.number: dict[str, int] = {}
+        self.pool, self.at = np.zeros(1 << 16, np.uint32), np.zeros(1 << 14, np.int64)
+        self.used = 0
+
+    def _add(self, new: list[str]) -> None:
+        special = {"\n", HEAD}
+        made = iter(self.encode([c[1:] if c[:1] == HEAD else " " + c for c in new if c not in special]))
+        self._append(new, [next(made) if c not in special else self.encode_whole("\n") if c == "\n" else () for c in new])
+
+    def _append(self, new: list[str], ids: list) -> None:
+        first, size = len(self.number), np.fromiter(map(len, ids), np.int64, len(ids))
+        flat = np.fromiter(itertools.chain.from_iterable(ids), np.uint32, int(size.sum()))
+        self.number.update(zip(new, range(first, first + len(new)), strict=True))
+        while self.used + len(flat) > len(self.pool):
+            self.pool = np.r_[self.pool, np.zeros_like(self.pool)]
+        while first + len(new) >= len(self.at):
+            self.at = np.r_[self.at, np.zeros_like(self.at)]
+        self.pool[self.used : self.used + len(flat)] = flat
+        self.at[first + 1 : first + len(new) + 1] = self.used + np.cumsum(size)
+        self.used += len(flat)
+
+    def _known(self, found: list[str]) -> np.ndarray:
+        """Numbers of these chunks. A new start keeps those of this batch."""
+        numbers = list(map(self.number.get, found))
+        if None in numbers:
+            new = [c for c, i in zip(found, numbers, strict=True) if i is None]
+            self.long += sum(len(c) for c in new if len(c) > CACHE_CHARS)
+            if len(self.number) + len(new) > CACHE_CHUNKS or self.long > LONG_CHARS:
+                kept = [(c, i) for c, i in zip(found, numbers, strict=True) if i is not None]
+                ids = [self.pool[self.at[i] : self.at[i + 1]] for _, i in kept]
+                self._start()
+                self.long = sum(len(c) for c in found if len(c) > CACHE_CHARS)
+                self._append([c for c, _ in kept], ids)
+            self._add(new)
+            numbers = list(map(self.number.__getitem__, found))
+        return np.array(numbers, np.int64)
+
+    long = 0
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        gc.disable()  # a batch makes many small lists and no cycles
+        try:
+            return self._encoded(texts)
+        finally:
+            gc.enable()
+
+    def _encoded(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         texts = pc.fill_null(texts, "")
-        odd = {i: self.encode_whole(x) for i, x in enumerate(texts.to_pylist()) if not _plain(x)}
+        doubtful = np.flatnonzero(pc.match_substring_regex(texts, _ODD).to_numpy(zero_copy_only=False)).tolist()
+        odd = {i: self.encode_whole(texts[i].as_py()) for i in doubtful}
         if odd:
             texts = pc.if_else(pa.array([i in odd for i in range(len(texts))]), "", texts)
         marked = pc.binary_join_element_wise(HEAD, pc.replace_substring(texts, "\n", f" \n {HEAD}"), "")
+        marked = pc.replace_substring_regex(marked, _STOPS, rf"\1 {HEAD}\2 ")
         cut = pc.split_pattern(marked, " ")
         codes = cut.flatten().dictionary_encode()
-        ids = self._known(codes.dictionary.to_pylist())
-        size = np.array([len(x) for x in ids], np.int64)
-        pool = np.concatenate([*ids, np.zeros(0, np.uint32)])
-        first, which = np.r_[0, np.cumsum(size)][:-1], codes.indices.to_numpy()
-        each = size[which]
+        known = self._known(codes.dictionary.to_pylist())
+        which = known[codes.indices.to_numpy()]
+        first = self.at[which]
+        each = self.at[which + 1] - first
         upto = np.r_[0, np.cumsum(each)]
-        flat = pool[np.repeat(first[which] - upto[:-1], each) + np.arange(upto[-1])]
+        flat = self.pool[np.repeat((first - upto[:-1]).astype(np.int32), each) + np.arange(upto[-1], dtype=np.int32)]
         ends = upto[cut.offsets.to_numpy()[1:] - cut.offsets[0].as_py()]
         if odd:
             rows = np.split(flat, ends[:-1])
@@ -88,6 +119,13 @@ def with_end(flat: np.ndarray, ends: np.ndarray, end_id: int) -> tuple[np.ndarra
     return np.insert(flat, ends, np.uint32(end_id)), ends + np.arange(1, len(ends) + 1)
 
 
+def _byte_letters() -> dict[int, str]:
+    """How a byte-level vocabulary writes bytes as letters: visible ones as themselves, the others from 256 on, in order."""
+    shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: chr(256 + i) for i, b in enumerate(hidden)}
+
+
 @functools.cache
 def library_encoder(path: str) -> ChunkEncoder:
     """Ids by the tokenizers library without special tokens; their strings in a text are ordinary text."""
@@ -103,14 +141,25 @@ def library_encoder(path: str) -> ChunkEncoder:
         return np.array(tok.encode(text, add_special_tokens=False).ids, np.uint32)
 
     line_feed = int(whole("\n")[0])
+    pieces, letters = tok.model.tokenize, _byte_letters()
 
     def together(some: list[str]) -> list[np.ndarray]:
-        """One line for each text: a line feed beside other characters is always one id, and no text holds one."""
-        out: list[np.ndarray] = []
-        for lo in range(0, len(some), 2000):
-            ids = whole("\n".join(some[lo : lo + 2000]))
+        """A word of letters, spaced or not, is one match, so the library's model takes it as it is. The rest goes one line
+        for each text: a line feed beside other characters is always one id, and no text holds one."""
+        out: list = [None] * len(some)
+        lines = []
+        for i, text in enumerate(some):
+            if _WORD.fullmatch(text):
+                shown = letters[32] + text[1:] if text.isascii() and text[0] == " " else text.encode().decode("latin-1").translate(letters)
+                out[i] = [x.id for x in pieces(shown)]
+            else:
+                lines.append(i)
+        for lo in range(0, len(lines), 2000):
+            few = lines[lo : lo + 2000]
+            ids = whole("\n".join([some[i] for i in few]))
             ends = [-1, *np.flatnonzero(ids == line_feed).tolist(), len(ids)]
-            out += [ids[a + 1 : b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
-        return [x.copy() for x in out]
+            for i, a, b in zip(few, ends[:-1], ends[1:], strict=True):
+                out[i] = ids[a + 1 : b]
+        return out
 
     return ChunkEncoder(together, whole)

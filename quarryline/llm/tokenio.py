@@ -25,7 +25,7 @@ FILE = "key long, file int, in_file long, n_tokens long, ids array<int>"
 _FILE = pa.schema([("key", pa.int64()), ("file", pa.int32()), ("in_file", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.list_(pa.int32()))])
 LAYOUT = {
     "parquet.writer.version": "PARQUET_2_0", "parquet.block.size": str(32 << 20), "parquet.page.size": str(256 << 10), "parquet.page.row.count.limit": "2000",
-    "parquet.enable.dictionary": "true", "parquet.enable.dictionary#key": "false", "parquet.enable.dictionary#in_file": "false", "parquet.enable.dictionary#n_tokens": "false", "compression": "zstd",
+    "parquet.enable.dictionary": "true", "parquet.enable.dictionary#key": "false", "parquet.enable.dictionary#in_file": "false", "parquet.enable.dictionary#n_tokens": "false", "compression": "zstd", "parquet.compression.codec.zstd.level": "1",
 }
 
 def _tokenised(path: str, end_id: int):
@@ -62,4 +62,5 @@ def read_tokens(files: DataFrame, key: str = "doc_id") -> DataFrame:
     """From the files: key, start (ids of all documents before it), n_tokens, ids_crc32."""
     sums = files.groupBy("file").agg(F.sum("n_tokens").alias("n"))
     before = sums.select("file", F.coalesce(F.sum("n").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
-    return files.join(before, "file").select(F.col("key").alias(key), (F.col("base") + F.col("in_file")).alias("start"), "n_tokens", list_crc32("ids").alias("ids_crc32"))
+    placed = files.join(F.broadcast(before), "file")  # one row for each file
+    return placed.select(F.col("key").alias(key), (F.col("base") + F.col("in_file")).alias("start"), "n_tokens", list_crc32("ids").alias("ids_crc32"))
