@@ -16,17 +16,26 @@ KEEP = 0.5
 ORACLE_SQL = None
 
 
+def _fresh(docs: DataFrame, name: str) -> str:
+    """A column name that ``docs`` doesn't have."""
+    while name.lower() in map(str.lower, docs.columns):
+        name += "_"
+    return name
+
+
 def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a learned language."""
-    found = langid.identify(docs, docs.where(langid.not_held_out(docs["doc_id"])), vocabulary("piece_bpe_32k.model"))
-    return found.where("langid.lang_pred <> 'und'").select(*docs.columns)
+    name = _fresh(docs, "langid")
+    found = langid.identify(docs, docs.where(langid.not_held_out(docs["doc_id"])), vocabulary("piece_bpe_32k.model"), name=name)
+    return found.where(found[name]["lang_pred"] != "und").select(*docs.columns)
 
 
 def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of quality KEEP or more."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    scored = quality.classify(docs, docs, labels.where(langid.not_held_out(labels["doc_id"])))
-    return scored.where(f"quality_score >= {KEEP}").select(*docs.columns)
+    name = _fresh(docs, "quality_score")
+    scored = quality.classify(docs, docs, labels.where(langid.not_held_out(labels["doc_id"])), name=name)
+    return scored.where(scored[name] >= KEEP).select(*docs.columns)
 
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

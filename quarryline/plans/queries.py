@@ -177,7 +177,7 @@ def last_of_group(spark, sf):
     return windows.last_per_key(read(spark, sf, "orders").select("o_custkey", "o_orderkey", "o_totalprice"), ["o_custkey"], "o_totalprice", "o_orderkey").select("o_custkey", "o_orderkey")
 
 
-@query("SELECT u.conv_id, u.turn, length(u.text) AS left_chars, length(a.text) AS right_chars FROM conversations u JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1 WHERE u.role = 'user' AND a.role = 'assistant'")
+@query("SELECT u.conv_id, u.turn, CAST(length(u.text) AS INT) AS left_chars, CAST(length(a.text) AS INT) AS right_chars FROM conversations u JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1 WHERE u.role = 'user' AND a.role = 'assistant'")
 def pair_left_right(spark, sf):
     c = read(spark, sf, "conversations")
     left = c.where("role = 'user'").select("conv_id", "turn", F.length("text").alias("left_chars"))
@@ -187,7 +187,7 @@ def pair_left_right(spark, sf):
 
 @query("""WITH s AS (SELECT c_custkey, 'obj_V' || lpad(CAST(c_custkey % 25 + 1 AS VARCHAR), 3, '0') || '_A' || lpad(CAST(CAST(c_custkey % 25 AS INT) * 144 AS VARCHAR), CASE WHEN c_custkey % 2 = 0 THEN 4 ELSE 3 END, '0') AS stem FROM customer),
 t AS (SELECT *, regexp_extract(stem, '_A(\\d+)', 1) AS a, CAST(regexp_extract(stem, '_V(\\d+)', 1) AS INT) - 1 AS view FROM s)
-SELECT c_custkey, view, CASE WHEN length(a) >= 4 THEN CAST(a AS DOUBLE)/10 ELSE CAST(a AS DOUBLE) END AS angle, round(view*14.4, 6) AS nominal, CAST(411 * (view // 5) + [0, 82, 164, 247, 329][view % 5 + 1] AS INT) AS steps, round((411 * (view // 5) + [0, 82, 164, 247, 329][view % 5 + 1])*360.0/2055, 6) AS physical FROM t""")
+SELECT c_custkey, view, CASE WHEN length(a) >= 4 THEN CAST(a AS DOUBLE)/10 ELSE CAST(a AS DOUBLE) END AS angle, round(view*CAST(14.4 AS DOUBLE), 6) AS nominal, CAST(411 * (view // 5) + [0, 82, 164, 247, 329][view % 5 + 1] AS INT) AS steps, round((411 * (view // 5) + [0, 82, 164, 247, 329][view % 5 + 1])*360.0/2055, 6) AS physical FROM t""")
 def angle_token_parse(spark, sf):
     pose = F.expr("cast(c_custkey % 25 as int)")
     stem = F.concat(F.lit("obj_V"), F.lpad((pose + 1).cast("string"), 3, "0"), F.lit("_A"), F.when(F.col("c_custkey") % 2 == 0, F.expr("lpad(cast(cast(c_custkey % 25 as int) * 144 as string), 4, '0')")).otherwise(F.expr("lpad(cast(cast(c_custkey % 25 as int) * 144 as string), 3, '0')")))
