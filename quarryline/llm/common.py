@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..session import ship
 
-BATCH_BYTES = "6m"
+BATCH_BYTES = "4m"
 
 
 def shared_dir(spark: SparkSession) -> str:
