@@ -46,7 +46,7 @@ def distance2(a: tuple, b: tuple) -> Column:
 
 
 def _sides(probe: DataFrame, points: DataFrame, id_: str, axes: tuple, carry: tuple = ()) -> tuple[DataFrame, DataFrame]:
-    one = lambda df, p, more: df.select(F.col(id_).alias(f"{p}id"), *[F.col(a).cast("double").alias(f"{p}{a}") for a in axes], *[F.col(c).alias(f"{p}{c}") for c in more])
+    one = lambda df, p, more: df.select(F.col(id_).alias(f"{p}id"), *[F.col(a).cast("double").alias(f"{p}{a}") for a in axes], *[F.col(c).alias(f"{p}{c}") for c in more if c not in axes])
     return one(probe, "a_", carry), one(points, "b_", carry)
 
 

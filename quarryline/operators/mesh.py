@@ -228,3 +228,221 @@ def clip_below(faces: DataFrame, vertices: DataFrame, base: float) -> DataFrame:
         parts += [F.when(a["y"] >= base, a), F.when((a["y"] - base) * (b["y"] - base) < 0, cross_at(a, b))]
     ring = F.array_compact(F.array(*parts))
     return pts.select("fid", ring.alias("ring")).where(F.size("ring") >= 3)
+
+
+def split_fans(faces: DataFrame, vertices: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """A vertex gets one copy for each further fan of faces around it that shares no edge with the first.
+
+    The corners (fid, vid) of a mesh are nodes; two corners at one vertex link where their faces share an edge at it.
+    """
+    h = half_edges(faces)
+    ends = h.select("fid", "lo", "hi", F.explode(F.array("lo", "hi")).alias("vid"))
+    hub = ends.groupBy("vid", "lo", "hi").agg(F.min("fid").alias("first"))
+    corner = lambda f, v: F.struct(F.col(v).alias("v"), F.col(f).alias("f"))
+    links = ends.join(hub, ["vid", "lo", "hi"]).where("fid <> first").select(corner("first", "vid").alias("u"), corner("fid", "vid").alias("v"))
+    nodes = faces.select("fid", F.explode(F.array("a", "b", "c")).alias("vid")).select(corner("fid", "vid").alias("node"))
+    named = label_nodes(nodes, links, "node").select(F.col("node.v").alias("vid"), F.col("node.f").alias("fid"), F.col("component.f").alias("fan"))
+    from pyspark.sql import Window
+
+    ranked = named.select("vid", "fan").distinct().withColumn("k", F.row_number().over(Window.partitionBy("vid").orderBy("fan")) - 1)
+    extra = ranked.where("k > 0")
+    top = vertices.agg(F.max("vid").alias("top"))
+    fresh = extra.crossJoin(F.broadcast(top)).withColumn("at", F.xxhash64("vid", "fan"))  # one row
+    total = fresh.count()
+    numbered = fresh.withColumn("new", F.col("top") + F.row_number().over(Window.orderBy("vid", "fan"))) if total else fresh.withColumn("new", F.col("top"))  # extra fans are few
+    numbered = numbered.select("vid", "fan", "new")
+    moved = named.join(numbered, ["vid", "fan"], "left").select("fid", "vid", F.coalesce("new", "vid").alias("to"))
+    out = faces
+    for k in "abc":
+        out = out.join(moved.select("fid", F.col("vid").alias(k), F.col("to").alias(f"_{k}")), ["fid", k]).drop(k).withColumnRenamed(f"_{k}", k)
+    copies = numbered.join(vertices, "vid").select(F.col("new").alias("vid"), *[c for c in vertices.columns if c != "vid"])
+    return out.select("fid", "a", "b", "c"), vertices.unionByName(copies)
+
+
+def orientation_cost(evidence: DataFrame) -> DataFrame:
+    """Cost of removing a face: more evidence and area cost more, rim faces less; areas count against the median."""
+    med = evidence.agg(F.percentile("area", F.lit(0.5)).alias("m"))
+    return evidence.crossJoin(F.broadcast(med)).select("fid", (1.0 + 2.0 * F.coalesce("evidence", F.lit(0.0)) + F.least(F.col("area") / F.greatest("m", F.lit(1e-12)), F.lit(4.0)) - 0.25 * F.col("rim")).alias("cost"))  # one row
+
+
+def repair_orientation(faces: DataFrame, vertices: DataFrame, evidence: DataFrame, budget: float = 0.02) -> DataFrame:
+    """Faces turned so that neighbours agree; in components that can't agree the cheapest faces go, within ``budget`` of all.
+
+    More than the budget is an error, and nothing is changed.
+    """
+    from .graph import cut, parity
+    from .sampling import greedy_cover
+
+    total, kept, removed = faces.count(), faces, 0
+    while True:
+        pairs = cut(face_pairs(kept))
+        labels = cut(parity(kept, pairs, "fid"))
+        bad = labels.where("conflict").select("fid")
+        if bad.limit(1).count() == 0:
+            break
+        cost = orientation_cost(face_evidence(kept, vertices, evidence)).join(bad, "fid", "left_semi")
+        wrong = pairs.where("flip = 1").join(bad.withColumnRenamed("fid", "u"), "u", "left_semi")
+        most = int(budget * total) - removed
+        few = wrong.limit(most * 3 + 1).collect()  # conflicts of one mesh, within the budget
+        if len(few) > most * 3:
+            raise ValueError("orientation conflicts exceed the budget")
+        chosen = greedy_cover(faces.sparkSession, [(f"{r['u']}-{r['v']}", [r["u"], r["v"]]) for r in few], {r["fid"]: r["cost"] for r in cost.collect()})[: max(1, most)]
+        removed += len(chosen)
+        if removed > budget * total or not chosen:
+            raise ValueError("orientation conflicts exceed the budget")
+        kept = cut(kept.where(~F.col("fid").isin(chosen)))
+    turned = kept.join(labels.select("fid", "label"), "fid", "left")
+    return turned.select("fid", "a", F.when(F.col("label") == 1, F.col("c")).otherwise(F.col("b")).alias("b"), F.when(F.col("label") == 1, F.col("b")).otherwise(F.col("c")).alias("c"))
+
+
+def ordered_loops(faces: DataFrame, vertices: DataFrame) -> DataFrame:
+    """component and ring of the simple closed boundary loops, in face direction; other boundary components are left out.
+
+    Loops of one component are followed in its own task; a boundary component is a rim, small against the mesh.
+    """
+    import pandas as pd
+
+    from ..session import ship
+
+    ship(faces.sparkSession)
+    h = half_edges(faces)
+    rim = h.join(boundary(faces), ["lo", "hi"], "left_semi").select("p", "q")
+    nodes = rim.select(F.explode(F.array("p", "q")).alias("vid")).distinct()
+    named = label_nodes(nodes, rim.select(F.col("p").alias("u"), F.col("q").alias("v")), "vid").withColumnRenamed("vid", "p")
+    kind = dict(vertices.dtypes)["vid"]
+
+    def follow(g: pd.DataFrame) -> pd.DataFrame:
+        after = dict(zip(g["p"], g["q"], strict=True))
+        ring, at = [], g["p"].min()
+        while at in after and len(ring) < len(g):
+            ring.append(at)
+            at = after[at]
+        whole = len(after) == len(g) and len(ring) == len(g) and ring and at == ring[0]
+        return pd.DataFrame({"component": [g["component"].iloc[0]] if whole else [], "ring": [ring] if whole else []})
+
+    return rim.join(named, "p").groupBy("component").applyInPandas(follow, f"component {kind}, ring array<{kind}>")
+
+
+def ring_residuals(faces: DataFrame, vertices: DataFrame, rings: int = 2, least: int = 6) -> DataFrame:
+    """Height of each vertex over the robust quadratic of its k-ring, in the frame of its normal: vid, residual, scale."""
+    import numpy as np
+    import pandas as pd
+
+    from ..session import ship
+    from .fitting import irls, quadratic_design
+    from .graph import rings as ring_join
+
+    ship(faces.sparkSession)
+    e = edges(faces).select(F.col("lo").alias("u"), F.col("hi").alias("v"))
+    near = ring_join(e, vertices.select(F.col("vid").alias("center")), rings)
+    v = vertices.select("vid", "x", "y", "z")
+    wide = near.join(v.withColumnRenamed("vid", "node"), "node").join(v.toDF("center", "cx", "cy", "cz"), "center").join(vertex_normals(faces, vertices).withColumnRenamed("vid", "center"), "center")
+    kind = dict(vertices.dtypes)["vid"]
+
+    def fit(g: pd.DataFrame) -> pd.DataFrame:
+        vid = g["center"].iloc[0]
+        if len(g) < least:
+            return pd.DataFrame({"vid": [vid], "residual": [None], "scale": [None]}).astype({"residual": float, "scale": float})
+        n = g[["nx", "ny", "nz"]].iloc[0].to_numpy(float)
+        side = np.eye(3)[int(np.argmin(np.abs(n)))]
+        a = side - n * (side @ n)
+        a /= np.linalg.norm(a)
+        d = g[["x", "y", "z"]].to_numpy(float) - g[["cx", "cy", "cz"]].to_numpy(float)
+        u, w, t = d @ a, d @ np.cross(n, a), d @ n
+        q = quadratic_design(u, w)
+        beta = irls(q, t, np.ones(len(t)), rounds=6)
+        return pd.DataFrame({"vid": [vid], "residual": [-float(beta[5])], "scale": [max(1e-6, 1.4826 * float(np.median(np.abs(t - q @ beta))))]})
+
+    return wide.groupBy("center").applyInPandas(fit, f"vid {kind}, residual double, scale double")
+
+
+def despike(faces: DataFrame, vertices: DataFrame, limit: float = 3.0, share: float = 0.58, factor: float = 0.84, most: float = 1.0, rings: int = 2) -> DataFrame:
+    """Vertices ``limit`` scales off their ring surface move back by ``factor`` of it, at most ``most``; rims and clusters of like outliers stay."""
+    from .graph import cut
+
+    r = cut(ring_residuals(faces, vertices, rings))
+    out = r.select("vid", "residual", (F.abs("residual") >= limit * F.col("scale")).alias("off"))
+    e = edges(faces)
+    both = e.select(F.col("lo").alias("vid"), F.col("hi").alias("other")).unionByName(e.select(F.col("hi").alias("vid"), F.col("lo").alias("other")))
+    like = both.join(out.toDF("other", "o_res", "o_off"), "other").join(out, "vid").groupBy("vid").agg(F.avg((F.coalesce("o_off", F.lit(False)) & (F.signum("o_res") == F.signum("residual"))).cast("int")).alias("like"))
+    rim = boundary(faces).select(F.explode(F.array("lo", "hi")).alias("vid")).distinct()
+    move = out.where("off").join(like.where(F.col("like") <= share), "vid").join(rim, "vid", "left_anti").select("vid", (F.signum("residual") * F.least(factor * F.abs("residual"), F.lit(most))).alias("m"))
+    n = vertex_normals(faces, vertices)
+    return vertices.join(n, "vid").join(move, "vid", "left").select("vid", *[(F.col(x) - F.coalesce("m", F.lit(0.0)) * F.col(f"n{x}")).alias(x) for x in "xyz"])
+
+
+def guarded(original: DataFrame, moved: DataFrame, faces: DataFrame, most_extent: float = 0.01, rounds: int = 8) -> DataFrame:
+    """The largest share of a move whose box grows or shrinks by at most ``most_extent`` of each axis; vertices of faces that
+    turn over go back wholly."""
+    lo, hi = 0.0, 1.0
+    joined = original.join(moved.toDF("vid", "mx", "my", "mz"), "vid")
+    at = lambda f: [(F.col(x) + f * (F.col(f"m{x}") - F.col(x))).alias(x) for x in "xyz"]
+    box = lambda df: df.agg(*[(F.max(x) - F.min(x)).alias(x) for x in "xyz"]).first()
+    first = box(original)
+    fits = lambda f: all(abs(b - a) <= most_extent * max(a, 1e-12) for a, b in zip(first, box(joined.select("vid", *at(f))), strict=True))
+    if fits(1.0):
+        lo = 1.0
+    else:
+        for _ in range(rounds):
+            mid = (lo + hi) / 2
+            lo, hi = (mid, hi) if fits(mid) else (lo, mid)
+    new = joined.select("vid", *at(lo))
+    before, after = face_geometry(faces, original), face_geometry(faces, new).select("fid", F.col("nx").alias("ax"), F.col("ny").alias("ay"), F.col("nz").alias("az"))
+    flipped = before.join(after, "fid").where("nx * ax + ny * ay + nz * az < 0").select(F.explode(F.array("a", "b", "c")).alias("vid")).distinct()
+    return new.join(flipped, "vid", "left_anti").unionByName(original.select("vid", "x", "y", "z").join(flipped, "vid", "left_semi"))
+
+
+def point_to_mesh(points: DataFrame, faces: DataFrame, vertices: DataFrame, reach: float, id_: str = "id") -> DataFrame:
+    """Exact distance of each point to the mesh: triangles are dealt to cells their box touches within ``reach``;
+    points farther than that are null."""
+    import numpy as np
+    import pandas as pd
+
+    from ..session import ship
+
+    ship(points.sparkSession)
+    wide = corners(faces, vertices)
+    for x in "xyz":
+        low, high = F.least(f"a{x}", f"b{x}", f"c{x}") - reach, F.greatest(f"a{x}", f"b{x}", f"c{x}") + reach
+        wide = wide.withColumn(f"k{x}", F.explode(F.sequence(F.floor(low / reach), F.floor(high / reach))))
+    p = points.select(F.col(id_).alias("id"), *[F.col(x).alias(f"p{x}") for x in "xyz"], *[F.floor(F.col(x) / reach).alias(f"k{x}") for x in "xyz"])
+    met = p.join(wide, ["kx", "ky", "kz"]).select("id", *[f"{k}{x}" for k in "pabc" for x in "xyz"])
+    kind = dict(points.dtypes)[id_]
+
+    def run(batches):
+        for g in batches:
+            q, a, b, c = (g[[f"{k}{x}" for x in "xyz"]].to_numpy(float) for k in "pabc")
+            yield pd.DataFrame({"id": g["id"], "d": triangle_distance(q, a, b, c)})
+
+    def triangle_distance(q, a, b, c):
+        def segment(u, v):
+            d = v - u
+            t = np.clip(((q - u) * d).sum(1) / np.maximum((d * d).sum(1), 1e-300), 0, 1)
+            return np.linalg.norm(q - u - t[:, None] * d, axis=1)
+
+        best = np.minimum(np.minimum(segment(a, b), segment(b, c)), segment(c, a))
+        n = np.cross(b - a, c - a)
+        size = np.maximum(np.linalg.norm(n, axis=1), 1e-300)
+        inside = np.ones(len(q), bool)
+        for u, v in ((a, b), (b, c), (c, a)):
+            inside &= (np.cross(v - u, q - u) * n).sum(1) >= 0
+        flat = np.abs(((q - a) * n).sum(1)) / size
+        return np.where(inside & (size > 1e-300), np.minimum(best, flat), best)
+
+    near = met.mapInPandas(run, f"id {kind}, d double").groupBy("id").agg(F.min("d").alias("d")).where(F.col("d") <= reach)
+    return points.select(F.col(id_).alias("id")).join(near, "id", "left").select(F.col("id").alias(id_), F.col("d").alias("distance"))
+
+
+def sample_surface(faces: DataFrame, vertices: DataFrame, count: int, seed: int = 0) -> DataFrame:
+    """About ``count`` points spread evenly over the area: fid, i, x, y, z."""
+    from .sampling import uniform
+
+    g = face_geometry(faces, vertices)
+    whole = g.agg(F.sum("area").alias("s"))
+    want = g.crossJoin(F.broadcast(whole)).select("fid", (count * F.col("area") / F.greatest("s", F.lit(1e-300))).alias("w"))  # one row
+    n = F.floor(F.col("w") + uniform("fid", seed)).cast("int")
+    dealt = want.withColumn("n", n).where("n > 0").withColumn("i", F.explode(F.sequence(F.lit(1), F.col("n"))))
+    key = F.xxhash64("fid", "i")
+    dealt = dealt.withColumn("key", key).withColumn("u", F.sqrt(uniform("key", seed + 1))).withColumn("v", uniform("key", seed + 2))
+    wide = dealt.join(corners(faces, vertices), "fid")
+    return wide.select("fid", "i", *[((1 - F.col("u")) * F.col(f"a{x}") + F.col("u") * (1 - F.col("v")) * F.col(f"b{x}") + F.col("u") * F.col("v") * F.col(f"c{x}")).alias(x) for x in "xyz"])
