@@ -159,43 +159,45 @@ def _packed(points: dict, size: int, windows: int, min_piece: int):
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by([("queue", "ascending"), ("at", "ascending"), ("doc_id", "ascending")])
         span = table["span"][0].as_py()
-        names, docs, starts, whole = (table[c].to_pylist() for c in ("queue", "doc_id", "start", "doc_tokens"))
-        places, ids = table["at"].to_pylist(), [grown(x) for x in table["ids"].to_pylist()]
+        names, ids = table["queue"].to_pylist(), [grown(x) for x in table["ids"].to_pylist()]
+        sizes, starts = np.array([len(x) for x in ids], np.int64), table["start"].to_numpy()
         queues = list(dict.fromkeys(names))
-        index = {q: i for i, q in enumerate(queues)}
-        counts, ideal = np.zeros(len(queues), np.int64), np.zeros(len(queues))
-        rows: list[list[int]] = [[] for _ in queues]
-        for i, q in enumerate(names):
-            rows[index[q]].append(i)
-            counts[index[q]] += len(ids[i])
-        for q, i in index.items():
+        first = np.r_[[names.index(q) for q in queues], len(names)].astype(np.int64)
+        counts = np.add.reduceat(sizes, first[:-1])
+        places, ideal = table["at"].to_numpy()[first[:-1]], np.zeros(len(queues))
+        for i, q in enumerate(queues):
             t, x = curves[q]
-            ideal[i] = places[rows[i][0]] - np.interp(span * windows * size, x, t)
-        out = [[] for _ in _PIECE]
-        row, used = [0] * len(queues), [0] * len(queues)
+            ideal[i] = places[i] - np.interp(span * windows * size, x, t)
+        runs: list[tuple[int, int, int, int]] = []  # queue, window, place in it, tokens
         for w, served in enumerate(serve(counts, -ideal, size, min_piece)):
             merged: dict[int, int] = {}
             for q, n in served:
                 merged[q] = merged.get(q, 0) + n
             offset = 0
             for q, n in merged.items():
-                while n:
-                    i = rows[q][row[q]]
-                    take = min(n, len(ids[i]) - used[q])
-                    piece = ids[i][used[q] : used[q] + take]
-                    for c, v in zip(out, (docs[i], starts[i] + used[q], take, zlib.crc32(piece), whole[i], span * stride + w, offset), strict=True):
-                        c.append(v)
-                    offset += take
-                    used[q] += take
-                    n -= take
-                    if used[q] == len(ids[i]):
-                        row[q], used[q] = row[q] + 1, 0
-        return pa.Table.from_arrays([pa.array(c, pa.int64()) for c in out], schema=_PIECE)
+                runs.append((q, w, offset, n))
+                offset += n
+        by_run = np.array(runs, np.int64).reshape(-1, 4)
+        out: list[list] = [[] for _ in range(6)]
+        for i in range(len(queues)):
+            mine = by_run[by_run[:, 0] == i]
+            run_from = np.cumsum(mine[:, 3]) - mine[:, 3]
+            doc_from = np.cumsum(sizes[first[i] : first[i + 1]]) - sizes[first[i] : first[i + 1]]
+            cuts = np.union1d(run_from, doc_from)
+            ends = np.r_[cuts[1:], counts[i]]
+            doc, run_at = np.searchsorted(doc_from, cuts, "right") - 1, np.searchsorted(run_from, cuts, "right") - 1
+            flat = np.concatenate(ids[first[i] : first[i + 1]]).tobytes()
+            crc = [zlib.crc32(flat[4 * lo : 4 * hi]) for lo, hi in zip(cuts.tolist(), ends.tolist(), strict=True)]
+            row = first[i] + doc
+            for c, v in zip(out, (row, starts[row] + cuts - doc_from[doc], ends - cuts, np.array(crc, np.int64), span * stride + mine[run_at, 1], mine[run_at, 2] + cuts - run_from[run_at]), strict=True):
+                c.append(v)
+        row, start, length, crc, sequence, offset = (np.concatenate(c) for c in out)
+        return pa.Table.from_arrays([table["doc_id"].take(pa.array(row)), pa.array(start), pa.array(length), pa.array(crc), table["doc_tokens"].take(pa.array(row)), pa.array(sequence), pa.array(offset)], schema=_PIECE)
 
     return run
 
 
-def pack(docs: DataFrame, path: str, size: int = 1024, targets: dict | None = None, end_id: int = 0, windows: int = 1024, min_piece: int = 64, text: str = "text", key: str = "doc_id", source: str = "source") -> DataFrame:
+def pack(docs: DataFrame, path: str, size: int = 1024, targets: dict | None = None, end_id: int = 0, windows: int = 1024, min_piece: int = 32, text: str = "text", key: str = "doc_id", source: str = "source") -> DataFrame:
     """Pieces (PIECE) of all documents of ``docs`` in sequences of at most ``size`` tokens.
 
     Tokens are encoded once and stored with their place in the task's part of the queue; sums for each part and queue
