@@ -39,3 +39,45 @@ def drift(recorded: DataFrame, current: DataFrame) -> DataFrame:
 def signature(inputs: dict, parameters: dict, version: str) -> str:
     """SHA-256 of canonical JSON of what a stage depends on."""
     return hashlib.sha256(json.dumps({"inputs": inputs, "parameters": parameters, "version": version}, sort_keys=True, separators=(",", ":")).encode()).hexdigest()
+
+
+def compact(spark: SparkSession, folder: str, keep: list[str], dry_run: bool = True) -> list[tuple[str, int]]:
+    """(path, bytes) of files of a finished campaign that match none of the ``keep`` patterns; deleted unless ``dry_run``.
+
+    Goes through Hadoop's file system, so it reaches any store that Spark does.
+    """
+    import re
+
+    jvm = spark.sparkContext._jvm
+    top = jvm.org.apache.hadoop.fs.Path(folder)
+    fs = top.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files, out = fs.listFiles(top, True), []
+    while files.hasNext():
+        f = files.next()
+        path = f.getPath().toString()
+        if not any(re.search(k, path) for k in keep):
+            out.append((path, f.getLen()))
+            if not dry_run:
+                fs.delete(f.getPath(), False)
+    return out
+
+
+def freeze(spark: SparkSession, sources: dict[str, str], folder: str) -> DataFrame:
+    """Copies of named files or folders under ``folder`` and the manifest (resource, path, sha256, size_bytes) that ``drift`` checks later."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    path = jvm.org.apache.hadoop.fs.Path
+    out = None
+    for name, source in sorted(sources.items()):
+        target = f"{folder}/{name}"
+        jvm.org.apache.hadoop.fs.FileUtil.copy(path(source).getFileSystem(conf), path(source), path(target).getFileSystem(conf), path(target), False, conf)
+        part = file_manifest(spark, target).select(F.lit(name).alias("resource"), "path", "sha256", "size_bytes")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def without_self(entries: DataFrame, current: DataFrame, manifest_path: str) -> DataFrame:
+    """A manifest without the entry of its own file, if all other entries hold; else an error."""
+    rest = entries.where(F.col("path") != manifest_path)
+    if drift(rest, current).where("state <> 'same'").limit(1).count():
+        raise ValueError("the manifest's files have changed")
+    return rest

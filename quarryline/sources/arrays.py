@@ -175,3 +175,11 @@ def write_obj(vertices: DataFrame, faces: DataFrame, path: str) -> None:
 def for_blender(vertices: DataFrame) -> DataFrame:
     """(x, -z, y) in metres from millimetres."""
     return vertices.withColumns({"x": F.col("x") * 0.001, "y": -F.col("z") * 0.001, "z": F.col("y") * 0.001})
+
+
+MATERIAL = ("newmtl neutral", "Ka 0.2 0.2 0.2", "Kd 0.8 0.8 0.8", "Ks 0.0 0.0 0.0", "d 1.0", "illum 1")
+
+
+def write_mtl(spark: SparkSession, path: str) -> None:
+    """A neutral material beside an OBJ."""
+    spark.createDataFrame(list(enumerate(MATERIAL)), "n int, value string").coalesce(1).orderBy("n").select("value").write.text(path)
