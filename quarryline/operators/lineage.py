@@ -81,3 +81,21 @@ def without_self(entries: DataFrame, current: DataFrame, manifest_path: str) ->
     if drift(rest, current).where("state <> 'same'").limit(1).count():
         raise ValueError("the manifest's files have changed")
     return rest
+
+
+def promote(spark: SparkSession, candidate: str, active: str, records: str, stamp: str) -> str:
+    """Make ``candidate`` the active file: the old one is kept under ``records``, the new one copied beside and renamed into place."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    path, util = jvm.org.apache.hadoop.fs.Path, jvm.org.apache.hadoop.fs.FileUtil
+    fs = path(active).getFileSystem(conf)
+    backup = f"{records}/{stamp}-{active.rsplit('/', 1)[-1]}"
+    if fs.exists(path(active)):
+        fs.mkdirs(path(records))
+        util.copy(fs, path(active), fs, path(backup), False, conf)
+    fresh = path(f"{active}.{stamp}.new")
+    util.copy(path(candidate).getFileSystem(conf), path(candidate), fs, fresh, False, conf)
+    if fs.exists(path(active)):
+        fs.delete(path(active), False)
+    if not fs.rename(fresh, path(active)):
+        raise OSError(f"{active} could not be put in place; the old file is {backup}")
+    return backup

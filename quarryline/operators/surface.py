@@ -251,3 +251,35 @@ def scale_guard(original: DataFrame, moved: DataFrame, least_ratio: float, round
         lo, hi = (mid, hi) if spacing(at(mid)) >= least_ratio * first else (lo, mid)
     return lo, at(lo)
 
+
+
+def supported_samples(df: DataFrame, strong: Column, radius: float, factor: float = 3.0, floor: float = 0.9, weight: str = "w", id_: str = "id") -> DataFrame:
+    """Points that stand off their neighbours' surface near strong points go, worst first, but ``floor`` of all stay."""
+    res = cut(local_residual(df, radius, weight, id_))
+    scale = res.agg(percentile("residual", 0.5).alias("m"))
+    near = radius_join(df.where(~strong), df.where(strong), radius, id_, AXES).select(F.col("a_id").alias(id_)).distinct().withColumn("near", F.lit(True))
+    flagged = df.join(res, id_).join(near, id_, "left").crossJoin(F.broadcast(scale)).withColumn("flag", F.coalesce(F.col("near") & (F.col("residual") > factor * F.col("m")), F.lit(False)))  # one row
+    from .sampling import capped_removal
+
+    return capped_removal(flagged.withColumn("one", F.lit(1)), "flag", "residual", id_, ["one"], 1 - floor).select(*df.columns)
+
+
+def components_near_anchor(pixels: DataFrame, anchor: tuple, most_gap: float, least_share: float = 0.05, u: str = "u", v: str = "v") -> DataFrame:
+    """Pixels of mask components that overlap or lie near an anchor box (left, top, right, bottom), largest and closest first:
+    score = area share * exp(-gap / most_gap), kept from ``least_share`` of the best."""
+    from .consensus import pixel_components
+
+    named = cut(pixel_components(pixels, u, v))
+    boxes = named.groupBy("component").agg(F.count("*").alias("n"), F.min(u).alias("l"), F.min(v).alias("t"), (F.max(u) + 1).alias("r"), (F.max(v) + 1).alias("b"))
+    left, top, right, bottom = map(F.lit, anchor)
+    gap = F.hypot(F.greatest(F.lit(0), F.col("l") - right, left - F.col("r")), F.greatest(F.lit(0), F.col("t") - bottom, top - F.col("b")))
+    scored = boxes.withColumn("gap", gap).where(F.col("gap") <= most_gap).withColumn("score", F.col("n") * F.exp(-F.col("gap") / most_gap))
+    best = scored.agg(F.max("score").alias("best"))
+    good = scored.crossJoin(F.broadcast(best)).where(F.col("score") >= least_share * F.col("best")).select("component")  # one row
+    return named.join(good, "component", "left_semi").select(u, v)
+
+
+def region_report(points: DataFrame, region: str, status: str, value: str) -> DataFrame:
+    """Status counts and finite statistics of each region."""
+    counts = points.groupBy(region).pivot(status).count()
+    return counts.join(finite_stats(points, [region], value), region)

@@ -62,3 +62,22 @@ def test_freeze_drift_and_compact(spark, tmp_path):
     assert not (tmp_path / "src" / "a.txt").exists()
     arrays.write_mtl(spark, f"file://{tmp_path}/m.mtl")
     assert spark.read.text(f"file://{tmp_path}/m.mtl").where(F.col("value").startswith("newmtl")).count() == 1
+
+
+def test_promotion_keeps_a_backup(spark, tmp_path):
+    (tmp_path / "new.json").write_text("2")
+    (tmp_path / "active.json").write_text("1")
+    backup = lineage.promote(spark, f"file://{tmp_path}/new.json", f"file://{tmp_path}/active.json", f"file://{tmp_path}/records", "t1")
+    assert (tmp_path / "active.json").read_text() == "2" and (tmp_path / "records" / "t1-active.json").read_text() == "1" and backup.endswith("t1-active.json")
+
+
+def test_components_and_samples(spark):
+    from quarryline.operators import surface
+
+    px = spark.createDataFrame([(0, 0), (1, 0), (1, 1), (30, 30)], "u int, v int")
+    assert surface.components_near_anchor(px, (0, 0, 5, 5), 10.0).count() == 3
+    rows = [(i, float(i % 10), float(i // 10), 5.0 if i == 44 else 0.0, 0.0, 0.0, 1.0, 1.0) for i in range(100)]
+    df = spark.createDataFrame(rows, "id long, x double, y double, z double, nx double, ny double, nz double, w double")
+    kept = surface.supported_samples(df, F.col("id") != 44, 5.5, weight="w")
+    assert kept.count() in (99, 100)
+    assert surface.region_report(df.withColumn("s", F.lit("a")), "nz", "s", "z").first()["n"] == 100
