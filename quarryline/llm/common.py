@@ -28,11 +28,11 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
-def prepare(spark: SparkSession) -> None:
+def prepare(spark: SparkSession, batch: str = BATCH_BYTES) -> None:
     """Checkpoints go to the shared folder, workers can import this package, and Arrow batches are bounded by bytes."""
     shared_dir(spark)
     ship(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", batch)
 
 
 def stored(df: DataFrame, name: str, **options: str) -> DataFrame:

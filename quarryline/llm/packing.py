@@ -127,6 +127,19 @@ def serve(counts: np.ndarray, deficits: np.ndarray, size: int, min_piece: int):
     while total > 0:
         room = min(size, total)
         deficit += left * (room / total)  # what is left keeps the target proportions, so shares follow it
+        due_all = left > 0
+        if (deficit[due_all] >= np.minimum(min_piece, left[due_all])).all():  # every queue is due: its deficit, and what rounding left to the largest rests
+            take = np.minimum(left, np.maximum(deficit, 0).astype(np.int64))
+            rest = room - int(take.sum())
+            most = np.argsort(take - deficit, kind="stable")
+            most = most[left[most] > take[most]][: max(rest, 0)]
+            if rest == len(most):
+                take[most] += 1
+                left -= take
+                deficit -= take
+                total -= room
+                yield [(q, n) for q, n in enumerate(take.tolist()) if n]
+                continue
         served = []
         order = np.argsort(-deficit, kind="stable")
         for due in (True, False):  # first what is due, then whatever fills the window
@@ -197,7 +210,7 @@ def _packed(points: dict, size: int, windows: int, min_piece: int):
     return run
 
 
-def pack(docs: DataFrame, path: str, size: int = 1024, targets: dict | None = None, end_id: int = 0, windows: int = 1024, min_piece: int = 32, text: str = "text", key: str = "doc_id", source: str = "source") -> DataFrame:
+def pack(docs: DataFrame, path: str, size: int = 1024, targets: dict | None = None, end_id: int = 0, windows: int = 1024, min_piece: int = 16, text: str = "text", key: str = "doc_id", source: str = "source") -> DataFrame:
     """Pieces (PIECE) of all documents of ``docs`` in sequences of at most ``size`` tokens.
 
     Tokens are encoded once and stored with their place in the task's part of the queue; sums for each part and queue
@@ -205,7 +218,7 @@ def pack(docs: DataFrame, path: str, size: int = 1024, targets: dict | None = No
     large a source is. Empty input gives no pieces.
     """
     spark = docs.sparkSession
-    prepare(spark)
+    prepare(spark, "10m")
     rows = docs.select(docs[key].cast("long").alias("doc_id"), F.coalesce(docs[source].cast("string"), F.lit("\0null")).alias("queue"), docs[text].alias("text"))
     if rows.select("queue").distinct().limit(MAX_QUEUES + 1).count() > MAX_QUEUES:
         rows = rows.withColumn("queue", F.pmod(F.xxhash64("queue"), F.lit(MAX_QUEUES)).cast("string"))
