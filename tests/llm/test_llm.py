@@ -299,6 +299,15 @@ def test_html_structure():
     assert htmltext.clean([htmltext.blocks_of("<p>a<p>b &am c")])[0] == ["a", "b &am c"]
 
 
+def test_html_marks():
+    text = lambda page: htmltext.clean([htmltext.blocks_of(page)])[0]
+    assert text("<article><p>a <span class='ad'>buy</span> b <a class='nav-link'>c</a><p hidden>no<article class='comment'><p>nice</article></article>") == ["a b c"]
+    assert text("<div class=ad>buy<article><h1>T</h1><p>x") == ["T", "x"]
+    assert text("<main><section class='related'>r</section><p>x</p><button>go</button><table><tr><td>1<td>2</table></main>") == ["x", "1", "2"]
+    assert text("<div class='post-comments'>c</div><div class='post main'>x</div><div role=banner>b</div>") == ["x"]
+    assert text("<article><header><h1>T</h1></header><p>x<footer>f</footer><figure><figcaption>cap</figcaption></figure></article>") == ["T", "x", "cap"]
+
+
 def test_suffix_array_removes_repeats_of_unmarked_blocks():
     boiler = " ".join(f"w{i}" for i in range(30))
     pages = [f"<div>{boiler}</div><div>own text of page {i} that no other page has at all in this host {i}</div>" for i in range(4)]
