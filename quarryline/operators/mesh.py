@@ -446,3 +446,21 @@ def sample_surface(faces: DataFrame, vertices: DataFrame, count: int, seed: int
     dealt = dealt.withColumn("key", key).withColumn("u", F.sqrt(uniform("key", seed + 1))).withColumn("v", uniform("key", seed + 2))
     wide = dealt.join(corners(faces, vertices), "fid")
     return wide.select("fid", "i", *[((1 - F.col("u")) * F.col(f"a{x}") + F.col("u") * (1 - F.col("v")) * F.col(f"b{x}") + F.col("u") * F.col("v") * F.col(f"c{x}")).alias(x) for x in "xyz"])
+
+
+def fair(faces: DataFrame, vertices: DataFrame, original: DataFrame, spacing: float, strength: float = 0.5, start: float = 0.05, width: float = 0.2, noise: float = 1.0, step: float = 0.1, total: float = 0.5, rings: int = 2) -> DataFrame:
+    """Vertices moved onto the quadratic of their rings where they stand off it by more than spacing and noise explain; the
+    move fades in, is limited a step and in all, and rims stay."""
+    from ..functions.scalar import clip, smoothstep
+    from .graph import cut
+
+    r = cut(ring_residuals(faces, vertices, rings))
+    rim = boundary(faces).select(F.explode(F.array("lo", "hi")).alias("vid")).distinct()
+    gate = smoothstep((F.abs("residual") - F.greatest(F.lit(start * spacing), noise * F.col("scale"))) / max(width * spacing, 1e-9))
+    move = r.join(rim, "vid", "left_anti").select("vid", F.coalesce(clip(-strength * gate * F.col("residual"), -step * spacing, step * spacing), F.lit(0.0)).alias("m"))
+    n = vertex_normals(faces, vertices)
+    moved = vertices.join(n, "vid").join(move, "vid", "left").select("vid", *[(F.col(x) + F.coalesce("m", F.lit(0.0)) * F.col(f"n{x}")).alias(x) for x in "xyz"])
+    far = moved.join(original.select("vid", *[F.col(x).alias(f"o{x}") for x in "xyz"]), "vid")
+    size = F.sqrt(sum(((F.col(x) - F.col(f"o{x}")) ** 2 for x in "yz"), (F.col("x") - F.col("ox")) ** 2))
+    keep = F.least(F.lit(1.0), total * spacing / F.greatest(size, F.lit(1e-12)))
+    return far.select("vid", *[(F.col(f"o{x}") + keep * (F.col(x) - F.col(f"o{x}"))).alias(x) for x in "xyz"])

@@ -283,3 +283,61 @@ def region_report(points: DataFrame, region: str, status: str, value: str) -> Da
     """Status counts and finite statistics of each region."""
     counts = points.groupBy(region).pivot(status).count()
     return counts.join(finite_stats(points, [region], value), region)
+
+
+def orient_normals(df: DataFrame, k: int = 8, id_: str = "id") -> DataFrame:
+    """Normals with signs that agree along a forest: each point takes the sign of its most parallel nearer-numbered neighbour,
+    and each tree points away from its median."""
+    from .graph import parity
+
+    near = cut(knn_join(df, df, k, id_, AXES, skip_self=True).select("a_id", "b_id"))
+    both = near.unionByName(near.select(F.col("b_id").alias("a_id"), F.col("a_id").alias("b_id"))).where("b_id < a_id").distinct()
+    n = df.select(id_, *NORMAL)
+    met = both.join(n.toDF("a_id", "ax", "ay", "az"), "a_id").join(n.toDF("b_id", "bx", "by", "bz"), "b_id")
+    dot = F.col("ax") * F.col("bx") + F.col("ay") * F.col("by") + F.col("az") * F.col("bz")
+    tree = cut(met.groupBy(F.col("a_id").alias("u")).agg(F.max_by(F.struct(F.col("b_id").alias("v"), (dot < 0).cast("int").alias("flip")), F.abs(dot)).alias("p")).select("u", "p.v", "p.flip"))
+    signs = parity(df, tree, id_).select(id_, F.when(F.col("label") == 1, -1.0).otherwise(1.0).alias("_s"))
+    turned = df.join(signs, id_).withColumns({c: F.col(c) * F.col("_s") for c in NORMAL}).join(label_nodes(df, tree.select("u", "v"), id_).withColumnRenamed("component", "_t"), id_)
+    center = turned.groupBy("_t").agg(*[percentile(a, 0.5).alias(f"_{a}") for a in AXES])
+    out = turned.join(center, "_t").withColumn("_v", sum((F.col(n_) * (F.col(a) - F.col(f"_{a}")) for a, n_ in zip(AXES[1:], NORMAL[1:], strict=True)), F.col("nx") * (F.col("x") - F.col("_x"))))
+    side = out.groupBy("_t").agg(F.when(percentile("_v", 0.5) < 0, -1.0).otherwise(1.0).alias("_g"))
+    return out.join(side, "_t").withColumns({c: F.col(c) * F.col("_g") for c in NORMAL}).select(*df.columns)
+
+
+def coherence(df: DataFrame, seeds: DataFrame, voxel: float, small: int = 18, large: int = 36, least: int = 10, uncertainty: str = "uncertainty", id_: str = "id") -> DataFrame:
+    """How well a seed's two neighbourhoods make one surface: id, flags (of six), accept (fewer than three; too few neighbours
+    accept), strict (at most one)."""
+    ship(df.sparkSession)
+    kind = dict(seeds.dtypes)[id_]
+    near = knn_join(seeds, df, large, id_, AXES, skip_self=True)
+    info = df.select(F.col(id_).alias("b_id"), *[F.col(c).alias(f"b_{c}") for c in (*AXES, *NORMAL, uncertainty)])
+    own = seeds.select(F.col(id_).alias("a_id"), *[F.col(c).alias(f"a_{c}") for c in (*AXES, *NORMAL, uncertainty)])
+    wide = near.join(info, "b_id").join(own, "a_id")
+
+    def judge(g: pd.DataFrame) -> pd.DataFrame:
+        g = g.sort_values("rank")
+        if len(g) < least:
+            return pd.DataFrame({id_: [g["a_id"].iloc[0]], "flags": [0], "accept": [True], "strict": [False]})
+        p, n = g[[f"b_{c}" for c in AXES]].to_numpy(float), g[[f"b_{c}" for c in NORMAL]].to_numpy(float)
+        p0, n0 = g[[f"a_{c}" for c in AXES]].iloc[0].to_numpy(float), g[[f"a_{c}" for c in NORMAL]].iloc[0].to_numpy(float)
+        u0 = g[f"a_{uncertainty}"].iloc[0]
+        u0 = u0 if u0 and np.isfinite(u0) and u0 > 0 else 0.25 * voxel
+        u = g[f"b_{uncertainty}"].to_numpy(float)
+        u = np.where(np.isfinite(u) & (u > 0), u, u0)
+
+        def patch(q):
+            x = q - q.mean(0)
+            values, vectors = np.linalg.eigh(x.T @ x / len(q))
+            return np.percentile(np.abs(x @ vectors[:, 0]), 90), vectors[:, 0], values[0] / max(values.sum(), 1e-12)
+
+        near_p90, near_n, _ = patch(p[:small])
+        far_p90, far_n, variation = patch(p)
+        angle = np.degrees(np.arccos(np.clip(np.abs(n @ n0), 0, 1)))
+        mean = n + n0
+        mean = mean / np.maximum(np.linalg.norm(mean, axis=1, keepdims=True), 1e-12)
+        sheet = (angle <= 32) & (np.abs(((p - p0) * mean).sum(1)) <= np.clip(1.5 * np.minimum(u0, u), 0.18 * voxel, 0.5 * voxel))
+        turn = np.degrees(np.arccos(np.clip(abs(near_n @ far_n), 0, 1)))
+        flags = int(near_p90 > max(0.55 * voxel, 1.75 * u0)) + int(far_p90 > max(0.8 * voxel, 2.2 * u0)) + int(np.percentile(angle, 90) > 42) + int(turn > 25) + int(variation > 0.16) + int(sheet.mean() < 0.3)
+        return pd.DataFrame({id_: [g["a_id"].iloc[0]], "flags": [flags], "accept": [flags < 3], "strict": [flags <= 1]})
+
+    return wide.groupBy("a_id").applyInPandas(judge, f"{id_} {kind}, flags int, accept boolean, strict boolean")

@@ -126,3 +126,41 @@ def test_spike_goes_back(spark):
     kept = mesh.guarded(v, v.withColumn("x", F.col("x") * 1.5), f, 0.01)
     assert kept.agg(F.max("x") - F.min("x")).first()[0] == pytest.approx(6.06, abs=0.02)
     assert mesh.clip_below(f.where("fid < 4"), v, 1.0).count() == 2 and mesh.retract_rim(f, v.where("vid = 0").select("vid"), 3).count() == 71
+
+
+def test_signs_agree(spark):
+    rng = np.random.default_rng(0)
+    p = rng.normal(size=(150, 3))
+    p /= np.linalg.norm(p, axis=1, keepdims=True)
+    s = rng.choice([-1.0, 1.0], 150)
+    df = spark.createDataFrame([(i, *map(float, q), *map(float, q * t), 1.0, 0) for i, (q, t) in enumerate(zip(p, s, strict=True))], POINT)
+    out = surface.orient_normals(df)
+    assert out.count() == 150 and out.where("x * nx + y * ny + z * nz > 0").count() >= 135
+
+
+def test_coherence_of_a_sheet_and_a_stray(spark):
+    s = sheet(spark, 8).withColumn("uncertainty", F.lit(0.2))
+    stray = s.where("id = 27").withColumns({"id": F.lit(999).cast("long"), "z": F.lit(4.0), "nx": F.lit(1.0), "nz": F.lit(0.0)})
+    whole = s.unionByName(stray)
+    got = {r["id"]: r for r in surface.coherence(whole, whole.where("id in (36, 999)"), 1.0).collect()}
+    assert got[36]["accept"] and got[36]["strict"] and got[999]["flags"] >= 2 and not got[999]["strict"]
+
+
+def test_fairing_pulls_a_bump_back(spark):
+    n = 7
+    v = spark.createDataFrame([(i * n + j, float(i), float(j), 0.6 if (i, j) == (3, 3) else 0.001 * ((i * 7 + j * 3) % 5)) for i in range(n) for j in range(n)], "vid long, x double, y double, z double")
+    f = spark.createDataFrame([t for k, (i, j) in enumerate((i, j) for i in range(n - 1) for j in range(n - 1)) for t in ((2 * k, i * n + j, (i + 1) * n + j, i * n + j + 1), (2 * k + 1, i * n + j + 1, (i + 1) * n + j, (i + 1) * n + j + 1))], "fid long, a long, b long, c long")
+    after = {r["vid"]: r["z"] for r in mesh.fair(f, v, v, 1.0).collect()}
+    assert 0.49 < after[3 * n + 3] < 0.55 and after[0] == pytest.approx(0.0, abs=1e-9)
+
+
+def test_change_mask():
+    from quarryline.operators import raster
+
+    rng = np.random.default_rng(0)
+    gray = rng.uniform(0, 3, (60, 60))
+    gray[20:40, 20:40] += 60
+    ok = np.ones((60, 60), bool)
+    mask, limit = raster.change_mask(np.stack([gray] * 3), gray, ok, ok, least_area=50)
+    assert mask[25:35, 25:35].all() and not mask[:10].any() and limit >= 12
+    assert raster.ellipse(5).sum() == 17 and (raster.opening(ok, raster.ellipse(5)) == ok).all()
