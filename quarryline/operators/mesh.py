@@ -464,3 +464,39 @@ def fair(faces: DataFrame, vertices: DataFrame, original: DataFrame, spacing: fl
     size = F.sqrt(sum(((F.col(x) - F.col(f"o{x}")) ** 2 for x in "yz"), (F.col("x") - F.col("ox")) ** 2))
     keep = F.least(F.lit(1.0), total * spacing / F.greatest(size, F.lit(1e-12)))
     return far.select("vid", *[(F.col(f"o{x}") + keep * (F.col(x) - F.col(f"o{x}"))).alias(x) for x in "xyz"])
+
+
+def scale_trend(faces: DataFrame, vertices: DataFrame, spacing: float, small: float = 3.0, large: float = 8.0, angle_deg: float = 30.0, start: float = 0.1, width: float = 0.3, strength: float = 0.5, step: float = 0.15, least: int = 8) -> DataFrame:
+    """Vertices moved towards the quadratic of a large neighbourhood where it parts from a small one's; neighbours across an
+    edge (by normal) don't count, and rims stay. Radii are in spacings."""
+    import numpy as np
+    import pandas as pd
+
+    from ..functions.scalar import clip, smoothstep
+    from ..session import ship
+    from .fitting import irls, quadratic_design
+    from .joins import radius_join
+
+    ship(faces.sparkSession)
+    v = vertices.join(vertex_normals(faces, vertices), "vid")
+    near = radius_join(v, v, large * spacing, "vid", ("x", "y", "z"), carry=("x", "y", "z", "nx", "ny", "nz")).where("a_id <> b_id")
+    near = near.where(F.col("a_nx") * F.col("b_nx") + F.col("a_ny") * F.col("b_ny") + F.col("a_nz") * F.col("b_nz") >= float(np.cos(np.radians(angle_deg))))
+    kind = dict(vertices.dtypes)["vid"]
+
+    def fit(g: pd.DataFrame) -> pd.DataFrame:
+        n = g[["a_nx", "a_ny", "a_nz"]].iloc[0].to_numpy(float)
+        side = np.eye(3)[int(np.argmin(np.abs(n)))]
+        a = side - n * (side @ n)
+        a /= np.linalg.norm(a)
+        d = g[["b_x", "b_y", "b_z"]].to_numpy(float) - g[["a_x", "a_y", "a_z"]].to_numpy(float)
+        heights = []
+        for radius in (small * spacing, large * spacing):
+            q = d[g["distance"].to_numpy() <= radius]
+            heights.append(float(irls(quadratic_design(q @ a, q @ np.cross(n, a)), q @ n, np.ones(len(q)), rounds=6)[5]) if len(q) >= least else None)
+        return pd.DataFrame({"vid": [g["a_id"].iloc[0]], "s": [heights[0]], "l": [heights[1]]}).astype({"s": float, "l": float})
+
+    made = near.groupBy("a_id").applyInPandas(fit, f"vid {kind}, s double, l double")
+    rim = boundary(faces).select(F.explode(F.array("lo", "hi")).alias("vid")).distinct()
+    gate = smoothstep((F.abs(F.col("l") - F.col("s")) - start * spacing) / max(width * spacing, 1e-9))
+    move = made.where("not isnan(s) and not isnan(l)").join(rim, "vid", "left_anti").select("vid", clip(strength * gate * F.col("l"), -step * spacing, step * spacing).alias("m"))
+    return v.join(move, "vid", "left").select("vid", *[(F.col(x) + F.coalesce("m", F.lit(0.0)) * F.col(f"n{x}")).alias(x) for x in "xyz"])

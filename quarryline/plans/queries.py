@@ -146,9 +146,11 @@ def linear_fit(spark, sf):
     return s.select("pose", r("slope").alias("slope"), r("intercept").alias("intercept"))
 
 
-@query()
+@query(f"""WITH s AS (SELECT pose, sum(w) AS s1, sum(w*x) AS su, sum(w*z) AS sv, sum(w*x*x) AS suu, sum(w*x*z) AS suv, sum(w*z*z) AS svv, sum(w*y) AS sy, sum(w*x*y) AS suy, sum(w*z*y) AS svy FROM {P} GROUP BY 1),
+d AS (SELECT *, suu*(svv*s1-sv*sv) - suv*(suv*s1-sv*su) + su*(suv*sv-svv*su) AS det FROM s)
+SELECT pose, round((suy*(svv*s1-sv*sv) - suv*(svy*s1-sv*sy) + su*(svy*sv-svv*sy))/det, 5) AS a, round((suu*(svy*s1-sv*sy) - suy*(suv*s1-sv*su) + su*(suv*sy-svy*su))/det, 5) AS b, round((suu*(svv*sy-svy*sv) - suv*(suv*sy-svy*su) + suy*(suv*sv-svv*su))/det, 5) AS c FROM d""")
 def weighted_plane_fit(spark, sf):
-    return stats.linear_fit(points(spark, sf), ["pose"], "x", "z", "y", "w")
+    return stats.linear_fit(points(spark, sf), ["pose"], "x", "z", "y", "w").select("pose", *[r(c, 5).alias(c) for c in "abc"])
 
 
 @query("""WITH s AS (SELECT event_type, quantile_cont(value, 0.5) AS m, count(value) AS n FROM events GROUP BY 1), d AS (SELECT event_type, quantile_cont(abs(value-m), 0.5) AS mad FROM events JOIN s USING (event_type) GROUP BY 1)
@@ -308,9 +310,16 @@ def observations(spark, sf) -> DataFrame:
     return read(spark, sf, "lineitem").groupBy("l_partkey", (F.col("l_linenumber") % 3).alias("s")).agg((F.avg("l_quantity") + 10.0).alias("z"), F.avg(1 - F.col("l_tax")).alias("w"), F.lit(1.0).alias("e"))
 
 
-@query()
+_HUBER = "w*least(1.0, 2.7/greatest(abs(z - 1/q), 1e-9))"
+_ROUND = f"SELECT k.*, sum({_HUBER}/z) OVER p/greatest(sum({_HUBER}) OVER p, 1e-12) AS nq FROM {{0}} k WINDOW p AS (PARTITION BY l_partkey)"
+
+
+@query(f"""WITH o AS {_OBS}, c AS (SELECT a.l_partkey, a.s, a.z, round(sum(b.w*abs(a.z-b.z)), 9) AS c FROM o a JOIN o b USING (l_partkey) GROUP BY 1, 2, 3), m AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY l_partkey ORDER BY c, s) = 1),
+n AS (SELECT l_partkey, CAST(count(*) AS INT) AS n FROM o GROUP BY 1), k0 AS (SELECT o.l_partkey, o.z, o.w, 1/m.z AS q FROM o JOIN m USING (l_partkey) WHERE abs(o.z - m.z) <= 6.0),
+r1 AS ({_ROUND.format('k0')}), k1 AS (SELECT l_partkey, z, w, nq AS q FROM r1), r2 AS ({_ROUND.format('k1')}), k2 AS (SELECT l_partkey, z, w, nq AS q FROM r2), r3 AS ({_ROUND.format('k2')})
+SELECT l_partkey, n, round(CASE WHEN count(*) >= 2 THEN 1/min(nq) END, 5) AS depth, CAST(count(*) AS INT) AS support, round(max(z) - min(z), 5) AS spread, count(*) >= 2 AS valid FROM r3 JOIN n USING (l_partkey) GROUP BY 1, 2""")
 def medoid_consensus(spark, sf):
-    return consensus.fuse_depth(observations(spark, sf), ["l_partkey"], "s", "z", "w", "e").withColumns({"depth": r("depth"), "spread": r("spread")})
+    return consensus.fuse_depth(observations(spark, sf), ["l_partkey"], "s", "z", "w", "e").withColumns({"depth": r("depth", 5), "spread": r("spread", 5)})
 
 
 @query(f"""WITH o AS {_OBS}, c AS (SELECT a.l_partkey, a.s, a.z, round(sum(b.w*abs(a.z-b.z)), 9) AS c FROM o a JOIN o b USING (l_partkey) GROUP BY 1, 2, 3), m AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY l_partkey ORDER BY c, s) = 1)
@@ -447,7 +456,7 @@ def laplacian(spark, sf):
     return mesh.laplacian(*strip(spark, sf)).select("vid", *[r(c).alias(c) for c in ("lx", "ly", "lz")])
 
 
-@query()
+@query(f"""WITH RECURSIVE s AS (SELECT DISTINCT fid, least(p, q) AS lo, greatest(p, q) AS hi FROM {SIDES}), n AS (SELECT a.fid AS u, b.fid AS v FROM s a JOIN s b USING (lo, hi) WHERE a.fid <> b.fid), w(f, r) AS (SELECT fid, fid FROM {FACES} UNION SELECT w.f, n.v FROM w JOIN n ON n.u = w.r) SELECT f AS fid, min(r) AS component FROM w GROUP BY 1""")
 def face_components(spark, sf):
     return mesh.face_components(strip(spark, sf)[0])
 
@@ -676,3 +685,91 @@ def pca_normals(spark, sf):
 @query(f"SELECT lo AS a, hi AS b, faces FROM {EDGES} WHERE faces >= 2")
 def shared_edges(spark, sf):
     return mesh.edges(strip(spark, sf)[0]).where("faces >= 2").select(F.col("lo").alias("a"), F.col("hi").alias("b"), "faces")
+
+
+@query("""WITH t AS (SELECT l_orderkey, l_quantity/50 AS a, l_discount*10 AS b, l_tax*12.5 AS c, l_extendedprice/100000 AS d FROM lineitem)
+SELECT l_orderkey, round(sum(pow(greatest(0.0, least(a, 1.0))*greatest(0.0, least(b, 1.0))*greatest(0.0, least(c, 1.0)), 1/3.0)), 5) AS confidence, round(sum(least(greatest(d, 0.0), 1.0)*least(greatest(d, 0.0), 1.0)*(3 - 2*least(greatest(d, 0.0), 1.0))), 5) AS smooth,
+round(sum(a*a + 2*b*b + 0.5*a*b - a + 3*b + 4), 5) AS quadratic, round(sum(least(greatest(2.5*greatest(1.4826*a, b, 0.75), 1.0), 3.0)), 5) AS tolerance, round(sum(least(greatest(0.5, 3*d), 1.2)) + 1e-9, 5) AS limit_mm,
+round(sum(a*exp(-0.5*pow(least(b, 2.0)/0.5, 2))*(0.75 + 0.25*3/3)*(0.4 + 0.6*c)*(0.35 + 0.65*d)), 5) AS reliability, round(sum(least(greatest(0.55*a + 0.45*least(greatest(b*exp(-0.5*pow(c/0.8, 2)), 0.0), 1.0), 0.05), 1.0)), 5) AS history FROM t GROUP BY 1""")
+def scalar_bank(spark, sf):
+    t = read(spark, sf, "lineitem").select("l_orderkey", (F.col("l_quantity") / 50).alias("a"), (F.col("l_discount") * 10).alias("b"), (F.col("l_tax") * 12.5).alias("c"), (F.col("l_extendedprice") / 100000).alias("d"))
+    a, b, c, d = map(F.col, "abcd")
+    made = {
+        "confidence": scalar.stage_confidence([a, b, c]), "smooth": scalar.smoothstep(d), "quadratic": scalar.quadratic((1.0, 2.0, 0.5, -1.0, 3.0, 4.0), a, b), "tolerance": scalar.adaptive_tolerance(1.0, 3.0, a, b, 2.5),
+        "limit_mm": scalar.scaled_limit(0.5, d, 3.0, 1.2), "reliability": scalar.reliability(a, b, 0.5, F.lit(3), c, d), "history": scalar.history_weight(a, b, c, 0.8),
+    }
+    return t.groupBy("l_orderkey").agg(*[r(F.sum(v) + (1e-9 if k == "limit_mm" else 0.0), 5).alias(k) for k, v in made.items()])
+
+
+@query("""SELECT s_suppkey, CAST(least(abs(a-b), 25-abs(a-b)) AS INT) AS apart, t = 0 OR p*3 >= t*2 AS vote FROM (SELECT s_suppkey, CAST(s_suppkey % 25 AS INT) AS a, CAST(s_suppkey*7 % 25 AS INT) AS b, s_suppkey % 5 AS p, s_suppkey % 7 AS t FROM supplier)""")
+def circular_votes(spark, sf):
+    s = read(spark, sf, "supplier").select("s_suppkey", F.expr("cast(s_suppkey % 25 as int)").alias("a"), F.expr("cast(s_suppkey * 7 % 25 as int)").alias("b"), (F.col("s_suppkey") % 5).alias("p"), (F.col("s_suppkey") % 7).alias("t"))
+    return s.select("s_suppkey", bitmask.circular_distance("a", "b", 25).alias("apart"), scalar.vote_passes(F.col("p"), F.col("t"), 2, 3).alias("vote"))
+
+
+@query(f"""WITH g AS (SELECT l_returnflag AS k, l_extendedprice AS x, sum(l_quantity) AS w FROM lineitem GROUP BY 1, 2), c AS ({_CUM}), m AS (SELECT k, min(x) FILTER (round(c,9) >= round(0.5*t,9)) AS m FROM c GROUP BY k),
+h AS (SELECT l_returnflag AS k, abs(l_extendedprice - m) AS x, sum(l_quantity) AS w FROM lineitem JOIN m ON k = l_returnflag GROUP BY 1, 2), d AS (SELECT *, sum(w) OVER (PARTITION BY k ORDER BY x ROWS UNBOUNDED PRECEDING) AS c, sum(w) OVER (PARTITION BY k) AS t FROM h)
+SELECT k AS l_returnflag, any_value(m) AS median, round(min(x) FILTER (round(c,9) >= round(0.5*t,9)), 5) AS mad FROM d JOIN m USING (k) GROUP BY k""")
+def weighted_mad(spark, sf):
+    return stats.weighted_robust_stats(read(spark, sf, "lineitem"), ["l_returnflag"], "l_extendedprice", "l_quantity").select("l_returnflag", "median", r("mad", 5).alias("mad"))
+
+
+@query(f"""WITH RECURSIVE n AS (SELECT a.vec_id AS u, b.vec_id AS v FROM {C} a JOIN {C} b ON a.vec_id <> b.vec_id AND {D2} <= 0.0009), w(i, r) AS (SELECT u, u FROM n UNION SELECT w.i, n.v FROM w JOIN n ON n.u = w.r) SELECT i AS vid, min(r) AS "group" FROM w GROUP BY 1""")
+def coincident_groups(spark, sf):
+    return mesh.coincident_groups(cloud(spark, sf).withColumnRenamed("vec_id", "vid"), 0.03)
+
+
+@query(f"""WITH RECURSIVE s AS (SELECT DISTINCT fid, least(p, q) AS lo, greatest(p, q) AS hi FROM {SIDES}), n AS (SELECT a.fid AS u, b.fid AS v FROM s a JOIN s b USING (lo, hi) WHERE a.fid <> b.fid), w(f, r) AS (SELECT fid, fid FROM {FACES} UNION SELECT w.f, n.v FROM w JOIN n ON n.u = w.r),
+c AS (SELECT f AS fid, min(r) AS k FROM w GROUP BY 1), g AS (SELECT k, count(*) AS n, sum(sqrt(nx*nx+ny*ny+nz*nz)/2) AS a FROM c JOIN {_NRM} USING (fid) GROUP BY 1) SELECT count(*) AS components, round(max(n)/sum(n), 6) AS largest_share, round(max(a)/sum(a), 6) AS largest_area_share FROM g""")
+def component_summary(spark, sf):
+    return mesh.component_summary(*strip(spark, sf)).select("components", r("largest_share").alias("largest_share"), r("largest_area_share").alias("largest_area_share"))
+
+
+@query(f"""WITH rim AS (SELECT fid, count(*) AS rim FROM {SIDES} JOIN {EDGES} ON lo = least(p, q) AND hi = greatest(p, q) WHERE faces = 1 GROUP BY 1)
+SELECT f.fid, round(list_sort([a % 7 + 0.5, b % 7 + 0.5, c % 7 + 0.5])[2]::DOUBLE, 6) AS evidence, coalesce(rim, 0) AS rim FROM {FACES} f LEFT JOIN rim USING (fid)""")
+def face_evidence(spark, sf):
+    f, v = strip(spark, sf)
+    return mesh.face_evidence(f, v, v.select("vid", (F.col("vid") % 7 + 0.5).cast("double").alias("evidence"))).select("fid", "evidence", "rim")
+
+
+@query("""WITH e AS (SELECT lang, substr(sha256(concat_ws('|', doc_id, sha256(text), CAST(octet_length(encode(text)) AS VARCHAR))), 1, 64) AS h FROM documents WHERE lang IS NOT NULL), p AS (SELECT lang, substr(h, 1, 2) AS p, sha256(string_agg(h, ',' ORDER BY h)) AS h, count(*) AS n FROM e GROUP BY 1, 2)
+SELECT lang, sha256(string_agg(h, ',' ORDER BY h)) AS digest, CAST(sum(n) AS BIGINT) AS entries FROM p GROUP BY 1""")
+def content_digest(spark, sf):
+    d = read(spark, sf, "documents").where("lang is not null")
+    return lineage.digest_of(lineage.manifest(d, "doc_id", "text").join(d.select(F.col("doc_id").alias("path"), "lang"), "path"), ["lang"])
+
+
+@query("WITH g AS (SELECT o_orderkey, o_totalprice > 400000 AS ok, o_totalprice FROM orders) SELECT o_orderkey FROM g WHERE ok AND (SELECT count(*) FROM g WHERE ok) >= 50 UNION ALL (SELECT o_orderkey FROM g WHERE (SELECT count(*) FROM g WHERE ok) < 50 ORDER BY o_totalprice DESC, o_orderkey LIMIT 50)")
+def passing_or_best(spark, sf):
+    return sampling.top_or_passing(read(spark, sf, "orders"), F.col("o_totalprice") > 400000, 50, "o_totalprice", "o_orderkey").select("o_orderkey")
+
+
+def turntable(spark):
+    import numpy as np
+
+    out = {}
+    for p in range(3):
+        m = np.eye(4)
+        m[0, 3], m[2, 3] = 0.1 * p, 2.0
+        out[p] = m
+    return geometry.poses_table(spark, out)
+
+
+_SEEN = f"(SELECT v.vec_id AS voxel, p AS pose_index, CAST(round_even(((v.x + 0.1*p)*20/(v.z + 2)) + 10, 0) AS INT) AS u, CAST(round_even((v.y*20/(v.z + 2)) + 10, 0) AS INT) AS v, v.z + 2 AS pz FROM {C} v, (SELECT unnest([0, 1, 2]) AS p))"
+
+
+@query(f"WITH s AS {_SEEN}, k AS (SELECT DISTINCT pose_index, u, v FROM s WHERE voxel % 3 = 0) SELECT voxel, count(*) AS tested, count(k.u) AS inside, round(count(k.u)/count(*), 6) AS ratio FROM s LEFT JOIN k USING (pose_index, u, v) GROUP BY 1")
+def silhouette_support(spark, sf):
+    v = cloud(spark, sf).withColumnRenamed("vec_id", "voxel")
+    poses = turntable(spark)
+    mask = consensus._project(v.where("voxel % 3 = 0"), poses, 20.0, 10.0, 10.0, "voxel", "pose_index")
+    return consensus.silhouette_support(v, poses, mask, 20.0, 10.0, 10.0).withColumn("ratio", r("ratio"))
+
+
+@query(f"""WITH s AS {_SEEN}, d AS (SELECT pose_index, u, v, min(pz) AS d FROM s WHERE voxel % 2 = 0 GROUP BY 1, 2, 3), m AS (SELECT voxel, pose_index, pz - d AS g FROM s JOIN d USING (pose_index, u, v))
+SELECT voxel, sum(CAST(abs(g) <= 0.05 AS INT)) AS agree, sum(CAST(g < -0.05 AS INT)) AS contradict, sum(CAST(g > 0.05 AS INT)) AS occluded, CAST(coalesce(bit_or(CASE WHEN abs(g) <= 0.05 THEN CAST(1 AS BIGINT) << pose_index END), 0) AS BIGINT) AS agree_mask FROM m GROUP BY 1""".replace("sum(CAST", "CAST(sum(CAST").replace("AS INT)) AS", "AS INT)) AS BIGINT) AS"))
+def reprojection_support(spark, sf):
+    v = cloud(spark, sf).withColumnRenamed("vec_id", "voxel")
+    poses = turntable(spark)
+    depth = consensus._project(v.where("voxel % 2 = 0"), poses, 20.0, 10.0, 10.0, "voxel", "pose_index").groupBy("pose_index", "u", "v").agg(F.min("pz").alias("depth"))
+    return consensus.reprojection_support(v, poses, depth, 20.0, 10.0, 10.0, 0.05).select("voxel", "agree", "contradict", "occluded", "agree_mask")

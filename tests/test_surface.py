@@ -164,3 +164,21 @@ def test_change_mask():
     mask, limit = raster.change_mask(np.stack([gray] * 3), gray, ok, ok, least_area=50)
     assert mask[25:35, 25:35].all() and not mask[:10].any() and limit >= 12
     assert raster.ellipse(5).sum() == 17 and (raster.opening(ok, raster.ellipse(5)) == ok).all()
+
+
+def test_trend_and_recovery(spark):
+    from quarryline.operators import raster
+
+    n = 12
+    v = spark.createDataFrame([(i * n + j, float(i), float(j), 0.8 if (i, j) == (6, 6) else 0.0) for i in range(n) for j in range(n)], "vid long, x double, y double, z double")
+    f = spark.createDataFrame([t for k, (i, j) in enumerate((i, j) for i in range(n - 1) for j in range(n - 1)) for t in ((2 * k, i * n + j, (i + 1) * n + j, i * n + j + 1), (2 * k + 1, i * n + j + 1, (i + 1) * n + j, (i + 1) * n + j + 1))], "fid long, a long, b long, c long")
+    after = {r["vid"]: r["z"] for r in mesh.scale_trend(f, v, 1.0, small=2.0, large=4.0, angle_deg=80.0).collect()}
+    assert after[6 * n + 6] <= 0.8 and after[0] == 0.0 and len(after) == n * n
+    depth = np.full((40, 40), 500.0)
+    depth[10:20, 10:20] = 450.0
+    seed = np.zeros((40, 40), bool)
+    seed[10:20, 10:16] = True
+    ok = np.ones((40, 40), bool)
+    got, said = raster.before_support(seed, depth, ok, ok, ok & (depth > 490), most_added=1.0)
+    assert said == "applied" and got[10:20, 10:20].all() and got.sum() == 100
+    assert raster.before_support(seed, depth, ok, ok, ok & (depth > 490), most_added=0.1)[0].sum() == 60
