@@ -67,3 +67,42 @@ def axis_from_normals(pairs: np.ndarray, weights: np.ndarray) -> np.ndarray:
     """The axis of a turn from differences of normals before and after it: the direction they are all across from."""
     d = pairs[:, 1] - pairs[:, 0]
     return np.linalg.eigh((d * weights[:, None]).T @ d)[1][:, 0]
+
+
+def fit_turn_axis(p: np.ndarray, q: np.ndarray, angles: np.ndarray, axis: np.ndarray, centre: np.ndarray, most_tilt: float = 0.2, most_shift: float = 50.0) -> tuple[np.ndarray, np.ndarray, float]:
+    """Axis, a point on it, and the RMS distance left, for points p that a turn by known ``angles`` (radians) takes to q.
+
+    Two tilts and two shifts across the axis are searched within bounds from the start that is given.
+    """
+    from ..functions.geometry import rotation
+    from .fitting import damped_least_squares
+
+    y = np.asarray(axis, float) / np.linalg.norm(axis)
+    seed = np.eye(3)[int(np.argmin(np.abs(y)))]
+    x = seed - y * (seed @ y)
+    x /= np.linalg.norm(x)
+    z = np.cross(x, y)
+
+    def at(v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        a = y + v[0] * x + v[1] * z
+        return a / np.linalg.norm(a), np.asarray(centre, float) + v[2] * x + v[3] * z
+
+    def residual(v: np.ndarray) -> np.ndarray:
+        a, c = at(v)
+        out = np.empty_like(q, float)
+        for t in np.unique(angles):
+            m = angles == t
+            out[m] = (p[m] - c) @ rotation(a, float(t)).T + c - q[m]
+        return out.ravel()
+
+    bound = np.array([most_tilt, most_tilt, most_shift, most_shift])
+    v = damped_least_squares(residual, np.zeros(4), (-bound, bound))
+    a, c = at(v)
+    return a, c, float(np.sqrt(np.mean(np.sum(residual(v).reshape(-1, 3) ** 2, axis=1))))
+
+
+def worth_applying(before: DataFrame, after: DataFrame, least_gain: float = 0.02) -> bool:
+    """True if held-out errors (pair, rmse) of a refinement are lower in the median by ``least_gain`` of themselves, and no pair is worse by more."""
+    both = before.join(after.withColumnRenamed("rmse", "new"), "pair")
+    r = both.agg(F.percentile("rmse", F.lit(0.5)).alias("a"), F.percentile("new", F.lit(0.5)).alias("b"), F.max(F.col("new") / F.col("rmse")).alias("w")).first()
+    return r["a"] is not None and r["b"] <= (1 - least_gain) * r["a"] and r["w"] <= 1 + least_gain

@@ -104,3 +104,22 @@ def contacts(faces: DataFrame, vertices: DataFrame, cell: float) -> DataFrame:
 
     kind = dict(faces.dtypes)["fid"]
     return near.mapInPandas(run, f"fa {kind}, fb {kind}, category string")
+
+
+def intersection_guard(original: DataFrame, moved: DataFrame, faces: DataFrame, cell: float, rounds: int = 4) -> DataFrame:
+    """``moved`` with the vertices of faces that newly touch in a blocking way put back, round by round; what is left after the
+    rounds goes back wholly."""
+    from .graph import cut
+
+    known = contacts(faces, original, cell).where(F.col("category").isin(*BLOCKING)).select("fa", "fb")
+    current = moved.select("vid", "x", "y", "z")
+    for k in range(rounds + 1):
+        new = cut(contacts(faces, current, cell).where(F.col("category").isin(*BLOCKING)).join(known, ["fa", "fb"], "left_anti"))
+        if new.limit(1).count() == 0:
+            return current
+        if k == rounds:
+            return original.select("vid", "x", "y", "z")
+        bad = new.select(F.explode(F.array("fa", "fb")).alias("fid")).distinct()
+        back = faces.join(bad, "fid", "left_semi").select(F.explode(F.array("a", "b", "c")).alias("vid")).distinct()
+        current = cut(current.join(back, "vid", "left_anti").unionByName(original.select("vid", "x", "y", "z").join(back, "vid", "left_semi")))
+    return current

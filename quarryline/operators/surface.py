@@ -341,3 +341,14 @@ def coherence(df: DataFrame, seeds: DataFrame, voxel: float, small: int = 18, la
         return pd.DataFrame({id_: [g["a_id"].iloc[0]], "flags": [flags], "accept": [flags < 3], "strict": [flags <= 1]})
 
     return wide.groupBy("a_id").applyInPandas(judge, f"{id_} {kind}, flags int, accept boolean, strict boolean")
+
+
+def recover_coverage(df: DataFrame, kept: DataFrame, size: float, confidence: str, least: float, reach: float, id_: str = "id") -> DataFrame:
+    """``kept`` and, for each empty cell, its most confident candidate of confidence ``least`` or more within ``reach`` of a kept point."""
+    keys = [F.floor(F.col(a) / size).cast("bigint").alias(f"k{a}") for a in AXES]
+    held = kept.select(*keys).distinct()
+    cand = df.join(kept.select(id_), id_, "left_anti").where(F.col(confidence) >= least).select("*", *keys).join(held, ["kx", "ky", "kz"], "left_anti")
+    best = cand.groupBy("kx", "ky", "kz").agg(F.max_by(id_, F.struct(confidence, (-F.col(id_)).alias("first"))).alias(id_)).select(id_)
+    points = df.join(best, id_, "left_semi")
+    near = knn_join(points, kept, 1, id_, AXES).where(F.col("distance") <= reach).select(F.col("a_id").alias(id_))
+    return kept.unionByName(points.join(near, id_, "left_semi").select(*kept.columns))

@@ -182,3 +182,37 @@ def test_trend_and_recovery(spark):
     got, said = raster.before_support(seed, depth, ok, ok, ok & (depth > 490), most_added=1.0)
     assert said == "applied" and got[10:20, 10:20].all() and got.sum() == 100
     assert raster.before_support(seed, depth, ok, ok, ok & (depth > 490), most_added=0.1)[0].sum() == 60
+
+
+def test_axis_guard_and_coverage(spark):
+    from quarryline.functions.geometry import rotation
+    from quarryline.operators import alignment, contacts, raster
+
+    rng = np.random.default_rng(0)
+    axis, centre = np.array([0.05, 1.0, -0.03]), np.array([3.0, 0.0, -2.0])
+    axis /= np.linalg.norm(axis)
+    p = rng.normal(size=(60, 3)) * 20
+    t = rng.choice([0.25, 0.5], 60)
+    q = np.array([rotation(axis, a) @ (x - centre) + centre for x, a in zip(p, t, strict=True)])
+    a, c, rms = alignment.fit_turn_axis(p, q, t, np.array([0.0, 1.0, 0.0]), np.zeros(3))
+    assert rms < 1e-5 and np.allclose(a, axis, atol=1e-6) and np.linalg.norm(np.cross(c - centre, axis)) < 1e-4
+    pairs = spark.createDataFrame([(i, 1.0 + i / 10) for i in range(5)], "pair int, rmse double")
+    assert alignment.worth_applying(pairs, pairs.withColumn("rmse", F.col("rmse") * 0.9)) and not alignment.worth_applying(pairs, pairs)
+
+    v = spark.createDataFrame([(0, 0.0, 0.0, 0.0), (1, 2.0, 0.0, 0.0), (2, 0.0, 2.0, 0.0), (3, 0.5, 0.5, 1.0), (4, 0.6, 0.4, 2.0), (5, 0.4, 0.6, 2.0)], "vid long, x double, y double, z double")
+    f = spark.createDataFrame([(0, 0, 1, 2), (1, 3, 4, 5)], "fid long, a long, b long, c long")
+    moved = v.withColumn("z", F.when(F.col("vid") == 3, -1.0).otherwise(F.col("z")))
+    safe = {r["vid"]: r["z"] for r in contacts.intersection_guard(v, moved, f, 1.0).collect()}
+    assert safe[3] == 1.0
+    assert {r["vid"]: r["z"] for r in contacts.intersection_guard(v, v.withColumn("z", F.col("z") + 1), f, 1.0).collect()}[3] == 2.0
+
+    s = sheet(spark, 6).withColumn("confidence", F.lit(0.9))
+    kept = s.where("x < 3")
+    assert surface.recover_coverage(s, kept, 1.0, "confidence", 0.5, 1.1).count() == 24
+
+    line = np.ones((1, 9), bool)
+    seeds = np.zeros((1, 9), bool)
+    seeds[0, 0] = True
+    assert np.allclose(raster.geodesic(seeds, np.ones((1, 9)), line)[0], range(9))
+    got = raster.contact_recovery(seeds, line & ~seeds & (np.arange(9) < 8)[None], (np.arange(9) == 8)[None], np.full((1, 9), 0.5))
+    assert got[0, 1] and not got[0, 7]
