@@ -20,7 +20,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame
 
-from .common import arrow_column, prepare, struct_of
+from .common import arrow_column, claim, prepare, struct_of
 from .pretokens import ChunkEncoder, rows_of
 
 WIDE = 1024
@@ -188,6 +188,7 @@ def bpe_digest(path: str, pattern: str):
 
     @arrow_column("n_tokens long, ids_sha256 string, decoded_sha256 string")
     def digest(texts: pa.Array) -> pa.Array:
+        claim("bpe", codec.cache_clear)
         bpe = codec(path, pattern)
         ids = rows_of(*bpe.encode_chunks(texts))
         sha = lambda b: hashlib.sha256(b).hexdigest()

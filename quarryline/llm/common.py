@@ -56,6 +56,17 @@ def _remove(spark: SparkSession, path: str) -> None:
         return
 
 
+_held: list = [None, None]
+
+
+def claim(name: str, free) -> None:
+    """In a worker: ``name`` now holds the caches. Workers serve one operator after another, and the one before frees its own."""
+    if _held[0] != name:
+        if _held[1]:
+            _held[1]()
+        _held[:] = [name, free]
+
+
 def encoded_texts(column: pa.Array) -> list[bytes]:
     """UTF-8 bytes of every text; null counts as empty."""
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]

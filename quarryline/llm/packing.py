@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import prepare, stored
+from .common import claim, prepare, stored
 from .pretokens import library_encoder, rows_of, with_end
 
 MAX_QUEUES, SMALL = 4096, 100_000
@@ -38,6 +38,7 @@ def _queued(path: str, end_id: int):
     """Encode; each row knows its place in its queue within the task. Ids are stored in two bytes where they fit."""
 
     def run(batches):
+        claim("library", library_encoder.cache_clear)
         encode, part, queues = library_encoder(path), TaskContext.get().partitionId(), {}
         for batch in batches:
             names = batch.column(1).to_pylist()
@@ -218,7 +219,7 @@ def pack(docs: DataFrame, path: str, size: int = 1024, targets: dict | None = No
     large a source is. Empty input gives no pieces.
     """
     spark = docs.sparkSession
-    prepare(spark, "10m")
+    prepare(spark)
     rows = docs.select(docs[key].cast("long").alias("doc_id"), F.coalesce(docs[source].cast("string"), F.lit("\0null")).alias("queue"), docs[text].alias("text"))
     if rows.select("queue").distinct().limit(MAX_QUEUES + 1).count() > MAX_QUEUES:
         rows = rows.withColumn("queue", F.pmod(F.xxhash64("queue"), F.lit(MAX_QUEUES)).cast("string"))

@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_column, prepare, stored
+from .common import arrow_column, claim, prepare, stored
 from .pretokens import library_encoder, with_end
 
 FILE = "key long, file int, in_file long, n_tokens long, ids array<int>"
@@ -30,6 +30,7 @@ LAYOUT = {
 
 def _tokenised(path: str, end_id: int):
     def run(batches):
+        claim("library", library_encoder.cache_clear)
         encode, file, total = library_encoder(path), TaskContext.get().partitionId(), 0
         for batch in batches:
             flat, ends = with_end(*encode(batch.column(1)), end_id)
