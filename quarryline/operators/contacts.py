@@ -81,6 +81,46 @@ def classify(a: np.ndarray, b: np.ndarray, eps: float = 1e-9) -> str:
     return "crossing" if proper else "touching"
 
 
+def _hits_all(a: np.ndarray, b: np.ndarray, eps: float = 1e-9) -> np.ndarray:
+    """Whether any side of each triangle of ``a`` meets that of ``b``, away from their shared plane."""
+    e1, e2 = b[:, 1] - b[:, 0], b[:, 2] - b[:, 0]
+    out = np.zeros(len(a), bool)
+    for i, j in ((0, 1), (1, 2), (2, 0)):
+        d, s = a[:, j] - a[:, i], a[:, i] - b[:, 0]
+        h = np.cross(d, e2)
+        det = (e1 * h).sum(1)
+        ok = np.abs(det) >= eps
+        safe = np.where(ok, det, 1.0)
+        k = np.cross(s, e1)
+        u, v, w = (s * h).sum(1) / safe, (d * k).sum(1) / safe, (e2 * k).sum(1) / safe
+        out |= ok & (u >= -eps) & (v >= -eps) & (u + v <= 1 + eps) & (w >= -eps) & (w <= 1 + eps)
+    return out
+
+
+def classify_all(a: np.ndarray, b: np.ndarray, eps: float = 1e-9) -> list[str]:
+    """``classify`` of many pairs: pairs without a shared corner and off each other's plane by arrays, the rest one by one."""
+    if not len(a):
+        return []
+    na, nb = np.cross(a[:, 1] - a[:, 0], a[:, 2] - a[:, 0]), np.cross(b[:, 1] - b[:, 0], b[:, 2] - b[:, 0])
+    size = np.maximum(np.ptp(np.concatenate([a, b], 1), axis=1).max(1), 1e-12)
+    la, lb = np.linalg.norm(na, axis=1), np.linalg.norm(nb, axis=1)
+    shared = (np.abs(a[:, :, None] - b[:, None]).max(3) <= eps * size[:, None, None]).any((1, 2))
+    off = np.einsum("nij,nj->ni", b - a[:, :1], na / np.maximum(la, 1e-300)[:, None])
+    plain = ~shared & (np.minimum(la, lb) >= eps * size * size) & (np.abs(off).max(1) > 1e-7 * size)
+    out = np.full(len(a), "separate", object)
+    for i in np.flatnonzero(~plain):
+        out[i] = classify(a[i], b[i], eps)
+    at = np.flatnonzero(plain)
+    side_b, side_a = np.einsum("nij,nj->ni", b[at] - a[at, :1], na[at]), np.einsum("nij,nj->ni", a[at] - b[at, :1], nb[at])
+    tiny = 1e-9 * size[at] ** 3
+    near = (side_b.max(1) >= -tiny) & (side_b.min(1) <= tiny) & (side_a.max(1) >= -tiny) & (side_a.min(1) <= tiny)
+    at, side_a, side_b, tiny = at[near], side_a[near], side_b[near], tiny[near]
+    hit = _hits_all(a[at], b[at]) | _hits_all(b[at], a[at])
+    proper = (side_a.max(1) > tiny) & (side_a.min(1) < -tiny) & (side_b.max(1) > tiny) & (side_b.min(1) < -tiny)
+    out[at[hit]] = np.where(proper, "crossing", "touching")[hit]
+    return out.tolist()
+
+
 def contacts(faces: DataFrame, vertices: DataFrame, cell: float) -> DataFrame:
     """fa < fb and category of every pair of faces whose boxes meet; pairs meet once, in the first cell they share."""
     ship(faces.sparkSession)
@@ -100,7 +140,7 @@ def contacts(faces: DataFrame, vertices: DataFrame, cell: float) -> DataFrame:
     def run(batches):
         for g in batches:
             p, q = (g[[f"{s}{k}{x}" for k in "abc" for x in "xyz"]].to_numpy(float).reshape(-1, 3, 3) for s in "pq")
-            yield pd.DataFrame({"fa": g["pfid"], "fb": g["qfid"], "category": [classify(a, b) for a, b in zip(p, q, strict=True)]})
+            yield pd.DataFrame({"fa": g["pfid"], "fb": g["qfid"], "category": classify_all(p, q)})
 
     kind = dict(faces.dtypes)["fid"]
     return near.mapInPandas(run, f"fa {kind}, fb {kind}, category string")

@@ -116,6 +116,17 @@ def test_crossing_triangles():
     assert contacts.classify(a, np.zeros((3, 3))) == "degenerate"
 
 
+def test_pairs_by_arrays_are_the_same():
+    rng = np.random.default_rng(0)
+    a, b = rng.normal(size=(600, 3, 3)), rng.normal(size=(600, 3, 3))
+    b[:100, 0] = a[:100, 1]
+    b[100:150, :2] = a[100:150, 1:]
+    b[150:200, :, 2] = a[150:200, :, 2] = 0
+    b[200:210] = a[200:210]
+    b[210:220, 2] = b[210:220, 1]
+    assert contacts.classify_all(a, b) == [contacts.classify(x, y) for x, y in zip(a, b, strict=True)]
+
+
 def test_clean_merges(spark):
     v = spark.createDataFrame([(0, 0.0, 0.0, 0.0), (1, 1.0, 0.0, 0.0), (2, 0.0, 1.0, 0.0), (3, 0.0, 0.0, 0.0), (4, 9.0, 9.0, 9.0)], "vid long, x double, y double, z double")
     f = spark.createDataFrame([(0, 0, 1, 2), (1, 3, 1, 2), (2, 0, 3, 1)], "fid long, a long, b long, c long")
