@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CACHE_CHUNKS, CACHE_CHARS, LONG_CHARS = 600_000, 48, 4 << 20
+CACHE_CHUNKS, CACHE_CHARS, LONG_CHARS = 400_000, 48, 4 << 20
 HEAD = "\x02"  # marks a chunk without a leading space
 _WORD = re.compile(" ?[A-Za-zÀ-ÖØ-öø-ɏ]+")
 _STOPS = r"(\pL)([.,;:!?]+) "  # a letter, then only these up to a space: the marks are a match by themselves
