@@ -219,7 +219,7 @@ def pack(docs: DataFrame, path: str, size: int = 1024, targets: dict | None = No
     large a source is. Empty input gives no pieces.
     """
     spark = docs.sparkSession
-    prepare(spark)
+    prepare(spark, "8m")
     rows = docs.select(docs[key].cast("long").alias("doc_id"), F.coalesce(docs[source].cast("string"), F.lit("\0null")).alias("queue"), docs[text].alias("text"))
     if rows.select("queue").distinct().limit(MAX_QUEUES + 1).count() > MAX_QUEUES:
         rows = rows.withColumn("queue", F.pmod(F.xxhash64("queue"), F.lit(MAX_QUEUES)).cast("string"))
