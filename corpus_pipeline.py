@@ -1,14 +1,15 @@
 """The corpus pipeline: language ID, quality, near-duplicates, packing.
 
 Each stage takes what the one before kept, as Parquet. Language ID rejects documents that are ``und``; the quality
-classifier those it scores below KEEP; SimHash keeps one document of each group; the last stage packs all that is left.
+classifier those it scores below KEEP; of each group of near-duplicates, found by SimHash and min-hash bands and verified, one
+document stays; the last stage packs all that is left.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarryline.llm import langid, packing, quality, simhash
+from quarryline.llm import langid, packing, quality, shingles
 from quarryline.llm.common import stored
 from quarryline.llm.queries import vocabulary
 
@@ -39,8 +40,8 @@ def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates, on shingles of five words."""
-    return simhash.keep_one(docs, words=5)
+    """One document of each group of near-duplicates: shingles of five words, similarity 0.8 or more."""
+    return shingles.keep_one(docs, words=5)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

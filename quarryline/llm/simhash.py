@@ -209,7 +209,12 @@ def near_duplicates(docs: DataFrame, words: int = 4, text: str = "text", key: st
 
 def keep_one(docs: DataFrame, words: int = 4, text: str = "text", key: str = "doc_id") -> DataFrame:
     """``docs`` with one document of each group: that of the least key. Rows without a key stay, as no key can name them."""
-    near = stored(near_duplicates(docs, words, text, key), "near")
+    return keep_least(docs, near_duplicates(docs, words, text, key), key)
+
+
+def keep_least(docs: DataFrame, groups: DataFrame, key: str) -> DataFrame:
+    """``docs`` with the document of the least key of each group; ``groups`` has key and component_id for each row."""
+    near = stored(groups, "near")
     kept = near.where(F.col(key) == F.col("component_id")).select(key).distinct()
     out = docs.join(kept.withColumnRenamed(key, "\0key"), docs[key] == F.col("\0key"), "left_semi")
     if near.where(F.col(key).isNotNull()).groupBy(key).count().where("count > 1").limit(1).count():
