@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from .stats import MAD_SIGMA, finite_stats, percentile
 
+FEW = 4096
+
 
 def majority(df: DataFrame, keys: list[str], flag: str, sessions: int) -> DataFrame:
     """Cells flagged in at least half of the sessions, rounded up."""
@@ -134,8 +136,8 @@ def silhouette_support(voxels: DataFrame, poses: DataFrame, silhouettes: DataFra
 
 
 def _project(voxels: DataFrame, poses: DataFrame, focal: float, cx: float, cy: float, id_: str, pose: str) -> DataFrame:
-    few = F.broadcast(poses.limit(4096))  # poses of one turn
-    all_ = voxels.select(id_, "x", "y", "z").crossJoin(few)
+    few = poses.limit(FEW + 1).count() <= FEW  # poses of one turn; past that a join that Spark can split
+    all_ = voxels.select(id_, "x", "y", "z").crossJoin(F.broadcast(poses) if few else poses)
     at = lambda i, t: F.col(f"r{i}0") * F.col("x") + F.col(f"r{i}1") * F.col("y") + F.col(f"r{i}2") * F.col("z") + F.col(f"t{t}")
     cam = all_.select(id_, pose, at(0, "x").alias("px"), at(1, "y").alias("py"), at(2, "z").alias("pz")).where("pz > 1e-9")
     return cam.select(id_, pose, F.rint(F.col("px") * focal / F.col("pz") + cx).cast("int").alias("u"), F.rint(F.col("py") * focal / F.col("pz") + cy).cast("int").alias("v"), "pz")
