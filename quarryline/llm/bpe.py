@@ -44,7 +44,7 @@ class ByteBPE:
                 if a is not None and b is not None:
                     pairs[a << 32 | b] = rank
         self._fill(np.fromiter(pairs, np.uint64, len(pairs)), np.fromiter(pairs.values(), np.int32, len(pairs)))
-        self.encode_chunks = ChunkEncoder(self.encode_texts, lambda text: self.encode_texts([text])[0])
+        self.encode_chunks = ChunkEncoder(self._encode_array, lambda text: self.encode_texts([text])[0])
 
     def _slot(self, keys: np.ndarray) -> np.ndarray:
         return ((keys * _MIX) >> np.uint64(64 - self.bits)).astype(np.int64)
@@ -171,6 +171,10 @@ class ByteBPE:
         known = {"": np.zeros(0, np.int32)} | dict(zip(distinct, self.encode_pretokens([w.encode() for w in distinct]), strict=True))
         return [np.concatenate([known[w] for w in parts]).astype(np.uint32) if len(parts) != 1 else known[parts[0]].astype(np.uint32) for parts in map(lambda p: p or [""], split)]
 
+    def _encode_array(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        ids = self.encode_texts(texts.to_pylist())
+        return np.concatenate(ids), np.array([len(x) for x in ids])
+
     def decode(self, ids: np.ndarray) -> bytes:
         return b"".join(map(self.vocab.__getitem__, ids.tolist()))
 

@@ -2,91 +2,154 @@
 
 A single space or line feed between two characters that aren't white space always ends a match of the byte-level
 pattern: the space starts the next match, the line feed is a match by itself. So a text may be cut there and each
-chunk encoded by itself: the ids are those of the whole text. Arrow splits a batch and finds its distinct chunks;
-those that the worker hasn't seen are encoded together. The cache starts anew past ``CACHE_CHUNKS`` chunks, or past
-``LONG_CHARS`` characters in chunks of more than ``CACHE_CHARS``, with those of the batch at hand, so a worker's memory has a bound. Stops and commas between
-a letter and a space are chunks of their own. Texts with other white space go through the encoder whole.
+chunk encoded by itself: the ids are those of the whole text. Stops and commas between a letter and a space are chunks
+of their own. Texts with other white space go through the encoder whole.
+
+Arrow splits a batch and finds its distinct chunks. The cache finds those it knows by a sorted array of 64-bit hashes and
+compares their bytes, so a clash of hashes costs time, never ids; the others are encoded together. Chunks of more than
+``CACHE_BYTES`` aren't kept. Past ``CACHE_CHUNKS`` chunks only those asked for again since the last renewal stay (or, if these
+are more than half, those of the batch at hand), so a worker's memory has a bound: about 50 bytes a chunk.
 """
 
 from __future__ import annotations
 
 import functools
-import gc
-import itertools
-import re
 from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CACHE_CHUNKS, CACHE_CHARS, LONG_CHARS = 600_000, 48, 4 << 20
+CACHE_CHUNKS, CACHE_BYTES, LINES = 1_500_000, 48, 2000
+_WORD = r"\A ?[A-Za-zÀ-ÖØ-öø-ɏ]+\z"
 HEAD = "\x02"  # marks a chunk without a leading space
-_WORD = re.compile(" ?[A-Za-zÀ-ÖØ-öø-ɏ]+")
 _STOPS = r"(\pL)([.,;:!?]+) "  # a letter, then only these up to a space: the marks are a match by themselves
 # white space other than single spaces and line feeds between other characters, or the mark
 _ODD = r"[\t\x02\x0b\x0c\r\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]|[ \n][ \n]|\A[ \n]|[ \n]\z"
 
 
+def _gather(data: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """data[first[i] : first[i] + size[i]] for every i, one after another."""
+    upto = np.cumsum(size)
+    kind = np.int32 if len(data) < 2**31 and (not len(upto) or upto[-1] < 2**31) else np.int64
+    return data[np.repeat((first - upto + size).astype(kind), size) + np.arange(upto[-1] if len(upto) else 0, dtype=kind)]
+
+
+class Rows:
+    """Rows of varying length, one after another in arrays that double."""
+
+    def __init__(self, kind: type):
+        self.data, self.at, self.n = np.zeros(1 << 16, kind), np.zeros(1 << 14, np.int64), 0
+
+    def add(self, flat: np.ndarray, size: np.ndarray) -> None:
+        used, upto = int(self.at[self.n]), self.n + len(size)
+        if used + len(flat) > len(self.data):
+            self.data = np.r_[self.data[:used], np.zeros(max(used, len(flat)), self.data.dtype)]
+        if upto >= len(self.at):
+            self.at = np.r_[self.at[: self.n + 1], np.zeros(upto, np.int64)]
+        self.data[used : used + len(flat)] = flat
+        self.at[self.n + 1 : upto + 1] = used + np.cumsum(size)
+        self.n = upto
+
+    def take(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        first = self.at[rows]
+        size = self.at[rows + 1] - first
+        return _gather(self.data, first, size), size
+
+
+def _bytes_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The UTF-8 bytes of all texts and where each begins, with the end of the last."""
+    at = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+    data = texts.buffers()[2]
+    return (np.frombuffer(data, np.uint8) if data else np.zeros(0, np.uint8))[at[0] : at[-1]], at - at[0]
+
+
+_MIX = np.random.default_rng(7).integers(0, 2**64, (CACHE_BYTES, 256), np.uint64)  # a number for each byte at each place
+
+
 class ChunkEncoder:
-    """``encode`` takes distinct texts without line feeds, ``encode_whole`` any text; both return uint32 ids.
+    """A call takes an array of texts (null counts as empty) and returns the uint32 ids of all, one after another, and where each ends.
 
-    A call takes an array of texts (null counts as empty) and returns the ids of all, one after another, and where each ends.
+    ``encode`` takes an array of distinct texts, none empty or with a line feed, and returns the ids of all and how many each has;
+    ``encode_whole`` takes any text.
     """
 
-    def __init__(self, encode: Callable[[list[str]], list[np.ndarray]], encode_whole: Callable[[str], np.ndarray]):
+    def __init__(self, encode: Callable[[pa.Array], tuple[np.ndarray, np.ndarray]], encode_whole: Callable[[str], np.ndarray]):
         self.encode, self.encode_whole = encode, encode_whole
-        self._start()
-
-    def _start(self) -> None:
-        """An empty cache: a chunk's number, and by number where its ids lie in the pool."""
-        self.number: dict[str, int] = {}
-        self.pool, self.at = np.zeros(1 << 16, np.uint32), np.zeros(1 << 14, np.int64)
-        self.used = 0
-
-    def _add(self, new: list[str]) -> None:
-        special = {"\n", HEAD}
-        made = iter(self.encode([c[1:] if c[:1] == HEAD else " " + c for c in new if c not in special]))
-        self._append(new, [next(made) if c not in special else self.encode_whole("\n") if c == "\n" else () for c in new])
-
-    def _append(self, new: list[str], ids: list) -> None:
-        first, size = len(self.number), np.fromiter(map(len, ids), np.int64, len(ids))
-        flat = np.fromiter(itertools.chain.from_iterable(ids), np.uint32, int(size.sum()))
-        self.number.update(zip(new, range(first, first + len(new)), strict=True))
-        while self.used + len(flat) > len(self.pool):
-            self.pool = np.r_[self.pool, np.zeros_like(self.pool)]
-        while first + len(new) >= len(self.at):
-            self.at = np.r_[self.at, np.zeros_like(self.at)]
-        self.pool[self.used : self.used + len(flat)] = flat
-        self.at[first + 1 : first + len(new) + 1] = self.used + np.cumsum(size)
-        self.used += len(flat)
-
-    def _known(self, found: list[str]) -> np.ndarray:
-        """Numbers of these chunks. A new start keeps those of this batch."""
-        numbers = list(map(self.number.get, found))
-        if None in numbers:
-            new = [c for c, i in zip(found, numbers, strict=True) if i is None]
-            self.long += sum(len(c) for c in new if len(c) > CACHE_CHARS)
-            if len(self.number) + len(new) > CACHE_CHUNKS or self.long > LONG_CHARS:
-                kept = [(c, i) for c, i in zip(found, numbers, strict=True) if i is not None]
-                ids = [self.pool[self.at[i] : self.at[i + 1]] for _, i in kept]
-                self._start()
-                self.long = sum(len(c) for c in found if len(c) > CACHE_CHARS)
-                self._append([c for c, _ in kept], ids)
-            self._add(new)
-            numbers = list(map(self.number.__getitem__, found))
-        return np.array(numbers, np.int64)
-
-    long = 0
+        self.text, self.ids = Rows(np.uint8), Rows(np.uint32)
+        self.hashes, self.number, self.again = np.zeros(0, np.uint64), np.zeros(0, np.int32), np.zeros(0, bool)
+        line_feed = encode_whole("\n")
+        self._keep(*_bytes_of(pa.array(["\n", HEAD])), line_feed, np.array([len(line_feed), 0]))
+
+    def _keep(self, raw: np.ndarray, at: np.ndarray, flat: np.ndarray, size: np.ndarray) -> None:
+        """Add chunks of new hashes."""
+        hashes, first = self._hash(raw, at), self.text.n
+        self.text.add(raw, np.diff(at))
+        self.ids.add(flat, size)
+        order = np.argsort(hashes)
+        place = np.searchsorted(self.hashes, hashes[order])
+        self.hashes = np.insert(self.hashes, place, hashes[order])
+        self.number = np.insert(self.number, place, (first + order).astype(np.int32))
+        self.again = np.r_[self.again, np.zeros(len(hashes), bool)]
+
+    def _renew(self, stay: np.ndarray) -> None:
+        """Only these chunks (by number, ascending) remain."""
+        text, ids = self.text.take(stay), self.ids.take(stay)
+        self.text, self.ids = Rows(np.uint8), Rows(np.uint32)
+        self.hashes, self.number, self.again = self.hashes[:0], self.number[:0], self.again[:0]
+        self._keep(text[0], np.r_[0, np.cumsum(text[1])], *ids)
+
+    def _hash(self, raw: np.ndarray, at: np.ndarray) -> np.ndarray:
+        place = np.arange(len(raw)) - np.repeat(at[:-1], np.diff(at))
+        return np.add.reduceat(_MIX[place, raw], at[:-1]) if len(raw) else np.zeros(len(at) - 1, np.uint64)
+
+    def _known(self, found: pa.Array) -> tuple[np.ndarray, int]:
+        """Rows of ``self.ids`` for these distinct chunks, none of them empty, and how many rows stay; the others go after the batch."""
+        raw, at = _bytes_of(found)
+        size = np.diff(at)
+        short = np.flatnonzero(size <= CACHE_BYTES)
+        flat = raw if len(short) == len(size) else _gather(raw, at[short], size[short])
+        begin = np.r_[0, np.cumsum(size[short])]
+        hashes = self._hash(flat, begin)
+        order = np.argsort(hashes)  # a search in order stays in the processor's caches
+        place = np.empty(len(hashes), np.int64)
+        place[order] = np.minimum(np.searchsorted(self.hashes, hashes[order]), len(self.hashes) - 1)
+        taken = self.hashes[place] == hashes
+        row = self.number[place[taken]].astype(np.int64)
+        n, begun = size[short][taken], begin[:-1][taken]
+        alike = self.text.at[row + 1] - self.text.at[row] == n
+        differ = _gather(flat, begun[alike], n[alike]) != _gather(self.text.data, self.text.at[row][alike], n[alike])
+        if differ.any():
+            alike[np.flatnonzero(alike)[np.add.reduceat(differ, np.cumsum(n[alike]) - n[alike]) > 0]] = False
+        out = np.full(len(size), -1, np.int64)
+        out[short[taken][alike]] = row[alike]
+        self.again[row[alike]] = True
+        fresh = np.zeros(len(size), bool)
+        fresh[short[np.unique(hashes, return_index=True)[1]]] = True
+        fresh[short[taken]] = False
+        new, other = np.flatnonzero(fresh), np.flatnonzero((out < 0) & ~fresh)
+        if self.text.n + len(new) > CACHE_CHUNKS:
+            stay = np.flatnonzero(self.again)
+            stay = np.union1d(stay if len(stay) <= CACHE_CHUNKS // 2 else out[out >= 0], [0, 1])
+            known = out >= 0
+            out[known] = np.searchsorted(stay, out[known])
+            self._renew(stay)
+        order = np.r_[new, other]
+        if len(order):
+            ids, each = self._encoded_chunks(found.take(pa.array(order)))
+            upto = int(each[: len(new)].sum())
+            out[order] = self.text.n + np.arange(len(order))
+            self._keep(_gather(raw, at[new], size[new]), np.r_[0, np.cumsum(size[new])], ids[:upto], each[: len(new)])
+            stays = self.ids.n
+            self.ids.add(ids[upto:], each[len(new) :])
+            return out, stays
+        return out, self.ids.n
+
+    def _encoded_chunks(self, chunks: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        head = pc.starts_with(chunks, HEAD)
+        return self.encode(pc.if_else(head, pc.replace_substring(chunks, HEAD, "", max_replacements=1), pc.binary_join_element_wise(" ", chunks, "")))
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        gc.disable()  # a batch makes many small lists and no cycles
-        try:
-            return self._encoded(texts)
-        finally:
-            gc.enable()
-
-    def _encoded(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         texts = pc.fill_null(texts, "")
         doubtful = np.flatnonzero(pc.match_substring_regex(texts, _ODD).to_numpy(zero_copy_only=False)).tolist()
         odd = {i: self.encode_whole(texts[i].as_py()) for i in doubtful}
@@ -96,13 +159,10 @@ class ChunkEncoder:
         marked = pc.replace_substring_regex(marked, _STOPS, rf"\1 {HEAD}\2 ")
         cut = pc.split_pattern(marked, " ")
         codes = cut.flatten().dictionary_encode()
-        known = self._known(codes.dictionary.to_pylist())
-        which = known[codes.indices.to_numpy()]
-        first = self.at[which]
-        each = self.at[which + 1] - first
-        upto = np.r_[0, np.cumsum(each)]
-        flat = self.pool[np.repeat((first - upto[:-1]).astype(np.int32), each) + np.arange(upto[-1], dtype=np.int32)]
-        ends = upto[cut.offsets.to_numpy()[1:] - cut.offsets[0].as_py()]
+        known, stay = self._known(codes.dictionary)
+        flat, each = self.ids.take(known[codes.indices.to_numpy()])
+        self.ids.n = stay
+        ends = np.r_[0, np.cumsum(each)][cut.offsets.to_numpy()[1:] - cut.offsets[0].as_py()]
         if odd:
             rows = np.split(flat, ends[:-1])
             rows = [odd.get(i, x) for i, x in enumerate(rows)]
@@ -119,11 +179,17 @@ def with_end(flat: np.ndarray, ends: np.ndarray, end_id: int) -> tuple[np.ndarra
     return np.insert(flat, ends, np.uint32(end_id)), ends + np.arange(1, len(ends) + 1)
 
 
-def _byte_letters() -> dict[int, str]:
+def _byte_letters() -> np.ndarray:
     """How a byte-level vocabulary writes bytes as letters: visible ones as themselves, the others from 256 on, in order."""
     shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
-    hidden = [b for b in range(256) if b not in shown]
-    return {b: chr(256 + i) for i, b in enumerate(hidden)}
+    out, hidden = np.arange(256, dtype="<u2"), [b for b in range(256) if b not in shown]
+    out[hidden] = 256 + np.arange(len(hidden))
+    return out
+
+
+def _joined(texts: pa.Array, ends: np.ndarray) -> pa.Array:
+    """Rows up to each end in lines of one text."""
+    return pc.binary_join(pa.ListArray.from_arrays(pa.array(np.r_[0, ends].astype(np.int32)), texts), "\n")
 
 
 @functools.cache
@@ -138,28 +204,36 @@ def library_encoder(path: str) -> ChunkEncoder:
     tok.encode_special_tokens = True
 
     def whole(text: str) -> np.ndarray:
-        return np.array(tok.encode(text, add_special_tokens=False).ids, np.uint32)
-
-    line_feed = int(whole("\n")[0])
-    pieces, letters = tok.model.tokenize, _byte_letters()
-
-    def together(some: list[str]) -> list[np.ndarray]:
-        """A word of letters, spaced or not, is one match, so the library's model takes it as it is. The rest goes one line
-        for each text: a line feed beside other characters is always one id, and no text holds one."""
-        out: list = [None] * len(some)
-        lines = []
-        for i, text in enumerate(some):
-            if _WORD.fullmatch(text):
-                shown = letters[32] + text[1:] if text.isascii() and text[0] == " " else text.encode().decode("latin-1").translate(letters)
-                out[i] = [x.id for x in pieces(shown)]
-            else:
-                lines.append(i)
-        for lo in range(0, len(lines), 2000):
-            few = lines[lo : lo + 2000]
-            ids = whole("\n".join([some[i] for i in few]))
-            ends = [-1, *np.flatnonzero(ids == line_feed).tolist(), len(ids)]
-            for i, a, b in zip(few, ends[:-1], ends[1:], strict=True):
-                out[i] = ids[a + 1 : b]
-        return out
+        return np.array(tok.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
+
+    line_feed, pieces, letters = int(whole("\n")[0]), tok.model.tokenize, _byte_letters()
+
+    def words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """A word of letters, spaced or not, is one match, so the library's model takes it as it is."""
+        if not len(texts):
+            return np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        raw = np.frombuffer(_joined(texts, np.array([len(texts)]))[0].as_buffer(), np.uint8)
+        flat: list[int] = []
+        size = []
+        for word in letters[raw].tobytes().decode("utf-16-le").split(chr(letters[10])):
+            made = pieces(word)
+            size.append(len(made))
+            flat += [x.id for x in made]
+        return np.array(flat, np.uint32), np.array(size)
+
+    def lines(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """One line for each text: a line feed beside other characters is always one id, and no text holds one."""
+        pages = _joined(texts, np.r_[np.arange(LINES, len(texts), LINES), len(texts)])
+        flat = np.concatenate([np.r_[whole(page.as_py()), np.uint32(line_feed)] for page in pages])
+        ends = np.flatnonzero(flat == line_feed)[: len(texts)]
+        return flat[flat != line_feed], np.diff(ends, prepend=-1) - 1
+
+    def together(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        plain = pc.match_substring_regex(texts, _WORD).to_numpy(zero_copy_only=False)
+        some, rest = np.flatnonzero(plain), np.flatnonzero(~plain)
+        made = [words(texts.take(pa.array(some))), lines(texts.take(pa.array(rest)))]
+        flat, size = (np.concatenate(x) for x in zip(*made, strict=True))
+        at = np.argsort(np.r_[some, rest])
+        return _gather(flat, (np.cumsum(size) - size)[at], size[at]), size[at]
 
     return ChunkEncoder(together, whole)
