@@ -12,6 +12,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from quarryline.llm import bpe, htmltext, langid, media, packing, quality, queries, simhash, tokenio, urlfilter, vafile
+from .brute_html import clean
 from quarryline.llm.pretokens import library_encoder, rows_of
 from quarryline.llm.webp import decode, encode
 
@@ -293,14 +294,14 @@ PAGE = "<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var
 
 
 def test_html_structure():
-    kept = htmltext.clean([htmltext.blocks_of(PAGE)])[0]
+    kept = clean([htmltext.blocks_of(PAGE)])[0]
     assert kept == ["Head & more", "One two", "Three four <x> é"]
-    assert htmltext.blocks_of("") == [] and htmltext.clean([[]]) == [[]]
-    assert htmltext.clean([htmltext.blocks_of("<p>a<p>b &am c")])[0] == ["a", "b &am c"]
+    assert htmltext.blocks_of("") == [] and clean([[]]) == [[]]
+    assert clean([htmltext.blocks_of("<p>a<p>b &am c")])[0] == ["a", "b &am c"]
 
 
 def test_html_marks():
-    text = lambda page: htmltext.clean([htmltext.blocks_of(page)])[0]
+    text = lambda page: clean([htmltext.blocks_of(page)])[0]
     assert text("<article><p>a <span class='ad'>buy</span> b <a class='nav-link'>c</a><p hidden>no<article class='comment'><p>nice</article></article>") == ["a b c"]
     assert text("<div class=ad>buy<article><h1>T</h1><p>x") == ["T", "x"]
     assert text("<main><section class='related'>r</section><p>x</p><button>go</button><table><tr><td>1<td>2</table></main>") == ["x", "1", "2"]
@@ -311,31 +312,61 @@ def test_html_marks():
 def test_suffix_array_removes_repeats_of_unmarked_blocks():
     boiler = " ".join(f"w{i}" for i in range(30))
     pages = [f"<div>{boiler}</div><div>own text of page {i} that no other page has at all in this host {i}</div>" for i in range(4)]
-    assert all(len(k) == 1 and k[0].startswith("own text") for k in htmltext.clean([htmltext.blocks_of(p) for p in pages]))
+    assert all(len(k) == 1 and k[0].startswith("own text") for k in clean([htmltext.blocks_of(p) for p in pages]))
     copies = [f"<article><p>{boiler}</p></article>"] * 3
-    assert htmltext.clean([htmltext.blocks_of(p) for p in copies]) == [[boiler]] * 3
+    assert clean([htmltext.blocks_of(p) for p in copies]) == [[boiler]] * 3
 
 
-def test_repeats_match_brute_force():
-    rng = np.random.default_rng(0)
-    pages = [rng.integers(0, 3, 60).tolist() for _ in range(6)]
-    pages[2][10:30] = pages[4][5:25]
-    tokens, page, sep = [], [], -1
-    for p, t in enumerate(pages):
-        tokens += [*t, sep]
-        page += [p] * (len(t) + 1)
-        sep -= 1
-    outside = np.array([p in (2, 3) for p in page])
-    got = htmltext.repeated(np.array(tokens), np.array(page), outside, 8)
-    want = np.zeros(len(tokens), bool)
-    grams: dict = {}
-    for i in range(len(tokens) - 7):
-        grams.setdefault(tuple(tokens[i : i + 8]), []).append(i)
-    for g, at in grams.items():
-        if min(g) >= 0 and len({page[i] for i in at}) > 1 and any(outside[i] for i in at):
-            for i in at:
-                want[i : i + 8] = True
-    assert (got == want).all()
+def random_pages(n: int, seed: int) -> list[str]:
+    """Pages of a few passages in every zone, with words of their own in between."""
+    rng = np.random.default_rng(seed)
+    passages = [" ".join(rng.choice(list("abcdefgh"), rng.integers(10, 40))) for _ in range(6)]
+    out = []
+    for i in range(n):
+        parts = []
+        for _ in range(rng.integers(0, 5)):
+            text = " ".join([*(f"own{i}" for _ in range(rng.integers(0, 3))), passages[rng.integers(6)], *(f"own{i}x{k}" for k in range(rng.integers(0, 20)))])
+            parts.append((f"<div>{text}</div>", f"<article><p>{text}</article>", f"<nav>{text}</nav>")[rng.choice(3, p=(0.6, 0.15, 0.25))])
+        out.append("".join(parts))
+    return out
+
+
+def by_spark(spark, pages, hosts=None):
+    rows = [(i, f"http://{hosts[i] if hosts else 'h'}/{i}", p) for i, p in enumerate(pages)]
+    got = {r["page_id"]: r["text"] for r in htmltext.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    return [got[i] for i in range(len(pages))]
+
+
+@pytest.mark.parametrize("part,known", [(20_000, 1 << 22), (3, 1)])
+def test_repeats_of_a_host_match_brute_force(spark, monkeypatch, part, known):
+    monkeypatch.setattr(htmltext, "PART", part)
+    monkeypatch.setattr(htmltext, "KNOWN", known)
+    monkeypatch.setattr(htmltext, "TASK", 40)
+    pages = random_pages(60, 1) + random_pages(60, 1)[:5]
+    hosts = ["a" if i % 3 else "b" for i in range(len(pages))]
+    got = by_spark(spark, pages, hosts)
+    for h in "ab":
+        some = [i for i in range(len(pages)) if hosts[i] == h]
+        want = clean([htmltext.blocks_of(pages[i]) for i in some])
+        assert [got[i] for i in some] == ["\n".join(x) for x in want]
+    assert got != ["\n".join(t for z, t in b if z == htmltext._wanted(b)) for b in map(htmltext.blocks_of, pages)]
+
+
+def test_repeats_are_found_on_two_pages_of_a_large_host(spark):
+    rng = np.random.default_rng(5)
+    pages = ["<div>" + " ".join(f"w{x}" for x in rng.integers(0, 1 << 40, 4000)) + "</div>" for _ in range(60)]  # over 3 MB
+    run = " ".join(f"r{i}" for i in range(400))
+    for i in (7, 51):
+        pages[i] += f"<div>{run}</div>"
+    got = by_spark(spark, pages)
+    assert not any("r17 " in x for x in got) and all(len(x.split()) == 4000 for x in got)
+
+
+def test_raw_elements_end_at_their_own_tag_only():
+    text = lambda page: clean([htmltext.blocks_of(page)])[0]
+    for raw in ("<script>for(i=0;i<n;i++){x()}</script>", "<script>if(a<b && s==\"it's\")</script>", "<style>a>b{content:'<x'}</style>", "<script>'</p><b>'</SCRIPT >", "<textarea><p>no</textarea>", "<svg><text>no</text></svg>"):
+        assert text(f"{raw}<article>{raw}<p>Hello world{raw}</p></article>") == ["Hello world"]
+    assert text("<p>a<script>b<p>c") == ["a"] and text("<p>a<svg>b<p>c") == ["a b".replace(" ", ""), "c"]
 
 
 def test_html_odd(spark):
