@@ -149,7 +149,7 @@ def _placed(met: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """One row for each row of ``docs``: key, node, component_id (least key reachable, its own included)."""
+    """One row for each row of ``docs``: key, node (of equal shingle sets), root (of its component), component_id (least key reachable, its own included)."""
     prepare(docs.sparkSession)
     rows = stored(docs.select(docs[key].alias(key), sketch(words)(docs[text]).alias("s")).select(key, "s.*"), "sketches")
     least = stored(rows.groupBy("node").agg(F.min(key).alias("least")), "least")
@@ -168,9 +168,9 @@ def near_duplicates(docs: DataFrame, words: int = 5, text: str = "text", key: st
     edges = edges.unionByName(stored(_cross(stored(_placed(met, edges), "placed"), sets), "edges"))
     rooted = least.join(components(edges), "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
     whole = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    return rows.select(key, "node").join(rooted.join(whole, "root").select("node", "component_id"), "node").select(key, "node", "component_id")
+    return rows.select(key, "node").join(rooted.join(whole, "root").select("node", "root", "component_id"), "node").select(key, "node", "root", "component_id")
 
 
 def keep_one(docs: DataFrame, words: int = 5, text: str = "text", key: str = "doc_id") -> DataFrame:
     """``docs`` with one document of each group: that of the least key. Rows without a key stay, as no key can name them."""
-    return keep_least(docs, near_duplicates(docs, words, text, key), key)
+    return keep_least(docs, near_duplicates(docs, words, text, key), _sets(words)(docs[text])["node"], key)

@@ -22,7 +22,7 @@ import itertools
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.graph import components
@@ -196,27 +196,39 @@ def links(prints: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, words: int = 4, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """One row for each row of ``docs``: key, fp (signed long), component_id (least key reachable, its own included)."""
+    """One row for each row of ``docs``: key, fp (signed long), node (fp), root (of its component), component_id (least key reachable, its own included)."""
     prepare(docs.sparkSession)
     prints = stored(docs.select(docs[key].alias(key), simhash(words)(docs[text]).alias("fp")), "prints")
     least = prints.groupBy("fp").agg(F.min(key).alias("least")).checkpoint()
     found = components(links(least.select("fp")))
     rooted = least.join(found.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     whole = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = rooted.join(whole, "root").select("fp", "component_id")
-    return prints.join(named, "fp").select(key, "fp", "component_id")
+    named = rooted.join(whole, "root").select("fp", "root", "component_id")
+    return prints.join(named, "fp").select(key, "fp", F.col("fp").alias("node"), "root", "component_id")
 
 
 def keep_one(docs: DataFrame, words: int = 4, text: str = "text", key: str = "doc_id") -> DataFrame:
     """``docs`` with one document of each group: that of the least key. Rows without a key stay, as no key can name them."""
-    return keep_least(docs, near_duplicates(docs, words, text, key), key)
+    return keep_least(docs, near_duplicates(docs, words, text, key), simhash(words)(docs[text]), key)
 
 
-def keep_least(docs: DataFrame, groups: DataFrame, key: str) -> DataFrame:
-    """``docs`` with the document of the least key of each group; ``groups`` has key and component_id for each row."""
+def keep_least(docs: DataFrame, groups: DataFrame, name, key: str) -> DataFrame:
+    """``docs`` with the document of the least key of each group; ``groups`` has key, node, root and component_id for each row.
+
+    Rows of different texts may share a key: each is judged by the ``name`` of its text (a column of ``docs`` that equals node), and of
+    a group's rows with the least key that of the least node stays, of several such rows the first by a hash of all columns.
+    """
     near = stored(groups, "near")
-    kept = near.where(F.col(key) == F.col("component_id")).select(key).distinct()
-    out = docs.join(kept.withColumnRenamed(key, "\0key"), docs[key] == F.col("\0key"), "left_semi")
-    if near.where(F.col(key).isNotNull()).groupBy(key).count().where("count > 1").limit(1).count():
-        out = out.dropDuplicates([key])
+    kept = near.where(F.col(key) == F.col("component_id")).groupBy(key, "root").agg(F.min("node").alias("node"))
+    shared = stored(near.where(F.col(key).isNotNull()).groupBy(key).count().where("count > 1").select(F.col(key).alias("\0key")), "shared")
+    least = kept.select(F.col(key).alias("\0key"), F.col("node").alias("\0node")).distinct()
+    if not shared.limit(1).count():
+        out = docs.join(least.select("\0key"), docs[key] == F.col("\0key"), "left_semi")
+    else:
+        mine = docs[key] == F.col("\0key")
+        alone = docs.join(shared, mine, "left_anti").join(least.select("\0key"), mine, "left_semi")
+        named = docs.join(shared, mine, "left_semi").withColumn("\0name", name)
+        first = Window.partitionBy(F.col(key), F.col("\0name")).orderBy(F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]))
+        few = named.join(least, (named[key] == F.col("\0key")) & (named["\0name"] == F.col("\0node")), "left_semi").withColumn("\0n", F.row_number().over(first)).where(F.col("\0n") == 1)
+        out = alone.unionByName(few.select(*[F.col(f"`{c}`") for c in docs.columns]))
     return out.unionByName(docs.where(docs[key].isNull())) if near.where(F.col(key).isNull()).limit(1).count() else out

@@ -79,3 +79,11 @@ def test_documents_of_the_tables(spark):
     got = shingles.near_duplicates(spark.read.parquet(path), 5).collect()
     assert {r["doc_id"]: r["component_id"] for r in got} == slow_components(rows, 5)
     assert shingles.near_duplicates(spark.read.parquet(path).where("false"), 5).count() == 0
+
+
+def test_rows_of_one_key_are_judged_by_their_texts(spark):
+    one, two, three = ("alpha beta gamma delta epsilon zeta eta", "quite other words stand in this second text", "third text with words that no other text has")
+    rows = [(1, one, "a"), (1, two, "b"), (2, one, "c"), (1, two, "b"), (3, three, "d"), (3, three, "d"), (2, two, "e")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    for keep in (simhash.keep_one, shingles.keep_one):
+        assert sorted(map(tuple, keep(df, 5).collect())) == [(1, one, "a"), (1, two, "b"), (3, three, "d")]
