@@ -2,15 +2,16 @@
 
 Components become integers; each dimension's range is cut into 2^BITS cells of one width, and a vector's cells (a byte for
 each dimension) are its approximation. For a query q and a vector in cells with middles m and radius r the inner product
-lies within q.m - |q|.r and q.m + |q|.r. Blocks of approximations meet blocks of queries (every query has to meet every
+lies within q.m - |q|.r and q.m + |q|.r, and a margin covers what floating point rounds. Blocks of approximations meet blocks of queries (every query has to meet every
 vector; only cells move, not vectors); a block keeps what its own kth lower bound can't exclude, then the kth lower bound of
 all blocks excludes more, and only for the rest are the exact vectors joined and read, in the order of their bounds, until
 the kth score is above the next bound.
 
 Equal vectors are one entry with their k + 1 smallest ids, which is all that ties can need, so large groups of copies don't
-multiply. Vectors that are null, empty, or hold a null, non-finite or huge component (2^31 / scale or more) take no part, nor
-do null ids; vectors of different sizes have no inner product and don't meet. A query's own id is never its partner. Repeated
-query rows are answered once; repeated candidate rows count each.
+multiply. Vectors that are null, empty, or hold a null or non-finite component take no part, nor do null ids; vectors of different
+sizes have no inner product and don't meet. A query's own id is never its partner. Repeated query rows are answered once; repeated
+candidate rows count each. Products are exact, by Python's integers where 64 bits could overflow; a component, or a score among
+the best k, that no long can hold is an error (ValueError).
 """
 
 from __future__ import annotations
@@ -22,18 +23,25 @@ from pyspark.sql import functions as F
 
 from .common import arrow_column, prepare, stored
 
-BITS, CHUNK, QUERIES, SALT = 6, 8192, 1024, 16
+BITS, CHUNK, QUERIES, ROWS, SALT = 6, 8192, 16384, 1024, 16
+LEAST, MOST = -(2**63), 2**63 - 1
 
 
 def quantised(scale: int):
-    """A column function: array<float> -> floor(scale * x) as little-endian int32, or null where it takes no part."""
+    """A column function: array<float> -> floor(scale * x) as little-endian int64, or null where it takes no part."""
 
     @arrow_column("binary")
     def of(vectors: pa.Array) -> pa.Array:
         out = []
         for v in vectors.to_pylist():
-            x = None if not v or any(c is None for c in v) else np.floor(np.array(v, np.float64) * scale)
-            out.append(x.astype("<i4").tobytes() if x is not None and np.isfinite(x).all() and np.abs(x).max() < 2**31 else None)
+            x = None if not v or any(c is None for c in v) else np.array(v, np.float64)
+            if x is None or not np.isfinite(x).all():
+                out.append(None)
+                continue
+            x = np.floor(x * scale)
+            if not ((x >= -(2.0**63)) & (x < 2.0**63)).all():
+                raise ValueError("a component times the scale is beyond a long")
+            out.append(x.astype("<i8").tobytes())
         return pa.array(out, pa.binary())
 
     return of
@@ -45,18 +53,18 @@ def _matrix(column, kind: str) -> np.ndarray:
 
 
 def _products(q: np.ndarray, v: np.ndarray) -> np.ndarray:
-    """Exact inner products: by floats where these are exact, else by ints."""
-    most = float(np.abs(q).max(initial=0)) * float(np.abs(v).max(initial=0)) * q.shape[1]
+    """Exact inner products: by floats where these are exact, by 64-bit or else by Python's integers."""
+    most = float(np.abs(q.astype(np.float64)).max(initial=0)) * float(np.abs(v.astype(np.float64)).max(initial=0)) * q.shape[1]
     if most < 2**53:
         return (q.astype(np.float64) @ v.astype(np.float64).T).astype(np.int64)
-    return q.astype(np.int64) @ v.astype(np.int64).T
+    return q @ v.T if most < 2**62 else q.astype(object) @ v.astype(object).T
 
 
-@arrow_column("struct<lo:array<int>,hi:array<int>>", repeats=False)
+@arrow_column("struct<lo:array<long>,hi:array<long>>", repeats=False)
 def _range(vectors: pa.Array) -> pa.Array:
     """Least and greatest components of a batch, in its first row."""
-    x = _matrix(vectors, "<i4")
-    return pa.array([{"lo": x.min(0).tolist(), "hi": x.max(0).tolist()}] + [None] * (len(x) - 1), pa.struct([("lo", pa.list_(pa.int32())), ("hi", pa.list_(pa.int32()))]))
+    x = _matrix(vectors, "<i8")
+    return pa.array([{"lo": x.min(0).tolist(), "hi": x.max(0).tolist()}] + [None] * (len(x) - 1), pa.struct([("lo", pa.list_(pa.int64())), ("hi", pa.list_(pa.int64()))]))
 
 
 def _least(ids, k: int):
@@ -75,7 +83,7 @@ def distinct_vectors(rows: DataFrame, k: int) -> DataFrame:
 
     some = rows.mapInArrow(run, "vector binary, ids array<long>")
     some = some.groupBy("vector", F.pmod(F.element_at("ids", 1), F.lit(SALT)).alias("salt")).agg(_least("ids", k).alias("ids"))
-    return some.groupBy("vector").agg(_least("ids", k).alias("ids")).withColumn("dims", (F.length("vector") / 4).cast("int"))
+    return some.groupBy("vector").agg(_least("ids", k).alias("ids")).withColumn("dims", (F.length("vector") / 8).cast("int"))
 
 
 def _cells(low: dict, width: dict):
@@ -83,34 +91,39 @@ def _cells(low: dict, width: dict):
     def of(vectors: pa.Array, dims: pa.Array) -> pa.Array:
         out = []
         for v, d in zip(vectors.to_pylist(), dims.to_pylist(), strict=True):
-            out.append(((np.frombuffer(v, "<i4").astype(np.int64) - low[d]) // width[d]).astype(np.uint8).tobytes())
+            above = np.frombuffer(v, "<u8") - low[d].view(np.uint64)  # modulo 2^64, so right for any two longs
+            out.append((above // width[d]).astype(np.uint8).tobytes())
         return pa.array(out, pa.binary())
 
     return of
 
 
-_FOUND = "query_id long, least long, dims int, query binary, low double, high double"
+_FOUND = pa.schema([("query_id", pa.int64()), ("query", pa.int64()), ("least", pa.int64()), ("dims", pa.int32()), ("low", pa.float64()), ("high", pa.float64())])
 
 
 def _scan(k: int, low: dict, width: dict):
-    schema = pa.schema([("query_id", pa.int64()), ("least", pa.int64()), ("dims", pa.int32()), ("query", pa.binary()), ("low", pa.float64()), ("high", pa.float64())])
-
     def run(cells: pa.Table, queries: pa.Table) -> pa.Table:
         if not cells.num_rows or not queries.num_rows:
-            return schema.empty_table()
+            return _FOUND.empty_table()
         d = queries["dims"][0].as_py()
-        q, ids = _matrix(queries["query"], "<i4").astype(np.float64), queries["query_id"].to_numpy()
-        c, least, alone = _matrix(cells["cells"], np.uint8), cells["least"].to_numpy(), cells["alone"].to_numpy()
-        radius = (width[d] - 1) / 2
-        middle = q @ (c * width[d].astype(np.float64) + low[d] + radius).T
-        slack = np.abs(q) @ radius + 1e-3
-        middle[(ids[:, None] == least[None, :]) & alone[None, :]] = -np.inf
-        lower = middle - slack[:, None]
-        top = min(k, lower.shape[1])
-        edge = np.partition(lower, -top, axis=1)[:, -top]
-        keep_q, keep_c = np.nonzero((middle + slack[:, None] >= edge[:, None]) & np.isfinite(middle))
-        vectors = queries["query"].to_pylist()
-        return pa.Table.from_arrays([pa.array(ids[keep_q]), pa.array(least[keep_c]), pa.array(np.full(len(keep_q), d, np.int32)), pa.array([vectors[i] for i in keep_q], pa.binary()), pa.array(lower[keep_q, keep_c]), pa.array((middle + slack[:, None])[keep_q, keep_c])], schema=schema)
+        wide, base = width[d].astype(np.float64), low[d].astype(np.float64)
+        radius = (wide - 1) / 2
+        middles = _matrix(cells["cells"], np.uint8) * wide + (base + radius)
+        largest = np.abs(base) + wide * ((1 << BITS) + 1)
+        least, alone = cells["least"].to_numpy(), cells["alone"].to_numpy()
+        names, ids, vectors = queries["query"].to_numpy(), queries["query_id"].to_numpy(), queries["vector"]
+        out = []
+        for lo in range(0, queries.num_rows, ROWS):
+            own, q = ids[lo : lo + ROWS], _matrix(vectors[lo : lo + ROWS], "<i8").astype(np.float64)
+            middle = q @ middles.T
+            slack = np.abs(q) @ radius + np.abs(q) @ largest * ((d + 16) * 2.0**-51) + 1e-3  # rounding: less than d + 16 steps of 2^-52 each
+            middle[(own[:, None] == least[None, :]) & alone[None, :]] = -np.inf
+            top = min(k, middle.shape[1])
+            edge = np.partition(middle, -top, axis=1)[:, -top] - slack
+            keep_q, keep_c = np.nonzero((middle + slack[:, None] >= edge[:, None]) & np.isfinite(middle))
+            kept = middle[keep_q, keep_c]
+            out.append(pa.Table.from_arrays([pa.array(own[keep_q]), pa.array(names[lo : lo + ROWS][keep_q]), pa.array(least[keep_c]), pa.array(np.full(len(keep_q), d, np.int32)), pa.array(kept - slack[keep_q]), pa.array(kept + slack[keep_q])], schema=_FOUND))
+        return pa.concat_tables(out)
 
     return run
 
@@ -118,17 +131,21 @@ def _scan(k: int, low: dict, width: dict):
 def _read(k: int, block: int = 32):
     schema = pa.schema([("query_id", pa.int64()), ("rank", pa.int32()), ("vec_id", pa.int64()), ("score", pa.int64())])
 
-    def run(table: pa.Table) -> pa.Table:
+    def run(table: pa.Table, query: pa.Table) -> pa.Table:
+        if not table.num_rows:
+            return schema.empty_table()
         table = table.sort_by([("high", "descending"), ("least", "ascending")])
-        own, high = table["query_id"][0].as_py(), table["high"].to_numpy()
-        q = np.frombuffer(table["query"][0].as_py(), "<i4")[None, :]
+        own, high = table["query_id"][0].as_py(), table["high"].to_pylist()
+        q = np.frombuffer(query["vector"][0].as_py(), "<i8")[None, :]
         vectors, ids, best = table["vector"], table["ids"].to_pylist(), []
         for lo in range(0, len(ids), block):
             if len(best) >= k and high[lo] < -best[k - 1][0]:
                 break
-            scores = _products(q, _matrix(vectors[lo : lo + block], "<i4"))[0].tolist()
+            scores = _products(q, _matrix(vectors[lo : lo + block], "<i8"))[0].tolist()
             best += [(-s, i) for s, some in zip(scores, ids[lo : lo + block], strict=True) for i in some if i != own]
             best = sorted(best)[:k]
+        if not all(LEAST <= -s <= MOST for s, _ in best):
+            raise ValueError("an inner product is beyond a long")
         return pa.Table.from_arrays([pa.array([own] * len(best), pa.int64()), pa.array(range(1, len(best) + 1), pa.int32()), pa.array([i for _, i in best], pa.int64()), pa.array([-s for s, _ in best], pa.int64())], schema=schema)
 
     return run
@@ -145,19 +162,20 @@ def top_k(table: DataFrame, k: int = 5, every: int = 50, scale: int = 256, key:
     for d in [r["dims"] for r in ranges]:
         found = whole.where(F.col("dims") == d).select(_range("vector").alias("r")).where("r is not null")
         lo_hi = found.select(F.posexplode(F.arrays_zip("r.lo", "r.hi")).alias("at", "c")).groupBy("at").agg(F.min("c.lo").alias("lo"), F.max("c.hi").alias("hi")).orderBy("at").collect()
-        lo, hi = (np.array([r[x] for r in lo_hi], np.int64) for x in ("lo", "hi"))
-        low[d], width[d] = lo, -(-(hi - lo + 1) // (1 << BITS))
+        low[d] = np.array([r["lo"] for r in lo_hi], np.int64)
+        width[d] = np.array([(r["hi"] - r["lo"]) // (1 << BITS) + 1 for r in lo_hi], np.uint64)
     n = sum(r["n"] for r in ranges)
     chunks = max(1, -(-n // CHUNK))
-    queries = rows.where(F.pmod("id", F.lit(every)) == 0).select(F.col("id").alias("query_id"), F.col("vector").alias("query"), (F.length("vector") / 4).cast("int").alias("dims")).distinct()
+    queries = rows.where(F.pmod("id", F.lit(every)) == 0).select(F.col("id").alias("query_id"), F.xxhash64("id", "vector").alias("query"), (F.length("vector") / 8).cast("int").alias("dims"), "vector")
+    queries = stored(queries.dropDuplicates(["query_id", "query"]), "queries")
     blocks = max(1, -(-queries.count() // QUERIES))
     cells = whole.select(F.element_at("ids", 1).alias("least"), "dims", (F.size("ids") == 1).alias("alone"), _cells(low, width)("vector", "dims").alias("cells"))
     cells = cells.withColumn("chunk", F.pmod(F.xxhash64("least"), F.lit(chunks)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     asked = queries.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
-    by = ["dims", "chunk", "block"]
-    found = stored(cells.groupBy(*by).cogroup(asked.groupBy(*by)).applyInArrow(_scan(k, low, width), _FOUND), "found")
-    best = Window.partitionBy("query_id", "query").orderBy(F.desc("low"), "least")
-    edge = found.select("query_id", "query", "low", "least").withColumn("n", F.row_number().over(best)).where(F.col("n") <= k).groupBy("query_id", "query").agg(F.when(F.count("*") == k, F.min("low")).otherwise(F.lit(float("-inf"))).alias("edge"))
-    left = found.join(edge, ["query_id", "query"]).where(F.col("high") >= F.col("edge"))
+    by, name = ["dims", "chunk", "block"], ["query_id", "query"]
+    found = stored(cells.groupBy(*by).cogroup(asked.groupBy(*by)).applyInArrow(_scan(k, low, width), "query_id long, query long, least long, dims int, low double, high double"), "found")
+    best = Window.partitionBy(*name).orderBy(F.desc("low"), "least")
+    edge = found.select(*name, "low", "least").withColumn("n", F.row_number().over(best)).where(F.col("n") <= k).groupBy(*name).agg(F.when(F.count("*") == k, F.min("low")).otherwise(F.lit(float("-inf"))).alias("edge"))
+    left = found.join(edge, name).where(F.col("high") >= F.col("edge"))
     exact = left.join(whole.select(F.element_at("ids", 1).alias("least"), "dims", "vector", "ids"), ["least", "dims"])
-    return exact.select("query_id", "query", "least", "high", "vector", "ids").groupBy("query_id", "query").applyInArrow(_read(k), "query_id long, rank int, vec_id long, score long")
+    return exact.select(*name, "least", "high", "vector", "ids").groupBy(*name).cogroup(queries.groupBy(*name)).applyInArrow(_read(k), "query_id long, rank int, vec_id long, score long")

@@ -288,6 +288,32 @@ def test_top_k_odd(spark, monkeypatch):
     assert vafile.top_k(df.where("false")).count() == 0
 
 
+@pytest.mark.parametrize("size", [2.0**23, 2.0**31, 2.0**45])
+def test_topk_of_large_components_is_exact(spark, size):
+    """Products past 2^53 and past 2^63, in one table with small vectors."""
+    rng = np.random.default_rng(int(size) % 97)
+    x = np.floor(rng.normal(size=(120, 6)) * size)
+    x[::3] = np.floor(rng.normal(size=(40, 6)) * 4) / 4
+    x[7] = x[8] = 0
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>")
+    whole = [[int(c * 256) for c in v] for v in x]
+    scores = {i: sorted((-sum(a * b for a, b in zip(whole[i], whole[j], strict=True)), j) for j in range(120) if j != i)[:5] for i in range(0, 120, 10)}
+    want = [(i, r, j, -s) for i, some in scores.items() for r, (s, j) in enumerate(some, 1)]
+    if all(-(2**63) <= s < 2**63 for *_, s in want):
+        assert sorted(map(tuple, vafile.top_k(df, every=10).collect())) == want
+    else:
+        with pytest.raises(Exception, match="an inner product is beyond a long"):
+            vafile.top_k(df, every=10).collect()
+
+
+def test_topk_names_components_beyond_a_long(spark):
+    df = spark.createDataFrame([(0, [1e300]), (1, [1.0])], "vec_id long, embedding array<double>")
+    with pytest.raises(Exception, match="a component times the scale is beyond a long"):
+        vafile.top_k(df).collect()
+    df = spark.createDataFrame([(0, [9e6, 1.0]), (50, [2.0, 1.0]), (51, [-(2.0**55 - 8), 2.0**55 - 8])], "vec_id long, embedding array<double>")
+    assert sorted(map(tuple, vafile.top_k(df, k=1).collect())) == [(0, 1, 50, 9 * 10**6 * 256 * 512 + 256 * 256), (50, 1, 0, 9 * 10**6 * 256 * 512 + 256 * 256)]
+
+
 # --- op7
 
 PAGE = "<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var a='</p>';</script></head><body><header>Site</header><nav><ul><li><a href='/a'>A</a></ul></nav><div class=\"cookie-notice\">We use cookies</div><!-- c --><article><h1>Head &amp; more</h1><p><b>One<br>two<p>Three\n  four &lt;x&gt; &#233;</p><aside>side</aside><form><input>f</form><div class=ad>buy</div><div id='comments'><p>nice</p></div></article><footer>&copy; x</footer>"
