@@ -5,10 +5,7 @@ pattern: the space starts the next match, the line feed is a match by itself. So
 chunk encoded by itself: the ids are those of the whole text. Stops and commas between a letter and a space are chunks
 of their own. Texts with other white space go through the encoder whole.
 
-Arrow splits a batch and finds its distinct chunks. The cache finds those it knows by a sorted array of 64-bit hashes and
-compares their bytes, so a clash of hashes costs time, never ids; the others are encoded together. Chunks of more than
-``CACHE_BYTES`` aren't kept. Past ``CACHE_CHUNKS`` chunks only those asked for again since the last renewal stay (or, if these
-are more than half, those of the batch at hand), so a worker's memory has a bound: about 50 bytes a chunk.
+Arrow splits a batch and finds its distinct chunks; those that the cache (chunkcache.py) doesn't know are encoded together.
 """
 
 from __future__ import annotations
@@ -20,7 +17,9 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CACHE_CHUNKS, CACHE_BYTES, LINES = 1_500_000, 48, 2000
+from .chunkcache import ChunkCache, gather
+
+LINES = 2000
 _WORD = r"\A ?[A-Za-zÀ-ÖØ-öø-ɏ]+\z"
 HEAD = "\x02"  # marks a chunk without a leading space
 _STOPS = r"(\pL)([.,;:!?]+) "  # a letter, then only these up to a space: the marks are a match by themselves
@@ -28,45 +27,6 @@ _STOPS = r"(\pL)([.,;:!?]+) "  # a letter, then only these up to a space: the ma
 _ODD = r"[\t\x02\x0b\x0c\r\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]|[ \n][ \n]|\A[ \n]|[ \n]\z"
 
 
-def _gather(data: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """data[first[i] : first[i] + size[i]] for every i, one after another."""
-    upto = np.cumsum(size)
-    kind = np.int32 if len(data) < 2**31 and (not len(upto) or upto[-1] < 2**31) else np.int64
-    return data[np.repeat((first - upto + size).astype(kind), size) + np.arange(upto[-1] if len(upto) else 0, dtype=kind)]
-
-
-class Rows:
-    """Rows of varying length, one after another in arrays that double."""
-
-    def __init__(self, kind: type):
-        self.data, self.at, self.n = np.zeros(1 << 16, kind), np.zeros(1 << 14, np.int64), 0
-
-    def add(self, flat: np.ndarray, size: np.ndarray) -> None:
-        used, upto = int(self.at[self.n]), self.n + len(size)
-        if used + len(flat) > len(self.data):
-            self.data = np.r_[self.data[:used], np.zeros(max(used, len(flat)), self.data.dtype)]
-        if upto >= len(self.at):
-            self.at = np.r_[self.at[: self.n + 1], np.zeros(upto, np.int64)]
-        self.data[used : used + len(flat)] = flat
-        self.at[self.n + 1 : upto + 1] = used + np.cumsum(size)
-        self.n = upto
-
-    def take(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        first = self.at[rows]
-        size = self.at[rows + 1] - first
-        return _gather(self.data, first, size), size
-
-
-def _bytes_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The UTF-8 bytes of all texts and where each begins, with the end of the last."""
-    at = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
-    data = texts.buffers()[2]
-    return (np.frombuffer(data, np.uint8) if data else np.zeros(0, np.uint8))[at[0] : at[-1]], at - at[0]
-
-
-_MIX = np.random.default_rng(7).integers(0, 2**64, (CACHE_BYTES, 256), np.uint64)  # a number for each byte at each place
-
-
 class ChunkEncoder:
     """A call takes an array of texts (null counts as empty) and returns the uint32 ids of all, one after another, and where each ends.
 
@@ -76,74 +36,9 @@ class ChunkEncoder:
 
     def __init__(self, encode: Callable[[pa.Array], tuple[np.ndarray, np.ndarray]], encode_whole: Callable[[str], np.ndarray]):
         self.encode, self.encode_whole = encode, encode_whole
-        self.text, self.ids = Rows(np.uint8), Rows(np.uint32)
-        self.hashes, self.number, self.again = np.zeros(0, np.uint64), np.zeros(0, np.int32), np.zeros(0, bool)
+        self.cache = ChunkCache(np.uint32, self._encoded_chunks)
         line_feed = encode_whole("\n")
-        self._keep(*_bytes_of(pa.array(["\n", HEAD])), line_feed, np.array([len(line_feed), 0]))
-
-    def _keep(self, raw: np.ndarray, at: np.ndarray, flat: np.ndarray, size: np.ndarray) -> None:
-        """Add chunks of new hashes."""
-        hashes, first = self._hash(raw, at), self.text.n
-        self.text.add(raw, np.diff(at))
-        self.ids.add(flat, size)
-        order = np.argsort(hashes)
-        place = np.searchsorted(self.hashes, hashes[order])
-        self.hashes = np.insert(self.hashes, place, hashes[order])
-        self.number = np.insert(self.number, place, (first + order).astype(np.int32))
-        self.again = np.r_[self.again, np.zeros(len(hashes), bool)]
-
-    def _renew(self, stay: np.ndarray) -> None:
-        """Only these chunks (by number, ascending) remain."""
-        text, ids = self.text.take(stay), self.ids.take(stay)
-        self.text, self.ids = Rows(np.uint8), Rows(np.uint32)
-        self.hashes, self.number, self.again = self.hashes[:0], self.number[:0], self.again[:0]
-        self._keep(text[0], np.r_[0, np.cumsum(text[1])], *ids)
-
-    def _hash(self, raw: np.ndarray, at: np.ndarray) -> np.ndarray:
-        place = np.arange(len(raw)) - np.repeat(at[:-1], np.diff(at))
-        return np.add.reduceat(_MIX[place, raw], at[:-1]) if len(raw) else np.zeros(len(at) - 1, np.uint64)
-
-    def _known(self, found: pa.Array) -> tuple[np.ndarray, int]:
-        """Rows of ``self.ids`` for these distinct chunks, none of them empty, and how many rows stay; the others go after the batch."""
-        raw, at = _bytes_of(found)
-        size = np.diff(at)
-        short = np.flatnonzero(size <= CACHE_BYTES)
-        flat = raw if len(short) == len(size) else _gather(raw, at[short], size[short])
-        begin = np.r_[0, np.cumsum(size[short])]
-        hashes = self._hash(flat, begin)
-        order = np.argsort(hashes)  # a search in order stays in the processor's caches
-        place = np.empty(len(hashes), np.int64)
-        place[order] = np.minimum(np.searchsorted(self.hashes, hashes[order]), len(self.hashes) - 1)
-        taken = self.hashes[place] == hashes
-        row = self.number[place[taken]].astype(np.int64)
-        n, begun = size[short][taken], begin[:-1][taken]
-        alike = self.text.at[row + 1] - self.text.at[row] == n
-        differ = _gather(flat, begun[alike], n[alike]) != _gather(self.text.data, self.text.at[row][alike], n[alike])
-        if differ.any():
-            alike[np.flatnonzero(alike)[np.add.reduceat(differ, np.cumsum(n[alike]) - n[alike]) > 0]] = False
-        out = np.full(len(size), -1, np.int64)
-        out[short[taken][alike]] = row[alike]
-        self.again[row[alike]] = True
-        fresh = np.zeros(len(size), bool)
-        fresh[short[np.unique(hashes, return_index=True)[1]]] = True
-        fresh[short[taken]] = False
-        new, other = np.flatnonzero(fresh), np.flatnonzero((out < 0) & ~fresh)
-        if self.text.n + len(new) > CACHE_CHUNKS:
-            stay = np.flatnonzero(self.again)
-            stay = np.union1d(stay if len(stay) <= CACHE_CHUNKS // 2 else out[out >= 0], [0, 1])
-            known = out >= 0
-            out[known] = np.searchsorted(stay, out[known])
-            self._renew(stay)
-        order = np.r_[new, other]
-        if len(order):
-            ids, each = self._encoded_chunks(found.take(pa.array(order)))
-            upto = int(each[: len(new)].sum())
-            out[order] = self.text.n + np.arange(len(order))
-            self._keep(_gather(raw, at[new], size[new]), np.r_[0, np.cumsum(size[new])], ids[:upto], each[: len(new)])
-            stays = self.ids.n
-            self.ids.add(ids[upto:], each[len(new) :])
-            return out, stays
-        return out, self.ids.n
+        self.cache.pin(["\n", HEAD], line_feed, np.array([len(line_feed), 0]))
 
     def _encoded_chunks(self, chunks: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         head = pc.starts_with(chunks, HEAD)
@@ -159,9 +54,7 @@ class ChunkEncoder:
         marked = pc.replace_substring_regex(marked, _STOPS, rf"\1 {HEAD}\2 ")
         cut = pc.split_pattern(marked, " ")
         codes = cut.flatten().dictionary_encode()
-        known, stay = self._known(codes.dictionary)
-        flat, each = self.ids.take(known[codes.indices.to_numpy()])
-        self.ids.n = stay
+        flat, each = self.cache.take(codes.dictionary, codes.indices.to_numpy())
         ends = np.r_[0, np.cumsum(each)][cut.offsets.to_numpy()[1:] - cut.offsets[0].as_py()]
         if odd:
             rows = np.split(flat, ends[:-1])
@@ -234,6 +127,6 @@ def library_encoder(path: str) -> ChunkEncoder:
         made = [words(texts.take(pa.array(some))), lines(texts.take(pa.array(rest)))]
         flat, size = (np.concatenate(x) for x in zip(*made, strict=True))
         at = np.argsort(np.r_[some, rest])
-        return _gather(flat, (np.cumsum(size) - size)[at], size[at]), size[at]
+        return gather(flat, (np.cumsum(size) - size)[at], size[at]), size[at]
 
     return ChunkEncoder(together, whole)

@@ -204,6 +204,24 @@ def test_forward_sums_all_segmentations():
         assert np.allclose(langid.word_scores([word], v, prob)[0], np.log(slow(langid.MARK + word)))
 
 
+def test_long_words_are_summed_whole():
+    v = langid.pieces(queries.vocabulary("piece_bpe_32k.model"))
+    rng = np.random.default_rng(1)
+    prob = rng.random((v.n, 3))
+    prob /= prob.sum(0)
+    words = ["".join(rng.choice(list("theanionré日本語zq"), n)) for n in (31, 32, 33, 48, 79, 200, 1, 24 * 40)] + ["x" * 5000]
+    got = langid.word_scores(words, v, prob)
+    for w, mine in zip(words, got, strict=True):
+        word, scale = langid.MARK + w, np.zeros(3)
+        spans, sums = v.spans([word]), [np.ones(3)]
+        for end in range(1, len(word) + 1):
+            ids = spans[end, 1 : min(end, v.longest) + 1, 0]
+            new = sum((sums[-k] * prob[i] for k, i in enumerate(ids, 1) if i >= 0), np.zeros(3)) + (sums[-1] * langid.OUTSIDE if ids[0] < 0 else 0)
+            scale += np.log(new)
+            sums = [x / new for x in [*sums[-v.longest :], new]]
+        assert np.allclose(mine, np.log(sums[-1]) + scale)
+
+
 def test_langid_holds_out(spark):
     got = queries.op4_langid(spark, "/root/testdata/sf0.01").join(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), "doc_id").where("held_out and lang is not null").collect()
     assert np.mean([r["lang_pred"] == r["lang"] for r in got]) > 0.98
@@ -424,15 +442,25 @@ def test_encoders_match(reference):
 
 
 def test_cache_starts_anew(reference, monkeypatch):
-    from quarryline.llm import pretokens
+    from quarryline.llm import chunkcache, pretokens
 
-    monkeypatch.setattr(pretokens, "CACHE_CHUNKS", 50)
+    monkeypatch.setattr(chunkcache, "CACHE_CHUNKS", 50)
     lib = pretokens.library_encoder.__wrapped__(queries.vocabulary("byte_bpe_50k.json"))
     for k in range(20):
         texts = [f"word{k}x{i} and the rest, of it." for i in range(12)]
         assert [x.tolist() for x in rows_of(*lib(pa.array(texts)))] == [reference(t) for t in texts]
 
 
+def test_cache_tells_clashing_hashes_apart(reference, monkeypatch):
+    from quarryline.llm import chunkcache, pretokens
+
+    monkeypatch.setattr(chunkcache, "_MIX", np.zeros_like(chunkcache._MIX))
+    lib = pretokens.library_encoder.__wrapped__(queries.vocabulary("byte_bpe_50k.json"))
+    for k in range(3):
+        texts = [f"word{k}x{i} and the rest, of it. {'long' * 20}" for i in range(12)]
+        assert [x.tolist() for x in rows_of(*lib(pa.array(texts)))] == [reference(t) for t in texts]
+
+
 def test_bpe_odd(spark, odd, reference):
     got = {r["doc_id"]: r for r in bpe.encode_documents(odd, queries.vocabulary("byte_bpe_50k.tiktoken"), queries.pattern()).collect()}
     for i, t in enumerate(ODD):
