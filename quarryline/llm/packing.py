@@ -8,8 +8,11 @@ adds the queue's share to its deficit, queues are served largest deficit first o
 window is always filled. Only a span's last window can be short. Default targets are the corpus's own proportions, so all
 queues run dry together; with other targets a dry queue's share goes to the rest, in proportion.
 
-A null source is a queue of its own; null texts are empty and carry only the end id; repeated rows are packed each.
-More than ``MAX_QUEUES`` sources share that many queues by hash, which bounds what the driver holds.
+A queue that ``targets`` doesn't name (all of them by default) has a linear schedule, which its own total and the whole's give, so
+any number of sources is scheduled each by itself and the driver holds only the queues that ``targets`` names.
+
+A null source is a queue of its own; null texts are empty and carry only the end id; repeated rows are packed each. The key keeps
+its type, and null keys stay null.
 """
 
 from __future__ import annotations
@@ -25,13 +28,14 @@ from pyspark.sql import functions as F
 from .common import claim, prepare, stored
 from .pretokens import library_encoder, rows_of, with_end
 
-MAX_QUEUES, SMALL = 4096, 100_000
-QUEUED = "doc_id long, queue string, part int, in_part long, doc_tokens long, ids binary"
-_QUEUED = pa.schema([("doc_id", pa.int64()), ("queue", pa.string()), ("part", pa.int32()), ("in_part", pa.int64()), ("doc_tokens", pa.int64()), ("ids", pa.binary())])
-SLICE = "span long, queue string, at long, doc_id long, start long, doc_tokens long, ids binary"
-_SLICE = pa.schema([("span", pa.int64()), ("queue", pa.string()), ("at", pa.int64()), ("doc_id", pa.int64()), ("start", pa.int64()), ("doc_tokens", pa.int64()), ("ids", pa.binary())])
-PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
-_PIECE = pa.schema([(x.split()[0], pa.int64()) for x in PIECE.split(", ")])
+SMALL, EDGES = 100_000, 100_000
+QUEUED = "doc_id {}, queue string, part int, in_part long, doc_tokens long, ids binary"
+SLICE = "span long, queue string, at long, whole long, doc_id {}, start long, doc_tokens long, ids binary"
+PIECE = "doc_id {}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
+
+
+def _names(schema: str) -> list[str]:
+    return [x.split()[0] for x in schema.split(", ")]
 
 
 def _queued(path: str, end_id: int):
@@ -47,7 +51,7 @@ def _queued(path: str, end_id: int):
             for q, x in zip(names, ids, strict=True):
                 at.append(queues.get(q, 0))
                 queues[q] = at[-1] + len(x)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([part] * len(ids), pa.int32()), pa.array(at, pa.int64()), pa.array([len(x) for x in ids], pa.int64()), pa.array([shrunk(x) for x in ids], pa.binary())], schema=_QUEUED)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([part] * len(ids), pa.int32()), pa.array(at, pa.int64()), pa.array([len(x) for x in ids], pa.int64()), pa.array([shrunk(x) for x in ids], pa.binary())], names=_names(QUEUED))
 
     return run
 
@@ -88,35 +92,50 @@ def schedule(totals: dict, targets: dict | None) -> dict:
     return points
 
 
-def _sliced(points: dict, span_tokens: int):
-    """Cut each document where its queue crosses from one span into the next."""
-    curves = {q: (np.array(t), np.array(x)) for q, (t, x) in points.items()}
+class Curves:
+    """Token of a queue <-> corpus position: by points for the queues of ``targets``, for the rest a line from where those end."""
 
+    def __init__(self, points: dict, total: int):
+        self.points = {q: (np.array(t), np.array(x)) for q, (t, x) in points.items()}
+        self.begin, self.total = max((x[-1] for _, x in points.values()), default=0.0), float(total)
+
+    def of(self, queue: str, whole: int) -> tuple[np.ndarray, np.ndarray]:
+        known = self.points.get(queue)
+        return known if known is not None else (np.array([0.0, 0.0, whole]), np.array([0.0, self.begin, self.total]))
+
+
+def _sliced(curves: Curves, span_tokens: int):
+    """Cut each document where its queue crosses from one span into the next."""
     known: dict = {}
 
-    def edge(q, span):
+    def edge(q, whole, span):
         """The first token of queue q that goes to ``span`` or later."""
         if (q, span) not in known:
-            t, x = curves[q]
+            if len(known) > EDGES:
+                known.clear()
+            t, x = curves.of(q, whole)
             at = span * span_tokens
             known[q, span] = int(t[-1]) if at >= x[np.searchsorted(t, t[-1])] else int(min(t[-1], np.ceil(np.interp(at, x, t) - 0.5)))
         return known[q, span]
 
     def run(batches):
         for batch in batches:
-            out = [[] for _ in _SLICE]
-            for doc, q, at, n, ids in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
-                width, t, x = int(ids[:1]), *curves[q]
-                span = max(0, int(np.interp(at + 0.5, t, x) // span_tokens) - 1)
+            out, rows = [[] for _ in range(7)], []
+            for row, (q, at, whole, n, ids) in enumerate(zip(*(batch.column(i).to_pylist() for i in range(1, 6)), strict=True)):
+                t, x = curves.of(q, whole)
+                width, span = int(ids[:1]), max(0, int(np.interp(at + 0.5, t, x) // span_tokens) - 1)
                 start = 0
                 while start < n:
-                    while edge(q, span + 1) <= at + start and edge(q, span + 1) < t[-1]:
+                    while edge(q, whole, span + 1) <= at + start and edge(q, whole, span + 1) < whole:
                         span += 1
-                    stop = n if edge(q, span + 1) >= t[-1] else min(n, edge(q, span + 1) - at)
-                    for c, v in zip(out, (span, q, at + start, doc, start, n, ids[:1] + ids[1 + width * start : 1 + width * stop]), strict=True):
+                    stop = n if edge(q, whole, span + 1) >= whole else min(n, edge(q, whole, span + 1) - at)
+                    rows.append(row)
+                    for c, v in zip(out, (span, q, at + start, whole, start, n, ids[:1] + ids[1 + width * start : 1 + width * stop]), strict=True):
                         c.append(v)
                     start = stop
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, _SLICE, strict=True)], schema=_SLICE)
+            made = [pa.array(c, k) for c, k in zip(out, (pa.int64(), pa.string(), *[pa.int64()] * 4, pa.binary()), strict=True)]
+            made.insert(4, batch.column(0).take(pa.array(rows, pa.int64())))
+            yield pa.RecordBatch.from_arrays(made, names=_names(SLICE))
 
     return run
 
@@ -166,21 +185,21 @@ def serve(counts: np.ndarray, deficits: np.ndarray, size: int, min_piece: int):
         yield served
 
 
-def _packed(points: dict, size: int, windows: int, min_piece: int):
-    curves = {q: (np.array(t), np.array(x)) for q, (t, x) in points.items()}
-    stride = windows + len(points) // size + 2
+def _packed(curves: Curves, queues_in_all: int, size: int, windows: int, min_piece: int):
+    stride = windows + queues_in_all // size + 2  # a border rounds each queue by less than a token
 
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by([("queue", "ascending"), ("at", "ascending"), ("doc_id", "ascending")])
         span = table["span"][0].as_py()
         names, ids = table["queue"].to_pylist(), [grown(x) for x in table["ids"].to_pylist()]
         sizes, starts = np.array([len(x) for x in ids], np.int64), table["start"].to_numpy()
-        queues = list(dict.fromkeys(names))
-        first = np.r_[[names.index(q) for q in queues], len(names)].astype(np.int64)
+        first = np.array([i for i, q in enumerate(names) if not i or names[i - 1] != q] + [len(names)], np.int64)
+        queues = [names[i] for i in first[:-1]]
         counts = np.add.reduceat(sizes, first[:-1])
         places, ideal = table["at"].to_numpy()[first[:-1]], np.zeros(len(queues))
+        wholes = table["whole"].to_numpy()
         for i, q in enumerate(queues):
-            t, x = curves[q]
+            t, x = curves.of(q, int(wholes[first[i]]))
             ideal[i] = places[i] - np.interp(span * windows * size, x, t)
         runs: list[tuple[int, int, int, int]] = []  # queue, window, place in it, tokens
         for w, served in enumerate(serve(counts, -ideal, size, min_piece)):
@@ -193,8 +212,10 @@ def _packed(points: dict, size: int, windows: int, min_piece: int):
                 offset += n
         by_run = np.array(runs, np.int64).reshape(-1, 4)
         out: list[list] = [[] for _ in range(6)]
+        by_run = by_run[np.argsort(by_run[:, 0], kind="stable")]
+        at_run = np.searchsorted(by_run[:, 0], np.arange(len(queues) + 1))
         for i in range(len(queues)):
-            mine = by_run[by_run[:, 0] == i]
+            mine = by_run[at_run[i] : at_run[i + 1]]
             run_from = np.cumsum(mine[:, 3]) - mine[:, 3]
             doc_from = np.cumsum(sizes[first[i] : first[i + 1]]) - sizes[first[i] : first[i + 1]]
             cuts = np.union1d(run_from, doc_from)
@@ -206,7 +227,7 @@ def _packed(points: dict, size: int, windows: int, min_piece: int):
             for c, v in zip(out, (row, starts[row] + cuts - doc_from[doc], ends - cuts, np.array(crc, np.int64), span * stride + mine[run_at, 1], mine[run_at, 2] + cuts - run_from[run_at]), strict=True):
                 c.append(v)
         row, start, length, crc, sequence, offset = (np.concatenate(c) for c in out)
-        return pa.Table.from_arrays([table["doc_id"].take(pa.array(row)), pa.array(start), pa.array(length), pa.array(crc), table["doc_tokens"].take(pa.array(row)), pa.array(sequence), pa.array(offset)], schema=_PIECE)
+        return pa.Table.from_arrays([table["doc_id"].take(pa.array(row)), pa.array(start), pa.array(length), pa.array(crc), table["doc_tokens"].take(pa.array(row)), pa.array(sequence), pa.array(offset)], names=_names(PIECE))
 
     return run
 
@@ -220,17 +241,19 @@ def pack(docs: DataFrame, path: str, size: int = 1024, targets: dict | None = No
     """
     spark = docs.sparkSession
     prepare(spark, "8m")
-    rows = docs.select(docs[key].cast("long").alias("doc_id"), F.coalesce(docs[source].cast("string"), F.lit("\0null")).alias("queue"), docs[text].alias("text"))
-    if rows.select("queue").distinct().limit(MAX_QUEUES + 1).count() > MAX_QUEUES:
-        rows = rows.withColumn("queue", F.pmod(F.xxhash64("queue"), F.lit(MAX_QUEUES)).cast("string"))
-    kept = stored(rows.mapInArrow(_queued(path, end_id), QUEUED), "queues", compression="zstd")
+    kind = dict(docs.dtypes)[key]
+    rows = docs.select(docs[key].alias("doc_id"), F.coalesce(docs[source].cast("string"), F.lit("\0null")).alias("queue"), docs[text].alias("text"))
+    kept = stored(rows.mapInArrow(_queued(path, end_id), QUEUED.format(kind)), "queues", compression="zstd")
     sums = stored(kept.groupBy("part", "queue").agg(F.sum("doc_tokens").alias("n")), "sums")
-    totals = {r["queue"]: r["n"] for r in sums.groupBy("queue").agg(F.sum("n").alias("n")).collect()}  # MAX_QUEUES rows at most
-    points = schedule(totals, targets)
-    before = Window.partitionBy("queue").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    base = sums.select("part", "queue", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    count, total = sums.agg(F.count_distinct("queue"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    named = {q: n for q, n in (targets or {}).items() if n > 0}
+    totals = {r["queue"]: r["n"] for r in sums.where(F.col("queue").isin(list(named))).groupBy("queue").agg(F.sum("n").alias("n")).collect()} if named else {}
+    curves = Curves(schedule(totals, named) if named else {}, total)
+    of = Window.partitionBy("queue")
+    before = of.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    base = sums.select("part", "queue", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"), F.sum("n").over(of).alias("whole"))
     if sums.count() <= SMALL:
         base = F.broadcast(base)  # SMALL rows at most; else Spark shuffles both sides
-    placed = kept.join(base, ["part", "queue"]).select("doc_id", "queue", (F.col("base") + F.col("in_part")).alias("at"), "doc_tokens", "ids")
-    slices = placed.mapInArrow(_sliced(points, size * windows), SLICE)
-    return slices.groupBy("span").applyInArrow(_packed(points, size, windows, min_piece), PIECE)
+    placed = kept.join(base, ["part", "queue"]).select("doc_id", "queue", (F.col("base") + F.col("in_part")).alias("at"), "whole", "doc_tokens", "ids")
+    slices = placed.mapInArrow(_sliced(curves, size * windows), SLICE.format(kind))
+    return slices.groupBy("span").applyInArrow(_packed(curves, count, size, windows, min_piece), PIECE.format(kind))

@@ -5,7 +5,7 @@ lets a reader skip to a range of ids; ``ids`` is dictionary-encoded, keys and co
 (Parquet v2). Every document ends with the end id. A file's running token count is stored with each row, and the
 global start is that count plus the tokens of all lower files, of which there is one sum for each file.
 
-Null texts count as empty; rows with one key keep together, in order of their text; null keys come first.
+Null texts count as empty; rows with one key keep together, in order of their text; null keys come first; the key keeps its type.
 """
 
 from __future__ import annotations
@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 from .common import arrow_column, claim, prepare, stored
 from .pretokens import library_encoder, with_end
 
-FILE = "key long, file int, in_file long, n_tokens long, ids array<int>"
-_FILE = pa.schema([("key", pa.int64()), ("file", pa.int32()), ("in_file", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.list_(pa.int32()))])
+FILES = 1 << 20
+FILE = "key {}, file int, in_file long, n_tokens long, ids array<int>"
 LAYOUT = {
     "parquet.writer.version": "PARQUET_2_0", "parquet.block.size": str(32 << 20), "parquet.page.size": str(256 << 10), "parquet.page.row.count.limit": "2000",
     "parquet.enable.dictionary": "true", "parquet.enable.dictionary#key": "false", "parquet.enable.dictionary#in_file": "false", "parquet.enable.dictionary#n_tokens": "false", "compression": "zstd", "parquet.compression.codec.zstd.level": "1",
@@ -36,7 +36,7 @@ def _tokenised(path: str, end_id: int):
             flat, ends = with_end(*encode(batch.column(1)), end_id)
             n = np.diff(ends, prepend=0)
             lists = pa.ListArray.from_arrays(pa.array(np.r_[0, ends].astype(np.int32)), pa.array(flat.view(np.int32)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.full(len(n), file, np.int32)), pa.array(total + ends - n), pa.array(n), lists], schema=_FILE)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.full(len(n), file, np.int32)), pa.array(total + ends - n), pa.array(n), lists], names=[x.split()[0] for x in FILE.split(", ")])
             total += int(n.sum())
 
     return run
@@ -47,9 +47,9 @@ def write_tokens(docs: DataFrame, path: str, end_id: int = 0, text: str = "text"
     spark = docs.sparkSession
     prepare(spark)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = docs.select(docs[key].cast("long").alias("key"), docs[text].alias("text"))
+    rows = docs.select(docs[key].alias("key"), docs[text].alias("text"))
     rows = rows.repartitionByRange(parts, "key").sortWithinPartitions("key", "text")
-    return stored(rows.mapInArrow(_tokenised(path, end_id), FILE), "tokens", **LAYOUT)
+    return stored(rows.mapInArrow(_tokenised(path, end_id), FILE.format(dict(docs.dtypes)[key])), "tokens", **LAYOUT)
 
 
 @arrow_column("long")
@@ -63,5 +63,7 @@ def read_tokens(files: DataFrame, key: str = "doc_id") -> DataFrame:
     """From the files: key, start (ids of all documents before it), n_tokens, ids_crc32."""
     sums = files.groupBy("file").agg(F.sum("n_tokens").alias("n"))
     before = sums.select("file", F.coalesce(F.sum("n").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
-    placed = files.join(F.broadcast(before), "file")  # one row for each file
+    if sums.count() <= FILES:
+        before = F.broadcast(before)  # one row for each file
+    placed = files.join(before, "file")
     return placed.select(F.col("key").alias(key), (F.col("base") + F.col("in_file")).alias("start"), "n_tokens", list_crc32("ids").alias("ids_crc32"))

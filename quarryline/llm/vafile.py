@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,17 +33,18 @@ def quantised(scale: int):
 
     @arrow_column("binary")
     def of(vectors: pa.Array) -> pa.Array:
-        out = []
-        for v in vectors.to_pylist():
-            x = None if not v or any(c is None for c in v) else np.array(v, np.float64)
-            if x is None or not np.isfinite(x).all():
-                out.append(None)
-                continue
-            x = np.floor(x * scale)
-            if not ((x >= -(2.0**63)) & (x < 2.0**63)).all():
-                raise ValueError("a component times the scale is beyond a long")
-            out.append(x.astype("<i8").tobytes())
-        return pa.array(out, pa.binary())
+        flat, size = vectors.flatten(), pc.fill_null(pc.list_value_length(vectors), 0).to_numpy()
+        ends = np.cumsum(size, dtype=np.int64)
+        x = np.floor(flat.cast(pa.float64()).fill_null(np.nan).to_numpy() * scale)
+        wrong = np.r_[0, np.cumsum(~np.isfinite(flat.cast(pa.float64()).fill_null(np.nan).to_numpy()))]
+        right = (size > 0) & (wrong[ends] == wrong[ends - size])
+        x = x[np.repeat(right, size)]
+        if not ((x >= -(2.0**63)) & (x < 2.0**63)).all():
+            raise ValueError("a component times the scale is beyond a long")
+        data = x.astype("<i8")
+        at = np.r_[0, np.cumsum(np.where(right, 8 * size, 0))].astype(np.int32)
+        valid = np.packbits(right, bitorder="little")
+        return pa.Array.from_buffers(pa.binary(), len(size), [pa.py_buffer(valid), pa.py_buffer(at), pa.py_buffer(data)])
 
     return of
 
@@ -89,10 +91,12 @@ def distinct_vectors(rows: DataFrame, k: int) -> DataFrame:
 def _cells(low: dict, width: dict):
     @arrow_column("binary")
     def of(vectors: pa.Array, dims: pa.Array) -> pa.Array:
-        out = []
-        for v, d in zip(vectors.to_pylist(), dims.to_pylist(), strict=True):
-            above = np.frombuffer(v, "<u8") - low[d].view(np.uint64)  # modulo 2^64, so right for any two longs
-            out.append((above // width[d]).astype(np.uint8).tobytes())
+        out = np.empty(len(vectors), object)
+        sizes = dims.to_numpy()
+        for d in np.unique(sizes).tolist():
+            rows = np.flatnonzero(sizes == d)
+            above = _matrix(vectors.take(pa.array(rows)), "<u8") - low[d].view(np.uint64)  # modulo 2^64, so right for any two longs
+            out[rows] = [c.tobytes() for c in (above // width[d]).astype(np.uint8)]
         return pa.array(out, pa.binary())
 
     return of

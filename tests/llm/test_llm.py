@@ -511,6 +511,27 @@ def test_packing_odd(spark, odd, reference):
     assert packing.pack(odd.where("false"), queries.vocabulary("byte_bpe_50k.json")).count() == 0
 
 
+def test_packing_of_many_sources_and_text_keys(spark, reference):
+    """A queue for each document, a key that is no number, and sums that are joined instead of broadcast."""
+    rng = np.random.default_rng(2)
+    texts = {f"doc-{i}": " ".join(rng.choice(["alpha", "beta", "gamma"], rng.integers(0, 60))) for i in range(300)}
+    df = spark.createDataFrame([(k, t, k) for k, t in texts.items()], "doc_id string, text string, source string").repartition(5)
+    want = {k: np.array([*reference(t), 0], "<u4") for k, t in texts.items()}
+    few = packing.SMALL
+    try:
+        packing.SMALL = 0
+        windows = packed_right(packing.pack(df, queries.vocabulary("byte_bpe_50k.json"), windows=2).collect(), want)
+        packed_right(packing.pack(df, queries.vocabulary("byte_bpe_50k.json"), windows=2, targets={"doc-1": 1.0, "none": 2.0}).collect(), want)
+    finally:
+        packing.SMALL = few
+    assert len(windows) <= sum(map(len, want.values())) / 1024 * 1.5 + 2
+    files = tokenio.read_tokens(tokenio.write_tokens(df, queries.vocabulary("byte_bpe_50k.json"))).collect()
+    at = 0
+    for r in sorted(files, key=lambda r: r["doc_id"]):
+        assert r["start"] == at and r["ids_crc32"] == zlib.crc32(want[r["doc_id"]].tobytes())
+        at += r["n_tokens"]
+
+
 def test_packing_keeps_proportions(spark, docs, reference):
     want = {i: np.array([*reference(t), 0], "<u4") for i, t in texts_of(docs).items()}
     pieces = packing.pack(docs.withColumn("source", F.when(F.col("doc_id") % 3 == 0, "big").otherwise("small")), queries.vocabulary("byte_bpe_50k.json"), windows=32).collect()
