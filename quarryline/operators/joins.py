@@ -1,18 +1,27 @@
 """Keyed pairing, membership, and radius and nearest joins over a grid.
 
 A radius join is an equi-join on cells as wide as the radius: the probe side is dealt to its 27 neighbours, then the exact
-predicate. A nearest join starts with a cell that holds about ``k`` rows, keeps the answers whose kth distance lies within
-the cells looked at, and widens the rest by doubling, so every probe ends with an exact answer.
+predicate; a cell of more than ``CELL`` points is cut into blocks, to each of which its probes go. A nearest join starts with
+cells that hold few points where points are dense (measured on a bounded sample, whatever the box), keeps the answers whose kth
+distance lies within the cells looked at, and widens the rest by doubling. The last ``FEW`` probes, such as outliers, meet all
+points in one scan that keeps the best of each batch, so every probe ends with an exact answer.
 """
 
 from __future__ import annotations
 
 import itertools
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import ship
+from .graph import cut
+
 KEYS = ("kx", "ky", "kz")
+CELL, SAMPLE, FEW = 4096, 20_000, 512
 
 
 def pair(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
@@ -56,8 +65,11 @@ def radius_join(probe: DataFrame, points: DataFrame, radius: float, id_: str, ax
     na, nb = tuple(f"a_{x}" for x in axes), tuple(f"b_{x}" for x in axes)
     a = a.select("*", *_cells(na, radius, "c")).withColumn("o", F.explode(_around(len(axes))))
     a = a.select(*[c for c in a.columns if c != "o" and not c.startswith("c")], *[(F.col(f"c{i}") + F.col(f"o.d{i}")).alias(f"c{i}") for i in range(len(axes))])
-    b = b.select("*", *_cells(nb, radius, "c"))
-    joined = a.join(b, [f"c{i}" for i in range(len(axes))])
+    b, cell = b.select("*", *_cells(nb, radius, "c")), [f"c{i}" for i in range(len(axes))]
+    hot = b.groupBy(*cell).agg(F.ceil(F.count("*") / CELL).cast("int").alias("blocks")).where("blocks > 1")
+    a = a.join(hot, cell, "left").withColumn("block", F.explode(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1))).drop("blocks")
+    b = b.join(hot, cell, "left").withColumn("block", F.pmod(F.xxhash64("b_id"), F.coalesce("blocks", F.lit(1))).cast("int")).drop("blocks")
+    joined = a.join(b, [*cell, "block"])
     return joined.where(distance2(na, nb) <= radius * radius).select("a_id", "b_id", F.sqrt(distance2(na, nb)).alias("distance"), *[f"{p}{c}" for c in carry for p in ("a_", "b_")])
 
 
@@ -67,42 +79,81 @@ def radius_counts(df: DataFrame, radius: float, id_: str, axes: tuple) -> DataFr
     return df.select(id_).join(near, id_, "left").select(id_, F.coalesce("neighbors", F.lit(0)).alias("neighbors"))
 
 
+def _cell_size(points: np.ndarray, n: int, k: int) -> float:
+    """The widest of the cells, each half of the one before, in which a point of a sample of n meets about k others or fewer."""
+    low, widest = points.min(0), max(float(np.ptp(points, axis=0).max()), 1e-9)
+    for level in range(1, 40):
+        cells = np.floor((points - low) / (widest / 2**level))
+        met = np.unique(cells, axis=0, return_counts=True)[1]
+        if float((met.astype(np.float64) ** 2).sum()) / len(points) * (n / len(points)) <= 2 * (k + 1) or met.max() == 1:
+            return widest / 2**level
+    return widest / 2**40
+
+
+def _scan_all(probes: list, points: DataFrame, k: int, n_axes: int) -> DataFrame:
+    """(probe, b_id, distance): for a few probes, by number, the k + 1 nearest points of each batch of ``points``."""
+    at = np.array(probes, np.float64)
+
+    def run(batches):
+        for batch in batches:
+            names = batch.column(0)
+            order = pc.sort_indices(names)  # ties go to the smaller id
+            x = np.stack([batch.column(i + 1).take(order).to_numpy(zero_copy_only=False) for i in range(n_axes)], axis=1)
+            found, far = [], []
+            for p in at:
+                off = x - p
+                d = np.sqrt(sum((off[:, j] * off[:, j] for j in range(1, n_axes)), off[:, 0] * off[:, 0]))
+                found.append(np.argsort(d, kind="stable")[: k + 1])
+                far.append(d[found[-1]])
+            which = np.repeat(np.arange(len(at), dtype=np.int32), [len(f) for f in found])
+            yield pa.RecordBatch.from_arrays([pa.array(which), names.take(order.take(pa.array(np.concatenate(found)))), pa.array(np.concatenate(far))], names=["probe", "b_id", "distance"])
+
+    ship(points.sparkSession)
+    return points.mapInArrow(run, f"probe int, b_id {dict(points.dtypes)['b_id']}, distance double")
+
+
 def knn_join(probe: DataFrame, points: DataFrame, k: int, id_: str, axes: tuple, skip_self: bool = False) -> DataFrame:
     """The k nearest ``points`` of each probe: a_id, b_id, distance, rank; ties go to the smaller b_id.
 
-    Cells widen by doubling until each probe's kth distance lies within them or the whole box is covered.
+    Of points in one place only the k + 1 of smallest ids can be an answer, so copies don't multiply. Rows with a null axis
+    are no answer and have none.
     """
     a, b = _sides(probe, points, id_, axes)
     na, nb = tuple(f"a_{x}" for x in axes), tuple(f"b_{x}" for x in axes)
-    box = b.agg(F.count("*").alias("n"), *[F.min(c).alias(f"lo{i}") for i, c in enumerate(nb)], *[F.max(c).alias(f"hi{i}") for i, c in enumerate(nb)]).first()
-    kind = f"a_id {dict(a.dtypes)['a_id']}, b_id {dict(b.dtypes)['b_id']}, distance double, rank int"
-    if not box["n"]:
-        return a.sparkSession.createDataFrame([], kind)
-    far = a.agg(*[F.min(c).alias(f"lo{i}") for i, c in enumerate(na)], *[F.max(c).alias(f"hi{i}") for i, c in enumerate(na)]).first()
-    if far["lo0"] is None:
-        return a.sparkSession.createDataFrame([], kind)
-    sides = [max(box[f"hi{i}"], far[f"hi{i}"]) - min(box[f"lo{i}"], far[f"lo{i}"]) for i in range(len(axes))]
-    widest = max([*sides, 1e-9])
-    used = max(1, sum(s > widest / 1e3 for s in sides))
-    size = widest * min(1.0, (3.0 * (k + 1) / box["n"]) ** (1 / used))
+    kinds = dict(a.dtypes)["a_id"], dict(b.dtypes)["b_id"]
+    a, b = a.dropna(subset=list(na)), b.dropna(subset=list(nb))
+    place = Window.partitionBy(*nb).orderBy("b_id")
+    b = cut(b.withColumn("_r", F.row_number().over(place)).where(F.col("_r") <= k + 1).drop("_r"))
+    n = b.count()
+    if not n:
+        return a.sparkSession.createDataFrame([], f"a_id {kinds[0]}, b_id {kinds[1]}, distance double, rank int")
+    some = b.select(*nb).sample(min(1.0, 2 * SAMPLE / n), seed=1).limit(SAMPLE) if n > SAMPLE else b.select(*nb)
+    box = a.select(*[F.col(c).alias(x) for c, x in zip(na, nb, strict=True)]).unionByName(b.select(*nb)).agg(*[(F.max(c) - F.min(c)).alias(c) for c in nb]).first()
+    size, widest = _cell_size(np.array(some.collect(), np.float64).reshape(-1, len(axes)), n, k), max(box)  # SAMPLE rows at most
     order = Window.partitionBy("a_id").orderBy("distance", "b_id")
+    ranked = lambda met: met.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     done, left = None, a
     while True:
-        last = size > widest
         probe_cells = left.select("*", *_cells(na, size, "c")).withColumn("o", F.explode(_around(len(axes))))
         probe_cells = probe_cells.select("a_id", *na, *[(F.col(f"c{i}") + F.col(f"o.d{i}")).alias(f"c{i}") for i in range(len(axes))])
         met = probe_cells.join(b.select("*", *_cells(nb, size, "c")), [f"c{i}" for i in range(len(axes))])
         if skip_self:
             met = met.where("a_id <> b_id")
-        near = met.select("a_id", "b_id", F.sqrt(distance2(na, nb)).alias("distance")).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-        if not last:
-            whole = near.groupBy("a_id").agg(F.count("*").alias("n"), F.max("distance").alias("far")).where((F.col("n") == k) & (F.col("far") <= size)).select("a_id")
-            near = near.join(whole, "a_id", "left_semi")
-        near = near.checkpoint() if near.sparkSession.sparkContext.getCheckpointDir() else near.cache()
+        near = ranked(met.select("a_id", "b_id", F.sqrt(distance2(na, nb)).alias("distance")))
+        if size > widest:  # the cells around a probe hold all points
+            near = cut(near)
+            return near if done is None else done.unionByName(near)
+        whole = near.groupBy("a_id").agg(F.count("*").alias("n"), F.max("distance").alias("far")).where((F.col("n") == k) & (F.col("far") <= size)).select("a_id")
+        near = cut(near.join(whole, "a_id", "left_semi"))
         done = near if done is None else done.unionByName(near)
-        left = left.join(near.select("a_id").distinct(), "a_id", "left_anti")
-        if last or left.limit(1).count() == 0:
+        left = cut(left.join(near.select("a_id").distinct(), "a_id", "left_anti"))
+        rest = left.limit(FEW + 1).collect()
+        if not rest:
             return done
+        if len(rest) <= FEW:
+            named = a.sparkSession.createDataFrame([(i, r["a_id"]) for i, r in enumerate(rest)], f"probe int, a_id {kinds[0]}")
+            found = _scan_all([[r[c] for c in na] for r in rest], b.select("b_id", *nb), k, len(axes)).join(F.broadcast(named), "probe").select("a_id", "b_id", "distance")
+            return done.unionByName(cut(ranked((found.where("a_id <> b_id") if skip_self else found).distinct())))
         size *= 2
 
 

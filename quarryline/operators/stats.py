@@ -111,6 +111,11 @@ def bounds(df: DataFrame, keys: list[str], axes: tuple) -> DataFrame:
     return df.groupBy(*keys).agg(F.count("*").alias("n"), *made)
 
 
+def line_fit(df: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
+    """Least squares y = slope x + intercept by group; null where x doesn't vary."""
+    return df.groupBy(*keys).agg(F.regr_slope(F.col(y), F.col(x)).alias("slope"), F.regr_intercept(F.col(y), F.col(x)).alias("intercept"))
+
+
 def linear_fit(df: DataFrame, keys: list[str], u: str, v: str, y: str, weight: str) -> DataFrame:
     """Weighted least squares y = a u + b v + c by normal equations, solved in closed form (Cramer's rule)."""
     w, cu, cv, cy = (F.col(x).cast("double") for x in (weight, u, v, y))

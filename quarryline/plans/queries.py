@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import bitmask, geometry, scalar
 from ..operators import consensus, contacts, fitting, gates, graph, joins, lineage, mesh, sampling, stats, voxels, windows
+from ..sources import files
 from ..streaming import logs
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -140,10 +141,7 @@ def cloud_bounds(spark, sf):
 
 @query(f"SELECT pose, round(regr_slope(y, x), 6) AS slope, round(regr_intercept(y, x), 6) AS intercept FROM {P} GROUP BY pose")
 def linear_fit(spark, sf):
-    rows = points(spark, sf).withColumn("one", F.lit(1.0))
-    x, y = F.col("x"), F.col("y")
-    s = rows.groupBy("pose").agg(F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept"))
-    return s.select("pose", r("slope").alias("slope"), r("intercept").alias("intercept"))
+    return stats.line_fit(points(spark, sf), ["pose"], "x", "y").select("pose", r("slope").alias("slope"), r("intercept").alias("intercept"))
 
 
 @query(f"""WITH s AS (SELECT pose, sum(w) AS s1, sum(w*x) AS su, sum(w*z) AS sv, sum(w*x*x) AS suu, sum(w*x*z) AS suv, sum(w*z*z) AS svv, sum(w*y) AS sy, sum(w*x*y) AS suy, sum(w*z*y) AS svy FROM {P} GROUP BY 1),
@@ -290,10 +288,10 @@ def radius_filter(spark, sf):
     return joins.radius_filter(cloud(spark, sf), 0.08, 3, "vec_id", AXES).select("vec_id")
 
 
-@query(f"WITH n AS (SELECT a.vec_id, b.vec_id AS o, a.label, row_number() OVER (PARTITION BY a.vec_id, b.label ORDER BY sqrt({D2}), b.vec_id) AS i, b.label AS ol FROM {C} a JOIN {C} b ON {D2} <= 0.04 AND a.vec_id % 10 = 0) SELECT vec_id, CAST(ol AS INT) AS label, count(*) AS n FROM n WHERE i <= 3 GROUP BY 1, 2")
+@query(f"WITH n AS (SELECT a.vec_id, b.vec_id AS o, a.label, row_number() OVER (PARTITION BY a.vec_id, b.label ORDER BY sqrt({D2}), b.vec_id) AS i, b.label AS ol FROM {C} a JOIN {C} b ON {D2} <= 0.04) SELECT vec_id, CAST(ol AS INT) AS label, count(*) AS n FROM n WHERE i <= 3 GROUP BY 1, 2")
 def per_seed_per_pose(spark, sf):
     c = cloud(spark, sf)
-    near = joins.radius_join(c.where("vec_id % 10 = 0"), c, 0.2, "vec_id", AXES, carry=("label",))
+    near = joins.radius_join(c, c, 0.2, "vec_id", AXES, carry=("label",))
     return joins.per_seed_nearest(near, ["a_id", "b_label"], 3).groupBy(F.col("a_id").alias("vec_id"), F.col("b_label").alias("label")).agg(F.count("*").alias("n"))
 
 
@@ -358,17 +356,17 @@ def iou_pairs(spark, sf):
     return consensus.pairwise_iou(d, "lang", ["source", "bin"]).withColumn("iou", r("iou"))
 
 
-_PIX = "(SELECT DISTINCT CAST(l_quantity AS INT) AS u, CAST(round(l_discount*100) AS INT) AS v FROM lineitem WHERE l_partkey % 40 = {0})"
+_PIX = "(SELECT DISTINCT CAST(l_quantity AS INT) AS u, CAST(floor(l_extendedprice / 1000) AS INT) AS v FROM lineitem WHERE l_returnflag = '{0}')"
 
 
-def pixels(spark, sf, k: int) -> DataFrame:
-    return read(spark, sf, "lineitem").where(f"l_partkey % 40 = {k}").select(F.col("l_quantity").cast("int").alias("u"), F.round(F.col("l_discount") * 100).cast("int").alias("v")).distinct()
+def pixels(spark, sf, flag: str) -> DataFrame:
+    return read(spark, sf, "lineitem").where(F.col("l_returnflag") == flag).select(F.col("l_quantity").cast("int").alias("u"), F.floor(F.col("l_extendedprice") / 1000).cast("int").alias("v")).distinct()
 
 
-@query(f"""WITH r AS {_PIX.format(1)}, m AS {_PIX.format(2)}, o AS (SELECT CAST(dx AS INT) AS dx, CAST(dy AS INT) AS dy FROM (SELECT unnest(range(-2, 3)) AS dx), (SELECT unnest(range(-2, 3)) AS dy)),
+@query(f"""WITH r AS {_PIX.format('A')}, m AS {_PIX.format('R')}, o AS (SELECT CAST(dx AS INT) AS dx, CAST(dy AS INT) AS dy FROM (SELECT unnest(range(-2, 3)) AS dx), (SELECT unnest(range(-2, 3)) AS dy)),
 s AS (SELECT dx, dy, count(*) AS k FROM m, o JOIN r ON r.u = m.u + dx AND r.v = m.v + dy GROUP BY 1, 2) SELECT dx, dy, round(k/((SELECT count(*) FROM r) + (SELECT count(*) FROM m) - k), 6) AS iou FROM s ORDER BY round(k/((SELECT count(*) FROM r) + (SELECT count(*) FROM m) - k), 12) DESC, abs(dx) + abs(dy), dx, dy LIMIT 1""")
 def best_shift(spark, sf):
-    return consensus.best_shift(pixels(spark, sf, 1), pixels(spark, sf, 2), "u", "v", 2).withColumn("iou", r("iou"))
+    return consensus.best_shift(pixels(spark, sf, "A"), pixels(spark, sf, "R"), "u", "v", 2).withColumn("iou", r("iou"))
 
 
 @query("WITH t AS (SELECT l_linenumber AS k, l_quantity AS u, l_discount AS v FROM lineitem) SELECT k, min(u) AS l, min(v) AS t, max(u) + 1 AS r, max(v) + 1 AS b FROM t GROUP BY k")
@@ -632,10 +630,12 @@ def lenient_casts(spark, sf):
     return c.select("c_custkey", F.isnan(scalar.lenient_double("tail")).alias("missing"), scalar.lenient_bool(F.col("word")).alias("flag"))
 
 
-@query("SELECT c_nationkey, list_aggregate(list_sort(list(c_custkey)), 'string_agg', ',') AS members, count(*) AS n FROM customer GROUP BY 1")
+@query("""SELECT CAST(c_nationkey AS INT) AS pose_index, count(*) AS independent_observations, list_aggregate(list_sort(list('s' || c_custkey)), 'string_agg', ',') AS members, round(c_nationkey * CAST(14.4 AS DOUBLE), 6) AS nominal,
+CAST(411 * (c_nationkey // 5) + [0, 82, 164, 247, 329][c_nationkey % 5 + 1] AS INT) AS steps FROM customer GROUP BY c_nationkey""")
 def group_members(spark, sf):
-    g = read(spark, sf, "customer").groupBy("c_nationkey").agg(F.array_join(F.array_sort(F.collect_list("c_custkey")).cast("array<string>"), ",").alias("members"), F.count("*").alias("n"))
-    return g
+    taken = read(spark, sf, "customer").select(F.concat(F.lit("s"), "c_custkey").alias("session"), F.lit("v").alias("stem"), F.lit(0.0).alias("filename_angle_deg"), F.col("c_nationkey").cast("int").alias("pose_index"))
+    g = files.pose_groups(taken)
+    return g.select("pose_index", "independent_observations", F.array_join(F.transform("members", lambda m: m["session"]), ",").alias("members"), r("nominal_angle_deg").alias("nominal"), F.col("cumulative_steps").cast("int").alias("steps"))
 
 
 @query("WITH t AS (SELECT conv_id, list(turn ORDER BY turn) AS ring FROM conversations GROUP BY 1 HAVING count(*) >= 3), i AS (SELECT conv_id, ring, unnest(range(1, len(ring) - 1)) AS i FROM t) SELECT conv_id, CAST(i AS INT) AS i, ring[1] AS a, ring[i + 1] AS b, ring[i + 2] AS c FROM i")

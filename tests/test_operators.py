@@ -68,6 +68,37 @@ def test_nearest_of_far_and_empty(spark):
     assert joins.knn_join(df.where("false"), df, 2, "id", AXES).count() == 0
 
 
+def test_nearest_of_copies_clusters_and_outliers(spark):
+    """Copies of one place, a dense cluster, an outlier far away and more probes than are scanned at the end."""
+    rng = np.random.default_rng(3)
+    p = np.r_[rng.normal(size=(300, 3)), rng.normal(size=(900, 3)) * 1e-4, np.zeros((200, 3)), [[1e6, 0, 0]], rng.normal(size=(20, 3)) * 500]
+    df = spark.createDataFrame([(i, *map(float, x)) for i, x in enumerate(p)], "id long, x double, y double, z double").repartition(4)
+    few, joins.FEW = joins.FEW, 8
+    try:
+        near = joins.knn_join(df, df, 3, "id", AXES, skip_self=True).collect()
+    finally:
+        joins.FEW = few
+    got = {}
+    for row in near:
+        got.setdefault(row["a_id"], {})[row["rank"]] = (row["distance"], row["b_id"])
+    off = p[:, None] - p[None]
+    d = np.sqrt(off[..., 0] ** 2 + off[..., 1] ** 2 + off[..., 2] ** 2)
+    np.fill_diagonal(d, np.inf)
+    for i in range(len(p)):
+        assert [got[i][k] for k in (1, 2, 3)] == [(d[i, j], j) for j in np.lexsort((np.arange(len(p)), d[i]))[:3]]
+
+
+def test_radius_join_cuts_crowded_cells(spark):
+    p, df = cloud(spark)
+    cell, joins.CELL = joins.CELL, 5
+    try:
+        got = {(r["a_id"], r["b_id"]) for r in joins.radius_join(df, df, 1.5, "id", AXES).collect()}
+    finally:
+        joins.CELL = cell
+    d = np.linalg.norm(p[:, None] - p[None], axis=2)
+    assert got == {(i, j) for i, j in np.argwhere(d <= 1.5).tolist()}
+
+
 def test_components_and_parity(spark):
     e = spark.createDataFrame([(i, i + 1) for i in range(50)] + [(100, 101), (7, 7)], "u long, v long")
     got = {r["node"]: r["root"] for r in graph.components(e).collect()}
