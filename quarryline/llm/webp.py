@@ -1,14 +1,20 @@
-"""Lossless WebP (VP8L): a full decoder and an encoder, on numpy arrays of ARGB pixels.
+"""Lossless WebP (VP8L): a full decoder and an encoder that chooses its features, on numpy arrays of ARGB pixels.
 
 The decoder reads prefix codes (simple and normal, with meta codes), back-references with the two-dimensional distance
-map, and the colour cache, and inverts the predictor, cross-colour, subtract-green and colour-indexing transforms. Where
-all codes of an image have one length each and only literals occur, pixels have one width in bits and are read by array
-operations; all other streams go symbol by symbol. The encoder can write every one of these features; its default, uniform
-codes over the values that occur, is the one that array operations read back.
+map, and the colour cache, and inverts the predictor, cross-colour, subtract-green and colour-indexing transforms. A prefix
+code is a table by its longest code's next bits. For an image without meta codes the tables are applied at every bit of the
+stream at once, which gives for each bit where a token that began there would end; one walk along these ends finds the
+tokens, literals are placed by array operations, and only copies and cache hits go one by one.
+
+The encoder estimates the bits of what it may write from histograms (``choose``): a palette, or the best of subtract-green,
+predictor modes and cross-colour by tile, then a colour cache; back-references to repeated runs are taken where they save bits.
+Code lengths are those of Huffman's codes.
 """
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 
 LARGEST = 1 << 14
@@ -25,6 +31,8 @@ NEAR = (
     (-6, 7), (7, 6), (-7, 6), (8, 5), (7, 7), (-7, 7), (8, 6), (8, 7),
 )
 LENGTHS, DISTANCES, CACHE_FACTOR = 24, 40, 0x1E35A7BD
+LONGEST_COPY, FARTHEST = 4096, (1 << 20) - 120
+SHORTEST, LONGEST_CODE, BYTES = 8, 12, 1 << 17  # shortest copy and longest code of this encoder; bytes of a block that is read
 PREDICTOR, CROSS, GREEN, PALETTE = range(4)
 
 
@@ -53,49 +61,49 @@ class Bits:
         return bits[(self.at - n) & 7 :][:n]
 
 
+@functools.cache
+def _reversed(bits: int) -> np.ndarray:
+    """The numbers of so many bits, each read backwards."""
+    n = np.arange(1 << bits)
+    out = np.zeros_like(n)
+    for i in range(bits):
+        out |= (n >> i & 1) << (bits - 1 - i)
+    return out
+
+
 class Code:
-    """A prefix code. ``uniform`` is its length in bits where all symbols have one, and then ``symbols`` lists them in order."""
+    """A prefix code as a table by the next ``longest`` bits of the stream: symbol << 4 | its length."""
 
     def __init__(self, lengths: np.ndarray):
         used = np.flatnonzero(lengths)
-        self.table: dict = {}
-        self.uniform = None
         if len(used) <= 1:
-            self.uniform, self.symbols = 0, used if len(used) else np.zeros(1, np.int64)
+            self.longest, self.table = 0, np.array([used[0] << 4 if len(used) else 0], np.uint16)
             return
-        sizes = lengths[used]
-        if (1.0 / (1 << sizes.astype(np.int64))).sum() != 1:
+        sizes = lengths[used].astype(np.int64)
+        self.longest = most = int(sizes.max())
+        if (1 << (most - sizes)).sum() != 1 << most:
             raise ValueError("a prefix code isn't complete")
-        if sizes.min() == sizes.max():
-            self.uniform, self.symbols = int(sizes[0]), used
-        self.lengths, self.longest = lengths, int(sizes.max())
-
-    def build(self) -> None:
-        if self.table or self.uniform == 0:
-            return
-        for symbol, (bits, n) in canonical(self.lengths).items():
-            self.table[n, bits] = symbol
+        order = np.argsort(sizes, kind="stable")
+        self.table = np.repeat((used[order] << 4 | sizes[order]).astype(np.uint16), 1 << (most - sizes[order]))[_reversed(most)]
 
     def next(self, bits: Bits) -> int:
-        if self.uniform == 0:
-            return int(self.symbols[0])
-        self.build()
-        window = bits.peek(self.longest)
-        for n in range(1, self.longest + 1):
-            symbol = self.table.get((n, window & ((1 << n) - 1)))
-            if symbol is not None:
-                bits.at += n
-                return symbol
-        raise ValueError("no such code")
-
-
-def canonical(lengths) -> dict[int, tuple[int, int]]:
-    """symbol -> (its bits in stream order, their number)."""
-    out, code, last = {}, 0, 0
-    for n, symbol in sorted((int(n), s) for s, n in enumerate(lengths) if n):
-        code = (code << (n - last)) if last else 0
-        out[symbol] = (int(format(code, f"0{n}b")[::-1], 2), n)
-        code, last = code + 1, n
+        found = int(self.table[bits.peek(self.longest)])
+        bits.at += found & 15
+        return found >> 4
+
+    def at(self, windows: np.ndarray) -> np.ndarray:
+        return self.table[windows & np.uint16((1 << self.longest) - 1)]
+
+
+def canonical(lengths: np.ndarray) -> np.ndarray:
+    """The code of each symbol, as its bits lie in the stream."""
+    out, used = np.zeros(len(lengths), np.int64), np.flatnonzero(lengths)
+    if not len(used):
+        return out
+    order = used[np.argsort(lengths[used], kind="stable")]
+    sizes, most = lengths[order].astype(np.int64), int(lengths.max())
+    upper = np.cumsum(1 << (most - sizes)) - (1 << (most - sizes))
+    out[order] = _reversed(most)[upper]  # the code's bits are the first of these
     return out
 
 
@@ -111,38 +119,37 @@ def _read_code(bits: Bits, size: int) -> Code:
     for i in range(4 + bits.read(4)):
         first[ORDER[i]] = bits.read(3)
     left = 2 + bits.read(2 + 2 * bits.read(3)) if bits.read(1) else size
-    code = Code(first)
-    if code.uniform is not None and max(code.symbols) < 16 and left == size:  # no repeats: one symbol for each length
-        n = code.uniform
-        return Code(code.symbols[_packed(bits.array(n * size), n)] if n else np.full(size, code.symbols[0]))
-    at, last = 0, 8
-    while at < size and left > 0:
+    code, last, out, begin = Code(first), 8, [], bits.at >> 3
+    table, mask, at = code.table.tolist(), (1 << code.longest) - 1, bits.at & 7
+    stream = int.from_bytes(bits.data[begin : begin + 2 * size + 8], "little")
+    while len(out) < size and left > 0:
         left -= 1
-        s = code.next(bits)
+        found = table[stream >> at & mask]
+        at += found & 15
+        s = found >> 4
         if s < 16:
-            lengths[at] = s
-            at, last = at + 1, s or last
+            out.append(s)
+            last = s or last
             continue
-        n, value = (3 + bits.read(2), last) if s == 16 else (3 + bits.read(3), 0) if s == 17 else (11 + bits.read(7), 0)
-        if at + n > size:
-            raise ValueError("too many code lengths")
-        lengths[at : at + n] = value
+        n, least, value = ((2, 3, last), (3, 3, 0), (7, 11, 0))[s - 16]
+        out += [value] * (least + (stream >> at & ((1 << n) - 1)))
         at += n
+    bits.at = 8 * begin + at
+    if len(out) > size or bits.at > 8 * len(bits.data):
+        raise ValueError("too many code lengths, or the image ends early")
+    lengths[: len(out)] = out
     return Code(lengths)
 
 
-def _packed(bits: np.ndarray, n: int) -> np.ndarray:
-    """Numbers of n bits each, of which the first is the highest."""
-    if n <= 8:
-        return np.packbits(bits.reshape(-1, n), axis=1)[:, 0] >> (8 - n)
-    return bits.reshape(-1, n).astype(np.int64) @ (1 << np.arange(n)[::-1])
+def _more(symbol):
+    """(least value, number of extra bits) of a length's or a distance's symbol; for arrays too."""
+    n = np.maximum(symbol - 2, 0) >> 1
+    return np.where(np.asarray(symbol) < 4, symbol + 1, ((2 + (symbol & 1)) << n) + 1), n
 
 
 def _extra(bits: Bits, symbol: int) -> int:
-    if symbol < 4:
-        return symbol + 1
-    n = (symbol - 2) >> 1
-    return ((2 + (symbol & 1)) << n) + bits.read(n) + 1
+    least, n = _more(symbol)
+    return int(least) + bits.read(int(n))
 
 
 def _read_image(bits: Bits, width: int, height: int, main: bool) -> np.ndarray:
@@ -153,21 +160,27 @@ def _read_image(bits: Bits, width: int, height: int, main: bool) -> np.ndarray:
         meta = (_read_image(bits, _tiles(width, shift), _tiles(height, shift), False) >> 8 & 0xFFFF).astype(np.int64)
     sizes = (256 + LENGTHS + (1 << cache_bits if cache_bits else 0), 256, 256, 256, DISTANCES)
     groups = [[_read_code(bits, n) for n in sizes] for _ in range(1 if meta is None else int(meta.max()) + 1)]
-    n = width * height
-    if len(groups) == 1 and all(c.uniform is not None for c in groups[0][:4]) and groups[0][0].symbols.max() < 256:
-        return _read_literals(bits, n, groups[0]).reshape(height, width)
-    out, cache, at = np.zeros(n, np.uint32), np.zeros(1 << cache_bits, np.uint32), 0
-    filled = 0
+    if main and meta is None:
+        return _read_tokens(bits, width * height, width, groups[0], cache_bits).reshape(height, width)
+    return _read_symbols(bits, width, width * height, groups, meta, shift, cache_bits).reshape(height, width)
+
+
+def _distance(code: int, width: int) -> int:
+    return code - len(NEAR) if code > len(NEAR) else max(1, NEAR[code - 1][0] + NEAR[code - 1][1] * width)
+
+
+def _read_symbols(bits: Bits, width: int, n: int, groups: list, meta, shift: int, cache_bits: int) -> np.ndarray:
+    """Symbol by symbol: small images, and those whose code depends on the place."""
+    out, cache, at, filled = [0] * n, [0] * (1 << cache_bits), 0, 0
     while at < n:
         codes = groups[0] if meta is None else groups[meta[at // width >> shift, at % width >> shift]]
         s = codes[0].next(bits)
         if s < 256:
-            red, blue, alpha = (codes[k].next(bits) for k in (1, 2, 3))
+            red, blue, alpha = (codes[k].next(bits) if codes[k].longest else int(codes[k].table[0]) >> 4 for k in (1, 2, 3))
             out[at] = alpha << 24 | red << 16 | s << 8 | blue
             at += 1
         elif s < 256 + LENGTHS:
-            length, code = _extra(bits, s - 256), _extra(bits, codes[4].next(bits))
-            back = code - len(NEAR) if code > len(NEAR) else max(1, NEAR[code - 1][0] + NEAR[code - 1][1] * width)
+            length, back = _extra(bits, s - 256), _distance(_extra(bits, codes[4].next(bits)), width)
             if back > at or at + length > n:
                 raise ValueError("a back-reference leaves the image")
             for i in range(at, at + length):
@@ -175,33 +188,134 @@ def _read_image(bits: Bits, width: int, height: int, main: bool) -> np.ndarray:
             at += length
         else:
             while filled < at:
-                cache[_slot(int(out[filled]), cache_bits)] = out[filled]
+                cache[_slot(out[filled], cache_bits)] = out[filled]
                 filled += 1
             out[at] = cache[s - 256 - LENGTHS]
             at += 1
-    return out.reshape(height, width)
+    if bits.at > 8 * len(bits.data):
+        raise ValueError("the image ends early")
+    return np.array(out, np.uint32)
+
+
+def _read_tokens(bits: Bits, n: int, width: int, codes: list[Code], cache_bits: int) -> np.ndarray:
+    """An image of one group of codes, by arrays over the bits of one block of bytes after another."""
+    if not any(code.longest for code in codes[:4]) and codes[0].table[0] < 256 << 4:
+        return np.full(n, sum(int(code.table[0] >> 4) << shift for code, shift in zip(codes, (8, 16, 0, 24), strict=False)), np.uint32)
+    out, filled, found = np.zeros(n, np.uint32), 0, []
+    while filled < n:
+        place, symbol, size, back = _block_tokens(bits, n - filled, width, codes, out[filled:])
+        place += filled
+        if not len(place) or filled + int(size.sum()) > n or (back > place).any():
+            raise ValueError("the image ends early or a back-reference leaves it")
+        filled += int(size.sum())
+        if cache_bits:
+            found.append((place, symbol, size, back))
+            continue
+        copy = np.flatnonzero(back)
+        for a, m, d in zip(place[copy].tolist(), size[copy].tolist(), back[copy].tolist(), strict=True):
+            out[a : a + m] = out[a - d : a - d + m] if d >= m else np.resize(out[a - d : a], m)
+    if cache_bits:
+        _fill_cached(out, *(np.concatenate(x) for x in zip(*found, strict=True)), cache_bits)
+    return out
 
 
-def _slot(pixel: int, bits: int) -> int:
-    return (CACHE_FACTOR * pixel & 0xFFFFFFFF) >> (32 - bits)
+@functools.cache
+def _near(width: int) -> np.ndarray:
+    """The distance of each code up to 120, from 1 on."""
+    return np.array([0, *(max(1, x + y * width) for x, y in NEAR)])
+
+
+def _block_tokens(bits: Bits, n: int, width: int, codes: list[Code], out: np.ndarray):
+    """(place, symbol, size, distance or 0) of the tokens that begin in the next block, up to ``n`` pixels; literals go to ``out``."""
+    lo, p = bits.at >> 3, bits.at & 7
+    raw = np.frombuffer(bits.data, np.uint8, offset=lo)
+    limit, raw = 8 * min(BYTES, len(raw)), raw[: BYTES + 16].astype(np.uint32)
+    total = 8 * len(raw)
+    raw = np.r_[raw, np.zeros(4, np.uint32)]
+    words = raw[:-3] | raw[1:-2] << 8 | raw[2:-1] << 16 | raw[3:] << 24
+    windows = (words[:, None] >> np.arange(8, dtype=np.uint32)).astype(np.uint16).ravel()[: total + 1]
+    first = codes[0].at(windows)
+    end = np.arange(total + 1, dtype=np.int32) + (first & 15)
+    special = np.flatnonzero(first >= 256 << 4)
+    after = end[special]
+    for code in codes[1:4]:
+        if code.longest:
+            end += code.at(windows[np.minimum(end, total)]) & 15
+    if len(special):
+        symbol = (first[special] >> 4).astype(np.int32) - 256
+        copy = symbol < LENGTHS
+        q = after[copy] + _more(symbol[copy])[1]
+        found = codes[4].at(windows[np.minimum(q, total)])
+        after[copy] = q + (found & 15) + _more((found >> 4).astype(np.int32))[1]
+        end[special] = after
+    stop = end.copy()
+    stop[limit:] = np.arange(limit, total + 1, dtype=np.int32)  # where no token of this block begins
+    np.minimum(stop, total, out=stop)
+    two = stop[stop]
+    four, starts = memoryview(two[two]), []
+    add = starts.append
+    for _ in range((n + 3) // 4):
+        if p >= limit:
+            break
+        add(p)
+        p = four[p]
+    at = np.empty((len(starts), 4), np.int64)
+    at[:, 0] = starts
+    at[:, 1], at[:, 2] = stop[at[:, 0]], two[at[:, 0]]
+    at[:, 3] = stop[at[:, 2]]
+    at = at.ravel()
+    at = at[: np.searchsorted(at, limit)]
+    symbol = (first[at] >> 4).astype(np.int64)
+    copy = np.flatnonzero((symbol >= 256) & (symbol < 256 + LENGTHS))
+    size, back = np.ones(len(at), np.int64), np.zeros(len(at), np.int64)
+    read = lambda q, k: words[np.minimum(q >> 3, len(words) - 1)].astype(np.int64) >> (q & 7) & ((1 << k) - 1)
+    if len(copy):
+        q = at[copy] + (first[at[copy]] & 15)
+        least, k = _more(symbol[copy] - 256)
+        size[copy] = least + read(q, k)
+        q = q + k
+        found = codes[4].at(windows[np.minimum(q, total)])
+        least, k = _more((found >> 4).astype(np.int64))
+        code = least + read(q + (found & 15), k)
+        near = _near(width)
+        back[copy] = np.where(code > len(NEAR), code - len(NEAR), near[np.minimum(code, len(NEAR))])
+    upto = np.cumsum(size)
+    kept = int(np.searchsorted(upto, n)) + 1
+    at, symbol, size, back, place = at[:kept], symbol[:kept], size[:kept], back[:kept], (upto - size)[:kept]
+    if not len(at) or end[at[-1]] > total:
+        raise ValueError("the image ends early")
+    bits.at = 8 * lo + int(end[at[-1]])
+    plain = np.flatnonzero(symbol < 256)
+    pixel, r = symbol[plain].astype(np.uint32) << 8, at[plain] + (first[at[plain]] & 15)
+    for code, shift in zip(codes[1:4], (16, 0, 24), strict=True):
+        if code.longest:
+            found = code.at(windows[np.minimum(r, total)])
+            pixel |= (found >> 4).astype(np.uint32) << shift
+            r = r + (found & 15)
+        else:
+            pixel |= np.uint32(int(code.table[0] >> 4) << shift)
+    out[place[plain]] = pixel
+    return place, symbol, size, back
+
+
+def _fill_cached(out: np.ndarray, place: np.ndarray, symbol: np.ndarray, size: np.ndarray, back: np.ndarray, cache_bits: int) -> None:
+    """Copies and cache hits in order; literals are in ``out``."""
+    pixels, cache, filled = out.tolist(), [0] * (1 << cache_bits), 0
+    some = np.flatnonzero(symbol >= 256)
+    for a, s, m, d in zip(*(x[some].tolist() for x in (place, symbol, size, back)), strict=True):
+        if d:
+            for j in range(a, a + m):
+                pixels[j] = pixels[j - d]
+            continue
+        while filled < a:
+            cache[_slot(pixels[filled], cache_bits)] = pixels[filled]
+            filled += 1
+        pixels[a] = cache[s - 256 - LENGTHS]
+    out[:] = pixels
 
 
-def _read_literals(bits: Bits, n: int, codes: list[Code], block: int = 1 << 16) -> np.ndarray:
-    widths = [c.uniform for c in codes[:4]]
-    tables = [np.asarray(c.symbols, np.uint8) for c in codes[:4]]
-    out = np.empty((n, 4), np.uint8)
-    for lo in range(0, n, block):
-        k = min(block, n - lo)
-        found = bits.array(k * sum(widths))
-        if len(set(widths)) == 1 and widths[0]:
-            index = _packed(found, widths[0]).reshape(k, 4)
-            parts = [index[:, i] for i in range(4)]
-        else:
-            rows, ends = found.reshape(k, -1), np.cumsum([0, *widths])
-            parts = [_packed(np.ascontiguousarray(rows[:, a:b]).ravel(), b - a) if b > a else np.zeros(k, np.uint8) for a, b in zip(ends[:-1], ends[1:], strict=True)]
-        for column, table, part in zip((1, 2, 0, 3), tables, parts, strict=True):  # green, red, blue, alpha; little-endian pixels
-            out[lo : lo + k, column] = table[part]
-    return out.view("<u4").ravel()
+def _slot(pixel, bits: int):
+    return (CACHE_FACTOR * pixel & 0xFFFFFFFF) >> (32 - bits)
 
 
 def _tiles(n: int, shift: int) -> int:
@@ -217,41 +331,75 @@ def _join(parts: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray((parts & 255).astype(np.uint8)).view("<u4")[..., 0]
 
 
+BLACK = np.array([0, 0, 0, 255])
+WITHOUT_LEFT = (0, 2, 3, 4, 8, 9)  # modes that need only the row above
+
+
 def predict(mode: int, left, top, right, corner):
-    """Prediction from the left, top, top right and top left neighbours (four ints each)."""
-    half = lambda a, b: [(x + y) >> 1 for x, y in zip(a, b, strict=True)]
-    clip = lambda v: min(255, max(0, v))
-    if mode in (5, 6, 7, 8, 9, 10):
-        return half(half(left, right), top) if mode == 5 else half(left, corner) if mode == 6 else half(left, top) if mode == 7 else half(corner, top) if mode == 8 else half(top, right) if mode == 9 else half(half(left, corner), half(top, right))
+    """Prediction from the left, top, top right and top left neighbours [.., (blue, green, red, alpha)]."""
+    if mode == 5:
+        return ((left + right >> 1) + top) >> 1
+    if mode == 10:
+        return ((left + corner >> 1) + (top + right >> 1)) >> 1
+    if mode in (6, 7, 8, 9):
+        a, b = {6: (left, corner), 7: (left, top), 8: (corner, top), 9: (top, right)}[mode]
+        return a + b >> 1
     if mode == 11:
-        to_left = sum(abs(t - c) for t, c in zip(top, corner, strict=True))
-        to_top = sum(abs(x - c) for x, c in zip(left, corner, strict=True))
-        return left if to_left < to_top else top
+        nearer_left = np.abs(top - corner).sum(-1) < np.abs(left - corner).sum(-1)
+        return np.where(nearer_left[..., None], left, top)
     if mode == 12:
-        return [clip(a + b - c) for a, b, c in zip(left, top, corner, strict=True)]
+        return np.clip(left + top - corner, 0, 255)
     if mode == 13:
-        return [clip(a + int((a - c) / 2)) for a, c in zip(half(left, top), corner, strict=True)]
-    return {1: left, 2: top, 3: right, 4: corner}.get(mode, [0, 0, 0, 255])
+        mean = left + top >> 1
+        step = mean - corner
+        return np.clip(mean + np.where(step < 0, -(-step >> 1), step >> 1), 0, 255)
+    return {1: left, 2: top, 3: right, 4: corner}.get(mode, BLACK)
 
 
-def _walk_predictor(source: np.ndarray, modes: np.ndarray, shift: int, invert: bool) -> np.ndarray:
-    """Adds (invert) or takes away each pixel's prediction from the pixels before it."""
+def _neighbours(p: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Left, top, top right and top left of all pixels from the second row and column on."""
+    return p[1:, :-1], p[:-1, 1:], np.concatenate([p[:-1, 2:], p[1:, :1]], axis=1), p[:-1, :-1]
+
+
+def _predicted(pixels: np.ndarray, modes: np.ndarray, shift: int) -> np.ndarray:
+    """Each pixel less its prediction."""
+    p = _split(pixels)
+    guess = np.empty_like(p)
+    guess[0, 0] = BLACK
+    guess[0, 1:], guess[1:, 0] = p[0, :-1], p[:-1, 0]
+    if p.shape[0] > 1 and p.shape[1] > 1:
+        y, x = np.indices(pixels.shape)
+        each, around = modes[y >> shift, x >> shift][1:, 1:], _neighbours(p)
+        for mode in np.unique(each).tolist():
+            here = each == mode
+            guess[1:, 1:][here] = predict(mode, *(a[here] for a in around)) if mode not in (0, 14, 15) else BLACK
+    return _join(p - guess)
+
+
+def _unpredicted(source: np.ndarray, modes: np.ndarray, shift: int) -> np.ndarray:
+    """Adds each pixel's prediction: by rows where a tile's mode needs only the row above or runs along it, else pixel by pixel."""
+    p = _split(source)
+    p[0, 0] += BLACK
+    p[0] = p[0].cumsum(0) & 255
     height, width = source.shape
-    given = _split(source).tolist()
-    known = [row[:] for row in given] if not invert else [[None] * width for _ in range(height)]
-    out = [[None] * width for _ in range(height)]
-    for y in range(height):
-        for x in range(width):
-            if x and y:
-                right = known[y - 1][x + 1] if x + 1 < width else known[y][0]
-                guess = predict(int(modes[y >> shift, x >> shift]), known[y][x - 1], known[y - 1][x], right, known[y - 1][x - 1])
-            else:
-                guess = known[y][x - 1] if x else known[y - 1][x] if y else [0, 0, 0, 255]
-            sign = 1 if invert else -1
-            out[y][x] = [(a + sign * b) & 255 for a, b in zip(given[y][x], guess, strict=True)]
-            if invert:
-                known[y][x] = out[y][x]
-    return _join(np.array(out))
+    for y in range(1, height):
+        row, above = p[y], p[y - 1]
+        row[0] = (row[0] + above[0]) & 255
+        kinds = modes[y >> shift].tolist()
+        for x0 in range(1, width, 1):
+            if x0 > 1 and x0 & ((1 << shift) - 1):
+                continue
+            x1, mode = min(width, ((x0 >> shift) + 1) << shift), kinds[x0 >> shift]
+            if mode == 1:
+                row[x0:x1] = (row[x0 - 1] + row[x0:x1].cumsum(0)) & 255
+                continue
+            right = above[x0 + 1 : x1 + 1] if x1 < width else np.concatenate([above[x0 + 1 :], row[:1]])
+            if mode in WITHOUT_LEFT or mode > 13:
+                row[x0:x1] = (row[x0:x1] + predict(mode, None, above[x0:x1], right, above[x0 - 1 : x1 - 1])) & 255
+                continue
+            for x in range(x0, x1):
+                row[x] = (row[x] + predict(mode, row[x - 1], above[x], right[x - x0], above[x - 1])) & 255
+    return _join(p)
 
 
 def _signed(x: np.ndarray) -> np.ndarray:
@@ -309,7 +457,7 @@ def decode(data: bytes) -> np.ndarray:
     out = _read_image(bits, width, height, True)
     for kind, shift, width, more in reversed(steps):
         if kind == PREDICTOR:
-            out = _walk_predictor(out, more >> 8 & 15, shift, True)
+            out = _unpredicted(out, (more >> 8 & 15).astype(np.int64), shift)
         elif kind == CROSS:
             out = _cross(out, more, shift, True)
         elif kind == GREEN:
@@ -323,163 +471,352 @@ def decode(data: bytes) -> np.ndarray:
 
 
 class _Writer:
+    """Numbers of 0 to 32 bits at their places in the stream, packed together at the end."""
+
     def __init__(self):
-        self.parts: list[np.ndarray] = []
+        self.values: list[np.ndarray] = []
+        self.places: list[np.ndarray] = []
+        self.few: list[int] = []
+        self.at: list[int] = []
+        self.total = 0
 
     def put(self, value: int, n: int) -> None:
-        self.parts.append(np.frombuffer(bytes(value >> i & 1 for i in range(n)), np.uint8))
+        self.few.append(value)
+        self.at.append(self.total)
+        self.total += n
 
-    def bits(self, bits: np.ndarray) -> None:
-        self.parts.append(bits)
+    def place(self, values: np.ndarray, places: np.ndarray) -> None:
+        """At these bits from here on; ``total`` is the caller's to move."""
+        self.values.append(values)
+        self.places.append(places + self.total)
 
     def bytes(self) -> bytes:
-        return np.packbits(np.concatenate(self.parts), bitorder="little").tobytes()
+        values, at = np.concatenate([np.array(self.few, np.int64), *self.values]), np.concatenate([np.array(self.at, np.int64), *self.places])
+        # no two numbers share a bit, so their sum by 16-bit word is what both set; a number reaches over two words at most
+        sums = np.bincount(at >> 4, (values << (at & 15)).astype(np.float64), (self.total >> 4) + 1).astype(np.int64)
+        words = np.r_[sums & 0xFFFF, 0, 0]
+        words[1:-1] += sums >> 16 & 0xFFFF
+        words[2:] += sums >> 32
+        return words.astype("<u2").tobytes()[: (self.total + 7) >> 3]
 
 
-def _uniform_bits(width: int) -> np.ndarray:
-    return np.unpackbits(np.arange(1 << width, dtype=np.uint8)[:, None], axis=1)[:, 8 - width :]
+def huffman(counts: np.ndarray, longest: int = 15) -> np.ndarray:
+    """Code lengths of at most ``longest`` bits; counts are flattened until the code fits."""
+    counts = np.asarray(counts, np.int64)
+    lengths = np.zeros(len(counts), np.int64)
+    used = np.flatnonzero(counts)
+    if len(used) < 2:
+        lengths[used] = 1
+        return lengths
+    used = used[np.argsort(counts[used], kind="stable")]
+    weights = counts[used]
+    while True:
+        nodes, n = weights.tolist(), len(weights)
+        parent, leaf, inner = [0] * (2 * n - 1), 0, n
+        for k in range(n, 2 * n - 1):  # both queues ascend, so the least two are at their heads
+            total = 0
+            for _ in range(2):
+                if leaf < n and (inner >= k or nodes[leaf] <= nodes[inner]):
+                    i, leaf = leaf, leaf + 1
+                else:
+                    i, inner = inner, inner + 1
+                parent[i] = k
+                total += nodes[i]
+            nodes.append(total)
+        depth = [0] * (2 * n - 1)
+        for k in range(2 * n - 3, -1, -1):
+            depth[k] = depth[parent[k]] + 1
+        if depth[0] <= longest:
+            lengths[used] = depth[:n]
+            return lengths
+        weights = np.sort(np.maximum(weights, (weights.sum() >> longest) + 1) + 1 >> 1)
 
 
-_UNIFORM = [None, *[_uniform_bits(n) for n in range(1, 9)]]
+def _put_single(out: _Writer, symbol: int) -> None:
+    """A code of one symbol below 256, which then takes no bits."""
+    out.put(0b101 | symbol << 3, 11)
 
 
-def _put_uniform(out: _Writer, present: np.ndarray, width: int, size: int) -> None:
-    """A normal code of 2^width symbols of one length: code lengths 0 and ``width`` have one bit each."""
-    n = ORDER.index(width) + 1
-    out.put(0, 1)
-    out.put(n - 4, 4)
-    for s in ORDER[:n]:
-        out.put(1 if s in (0, width) else 0, 3)
-    out.put(0, 1)
-    lengths = np.zeros(size, np.uint8)
-    lengths[: len(present)] = present
-    out.bits(lengths)
-
-
-def _put_lengths(out: _Writer, lengths: list[int]) -> None:
-    """A normal code by plain code lengths of 4 bits, or a simple one for a single symbol below 256."""
-    used = [s for s, n in enumerate(lengths) if n]
-    if len(used) <= 1 and (not used or used[0] < 256):
-        for value, n in ((1, 1), (0, 1), (1, 1), (used[0] if used else 0, 8)):
-            out.put(value, n)
-        return
+def _put_lengths(out: _Writer, lengths: np.ndarray) -> np.ndarray:
+    """Write a code; returns how many bits each symbol then takes."""
+    used = np.flatnonzero(lengths)
+    if len(used) <= 1 and (not len(used) or used[0] < 256):
+        _put_single(out, int(used[0]) if len(used) else 0)
+        return np.zeros(len(lengths), np.int64)
     if len(used) == 1:
-        lengths = lengths[:]
+        lengths = lengths.copy()
         lengths[0] = lengths[used[0]] = 1
+        used = np.flatnonzero(lengths)
+    steps: list[tuple[int, int, int]] = []  # symbol, extra bits, their number
+    upto, last = int(used[-1]) + 1, 8
+    edges = [0, *(np.flatnonzero(np.diff(lengths[:upto])) + 1).tolist(), upto]
+    for n, value in zip(np.diff(edges).tolist(), lengths[edges[:-1]].tolist(), strict=True):
+        if value and value != last:
+            steps.append((value, 0, 0))
+            n, last = n - 1, value
+        while n:
+            if n < 3:
+                steps += [(value, 0, 0)] * n
+                n = 0
+            elif value:
+                k = min(n, 6)
+                steps.append((16, k - 3, 2))
+                n -= k
+            else:
+                k = min(n, 138)
+                steps.append((17, k - 3, 3) if k < 11 else (18, k - 11, 7))
+                n -= k
+    symbols = np.array([s for s, *_ in steps])
+    sizes = huffman(np.bincount(symbols, minlength=len(ORDER)), 7)
+    if np.count_nonzero(sizes) == 1:  # one symbol only takes no bits
+        codes, taken = np.zeros(len(ORDER), np.int64), np.zeros(len(ORDER), np.int64)
+    else:
+        codes, taken = canonical(sizes), sizes
+    n = max(4, 1 + max(i for i, s in enumerate(ORDER) if sizes[s]))
     out.put(0, 1)
-    out.put(len(ORDER) - 4, 4)
-    for s in ORDER:
-        out.put(4 if s < 16 else 0, 3)
-    out.put(0, 1)
-    codes = canonical([4] * 16)
-    for n in lengths:
-        out.put(*codes[n])
+    out.put(n - 4, 4)
+    for s in ORDER[:n]:
+        out.put(int(sizes[s]), 3)
+    left = len(steps) - 2  # two symbols have two lengths at least
+    out.put(upto < len(lengths), 1)
+    if upto < len(lengths):
+        wide = max(0, (left.bit_length() + 1) // 2 - 1)
+        out.put(wide, 3)
+        out.put(left, 2 + 2 * wide)
+    _, extra, more = np.array(steps).T
+    n = taken[symbols] + more
+    out.place(codes[symbols] | extra << taken[symbols], np.cumsum(n) - n)
+    out.total += int(n.sum())
+    return lengths
 
 
-def huffman(counts: list[int], longest: int = 15) -> list[int]:
-    """Code lengths of at most ``longest`` bits; counts are flattened until the code fits."""
-    import heapq
+def _prefix(value: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(symbol, extra bits, their number) of lengths or distance codes."""
+    v = np.asarray(value, np.int64) - 1
+    top = np.maximum(np.frexp(v.astype(np.float64))[1] - 1, 1)
+    symbol = np.where(v < 4, v, 2 * top + (v >> (top - 1) & 1))
+    n = np.where(v < 4, 0, top - 1)
+    return symbol, v & ((1 << n) - 1), n
+
+
+_ODD_NUMBERS = np.random.default_rng(11).integers(0, 2**64, SHORTEST, np.uint64) | np.uint64(1)
 
-    while True:
-        heap = [(n, i, [i]) for i, n in enumerate(counts) if n]
-        lengths = [0] * len(counts)
-        if len(heap) == 1:
-            lengths[heap[0][1]] = 1
-        heapq.heapify(heap)
-        while len(heap) > 1:
-            a, b = heapq.heappop(heap), heapq.heappop(heap)
-            for s in a[2] + b[2]:
-                lengths[s] += 1
-            heapq.heappush(heap, (a[0] + b[0], a[1], a[2] + b[2]))
-        if max(lengths, default=0) <= longest:
-            return lengths
-        counts = [(n + 1) // 2 if n else 0 for n in counts]
 
+def repeats(flat: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(place, length, distance) of runs of SHORTEST pixels or more that occurred before, each pixel in one at most.
+
+    A place's candidate is the first occurrence of its next SHORTEST pixels, by hash; neighbours of one distance make one run.
+    """
+    none = np.zeros(0, np.int64)
+    count = len(flat) - SHORTEST + 1
+    if count < 2:
+        return none, none, none
+    if flat.dtype == np.uint8:  # the next eight samples themselves
+        h = np.ndarray(count, "<u8", flat, strides=(1,))
+    else:
+        h = np.zeros(count, np.uint64)
+        for i, c in enumerate(_ODD_NUMBERS):
+            h += flat[i : i + count].astype(np.uint64) * c
+    bits = min(20, count.bit_length() + 1)
+    slots = (h * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - bits)).astype(np.int32)
+    seen = np.zeros(1 << bits, np.int32)
+    seen[slots[::-1]] = np.arange(count - 1, -1, -1, dtype=np.int32)
+    before = seen[slots]
+    at = np.flatnonzero((before < np.arange(count)) & (h[before] == h))
+    back = at - before[at]
+    at, back = at[back < FARTHEST], back[back < FARTHEST]
+    if not len(at):
+        return none, none, none
+    first = np.flatnonzero((np.diff(at, prepend=-2) != 1) | (np.diff(back, prepend=0) != 0))
+    stop = at[np.r_[first[1:], len(at)] - 1] + SHORTEST
+    out, end = [], 0
+    for a, b, d in zip(at[first].tolist(), stop.tolist(), back[first].tolist(), strict=True):
+        a = max(a, end)
+        if b - a >= SHORTEST:
+            end = b
+            out += [(x, min(LONGEST_COPY, b - x), d) for x in range(a, b, LONGEST_COPY)]
+    place, size, back = np.array(out, np.int64).reshape(-1, 3).T
+    if flat.dtype == np.uint8:
+        return place, size, back
+    each = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(place, size)
+    wrong = flat[each] != flat[each - np.repeat(back, size)]  # of clashing hashes
+    if wrong.any():
+        right = np.add.reduceat(wrong, np.cumsum(size) - size) == 0
+        place, size, back = place[right], size[right], back[right]
+    return place, size, back
+
+
+def cache_hits(flat: np.ndarray, bits: int) -> np.ndarray:
+    """Where the colour cache holds the pixel that comes."""
+    slot = _slot(flat.astype(np.uint64), bits).astype(np.int64)
+    order = np.argsort(slot, kind="stable")
+    hit = np.zeros(len(flat), bool)
+    hit[order[1:]] = (slot[order[1:]] == slot[order[:-1]]) & (flat[order[1:]] == flat[order[:-1]])
+    return hit
+
+
+@functools.cache
+def _near_codes(width: int) -> np.ndarray:
+    """The least code of each small distance; 0 where there is none."""
+    out = np.zeros(9 * width + 16, np.int64)
+    out[_near(width)[:0:-1]] = np.arange(len(NEAR), 0, -1)
+    return out
 
-def _prefix(value: int) -> tuple[int, int, int]:
-    """(symbol, extra bits, their number) of a length or a distance code."""
-    v = value - 1
-    if v < 4:
-        return v, 0, 0
-    top = v.bit_length() - 1
-    second = v >> (top - 1) & 1
-    return 2 * top + second, v & ((1 << (top - 1)) - 1), top - 1
+
+def _distance_codes(back: np.ndarray, width: int) -> np.ndarray:
+    near = _near_codes(width)
+    code = near[np.minimum(back, len(near) - 1)]
+    return np.where((code > 0) & (back < len(near)), code, back + len(NEAR))
 
 
 def _put_image(out: _Writer, pixels: np.ndarray, main: bool, cache_bits: int = 0, copies: bool = False, meta: int = 0) -> None:
     height, width = pixels.shape
-    if not cache_bits and not copies and not meta:
-        out.put(0, 1)
-        if main:
-            out.put(0, 1)
-        data = np.ascontiguousarray(pixels, "<u4").view(np.uint8).reshape(-1, 4)
-        present = np.bincount(data.ravel(), minlength=256) > 0
-        bits = max(1, (int(present.sum()) - 1).bit_length())
-        present[np.flatnonzero(~present)[: (1 << bits) - int(present.sum())]] = True
-        for size in (256 + LENGTHS, 256, 256, 256):
-            _put_uniform(out, present, bits, size)
-        _put_lengths(out, [])
-        rank = (np.cumsum(present) - 1).astype(np.uint8)
-        out.bits(_UNIFORM[bits][rank[data[:, [1, 2, 0, 3]].ravel()]].ravel())
-        return
-    flat, tokens, at, cache, last = pixels.ravel().tolist(), [], 0, {}, {}
-    while at < len(flat):
-        length = back = 0
-        if copies and (seen := last.get(tuple(flat[at : at + 3]))) is not None:
-            back = at - seen
-            while at + length < len(flat) and length < 4096 and flat[at + length] == flat[at + length - back]:
-                length += 1
-        step = length if length >= 3 else 1
-        if step > 1:
-            x, y = back % width, back // width
-            near = (x, y) if x <= 8 else (x - width, y + 1)
-            tokens.append((at, "copy", length, NEAR.index(near) + 1 if near in NEAR and near[0] + near[1] * width == back else back + len(NEAR)))
-        elif cache_bits and cache.get(_slot(flat[at], cache_bits)) == flat[at]:
-            tokens.append((at, "cache", _slot(flat[at], cache_bits), 0))
-        else:
-            tokens.append((at, "pixel", flat[at], 0))
-        for i in range(at, at + step):
-            last[tuple(flat[i : i + 3])] = i
-            if cache_bits:
-                cache[_slot(flat[i], cache_bits)] = flat[i]
-        at += step
-    out.put(1, 1) if cache_bits else out.put(0, 1)
+    flat = pixels.ravel()
+    base, differ = int(flat[0]), int(np.bitwise_or.reduce(flat ^ flat[0]))
+    green = (flat >> 8).astype(np.uint8)
+    grey = not differ & 0xFFFF00FF and not cache_bits
+    place, size, back = repeats(green if grey else flat) if copies else (np.zeros(0, np.int64),) * 3
+    starts = np.ones(len(flat), bool)
+    if len(place):
+        starts[np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(place, size)] = False
+        hit = cache_hits(flat, cache_bits) & starts if cache_bits else None
+        starts[place] = True
+    else:
+        hit = cache_hits(flat, cache_bits) if cache_bits else None
+    at = np.flatnonzero(starts)  # the place of each token
+    symbols, plain = green[at].astype(np.int64), np.ones(len(at), bool)
+    copy = np.searchsorted(at, place)
+    (length, more, n_more), (far, extra, n_extra) = _prefix(size), _prefix(_distance_codes(back, width))
+    symbols[copy], plain[copy] = 256 + length, False
+    if cache_bits:
+        cached = hit[at]
+        symbols[cached] = 256 + LENGTHS + _slot(flat[at[cached]].astype(np.uint64), cache_bits).astype(np.int64)
+        plain &= ~cached
+    out.put(1 if cache_bits else 0, 1)
     if cache_bits:
         out.put(cache_bits, 4)
-    tiles = None
+    group = None
     if main:
         out.put(1 if meta else 0, 1)
         if meta:
             out.put(meta - 2, 3)
             tiles = np.indices((_tiles(height, meta), _tiles(width, meta))).sum(0) % 2
             _put_image(out, (tiles.astype(np.uint32) << 8), False)
-    groups = 1 if tiles is None else int(tiles.max()) + 1
-    which = (lambda at: 0) if tiles is None else (lambda at: int(tiles[at // width >> meta, at % width >> meta]))
-    sizes = (256 + LENGTHS + (1 << cache_bits if cache_bits else 0), 256, 256, 256, DISTANCES)
-    counts = [[[0] * n for n in sizes] for _ in range(groups)]
-    words = []
-    for at, kind, a, b in tokens:
-        g = which(at)
-        if kind == "pixel":
-            some = [(k, a >> s & 255, 0, 0) for k, s in ((0, 8), (1, 16), (2, 0), (3, 24))]
-        elif kind == "cache":
-            some = [(0, 256 + LENGTHS + a, 0, 0)]
-        else:
-            (s, e, n), (t, f, m) = _prefix(a), _prefix(b)
-            some = [(0, 256 + s, e, n), (4, t, f, m)]
-        for k, s, *_ in some:
-            counts[g][k][s] += 1
-        words.append((g, some))
-    codes = []
-    for g in counts:
-        lengths = [huffman(c) for c in g]
-        for n in lengths:
-            _put_lengths(out, n)
-        codes.append([{s: (0, 0) for s, x in enumerate(n) if x} if sum(map(bool, n)) == 1 and n.index(max(n)) < 256 else canonical([1 if i == 0 else x for i, x in enumerate(n)] if sum(map(bool, n)) == 1 else n) for n in lengths])
-    for g, some in words:
-        for k, s, e, n in some:
-            out.put(*codes[g][k][s])
-            out.put(e, n)
+            group = tiles[at // width >> meta, at % width >> meta]
+    # the fields of tokens: symbols, their code's number, their token, and what is known of their bits
+    channels = [(k, shift) for k, shift in ((1, 16), (2, 0), (3, 24)) if differ >> shift & 255]
+    literal = np.flatnonzero(plain) if channels else None
+    fields = [(0, None, symbols), *((k, literal, (flat[at[literal]] >> np.uint32(shift) & 255).astype(np.int64)) for k, shift in channels), (4, copy, far)]
+    many = (256 + LENGTHS + (1 << cache_bits if cache_bits else 0), 256, 256, 256, DISTANCES)
+    coded = [(np.zeros(len(v), np.int64), np.zeros(len(v), np.int64)) for *_, v in fields]
+    by_kind = {k: i for i, (k, *_) in enumerate(fields)}
+    for g in range(1 if group is None else int(group.max()) + 1):
+        for kind, n in enumerate(many):
+            i = by_kind.get(kind)
+            if i is None:
+                _put_single(out, base >> (16, 0, 24)[kind - 1] & 255)
+                continue
+            _, tokens, values = fields[i]
+            mine = slice(None) if group is None else np.flatnonzero((group if tokens is None else group[tokens]) == g)
+            lengths = _put_lengths(out, huffman(np.bincount(values[mine], minlength=n), LONGEST_CODE))
+            coded[i][1][mine] = lengths[values[mine]]
+            coded[i][0][mine] = canonical(lengths)[values[mine]]
+    taken = coded[0][1].copy()
+    for (_, tokens, _), (_, n) in zip(fields[1:], coded[1:], strict=True):
+        taken[tokens] += n
+    taken[copy] += n_more + n_extra
+    begin = np.cumsum(taken) - taken
+    out.place(coded[0][0], begin)
+    at_bit = begin + coded[0][1]
+    for (_, tokens, _), (values, n) in zip(fields[1:-1], coded[1:-1], strict=True):
+        out.place(values, at_bit[tokens])
+        at_bit[tokens] += n
+    if len(copy):
+        q = at_bit[copy]
+        out.place(more, q)
+        out.place(coded[-1][0], q + n_more)
+        out.place(extra, q + n_more + coded[-1][1])
+    out.total += int(taken.sum())
+
+
+def _bits(values: np.ndarray) -> float:
+    """The bits that so many bytes take at their entropy, by the last axis's channels."""
+    total = 0.0
+    for c in range(values.shape[-1]):
+        n = np.bincount(values[..., c].ravel() & 255, minlength=256)
+        n = n[n > 0]
+        total += float((n * np.log2(n.sum() / n)).sum())
+    return total
+
+
+def _best_modes(pixels: np.ndarray, shift: int) -> np.ndarray:
+    """For each tile the mode of least summed difference, of those that invert by rows."""
+    p, (height, width) = _split(pixels), pixels.shape
+    best, modes = None, np.zeros((_tiles(height, shift), _tiles(width, shift)), np.int64)
+    if height < 2 or width < 2:
+        return modes
+    around = _neighbours(p)
+    for mode in (*WITHOUT_LEFT, 1):
+        guess = np.broadcast_to(predict(mode, *around), p[1:, 1:].shape)
+        cost = np.zeros(pixels.shape)
+        cost[1:, 1:] = np.abs(_signed(p[1:, 1:] - guess)).sum(-1)
+        cost = np.add.reduceat(np.add.reduceat(cost, np.arange(0, height, 1 << shift), 0), np.arange(0, width, 1 << shift), 1)
+        better = np.ones(cost.shape, bool) if best is None else cost < best
+        modes[better] = mode
+        best = cost if best is None else np.minimum(best, cost)
+    return modes
+
+
+def _best_elements(pixels: np.ndarray, shift: int) -> np.ndarray:
+    """For each tile the multipliers green to red, green to blue and red to blue, by least squares."""
+    p = _signed(_split(pixels)).astype(np.float64)
+    height, width = pixels.shape
+    tile = lambda x: np.add.reduceat(np.add.reduceat(x, np.arange(0, height, 1 << shift), 0), np.arange(0, width, 1 << shift), 1)
+    blue, green, red = p[..., 0], p[..., 1], p[..., 2]
+    square = np.maximum(tile(green * green), 1)
+    scaled = lambda x: np.clip(np.rint(32 * x), -128, 127).astype(np.int64)
+    to_red, to_blue = scaled(tile(green * red) / square), scaled(tile(green * blue) / square)
+    return (to_red & 255 | (to_blue & 255) << 8).astype(np.uint32)
+
+
+def _grey(pixels: np.ndarray) -> bool:
+    """Whether the pixels differ in green only."""
+    return bool(((pixels ^ pixels.flat[0]) & 0xFFFF00FF == 0).all())
+
+
+def _palette(pixels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct pixels and each one's number."""
+    if not _grey(pixels):
+        table, index = np.unique(pixels, return_inverse=True)
+        return table, index.reshape(pixels.shape)
+    green = (pixels >> 8 & 255).astype(np.uint8)
+    there = np.bincount(green.ravel(), minlength=256) > 0
+    return (pixels.flat[0] & 0xFFFF00FF | np.flatnonzero(there) << 8).astype(np.uint32), (np.cumsum(there) - 1)[green]
+
+
+def choose(pixels: np.ndarray) -> dict:
+    """The features that are estimated to write a picture in the fewest bits."""
+    shift = 5
+    if _grey(pixels):
+        green = (pixels >> 8).astype(np.uint8)
+        now, colours = _bits(green[..., None]), np.count_nonzero(np.bincount(green.ravel(), minlength=256))
+        if pixels.size >= 1 << 10 and min(_bits(np.diff(green, axis=k)[..., None]) for k in (0, 1)) < 0.8 * now:
+            modes = _best_modes(pixels, shift)
+            if _bits(_split(_predicted(pixels, modes, shift))[..., 1:2]) + 4 * modes.size < 0.8 * now:
+                return {"transforms": (("predictor", shift, modes),), "copies": True}
+        return {"transforms": (("palette",),) if colours <= 16 else (), "copies": True}  # more colours aren't bundled, and their codes cost the same
+    if len(np.unique(pixels)) <= 256:
+        return {"transforms": (("palette",),), "copies": True}
+    found = []
+    for first in ((), (("predictor", shift, _best_modes(pixels, shift)),)):
+        left = _predicted(pixels, first[0][2], shift) if first else pixels
+        extra = 4.0 * first[0][2].size if first else 0.0
+        elements = _best_elements(left, shift)
+        found.append((_bits(_split(left)) + extra, first, left))
+        found.append((_bits(_split(after := _green(left, -1))) + extra, (*first, ("green",)), after))
+        found.append((_bits(_split(after := _cross(left, elements, shift, False))) + extra + 16.0 * elements.size, (*first, ("cross", shift, elements)), after))
+    _, transforms, left = min(found, key=lambda x: x[0])
+    return {"transforms": transforms, "copies": True, "cache_bits": 8 if cache_hits(left.ravel(), 8).mean() > 0.25 else 0}
 
 
 def encode(pixels: np.ndarray, transforms: tuple = (), cache_bits: int = 0, copies: bool = False, meta: int = 0) -> bytes:
@@ -499,12 +836,12 @@ def encode(pixels: np.ndarray, transforms: tuple = (), cache_bits: int = 0, copi
             out.put(GREEN, 2)
             pixels = _green(pixels, -1)
         elif kind == "palette":
-            table, index = np.unique(pixels, return_inverse=True)
+            table, index = _palette(pixels)
             shift = _bundle(len(table))
             out.put(PALETTE, 2)
             out.put(len(table) - 1, 8)
             _put_image(out, _join(np.diff(_split(table[None]), axis=1, prepend=0)), False)
-            index, per = index.reshape(pixels.shape), 8 >> shift
+            per = 8 >> shift
             wide = np.zeros((height, _tiles(width, shift) << shift), np.int64)
             wide[:, :width] = index
             pixels = ((wide.reshape(height, -1, 1 << shift) << (per * np.arange(1 << shift))).sum(2) << 8 | 0xFF000000).astype(np.uint32)
@@ -515,7 +852,7 @@ def encode(pixels: np.ndarray, transforms: tuple = (), cache_bits: int = 0, copi
             out.put(shift - 2, 3)
             data = np.asarray(data, np.uint32)
             _put_image(out, data << 8 if kind == "predictor" else data, False)
-            pixels = _walk_predictor(pixels, data, shift, False) if kind == "predictor" else _cross(pixels, data, shift, False)
+            pixels = _predicted(pixels, data.astype(np.int64), shift) if kind == "predictor" else _cross(pixels, data, shift, False)
     out.put(0, 1)
     _put_image(out, pixels, True, cache_bits, copies, meta)
     body = b"\x2f" + out.bytes()

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from quarryline.llm import bpe, htmltext, langid, media, packing, quality, queries, simhash, tokenio, urlfilter, vafile
 from .brute_html import clean
 from quarryline.llm.pretokens import library_encoder, rows_of
-from quarryline.llm.webp import decode, encode
+from quarryline.llm.webp import choose, decode, encode
 
 SF = "/root/testdata/sf0.001"
 LONG = "word and more, " * 20000
@@ -250,9 +250,20 @@ def pictures():
     yield few, {"copies": True}
     yield few, {"cache_bits": 4, "copies": True, "meta": 2}
     yield np.zeros((40, 40), np.uint32), {"copies": True}
-
-
-@pytest.mark.parametrize("case", range(14))
+    y, x = np.indices((70, 90))
+    for k in (1, 50):  # smooth colours: predictors and cross-colour pay
+        ramp = (3 * x + y + rng.integers(0, k, (70, 90))) & 255
+        slow = (0xFF000000 | ramp << 16 | ((ramp * 2) & 255) << 8 | (ramp // 2 + y) & 255).astype(np.uint32)
+        yield slow, choose(slow)
+    for mode in range(14):
+        yield full, {"transforms": (("predictor", 3, np.full((2, 3), mode)),)}
+    yield rng.integers(0, 2**8, (100, 64)).astype(np.uint32) << 8, choose(rng.integers(0, 2**8, (100, 64)).astype(np.uint32) << 8)
+    yield full[:1, :1], choose(full[:1, :1])
+    yield np.tile(full, (9, 9)), choose(np.tile(full, (9, 9)))
+    yield rng.integers(0, 2**32, (700, 300), dtype=np.uint32), {"cache_bits": 11, "copies": True}  # several blocks of bytes
+
+
+@pytest.mark.parametrize("case", range(33))
 def test_webp_round_trip(case):
     pixels, options = list(pictures())[case]
     assert (decode(encode(pixels, **options)) == pixels).all()
@@ -274,7 +285,7 @@ def test_media_odd(spark, odd):
         assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(data), len(padded), hashlib.sha256(padded).hexdigest(), zlib.crc32(padded[-64:]))
     assert got[9]["media_sha256"] == got[10]["media_sha256"] and got[9]["feature"] == got[10]["feature"]
     big = bytes(range(256)) * 8000
-    assert media.from_picture(media.to_picture(big)[1], len(big))[0] == big
+    assert media.from_pictures(media.to_pictures(big)[1], len(big))[0] == big
 
 
 # --- op6
