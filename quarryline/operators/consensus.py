@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .stats import MAD_SIGMA, finite_stats, percentile
+from .stats import MAD_SIGMA, finite_stats, quantiles
 
 FEW = 4096
 
@@ -32,7 +32,9 @@ def pairwise_agreement(df: DataFrame, cell: list[str], session: str, depth: str,
 def session_bias(df: DataFrame, cell: list[str], session: str, depth: str, reference) -> DataFrame:
     """Median depth difference of each session from the reference session; measured, never applied."""
     ref = df.where(F.col(session) == reference).select(*cell, F.col(depth).alias("_r"))
-    return df.join(ref, cell).groupBy(session).agg(percentile(F.col(depth) - F.col("_r"), 0.5).alias("bias"), F.count("*").alias("n"), F.lit(0.0).alias("applied"))
+    off = df.join(ref, cell).select(session, (F.col(depth) - F.col("_r")).alias("_o"))
+    counts = off.groupBy(session).agg(F.count("*").alias("n"), F.lit(0.0).alias("applied"))
+    return counts.join(quantiles(off, [session], "_o", {"bias": 0.5}), session, "left").select(session, "bias", "n", "applied")
 
 
 def fuse_depth(df: DataFrame, cell: list[str], session: str, depth: str, weight: str, sigma: str, agreement: float = 6.0, most: float = 12.0, support: int = 2, factor: float = 2.5, rounds: int = 3, excluded: Column | None = None) -> DataFrame:

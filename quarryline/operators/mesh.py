@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.geometry import cross
 from .graph import label_nodes
+from .stats import quantiles
 
 
 def fan(polygons: DataFrame, id_: str, ring: str) -> DataFrame:
@@ -261,8 +262,7 @@ def split_fans(faces: DataFrame, vertices: DataFrame) -> tuple[DataFrame, DataFr
 
 def orientation_cost(evidence: DataFrame) -> DataFrame:
     """Cost of removing a face: more evidence and area cost more, rim faces less; areas count against the median."""
-    med = evidence.agg(F.percentile("area", F.lit(0.5)).alias("m"))
-    return evidence.crossJoin(F.broadcast(med)).select("fid", (1.0 + 2.0 * F.coalesce("evidence", F.lit(0.0)) + F.least(F.col("area") / F.greatest("m", F.lit(1e-12)), F.lit(4.0)) - 0.25 * F.col("rim")).alias("cost"))  # one row
+    return evidence.crossJoin(F.broadcast(quantiles(evidence, [], "area", {"m": 0.5}))).select("fid", (1.0 + 2.0 * F.coalesce("evidence", F.lit(0.0)) + F.least(F.col("area") / F.greatest("m", F.lit(1e-12)), F.lit(4.0)) - 0.25 * F.col("rim")).alias("cost"))  # one row
 
 
 def repair_orientation(faces: DataFrame, vertices: DataFrame, evidence: DataFrame, budget: float = 0.02) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .graph import cut
+
 
 def uniform(key: str, seed: int = 0) -> Column:
     """A number in (0, 1) from a row's key: the same at any partitioning."""
@@ -20,13 +22,27 @@ def weighted_sample(df: DataFrame, most: int, weight: str, key: str, by: list[st
     return ranked.withColumn("_r", F.row_number().over(Window.partitionBy(*by).orderBy("_k", key))).where(F.col("_r") <= most).drop("_k", "_r")
 
 
+def ranked(df: DataFrame, by: list[str], order: list[Column]) -> DataFrame:
+    """``df`` with _i, the place from 0 of each row in its group by ``order``, and _n, the group's rows.
+
+    Rows are dealt by ranges of group and order; a place is the rows of lower ranges plus a window inside the range, so no task
+    holds a group. Ties in ``order`` are in no defined order, but each row has its own place.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = cut(df.repartitionByRange(parts, *by, *order).withColumn("_p", F.spark_partition_id()))
+    group = Window.partitionBy(*by)
+    lower = F.sum("_k").over(group.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1))
+    sums = dealt.groupBy(*by, "_p").agg(F.count("*").alias("_k")).select(*by, "_p", F.coalesce(lower, F.lit(0)).alias("_l"), F.sum("_k").over(group).alias("_n"))
+    inside = dealt.withColumn("_i", F.row_number().over(Window.partitionBy(*by, "_p").orderBy(*order)) - 1)
+    both = inside.join(sums.select(*[F.col(c).alias(f"_s{i}") for i, c in enumerate((*by, "_p"))], "_l", "_n"), [inside[c].eqNullSafe(F.col(f"_s{i}")) for i, c in enumerate((*by, "_p"))])
+    return both.select(*df.columns, (F.col("_l") + F.col("_i")).alias("_i"), "_n")
+
+
 def evenly_spaced(df: DataFrame, most: int, order: str, by: list[str]) -> DataFrame:
     """Rows floor(i (n - 1) / (most - 1)) of each group in order; all if there are at most ``most``."""
-    w = Window.partitionBy(*by)
-    ranked = df.withColumn("_i", F.row_number().over(w.orderBy(order)) - 1).withColumn("_n", F.count("*").over(w))
     step = F.ceil(F.col("_i") * (most - 1) / (F.col("_n") - 1)).cast("long")
     hit = F.floor(step * (F.col("_n") - 1) / (most - 1)) == F.col("_i")
-    return ranked.where((F.col("_n") <= most) | hit).drop("_i", "_n")
+    return ranked(df, by, [F.col(order)]).where((F.col("_n") <= most) | hit).drop("_i", "_n")
 
 
 def best_candidate(df: DataFrame, reasons: str, score: str, key: str) -> DataFrame:
@@ -43,9 +59,9 @@ def top_or_passing(df: DataFrame, passes: Column, least: int, score: str, key: s
 
 def capped_removal(df: DataFrame, flagged: str, score: str, key: str, by: list[str], share: float) -> DataFrame:
     """Flagged rows go, worst score first, but at most ``share`` of each group."""
-    w = Window.partitionBy(*by)
-    ranked = df.withColumn("_n", F.count("*").over(w)).withColumn("_r", F.when(F.col(flagged), F.row_number().over(Window.partitionBy(*by, flagged).orderBy(F.desc(score), key))))
-    return ranked.where(F.col("_r").isNull() | (F.col("_r") > F.floor(share * F.col("_n")))).drop("_n", "_r")
+    flag = F.coalesce(F.col(flagged), F.lit(False))
+    placed = ranked(df.withColumn("_flag", flag), by, [F.desc("_flag"), F.desc(score), F.col(key)])  # flagged rows come first, worst first
+    return placed.where(~F.col("_flag") | (F.col("_i") >= F.floor(share * F.col("_n")))).drop("_flag", "_i", "_n")
 
 
 def greedy_cover(spark, constraints: list[tuple[str, list[str]]], cost: dict[str, float]) -> list[str]:

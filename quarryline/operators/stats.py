@@ -1,7 +1,9 @@
 """Robust and weighted statistics by group.
 
-Percentiles are exact with linear interpolation. A statistic that needs another one's value (MAD needs the median) is a
-second aggregate joined on the group. Empty groups have count 0 and nulls. Values that are null, NaN or infinite don't count.
+Percentiles are exact with linear interpolation, at any size of a group: equal values are one row with their count or weight,
+a group's rows are cut by approximate quantiles into ``PARTS`` ranges, ranges are summed first, and a rank is a range's sum of
+lower ranges plus a window inside it, so no task holds a group. A statistic that needs another one's value (MAD needs the median)
+is a second aggregate joined on the group. Empty groups have count 0 and nulls. Values that are null, NaN or infinite don't count.
 """
 
 from __future__ import annotations
@@ -11,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import is_finite
 
-MAD_SIGMA = 1.4826
+MAD_SIGMA, PARTS = 1.4826, 64
 
 
 def _finite(x: str) -> Column:
@@ -19,20 +21,47 @@ def _finite(x: str) -> Column:
 
 
 def percentile(x, q: float) -> Column:
+    """For groups that are known to be small: one aggregate that holds a group's distinct values."""
     return F.percentile(x, F.lit(q))
 
 
-def finite_stats(df: DataFrame, keys: list[str], value: str, quantiles: dict[str, float] | None = None) -> DataFrame:
-    """n, lowest, median, mean, highest, mad and the named quantiles of finite values, by group."""
-    quantiles = {"p05": 0.05, "p95": 0.95} if quantiles is None else quantiles
-    rows = df.select(*keys, _finite(value).alias("_x"))
-    first = rows.groupBy(*keys).agg(
-        F.count("_x").alias("n"), F.min("_x").alias("lowest"), percentile("_x", 0.5).alias("median"), F.avg("_x").alias("mean"), F.max("_x").alias("highest"),
-        *[percentile("_x", q).alias(k) for k, q in quantiles.items()],
-    )
-    joined = rows.join(first.select(*keys, "median"), keys) if keys else rows.crossJoin(F.broadcast(first.select("median")))  # without keys: one row
-    mad = joined.groupBy(*keys).agg(percentile(F.abs(F.col("_x") - F.col("median")), 0.5).alias("mad"))
-    return first.join(mad, keys) if keys else first.crossJoin(mad)
+def _running(rows: DataFrame, keys: list[str], weight: str) -> DataFrame:
+    """``rows`` (keys, _x, weight), one for each distinct value, with _c, the weights up to and with _x, and _t, those of the group."""
+    edges = rows.groupBy(*keys).agg(F.percentile_approx("_x", [i / PARTS for i in range(1, PARTS)], 1000).alias("_e"))
+    cut = rows.join(edges, keys).withColumn("_b", F.size(F.filter("_e", lambda e: e < F.col("_x")))).drop("_e")
+    group = Window.partitionBy(*keys)
+    sums = cut.groupBy(*keys, "_b").agg(F.sum(weight).alias("_s"))
+    lower = F.sum("_s").over(group.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1))
+    sums = sums.select(*keys, "_b", F.coalesce(lower, F.lit(0)).alias("_l"), F.sum("_s").over(group).alias("_total"))
+    inside = Window.partitionBy(*keys, "_b").orderBy("_x").rowsBetween(Window.unboundedPreceding, 0)
+    return cut.join(sums, [*keys, "_b"]).withColumn("_c", F.col("_l") + F.sum(weight).over(inside)).drop("_b", "_l")
+
+
+def _keyed(df: DataFrame, keys: list[str]) -> tuple[DataFrame, list[str]]:
+    """Without keys all rows are one group."""
+    return (df, list(keys)) if keys else (df.withColumn("_all", F.lit(0)), ["_all"])
+
+
+def quantiles(df: DataFrame, keys: list[str], value: str, wanted: dict[str, float]) -> DataFrame:
+    """The named quantiles of finite values by group; groups without any are left out."""
+    df, by = _keyed(df, keys)
+    counts = df.select(*by, _finite(value).alias("_x")).where("_x is not null").groupBy(*by, "_x").agg(F.count("*").alias("_n"))
+    made = []
+    for name, q in wanted.items():
+        at = F.lit(q) * (F.col("_total") - 1)
+        made += [F.min(F.when(F.col("_c") > F.floor(at), F.col("_x"))).alias(f"_l_{name}"), F.min(F.when(F.col("_c") > F.ceil(at), F.col("_x"))).alias(f"_h_{name}"), F.first(at - F.floor(at)).alias(f"_f_{name}")]
+    found = _running(counts, by, "_n").groupBy(*by).agg(*made)
+    return found.select(*keys, *[(F.col(f"_l_{n}") + F.col(f"_f_{n}") * (F.col(f"_h_{n}") - F.col(f"_l_{n}"))).alias(n) for n in wanted])
+
+
+def finite_stats(df: DataFrame, keys: list[str], value: str, wanted: dict[str, float] | None = None) -> DataFrame:
+    """n, lowest, median, mean, highest, the named quantiles and mad of finite values, by group."""
+    wanted = {"p05": 0.05, "p95": 0.95} if wanted is None else wanted
+    rows, by = _keyed(df.select(*keys, _finite(value).alias("_x")), keys)
+    first = rows.groupBy(*by).agg(F.count("_x").alias("n"), F.min("_x").alias("lowest"), F.avg("_x").alias("mean"), F.max("_x").alias("highest"))
+    ranks = quantiles(rows, by, "_x", {"median": 0.5, **wanted})
+    mad = quantiles(rows.join(ranks.select(*by, "median"), by).select(*by, F.abs(F.col("_x") - F.col("median")).alias("_off")), by, "_off", {"mad": 0.5})
+    return first.join(ranks, by, "left").join(mad, by, "left").select(*keys, "n", "lowest", "median", "mean", "highest", *wanted, "mad")
 
 
 def location_scale(df: DataFrame, keys: list[str], value: str, smallest: float = 0.0) -> DataFrame:
@@ -44,7 +73,7 @@ def location_scale(df: DataFrame, keys: list[str], value: str, smallest: float =
 def background_threshold(df: DataFrame, keys: list[str], value: str, least: float, factor: float, share: float = 0.62, enough: int = 2000) -> DataFrame:
     """median + factor * max(0.75, 1.4826 MAD) of the values up to their ``share`` quantile (of all, if fewer than ``enough`` remain), at least ``least``."""
     rows = df.select(*keys, _finite(value).alias("_x")).where("_x is not null")
-    edge = rows.groupBy(*keys).agg(percentile("_x", share).alias("_edge"))
+    edge = quantiles(rows, keys, "_x", {"_edge": share})
     low = rows.join(edge, keys)
     n = low.groupBy(*keys).agg(F.sum((F.col("_x") <= F.col("_edge")).cast("long")).alias("_n"))
     used = low.join(n, keys).where((F.col("_n") < enough) | (F.col("_x") <= F.col("_edge"))).select(*keys, "_x")
@@ -53,14 +82,14 @@ def background_threshold(df: DataFrame, keys: list[str], value: str, least: floa
 
 
 def _cumulated(df: DataFrame, keys: list[str], value: str, weight: str) -> DataFrame:
-    """Weights summed by distinct value first, then cumulated: a group with few distinct values stays small."""
+    """Weights summed by distinct value first, then cumulated."""
     rows = df.where(is_finite(value) & is_finite(weight) & (F.col(weight) > 0)).groupBy(*keys, F.col(value).cast("double").alias("_x")).agg(F.sum(weight).alias("_w"), F.count("*").alias("_n"))
-    return rows.withColumn("_c", F.sum("_w").over(Window.partitionBy(*keys).orderBy("_x").rowsBetween(Window.unboundedPreceding, 0))).withColumn("_t", F.sum("_w").over(Window.partitionBy(*keys)))
+    return _running(rows, keys, "_w")
 
 
 def lower_quantile(q: float) -> Column:
     """Aggregate over ``_cumulated``: the first value whose cumulated weight reaches q of the total."""
-    return F.min(F.when(F.round("_c", 9) >= F.round(q * F.col("_t"), 9), F.col("_x")))
+    return F.min(F.when(F.round("_c", 9) >= F.round(q * F.col("_total"), 9), F.col("_x")))
 
 
 def weighted_stats(df: DataFrame, keys: list[str], value: str, weight: str) -> DataFrame:
@@ -74,7 +103,7 @@ def weighted_stats(df: DataFrame, keys: list[str], value: str, weight: str) -> D
 def weighted_median(df: DataFrame, keys: list[str], value: str, weight: str) -> DataFrame:
     """Weighted median by group, or the plain median where no weight is positive."""
     weighted = _cumulated(df, keys, value, weight).groupBy(*keys).agg(lower_quantile(0.5).alias("_m"))
-    plain = df.groupBy(*keys).agg(percentile(_finite(value), 0.5).alias("_p"))
+    plain = df.select(*keys).distinct().join(quantiles(df, keys, value, {"_p": 0.5}), keys, "left")
     return plain.join(weighted, keys, "left").select(*keys, F.coalesce("_m", "_p").alias("median"))
 
 
@@ -87,10 +116,10 @@ def weighted_robust_stats(df: DataFrame, keys: list[str], value: str, weight: st
 
 def trimmed_rmse(df: DataFrame, keys: list[str], value: str, share: float, cap: float, least: int = 8) -> DataFrame:
     """RMS of the smallest ceil(share * n) values after capping, of ``least`` values at least."""
-    rows = df.where(is_finite(value)).select(*keys, F.least(F.col(value).cast("double"), F.lit(cap)).alias("_x"))
-    w = Window.partitionBy(*keys)
-    ranked = rows.withColumn("_r", F.row_number().over(w.orderBy("_x"))).withColumn("_n", F.count("*").over(w))
-    return ranked.where(F.col("_r") <= F.greatest(F.ceil(share * F.col("_n")), F.lit(least))).groupBy(*keys).agg(F.sqrt(F.avg(F.col("_x") * F.col("_x"))).alias("rmse"), F.count("*").alias("n"))
+    counts = df.where(is_finite(value)).select(*keys, F.least(F.col(value).cast("double"), F.lit(cap)).alias("_x")).groupBy(*keys, "_x").agg(F.count("*").alias("_n"))
+    most = F.least(F.greatest(F.ceil(share * F.col("_total")), F.lit(least)), F.col("_total"))
+    taken = F.greatest(F.least(most - (F.col("_c") - F.col("_n")), F.col("_n")), F.lit(0))
+    return _running(counts, keys, "_n").groupBy(*keys).agg(F.sqrt(F.sum(taken * F.col("_x") * F.col("_x")) / F.sum(taken)).alias("rmse"), F.sum(taken).cast("long").alias("n"))
 
 
 def weighted_mean(value: str, weight: str) -> Column:
@@ -99,8 +128,10 @@ def weighted_mean(value: str, weight: str) -> Column:
 
 def robust_extent(df: DataFrame, keys: list[str], axes: tuple, least: int = 8) -> DataFrame:
     """P99 - P01 of each axis; null below ``least`` rows."""
-    enough = F.count("*") >= least
-    return df.groupBy(*keys).agg(*[F.when(enough, percentile(_finite(a), 0.99) - percentile(_finite(a), 0.01)).alias(f"extent_{a}") for a in axes])
+    out = df.groupBy(*keys).agg(F.count("*").alias("_rows"))
+    for a in axes:
+        out = out.join(quantiles(df, keys, a, {"_low": 0.01, "_high": 0.99}), keys, "left").withColumn(f"extent_{a}", F.when(F.col("_rows") >= least, F.col("_high") - F.col("_low"))).drop("_low", "_high")
+    return out.drop("_rows")
 
 
 def bounds(df: DataFrame, keys: list[str], axes: tuple) -> DataFrame:

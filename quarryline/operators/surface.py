@@ -11,7 +11,7 @@ from ..functions.scalar import clip
 from ..session import ship
 from .graph import cut, label_nodes
 from .joins import knn_join, outlier_filter, radius_filter, radius_join
-from .stats import MAD_SIGMA, finite_stats, percentile, weighted_median
+from .stats import MAD_SIGMA, finite_stats, percentile, quantiles, weighted_median
 
 AXES, NORMAL = ("x", "y", "z"), ("nx", "ny", "nz")
 
@@ -241,7 +241,7 @@ def scale_guard(original: DataFrame, moved: DataFrame, least_ratio: float, round
     """The largest share of a move that keeps the median spacing at ``least_ratio`` of the original, by bisection."""
     joined = original.select(id_, *AXES).join(moved.select(id_, *[F.col(a).alias(f"m{a}") for a in AXES]), id_)
     at = lambda f: joined.select(id_, *[(F.col(a) + f * (F.col(f"m{a}") - F.col(a))).alias(a) for a in AXES])
-    spacing = lambda df: knn_join(df, df, 1, id_, AXES, skip_self=True).agg(percentile("distance", 0.5)).first()[0] or 0.0
+    spacing = lambda df: next((r["m"] for r in quantiles(knn_join(df, df, 1, id_, AXES, skip_self=True), [], "distance", {"m": 0.5}).collect()), 0.0)
     first = spacing(original)
     lo, hi = 0.0, 1.0
     if spacing(at(1.0)) >= least_ratio * first:
@@ -256,7 +256,7 @@ def scale_guard(original: DataFrame, moved: DataFrame, least_ratio: float, round
 def supported_samples(df: DataFrame, strong: Column, radius: float, factor: float = 3.0, floor: float = 0.9, weight: str = "w", id_: str = "id") -> DataFrame:
     """Points that stand off their neighbours' surface near strong points go, worst first, but ``floor`` of all stay."""
     res = cut(local_residual(df, radius, weight, id_))
-    scale = res.agg(percentile("residual", 0.5).alias("m"))
+    scale = quantiles(res, [], "residual", {"m": 0.5})
     near = radius_join(df.where(~strong), df.where(strong), radius, id_, AXES).select(F.col("a_id").alias(id_)).distinct().withColumn("near", F.lit(True))
     flagged = df.join(res, id_).join(near, id_, "left").crossJoin(F.broadcast(scale)).withColumn("flag", F.coalesce(F.col("near") & (F.col("residual") > factor * F.col("m")), F.lit(False)))  # one row
     from .sampling import capped_removal
@@ -298,9 +298,11 @@ def orient_normals(df: DataFrame, k: int = 8, id_: str = "id") -> DataFrame:
     tree = cut(met.groupBy(F.col("a_id").alias("u")).agg(F.max_by(F.struct(F.col("b_id").alias("v"), (dot < 0).cast("int").alias("flip")), F.abs(dot)).alias("p")).select("u", "p.v", "p.flip"))
     signs = parity(df, tree, id_).select(id_, F.when(F.col("label") == 1, -1.0).otherwise(1.0).alias("_s"))
     turned = df.join(signs, id_).withColumns({c: F.col(c) * F.col("_s") for c in NORMAL}).join(label_nodes(df, tree.select("u", "v"), id_).withColumnRenamed("component", "_t"), id_)
-    center = turned.groupBy("_t").agg(*[percentile(a, 0.5).alias(f"_{a}") for a in AXES])
-    out = turned.join(center, "_t").withColumn("_v", sum((F.col(n_) * (F.col(a) - F.col(f"_{a}")) for a, n_ in zip(AXES[1:], NORMAL[1:], strict=True)), F.col("nx") * (F.col("x") - F.col("_x"))))
-    side = out.groupBy("_t").agg(F.when(percentile("_v", 0.5) < 0, -1.0).otherwise(1.0).alias("_g"))
+    out = turned
+    for a in AXES:
+        out = out.join(quantiles(turned, ["_t"], a, {f"_{a}": 0.5}), "_t")
+    out = out.withColumn("_v", sum((F.col(n_) * (F.col(a) - F.col(f"_{a}")) for a, n_ in zip(AXES[1:], NORMAL[1:], strict=True)), F.col("nx") * (F.col("x") - F.col("_x"))))
+    side = quantiles(out, ["_t"], "_v", {"_m": 0.5}).select("_t", F.when(F.col("_m") < 0, -1.0).otherwise(1.0).alias("_g"))
     return out.join(side, "_t").withColumns({c: F.col(c) * F.col("_g") for c in NORMAL}).select(*df.columns)
 
 
