@@ -3,14 +3,21 @@
 Each stage takes what the one before kept, as Parquet. Language ID rejects documents that are ``und``; the quality
 classifier those it scores below KEEP; of each group of near-duplicates, found by SimHash and min-hash bands and verified, one
 document stays; the last stage packs all that is left.
+
+Odd input, in every stage but the last: the columns of documents come out as they went in, whatever their names; null texts and
+texts without a letter have no language and go in the first stage; repeated rows are judged each, and of equal texts one row
+stays; rows that share a key are each judged by their own text; rows with a null key are scored like others and stay in the
+near-duplicates stage, as no key can name them; ties go to the smaller key; very long texts are read whole; no rows, no rows.
 """
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 
 from quarryline.llm import langid, packing, quality, shingles
-from quarryline.llm.common import stored
+from quarryline.llm.common import settled
 from quarryline.llm.queries import vocabulary
 
 KEEP = 0.5
@@ -53,7 +60,8 @@ STAGES = [("languages", languages), ("quality", good), ("near_duplicates", disti
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages; what a stage stored on the way is deleted when its result is written."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), name)
+        docs = settled(functools.partial(stage, spark, docs, sf_dir), spark, name)
     return STAGES[-1][1](spark, docs, sf_dir)
