@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -28,11 +29,17 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
-def prepare(spark: SparkSession, batch: str = BATCH_BYTES) -> None:
-    """Checkpoints go to the shared folder, workers can import this package, and Arrow batches are bounded by bytes."""
+def prepare(spark: SparkSession) -> None:
+    """Checkpoints go to the shared folder, workers can import this package, and Arrow batches are bounded by bytes.
+
+    The bound stays set in the session, since frames run after the call that made them.
+    """
     shared_dir(spark)
     ship(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", batch)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+
+
+_paths: list[str] = []
 
 
 def stored(df: DataFrame, name: str, **options: str) -> DataFrame:
@@ -43,10 +50,21 @@ def stored(df: DataFrame, name: str, **options: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.options(**options).parquet(path)
+    _paths.append(path)
     atexit.register(_remove, spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def settled(make: Callable[[], DataFrame], spark: SparkSession, name: str) -> DataFrame:
+    """``make()``'s rows as a stored table; the tables that it stored on the way are deleted as soon as it is written."""
+    first = len(_paths)
+    out = stored(make(), name)
+    for path in _paths[first:-1]:
+        _remove(spark, path)
+    del _paths[first:-1]
+    return out
+
+
 def _remove(spark: SparkSession, path: str) -> None:
     try:
         jvm = spark.sparkContext._jvm

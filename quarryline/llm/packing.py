@@ -240,7 +240,7 @@ def pack(docs: DataFrame, path: str, size: int = 1024, targets: dict | None = No
     large a source is. Empty input gives no pieces.
     """
     spark = docs.sparkSession
-    prepare(spark, "8m")
+    prepare(spark)
     kind = dict(docs.dtypes)[key]
     rows = docs.select(docs[key].alias("doc_id"), F.coalesce(docs[source].cast("string"), F.lit("\0null")).alias("queue"), docs[text].alias("text"))
     kept = stored(rows.mapInArrow(_queued(path, end_id), QUEUED.format(kind)), "queues", compression="zstd")

@@ -567,3 +567,35 @@ def test_pipeline(spark, reference):
     rows = {r["doc_id"]: np.array([*reference(r["text"] or ""), 0], "<u4") for r in kept.collect()}
     assert 0 < len(rows) < docs.count()
     packed_right(corpus_pipeline.run(spark, sf).collect(), rows)
+
+
+def test_pipeline_odd(spark, tmp_path, reference):
+    """Nulls in every column, empty and very long texts, ties, repeated rows and keys, clashing extra columns, and no rows at all."""
+    import corpus_pipeline
+
+    whole = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    rows = [(1000 + i, t, [None, "en", "fr"][i % 3], [None, "a"][i % 2]) for i, t in enumerate(ODD)]
+    rows += [(None, "no key, but a text with words", "en", None), (None, None, None, None), (2000, "one text of a shared key stands here", "en", "s"), (2000, "quite another text of that same key", "en", "s"), (2000, "quite another text of that same key", "en", "s")]
+    extra = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").withColumn("n_chars", F.length("text").cast(whole.schema["n_chars"].dataType))
+    clash = {"langid": F.lit("x"), "quality_score": F.lit(1), "node": F.lit(2), "key": F.lit(3), "queue": F.lit("q"), "component_id": F.lit(4)}
+    docs = whole.unionByName(extra.select(*whole.columns)).withColumns(clash)
+    sf = str(tmp_path)
+    docs.repartition(3).write.parquet(f"{sf}/documents.parquet")
+    spark.read.parquet("/root/testdata/sf0.001/labels.parquet").write.parquet(f"{sf}/labels.parquet")
+    kept = spark.read.parquet(f"{sf}/documents.parquet")
+    before = {tuple(r) for r in kept.collect()}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        kept = stage(spark, kept, sf)
+        assert kept.columns == docs.columns, name
+    some = [tuple(r) for r in kept.collect()]
+    assert set(some) <= before and some
+    ids = {r[0] for r in some}
+    assert not ids & {1000, 1001, 1002}  # null, empty and white texts have no language
+    tokens = sum(len(reference(r["text"] or "")) + 1 for r in kept.collect())
+    pieces = corpus_pipeline.run(spark, sf).collect()
+    assert sum(p["length"] for p in pieces) == tokens and {p["doc_id"] for p in pieces} == ids
+    empty = docs.where("false")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        empty = stage(spark, empty, sf)
+        assert empty.columns == docs.columns and empty.count() == 0, name
+    assert corpus_pipeline.STAGES[-1][1](spark, empty, sf).count() == 0
