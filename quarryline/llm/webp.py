@@ -75,16 +75,18 @@ class Code:
     """A prefix code as a table by the next ``longest`` bits of the stream: symbol << 4 | its length."""
 
     def __init__(self, lengths: np.ndarray):
-        used = np.flatnonzero(lengths)
+        used = lengths.nonzero()[0]
         if len(used) <= 1:
             self.longest, self.table = 0, np.array([used[0] << 4 if len(used) else 0], np.uint16)
             return
-        sizes = lengths[used].astype(np.int64)
-        self.longest = most = int(sizes.max())
-        if (1 << (most - sizes)).sum() != 1 << most:
+        sizes = lengths[used]
+        order = sizes.argsort(kind="stable")
+        sizes = sizes[order]
+        self.longest = most = int(sizes[-1])
+        by_msb = (used[order] << 4 | sizes).astype(np.uint16).repeat(1 << (most - sizes))
+        if len(by_msb) != 1 << most:
             raise ValueError("a prefix code isn't complete")
-        order = np.argsort(sizes, kind="stable")
-        self.table = np.repeat((used[order] << 4 | sizes[order]).astype(np.uint16), 1 << (most - sizes[order]))[_reversed(most)]
+        self.table = by_msb[_reversed(most)]
 
     def next(self, bits: Bits) -> int:
         found = int(self.table[bits.peek(self.longest)])
@@ -107,7 +109,17 @@ def canonical(lengths: np.ndarray) -> np.ndarray:
     return out
 
 
+@functools.cache
+def _single(symbol: int) -> Code:
+    lengths = np.zeros(256, np.int64)
+    lengths[symbol] = 1
+    return Code(lengths)
+
+
 def _read_code(bits: Bits, size: int) -> Code:
+    if (start := bits.peek(11)) & 7 == 0b101:
+        bits.at += 11
+        return _single(start >> 3)
     lengths = np.zeros(size, np.int64)
     if bits.read(1):
         two, wide = bits.read(1), bits.read(1)
@@ -147,6 +159,9 @@ def _more(symbol):
     return np.where(np.asarray(symbol) < 4, symbol + 1, ((2 + (symbol & 1)) << n) + 1), n
 
 
+_MORE_BITS = _more(np.arange(DISTANCES))[1].astype(np.int32)
+
+
 def _extra(bits: Bits, symbol: int) -> int:
     least, n = _more(symbol)
     return int(least) + bits.read(int(n))
@@ -229,29 +244,36 @@ def _block_tokens(bits: Bits, n: int, width: int, codes: list[Code], out: np.nda
     """(place, symbol, size, distance or 0) of the tokens that begin in the next block, up to ``n`` pixels; literals go to ``out``."""
     lo, p = bits.at >> 3, bits.at & 7
     raw = np.frombuffer(bits.data, np.uint8, offset=lo)
-    limit, raw = 8 * min(BYTES, len(raw)), raw[: BYTES + 16].astype(np.uint32)
+    limit, raw = 8 * min(BYTES, len(raw)), raw[: BYTES + 16]
     total = 8 * len(raw)
-    raw = np.r_[raw, np.zeros(4, np.uint32)]
+    raw = np.r_[raw, np.zeros(20, np.uint8)].astype(np.uint32)  # a token takes fewer than 128 bits
     words = raw[:-3] | raw[1:-2] << 8 | raw[2:-1] << 16 | raw[3:] << 24
-    windows = (words[:, None] >> np.arange(8, dtype=np.uint32)).astype(np.uint16).ravel()[: total + 1]
-    first = codes[0].at(windows)
-    end = np.arange(total + 1, dtype=np.int32) + (first & 15)
-    special = np.flatnonzero(first >= 256 << 4)
+    windows = (words[:, None] >> np.arange(8, dtype=np.uint32)).astype(np.uint16).ravel()
+    first = codes[0].at(windows[: total + 1])
+    end = np.arange(total + 1, dtype=np.int32)
+    end += first & 15
+    special = (first >= 256 << 4).nonzero()[0]
     after = end[special]
     for code in codes[1:4]:
         if code.longest:
-            end += code.at(windows[np.minimum(end, total)]) & 15
+            end += code.at(windows[end]) & 15
     if len(special):
         symbol = (first[special] >> 4).astype(np.int32) - 256
-        copy = symbol < LENGTHS
-        q = after[copy] + _more(symbol[copy])[1]
-        found = codes[4].at(windows[np.minimum(q, total)])
-        after[copy] = q + (found & 15) + _more((found >> 4).astype(np.int32))[1]
-        end[special] = after
-    stop = end.copy()
-    stop[limit:] = np.arange(limit, total + 1, dtype=np.int32)  # where no token of this block begins
-    np.minimum(stop, total, out=stop)
-    two = stop[stop]
+        if cached := codes[0].table.max() >= (256 + LENGTHS) << 4:
+            copy = symbol < LENGTHS
+            symbol, q = symbol[copy], after[copy]
+        else:
+            q = after
+        q = q + _MORE_BITS[symbol]
+        found = codes[4].at(windows[q])
+        q += (found & 15) + _MORE_BITS[found >> 4]
+        if cached:
+            after[copy] = q
+        end[special] = after if cached else q
+    stop = np.arange(total + 129, dtype=np.int32)  # where no token of this block begins it stays
+    stop[:limit] = end[:limit]
+    two = stop[stop[: total + 1]]
+    two = np.r_[two, stop[total + 1 :]]
     four, starts = memoryview(two[two]), []
     add = starts.append
     for _ in range((n + 3) // 4):
@@ -266,15 +288,15 @@ def _block_tokens(bits: Bits, n: int, width: int, codes: list[Code], out: np.nda
     at = at.ravel()
     at = at[: np.searchsorted(at, limit)]
     symbol = (first[at] >> 4).astype(np.int64)
-    copy = np.flatnonzero((symbol >= 256) & (symbol < 256 + LENGTHS))
+    copy = ((symbol >= 256) & (symbol < 256 + LENGTHS)).nonzero()[0]
     size, back = np.ones(len(at), np.int64), np.zeros(len(at), np.int64)
-    read = lambda q, k: words[np.minimum(q >> 3, len(words) - 1)].astype(np.int64) >> (q & 7) & ((1 << k) - 1)
+    read = lambda q, k: words[q >> 3].astype(np.int64) >> (q & 7) & ((1 << k) - 1)
     if len(copy):
         q = at[copy] + (first[at[copy]] & 15)
         least, k = _more(symbol[copy] - 256)
         size[copy] = least + read(q, k)
         q = q + k
-        found = codes[4].at(windows[np.minimum(q, total)])
+        found = codes[4].at(windows[q])
         least, k = _more((found >> 4).astype(np.int64))
         code = least + read(q + (found & 15), k)
         near = _near(width)
@@ -289,7 +311,7 @@ def _block_tokens(bits: Bits, n: int, width: int, codes: list[Code], out: np.nda
     pixel, r = symbol[plain].astype(np.uint32) << 8, at[plain] + (first[at[plain]] & 15)
     for code, shift in zip(codes[1:4], (16, 0, 24), strict=True):
         if code.longest:
-            found = code.at(windows[np.minimum(r, total)])
+            found = code.at(windows[r])
             pixel |= (found >> 4).astype(np.uint32) << shift
             r = r + (found & 15)
         else:
@@ -572,11 +594,11 @@ def _put_lengths(out: _Writer, lengths: np.ndarray) -> np.ndarray:
         codes, taken = np.zeros(len(ORDER), np.int64), np.zeros(len(ORDER), np.int64)
     else:
         codes, taken = canonical(sizes), sizes
-    n = max(4, 1 + max(i for i, s in enumerate(ORDER) if sizes[s]))
-    out.put(0, 1)
-    out.put(n - 4, 4)
-    for s in ORDER[:n]:
-        out.put(int(sizes[s]), 3)
+    listed = sizes[list(ORDER)]
+    n = max(4, 1 + int(listed.nonzero()[0][-1]))
+    out.put((n - 4) << 1, 5)
+    out.place(listed[:n], 3 * np.arange(n))
+    out.total += 3 * n
     left = len(steps) - 2  # two symbols have two lengths at least
     out.put(upto < len(lengths), 1)
     if upto < len(lengths):
@@ -590,13 +612,21 @@ def _put_lengths(out: _Writer, lengths: np.ndarray) -> np.ndarray:
     return lengths
 
 
+def _computed_prefix(value: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    v = value - 1
+    top = np.maximum(np.frexp(v.astype(np.float64))[1].astype(np.int64) - 1, 1)
+    n = np.where(v < 4, 0, top - 1)
+    return np.where(v < 4, v, 2 * top + (v >> (top - 1) & 1)), v & ((1 << n) - 1), n
+
+
+_PREFIXES = _computed_prefix(np.arange(1 << 14))
+
+
 def _prefix(value: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(symbol, extra bits, their number) of lengths or distance codes."""
-    v = np.asarray(value, np.int64) - 1
-    top = np.maximum(np.frexp(v.astype(np.float64))[1] - 1, 1)
-    symbol = np.where(v < 4, v, 2 * top + (v >> (top - 1) & 1))
-    n = np.where(v < 4, 0, top - 1)
-    return symbol, v & ((1 << n) - 1), n
+    if len(value) and value.max() >= 1 << 14:
+        return _computed_prefix(value)
+    return tuple(table[value] for table in _PREFIXES)
 
 
 _ODD_NUMBERS = np.random.default_rng(11).integers(0, 2**64, SHORTEST, np.uint64) | np.uint64(1)
@@ -799,10 +829,12 @@ def choose(pixels: np.ndarray) -> dict:
     shift = 5
     if _grey(pixels):
         green = (pixels >> 8).astype(np.uint8)
-        now, colours = _bits(green[..., None]), np.count_nonzero(np.bincount(green.ravel(), minlength=256))
-        if pixels.size >= 1 << 10 and min(_bits(np.diff(green, axis=k)[..., None]) for k in (0, 1)) < 0.8 * now:
+        colours = np.count_nonzero(np.bincount(green.ravel(), minlength=256))
+        steps = np.bincount((green[1:] - green[:-1]).ravel(), minlength=256) if len(green) > 1 else np.ones(1)
+        across = np.bincount((green[:, 1:] - green[:, :-1]).ravel(), minlength=256) if green.shape[1] > 1 else np.ones(1)
+        if pixels.size >= 1 << 10 and max(np.sort(x)[-8:].sum() / x.sum() for x in (steps, across)) > 0.6:  # smooth, or repeating by rows
             modes = _best_modes(pixels, shift)
-            if _bits(_split(_predicted(pixels, modes, shift))[..., 1:2]) + 4 * modes.size < 0.8 * now:
+            if _bits(_split(_predicted(pixels, modes, shift))[..., 1:2]) + 4 * modes.size < 0.8 * _bits(green[..., None]):
                 return {"transforms": (("predictor", shift, modes),), "copies": True}
         return {"transforms": (("palette",),) if colours <= 16 else (), "copies": True}  # more colours aren't bundled, and their codes cost the same
     if len(np.unique(pixels)) <= 256:
