@@ -146,20 +146,58 @@ def contacts(faces: DataFrame, vertices: DataFrame, cell: float) -> DataFrame:
     return near.mapInPandas(run, f"fa {kind}, fb {kind}, category string")
 
 
-def intersection_guard(original: DataFrame, moved: DataFrame, faces: DataFrame, cell: float, rounds: int = 4) -> DataFrame:
-    """``moved`` with the vertices of faces that newly touch in a blocking way put back, round by round; what is left after the
-    rounds goes back wholly."""
+def _largest(fits, steps: int) -> float:
+    """The largest share found by bisection for which ``fits`` holds; 0 is taken to."""
+    lo, hi = 0.0, 1.0
+    for _ in range(steps):
+        mid = (lo + hi) / 2
+        lo, hi = (mid, hi) if fits(mid) else (lo, mid)
+    return lo
+
+
+def intersection_guard(original: DataFrame, moved: DataFrame, faces: DataFrame, cell: float, rounds: int = 8, rings: int = 2, widenings: int = 4, floor: float = 0.25, steps: int = 6) -> DataFrame:
+    """``moved`` without faces that newly touch in a blocking way, losing as little of the move as three ways allow.
+
+    First the vertices of such faces, and of faces that turn over, go back, for up to ``rounds`` rounds. If that doesn't settle, the
+    vertices of all conflicts seen and ``rings`` rings around them keep a share of their move, which grows from the conflicts to
+    ``floor`` at the outermost ring's weight; the share at the conflicts is bisected, and rings are widened up to ``widenings`` times.
+    If no share does, the whole move is bisected; the original is the last resort.
+    """
     from .graph import cut
-
-    known = contacts(faces, original, cell).where(F.col("category").isin(*BLOCKING)).select("fa", "fb")
-    current = moved.select("vid", "x", "y", "z")
-    for k in range(rounds + 1):
-        new = cut(contacts(faces, current, cell).where(F.col("category").isin(*BLOCKING)).join(known, ["fa", "fb"], "left_anti"))
-        if new.limit(1).count() == 0:
+    from .mesh import edges, face_geometry
+
+    moved = cut(moved.select("vid", "x", "y", "z"))
+    known = cut(contacts(faces, original, cell).where(F.col("category").isin(*BLOCKING)).select("fa", "fb"))
+    clash = lambda v: cut(contacts(faces, v, cell).where(F.col("category").isin(*BLOCKING)).join(known, ["fa", "fb"], "left_anti"))
+    free = lambda v: clash(v).limit(1).count() == 0
+    before = face_geometry(faces, original).select("fid", F.col("nx").alias("ox"), F.col("ny").alias("oy"), F.col("nz").alias("oz"))
+    corners_of = lambda ids: faces.join(ids, "fid", "left_semi").select(F.explode(F.array("a", "b", "c")).alias("vid")).distinct()
+    current, frozen, seen = moved, None, None
+    for _ in range(rounds):
+        turned = face_geometry(faces, current).join(before, "fid").where("nx * ox + ny * oy + nz * oz < 0").select("fid")
+        new = clash(current).select(F.explode(F.array("fa", "fb")).alias("fid"))
+        bad = cut(corners_of(new.unionByName(turned).distinct()))
+        if bad.limit(1).count() == 0:
             return current
-        if k == rounds:
-            return original.select("vid", "x", "y", "z")
-        bad = new.select(F.explode(F.array("fa", "fb")).alias("fid")).distinct()
-        back = faces.join(bad, "fid", "left_semi").select(F.explode(F.array("a", "b", "c")).alias("vid")).distinct()
-        current = cut(current.join(back, "vid", "left_anti").unionByName(original.select("vid", "x", "y", "z").join(back, "vid", "left_semi")))
-    return current
+        seen = bad if seen is None else cut(seen.unionByName(bad).distinct())
+        wider = bad if frozen is None else cut(frozen.unionByName(bad).distinct())
+        if frozen is not None and wider.count() == frozen.count():
+            break
+        frozen = wider
+        current = cut(moved.join(frozen, "vid", "left_anti").unionByName(original.select("vid", "x", "y", "z").join(frozen, "vid", "left_semi")))
+    e = edges(faces).select("lo", "hi")
+    near = cut(e.unionByName(e.select(F.col("hi").alias("lo"), F.col("lo").alias("hi"))))
+    pairs = cut(original.select("vid", "x", "y", "z").join(moved.toDF("vid", "mx", "my", "mz"), "vid"))
+    for widening in range(widenings):
+        n = rings + widening
+        reached = seen.withColumn("ring", F.lit(0))
+        for ring in range(1, n + 1):
+            step = near.join(reached.select(F.col("vid").alias("lo")), "lo", "left_semi").select(F.col("hi").alias("vid")).distinct().join(reached, "vid", "left_anti")
+            reached = cut(reached.unionByName(step.withColumn("ring", F.lit(ring))))
+        weight = reached.select("vid", (1.0 - F.col("ring") / (n + 1) * (1.0 - floor)).alias("w"))
+        both = cut(pairs.join(weight, "vid", "left").fillna(0.0, ["w"]))
+        at = lambda beta, both=both: cut(both.select("vid", *[(F.col(x) + (1 - F.col("w") * (1 - F.lit(beta))) * (F.col(f"m{x}") - F.col(x))).alias(x) for x in "xyz"]))
+        if free(at(0.0)):
+            return at(_largest(lambda beta, at=at: free(at(beta)), steps))
+    whole = lambda share: cut(pairs.select("vid", *[(F.col(x) + share * (F.col(f"m{x}") - F.col(x))).alias(x) for x in "xyz"]))
+    return whole(_largest(lambda share: free(whole(share)), steps))
