@@ -773,3 +773,5 @@ def reprojection_support(spark, sf):
     poses = turntable(spark)
     depth = consensus._project(v.where("voxel % 2 = 0"), poses, 20.0, 10.0, 10.0, "voxel", "pose_index").groupBy("pose_index", "u", "v").agg(F.min("pz").alias("depth"))
     return consensus.reprojection_support(v, poses, depth, 20.0, 10.0, 10.0, 0.05).select("voxel", "agree", "contradict", "occluded", "agree_mask")
+
+from . import more_queries as _more  # noqa: E402, F401  registers its queries
