@@ -2,7 +2,8 @@
 
 Percentiles are exact with linear interpolation, at any size of a group: equal values are one row with their count or weight,
 a group's rows are cut by approximate quantiles into ``PARTS`` ranges, ranges are summed first, and a rank is a range's sum of
-lower ranges plus a window inside it, so no task holds a group. A statistic that needs another one's value (MAD needs the median)
+lower ranges plus a window inside it, so no task holds a group (groups that are counted to hold ``SMALL`` rows at most take the
+built-in percentile, which gives the same). A statistic that needs another one's value (MAD needs the median)
 is a second aggregate joined on the group. Empty groups have count 0 and nulls. Values that are null, NaN or infinite don't count.
 """
 
@@ -12,8 +13,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import is_finite
+from .graph import cut
 
-MAD_SIGMA, PARTS = 1.4826, 64
+MAD_SIGMA, PARTS, GROUPS, SMALL = 1.4826, 64, 5000, 100_000
 
 
 def _finite(x: str) -> Column:
@@ -21,20 +23,32 @@ def _finite(x: str) -> Column:
 
 
 def percentile(x, q: float) -> Column:
-    """For groups that are known to be small: one aggregate that holds a group's distinct values."""
+    """For groups that are known or counted to be small: one aggregate that holds a group's distinct values."""
     return F.percentile(x, F.lit(q))
 
 
-def _running(rows: DataFrame, keys: list[str], weight: str) -> DataFrame:
-    """``rows`` (keys, _x, weight), one for each distinct value, with _c, the weights up to and with _x, and _t, those of the group."""
-    edges = rows.groupBy(*keys).agg(F.percentile_approx("_x", [i / PARTS for i in range(1, PARTS)], 1000).alias("_e"))
-    cut = rows.join(edges, keys).withColumn("_b", F.size(F.filter("_e", lambda e: e < F.col("_x")))).drop("_e")
+def _part(value: str, edges: str) -> Column:
+    """How many of PARTS - 1 ascending edges lie below a value, by halving."""
+    at, step = F.lit(0), PARTS // 2
+    while step:
+        at = at + F.when(F.element_at(edges, at + step) < F.col(value), step).otherwise(0)
+        step //= 2
+    return at
+
+
+def _running(rows: DataFrame, keys: list[str], aggregates: dict[str, Column], weight: str) -> DataFrame:
+    """One row for each distinct _x of ``rows`` (keys, _x, ...) with the ``aggregates``, with _c, the weights up to and with _x, and
+    _total, those of the group."""
+    edges = cut(rows.groupBy(*keys).agg(F.percentile_approx("_x", [i / PARTS for i in range(1, PARTS)], 1000).alias("_e")))
+    few = edges.count() <= GROUPS
+    small = F.broadcast if few else lambda df: df  # an array of PARTS, and PARTS sums, for each of GROUPS groups at most
+    counted = cut(rows.join(small(edges), keys).withColumn("_b", _part("_x", "_e")).groupBy(*keys, "_b", "_x").agg(*[a.alias(n) for n, a in aggregates.items()]))
     group = Window.partitionBy(*keys)
-    sums = cut.groupBy(*keys, "_b").agg(F.sum(weight).alias("_s"))
+    sums = counted.groupBy(*keys, "_b").agg(F.sum(weight).alias("_s"))
     lower = F.sum("_s").over(group.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1))
     sums = sums.select(*keys, "_b", F.coalesce(lower, F.lit(0)).alias("_l"), F.sum("_s").over(group).alias("_total"))
     inside = Window.partitionBy(*keys, "_b").orderBy("_x").rowsBetween(Window.unboundedPreceding, 0)
-    return cut.join(sums, [*keys, "_b"]).withColumn("_c", F.col("_l") + F.sum(weight).over(inside)).drop("_b", "_l")
+    return counted.join(small(sums), [*keys, "_b"]).withColumn("_c", F.col("_l") + F.sum(weight).over(inside)).drop("_b", "_l")
 
 
 def _keyed(df: DataFrame, keys: list[str]) -> tuple[DataFrame, list[str]]:
@@ -45,12 +59,13 @@ def _keyed(df: DataFrame, keys: list[str]) -> tuple[DataFrame, list[str]]:
 def quantiles(df: DataFrame, keys: list[str], value: str, wanted: dict[str, float]) -> DataFrame:
     """The named quantiles of finite values by group; groups without any are left out."""
     df, by = _keyed(df, keys)
-    counts = df.select(*by, _finite(value).alias("_x")).where("_x is not null").groupBy(*by, "_x").agg(F.count("*").alias("_n"))
-    made = []
+    values, made = df.select(*by, _finite(value).alias("_x")).where("_x is not null"), []
+    if (values.groupBy(*by).count().agg(F.max("count")).first()[0] or 0) <= SMALL:  # no group is large: one aggregate gives the same
+        return values.groupBy(*by).agg(*[percentile("_x", q).alias(n) for n, q in wanted.items()]).select(*keys, *wanted)
     for name, q in wanted.items():
         at = F.lit(q) * (F.col("_total") - 1)
         made += [F.min(F.when(F.col("_c") > F.floor(at), F.col("_x"))).alias(f"_l_{name}"), F.min(F.when(F.col("_c") > F.ceil(at), F.col("_x"))).alias(f"_h_{name}"), F.first(at - F.floor(at)).alias(f"_f_{name}")]
-    found = _running(counts, by, "_n").groupBy(*by).agg(*made)
+    found = _running(values, by, {"_n": F.count("*")}, "_n").groupBy(*by).agg(*made)
     return found.select(*keys, *[(F.col(f"_l_{n}") + F.col(f"_f_{n}") * (F.col(f"_h_{n}") - F.col(f"_l_{n}"))).alias(n) for n in wanted])
 
 
@@ -83,8 +98,8 @@ def background_threshold(df: DataFrame, keys: list[str], value: str, least: floa
 
 def _cumulated(df: DataFrame, keys: list[str], value: str, weight: str) -> DataFrame:
     """Weights summed by distinct value first, then cumulated."""
-    rows = df.where(is_finite(value) & is_finite(weight) & (F.col(weight) > 0)).groupBy(*keys, F.col(value).cast("double").alias("_x")).agg(F.sum(weight).alias("_w"), F.count("*").alias("_n"))
-    return _running(rows, keys, "_w")
+    rows = df.where(is_finite(value) & is_finite(weight) & (F.col(weight) > 0)).select(*keys, F.col(value).cast("double").alias("_x"), F.col(weight).alias("_v"))
+    return _running(rows, keys, {"_w": F.sum("_v"), "_n": F.count("*")}, "_w")
 
 
 def lower_quantile(q: float) -> Column:
@@ -116,10 +131,10 @@ def weighted_robust_stats(df: DataFrame, keys: list[str], value: str, weight: st
 
 def trimmed_rmse(df: DataFrame, keys: list[str], value: str, share: float, cap: float, least: int = 8) -> DataFrame:
     """RMS of the smallest ceil(share * n) values after capping, of ``least`` values at least."""
-    counts = df.where(is_finite(value)).select(*keys, F.least(F.col(value).cast("double"), F.lit(cap)).alias("_x")).groupBy(*keys, "_x").agg(F.count("*").alias("_n"))
+    rows = df.where(is_finite(value)).select(*keys, F.least(F.col(value).cast("double"), F.lit(cap)).alias("_x"))
     most = F.least(F.greatest(F.ceil(share * F.col("_total")), F.lit(least)), F.col("_total"))
     taken = F.greatest(F.least(most - (F.col("_c") - F.col("_n")), F.col("_n")), F.lit(0))
-    return _running(counts, keys, "_n").groupBy(*keys).agg(F.sqrt(F.sum(taken * F.col("_x") * F.col("_x")) / F.sum(taken)).alias("rmse"), F.sum(taken).cast("long").alias("n"))
+    return _running(rows, keys, {"_n": F.count("*")}, "_n").groupBy(*keys).agg(F.sqrt(F.sum(taken * F.col("_x") * F.col("_x")) / F.sum(taken)).alias("rmse"), F.sum(taken).cast("long").alias("n"))
 
 
 def weighted_mean(value: str, weight: str) -> Column:

@@ -49,6 +49,38 @@ def test_stats_of_nothing_and_nan(spark):
     assert got["b"]["n"] == 0 and got["b"]["median"] is None
 
 
+def test_quantiles_by_ranges_match_numpy(spark, monkeypatch):
+    """Ties, skew, single values and negative numbers, in groups that are cut into ranges."""
+    monkeypatch.setattr(stats, "SMALL", 0)
+    rng = np.random.default_rng(4)
+    groups = {"ties": rng.integers(0, 5, 700), "skew": np.exp(rng.normal(0, 4, 900)), "one": np.array([3.5]), "two": np.array([-1.0, 4.0]), "same": np.full(50, 2.0), "wide": rng.normal(0, 1e9, 333)}
+    df = spark.createDataFrame([(k, float(x)) for k, v in groups.items() for x in v] + [("none", None), ("ties", float("inf"))], "k string, v double").repartition(4)
+    wanted = {"a": 0.0, "b": 0.05, "c": 0.5, "d": 0.62, "e": 0.99, "f": 1.0}
+    got = {r["k"]: r for r in stats.quantiles(df, ["k"], "v", wanted).collect()}
+    assert set(got) == set(groups)
+    for k, v in groups.items():
+        for n, q in wanted.items():
+            assert got[k][n] == pytest.approx(np.quantile(v.astype(float), q), rel=1e-12)
+    assert stats.quantiles(df, [], "v", {"m": 0.5}).first()["m"] == pytest.approx(np.median(np.concatenate(list(groups.values())).astype(float)))
+    full = {r["k"]: r for r in stats.finite_stats(df, ["k"], "v").collect()}
+    assert full["none"]["n"] == 0 and full["none"]["median"] is None
+    assert full["skew"]["mad"] == pytest.approx(np.median(np.abs(groups["skew"] - np.median(groups["skew"]))))
+
+
+def test_ranks_by_ranges(spark):
+    from quarryline.operators import sampling
+
+    df = spark.createDataFrame([(i % 3 if i % 7 else None, (i * 37) % 101, i) for i in range(500)], "g int, o int, id int").repartition(5)
+    got = sampling.ranked(df, ["g"], [F.col("o"), F.col("id")]).collect()
+    by = {}
+    for r in got:
+        by.setdefault(r["g"], []).append((r["_i"], r["o"], r["id"], r["_n"]))
+    for rows in by.values():
+        rows.sort()
+        assert [x[0] for x in rows] == list(range(len(rows))) and {x[3] for x in rows} == {len(rows)}
+        assert [x[1:3] for x in rows] == sorted(x[1:3] for x in rows)
+
+
 def test_radius_and_nearest(spark):
     p, df = cloud(spark)
     d = np.linalg.norm(p[:, None] - p[None], axis=2)
