@@ -2,7 +2,8 @@
 
 Statistics are of the whole text. Trees are complete binary trees of one depth, flattened into arrays [tree, node], and
 rows go down all of them by numpy, level by level. Fitting takes at most ``SAMPLE`` labelled rows, chosen by a hash of the
-key; several labels of one key count as their mean, rounded half up; null labels are left out. Without any learnable label
+key; several labels of one key count as their mean, rounded half up, and of several texts of one key the one of least hash is
+learned from; null labels are left out. Without any learnable label
 every score is 0.5. A null text counts as empty, and an empty text has a score like any other.
 """
 
@@ -115,7 +116,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, text: str =
     known = labels.where(labels[key].isNotNull() & labels[label].isNotNull()).groupBy(labels[key].alias("k")).agg(F.floor(F.avg(labels[label]) + 0.5).cast("int").alias("y"))
     chosen = known.orderBy(F.xxhash64(F.col("k").cast("string"), F.lit("quality")), "k").limit(sample)
     rows = docs.select(docs[key].alias("k"), docs[text].alias("t")).join(F.broadcast(chosen), "k")  # ``sample`` rows at most
-    rows = rows.select("k", "y", text_statistics("t").alias("x")).collect()
+    rows = rows.select("k", "y", F.xxhash64("t").alias("h"), text_statistics("t").alias("x")).groupBy("k", "y").agg(F.min(F.struct("h", "x")).alias("m"))
+    rows = rows.select("k", "y", "m.x").collect()
     rows.sort(key=lambda r: (r["k"], r["y"], r["x"]))
     return fit(np.array([r["x"] for r in rows]).reshape(-1, len(STATISTICS)), np.array([r["y"] for r in rows], float))
 

@@ -4,8 +4,10 @@ A rule is a host and a path prefix with a verdict; it fits its host and all subd
 its path, and the longest fitting rule decides. Listed canonical urls (host and path) are looked up by a blocked Bloom
 filter: every url's (host suffix, path prefix) keys are hashed once, one 64-bit block is read, and only keys whose bits are
 all set go on to an exact hash join, which removes the false positives. Path prefixes are tried only at lengths that some
-rule has. The Bloom filter has at most ``MAX_BLOCKS`` blocks whatever the list's size: past that more keys reach the join,
-but the result is the same. The join is Spark's choice by the rules' size, so a long list is shuffled, not broadcast.
+rule has. Urls without a possible hit get the default verdict where they are read; only the others are shuffled. The Bloom
+filter has at most ``MAX_BLOCKS`` blocks whatever the list's size, so it goes with the plan as one array that all rows share: past
+that more keys reach the join, but the result is the same. The join is Spark's choice by the rules' size, so a long list is
+shuffled, not broadcast.
 
 A url that is null or has no ``://`` has an empty host and path and fits no rule. Equal urls are judged once. With no
 rules every url gets the default verdict. Of rules with equal host and path the first verdict in sorted order counts.
@@ -69,10 +71,13 @@ def judge(urls: DataFrame, rules: DataFrame, default: str = "allow", url: str =
     prefixes = F.transform(F.filter(F.array(*map(F.lit, lengths)), lambda n: n <= F.length("path")), lambda n: F.col("path").substr(F.lit(1), n))
     keys = F.flatten(F.transform(suffixes, lambda h: F.transform(prefixes, lambda p: F.struct(h.alias("h"), p.alias("p"), F.xxhash64(h, p).alias("x")))))
     hits = F.filter(keys, lambda k: F.element_at(words, _block(k["x"], blocks) + 1).bitwiseAND(_bits(k["x"])) == _bits(k["x"]))
-    met = whole.select("host", "path").where("host <> ''").distinct().select("host", "path", F.explode(hits).alias("k"))
+    possible = F.exists(keys, lambda k: F.element_at(words, _block(k["x"], blocks) + 1).bitwiseAND(_bits(k["x"])) == _bits(k["x"]))
+    some = whole.where((F.col("host") != "") & possible)
+    met = some.select("host", "path").distinct().select("host", "path", F.explode(hits).alias("k"))
     exact = met.join(parts.select(F.col("host").alias("rh"), F.col("path").alias("rp"), F.col("verdict").alias("rv")), (F.col("k.h") == F.col("rh")) & (F.col("k.p") == F.col("rp")))
     size = F.length("rh") + F.length("rp")
     best = exact.groupBy("host", "path").agg(F.max(F.struct(size.alias("n"), F.length("rh").alias("hn"), F.concat("rh", "rp").alias("rule"), "rv")).alias("best"))
     best = best.select("host", "path", F.col("best.rule").alias("rule"), F.col("best.rv").alias("found"))
-    judged = whole.join(best, ["host", "path"], "left")
+    plain = whole.where(~((F.col("host") != "") & possible)).select("*", F.lit(None).cast("string").alias("rule"), F.lit(None).cast("string").alias("found"))
+    judged = some.join(best, ["host", "path"], "left").select(*whole.columns, "rule", "found").unionByName(plain)
     return judged.select(*rest, "host", "path", "rule", F.coalesce("found", F.lit(default)).alias("verdict"))

@@ -140,6 +140,18 @@ def test_bloom_has_no_false_negatives(spark, monkeypatch):
     assert urlfilter.judge(urls, rules).where("verdict = 'block'").count() == 500
 
 
+def test_long_list_of_rules(spark):
+    """Forty thousand rules of several path lengths: every url is judged as a dictionary of the rules says."""
+    rules = [(f"h{i}.org", "/" + "p" * (i % 4), "block" if i % 3 else "allow") for i in range(40_000)]
+    urls = [f"https://{'www.' if i % 2 else ''}h{i}.{'org' if i % 5 else 'net'}/{'p' * (i % 6)}" for i in range(0, 50_000, 7)]
+    got = urlfilter.judge(spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "page_id long, url string"), spark.createDataFrame(rules, "host string, path string, verdict string"))
+    by = {(h, p): v for h, p, v in rules}
+    for r in got.collect():
+        host = r["host"].removeprefix("www.")
+        fits = [p for p in ("/ppp", "/pp", "/p", "/") if r["path"].startswith(p) and (host, p) in by]
+        assert (r["rule"], r["verdict"]) == ((host + fits[0], by[host, fits[0]]) if fits else (None, "allow"))
+
+
 def test_native_plan(spark):
     plan = queries.op2_url_filter(spark, SF)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
