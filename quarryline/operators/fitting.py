@@ -213,11 +213,82 @@ def smallest_rectangle(p: np.ndarray) -> tuple[float, float]:
     return best[1], best[2]
 
 
+def robust_circle(p: np.ndarray, rounds: int = 100) -> tuple[float, float, float]:
+    """Centre and radius of least summed soft distance 2 (sqrt(1 + r^2) - 1), by reweighted steps from the least-squares circle."""
+    at = np.array(circle(p))
+    for _ in range(rounds):
+        away = p - at[:2]
+        far = np.maximum(np.linalg.norm(away, axis=1), 1e-12)
+        r = far - at[2]
+        root = (1 + r * r) ** -0.25
+        slope = np.c_[-away / far[:, None], -np.ones(len(p))] * root[:, None]
+        step = np.linalg.lstsq(slope, -r * root, rcond=None)[0]
+        at = at + step
+        if np.abs(step).max() < 1e-10:
+            break
+    return float(at[0]), float(at[1]), float(max(at[2], 0.0))
+
+
+def simplified(ring: np.ndarray, tolerance: float) -> np.ndarray:
+    """Corners of a closed polygon that stand off the chords between kept corners by more than ``tolerance``."""
+    def kept(first: int, last: int) -> list[int]:
+        if last - first < 2:
+            return [first]
+        a, d = ring[first], ring[last % len(ring)] - ring[first]
+        q = ring[first + 1 : last] - a
+        size = np.linalg.norm(d)
+        off = np.abs(q[:, 0] * d[1] - q[:, 1] * d[0]) / size if size > 1e-12 else np.linalg.norm(q, axis=1)
+        k = first + 1 + int(off.argmax())
+        return kept(first, k) + kept(k, last) if off.max() > tolerance else [first]
+
+    far = int(np.linalg.norm(ring - ring[0], axis=1).argmax())
+    found = kept(0, far) + kept(far, len(ring))
+    corners = ring[found]
+    if len(corners) > 3:  # the two it began with may lie on a side themselves
+        d = np.roll(corners, -1, axis=0) - np.roll(corners, 1, axis=0)
+        q = corners - np.roll(corners, 1, axis=0)
+        off = np.abs(q[:, 0] * d[:, 1] - q[:, 1] * d[:, 0]) / np.maximum(np.linalg.norm(d, axis=1), 1e-12)
+        corners = corners[off > tolerance]
+    return corners
+
+
+def polygon_area(ring: np.ndarray) -> float:
+    x, y = ring.T if len(ring) else (np.zeros(0), np.zeros(0))
+    return 0.5 * abs(float(x @ np.roll(y, -1) - y @ np.roll(x, -1)))
+
+
+def _pyramid(p: np.ndarray, band: float = 2.0, share: float = 0.04) -> dict[str, float]:
+    """Mean side of a triangular base, mean height of the faces and mean edge to the tip; nothing where the base isn't a flat triangle
+    or the tip doesn't stand over every side."""
+    y = p[:, 1]
+    ends = [p[y <= y.min() + band], p[y >= y.max() - band]]
+    base, top = sorted(ends, key=lambda e: -polygon_area(hull(e[:, [0, 2]])))
+    centre = base.mean(0)
+    axes = np.linalg.svd(base - centre, full_matrices=False)[2]
+    ring = hull((base - centre) @ axes[:2].T)
+    length = float(np.linalg.norm(ring - np.roll(ring, -1, axis=0), axis=1).sum())
+    corners = simplified(ring, share * length)
+    if len(corners) != 3 or np.quantile(np.abs((base - centre) @ axes[2]), 0.95) > band:
+        return {}
+    corners, tip = centre + corners @ axes[:2], top.mean(0)
+    side = np.roll(corners, -1, axis=0) - corners
+    at = ((tip - corners) * side).sum(1) / (side * side).sum(1)
+    if ((at < 0) | (at > 1)).any():
+        return {}
+    feet = corners + at[:, None] * side
+    return {"side": float(np.linalg.norm(side, axis=1).mean()), "face_height": float(np.linalg.norm(tip - feet, axis=1).mean()), "edge": float(np.linalg.norm(tip - corners, axis=1).mean())}
+
+
 def dimensions(p: np.ndarray, kind: str) -> dict[str, float]:
-    """Sizes of a standing object with +Y up: cube (height, width, depth) or cylinder (height, diameter)."""
-    height = float(np.percentile(p[:, 1], 99.5) - np.percentile(p[:, 1], 0.5))
-    flat = p[:, [0, 2]]
+    """Sizes of a standing object with +Y up: cube (height, width, depth), cylinder (height, diameter; a robust circle around the middle
+    three fifths) or pyramid (side, face_height, edge; empty where these can't be told)."""
+    y, height = p[:, 1], float(np.ptp(p[:, 1]))
+    if kind == "pyramid":
+        return _pyramid(p)
     if kind == "cylinder":
-        return {"height": height, "diameter": 2 * circle(flat)[2]}
-    wide, deep = smallest_rectangle(flat)
+        middle = p[(y >= y.min() + 0.2 * height) & (y <= y.min() + 0.8 * height)][:, [0, 2]]
+        if len(middle) < 20:
+            raise ValueError("too few points for a diameter")
+        return {"height": height, "diameter": 2 * robust_circle(middle)[2]}
+    wide, deep = smallest_rectangle(p[:, [0, 2]])
     return {"height": height, "width": wide, "depth": deep}

@@ -500,3 +500,36 @@ def scale_trend(faces: DataFrame, vertices: DataFrame, spacing: float, small: fl
     gate = smoothstep((F.abs(F.col("l") - F.col("s")) - start * spacing) / max(width * spacing, 1e-9))
     move = made.where("not isnan(s) and not isnan(l)").join(rim, "vid", "left_anti").select("vid", clip(strength * gate * F.col("l"), -step * spacing, step * spacing).alias("m"))
     return v.join(move, "vid", "left").select("vid", *[(F.col(x) + F.coalesce("m", F.lit(0.0)) * F.col(f"n{x}")).alias(x) for x in "xyz"])
+
+
+def edge_structure(faces: DataFrame, vertices: DataFrame, soft_deg: float = 22.0, hard_deg: float = 42.0, least_strength: float = 0.12, least_weight: float = 0.08, ring_strength: float = 0.35, rounds: int = 0, share: float = 0.5) -> tuple[DataFrame, DataFrame]:
+    """What a smoothing may do at each edge and vertex, fixed before it: edges (lo, hi, dihedral, weight, rim) and vertices (vid,
+    dihedral, strength, rim).
+
+    Dihedral angles (180 on a rim; the largest to the first face where an edge has more than two) are measured after ``rounds`` of
+    Laplacian steps of ``share`` on vertices off the rim, so roughness doesn't pass for an edge. Weights and strengths fall smoothly from
+    1 at ``soft_deg`` to their least at ``hard_deg``; a rim's are 0, and one step off the rim a strength is ``ring_strength`` at most.
+    """
+    from ..functions.scalar import smoothstep
+    from .graph import cut
+
+    rim = boundary(faces).select("lo", "hi")
+    open_ = cut(rim.select(F.explode(F.array("lo", "hi")).alias("vid")).distinct())
+    guide = vertices.select("vid", "x", "y", "z")
+    for _ in range(rounds):
+        step = laplacian(faces, guide).join(open_, "vid", "left_anti")
+        guide = cut(guide.join(step, "vid", "left").select("vid", *[(F.col(c) + share * F.coalesce(f"l{c}", F.lit(0.0))).alias(c) for c in "xyz"]))
+    n = face_geometry(faces, guide).select("fid", "nx", "ny", "nz")
+    sides = half_edges(faces).select("lo", "hi", "fid").join(n, "fid").groupBy("lo", "hi").agg(F.array_sort(F.collect_list(F.struct("fid", "nx", "ny", "nz"))).alias("f"))  # the faces of one edge
+    first = F.col("f")[0]
+    cosines = F.transform(F.slice("f", 2, F.size("f")), lambda o: F.greatest(F.lit(-1.0), F.least(F.lit(1.0), first["nx"] * o["nx"] + first["ny"] * o["ny"] + first["nz"] * o["nz"])))
+    e = sides.select("lo", "hi", (F.size("f") == 1).alias("rim"), F.when(F.size("f") == 1, 180.0).otherwise(F.degrees(F.acos(F.array_min(cosines)))).alias("dihedral"))
+    fade = lambda: smoothstep((F.col("dihedral") - soft_deg) / max(hard_deg - soft_deg, 1e-6))
+    e = cut(e.withColumn("weight", F.when(F.col("rim"), 0.0).otherwise(1 - fade() * (1 - least_weight))))
+    ends = e.select(F.explode(F.array("lo", "hi")).alias("vid"), "dihedral", "rim")
+    v = vertices.select("vid").join(ends.groupBy("vid").agg(F.max("dihedral").alias("dihedral"), F.bool_or("rim").alias("rim")), "vid", "left").fillna({"dihedral": 0.0, "rim": False})
+    both = e.select(F.col("lo").alias("vid"), F.col("hi").alias("o")).unionByName(e.select(F.col("hi").alias("vid"), F.col("lo").alias("o")))
+    ring = both.join(open_.withColumnRenamed("vid", "o"), "o", "left_semi").select("vid").distinct().withColumn("ring", F.lit(True))
+    strength = 1 - fade() * (1 - least_strength)
+    v = v.join(ring, "vid", "left").withColumn("strength", F.when(F.col("rim"), 0.0).when(F.col("ring"), F.least(strength, F.lit(ring_strength))).otherwise(strength))
+    return e.select("lo", "hi", "dihedral", "weight", "rim"), v.select("vid", "dihedral", "strength", "rim")

@@ -137,6 +137,15 @@ def smooth_face_normals(spark, sf):
     return mesh.smooth_normals(*strip(spark, sf), rounds=1).select("fid", *[r(c, 4).alias(c) for c in ("nx", "ny", "nz")])
 
 
+_DIH = f"""(WITH g AS {_UNIT}, o AS (SELECT fid, least(p, q) AS lo, greatest(p, q) AS hi, min(fid) OVER (PARTITION BY least(p, q), greatest(p, q)) AS k FROM {SIDES}), d AS (SELECT lo, hi, count(*) AS n, max(CASE WHEN o.fid <> k THEN degrees(acos(greatest(-1.0, least(1.0, i.x*j.x+i.y*j.y+i.z*j.z)))) END) AS t FROM o JOIN g i ON i.fid = o.fid JOIN g j ON j.fid = o.k GROUP BY 1, 2)
+SELECT lo, hi, n = 1 AS rim, CASE WHEN n = 1 THEN 180.0 ELSE t END AS dihedral, least(greatest((CASE WHEN n = 1 THEN 180.0 ELSE t END - 22.0)/20.0, 0.0), 1.0) AS s FROM d)"""
+
+
+@query(f"SELECT lo, hi, rim, round(dihedral, 3) AS dihedral, round(CASE WHEN rim THEN 0.0 ELSE 1 - s*s*(3 - 2*s)*0.92 END, 4) AS weight FROM {_DIH}")
+def feature_edges(spark, sf):
+    return mesh.edge_structure(*strip(spark, sf))[0].select("lo", "hi", "rim", r("dihedral", 3).alias("dihedral"), r("weight", 4).alias("weight"))
+
+
 @query(f"SELECT f.fid, a, b, c FROM {FACES} f LEFT JOIN {_RIM} USING (fid) WHERE rim IS NULL OR NOT (a % 11 = 0 OR b % 11 = 0 OR c % 11 = 0)")
 def rim_retraction(spark, sf):
     f, v = strip(spark, sf)

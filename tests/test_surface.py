@@ -216,3 +216,57 @@ def test_axis_guard_and_coverage(spark):
     assert np.allclose(raster.geodesic(seeds, np.ones((1, 9)), line)[0], range(9))
     got = raster.contact_recovery(seeds, line & ~seeds & (np.arange(9) < 8)[None], (np.arange(9) == 8)[None], np.full((1, 9), 0.5))
     assert got[0, 1] and not got[0, 7]
+
+
+def test_sizes_of_solids():
+    from quarryline.operators import fitting
+
+    rng = np.random.default_rng(2)
+    turn = rng.uniform(0, 2 * np.pi, 4000)
+    wall = np.c_[40 + 25 * np.cos(turn), rng.uniform(0, 80, 4000), -10 + 25 * np.sin(turn)]
+    wall[:120, [0, 2]] *= 3  # stray points
+    wall[-1, 1], wall[-2, 1] = 0.0, 80.0
+    got = fitting.dimensions(wall, "cylinder")
+    assert got["height"] == 80.0 and abs(got["diameter"] - 50) < 0.3 and abs(2 * fitting.circle(wall[:, [0, 2]])[2] - 50) > 1
+    corners, tip = np.array([[0, 0, 0], [60, 0, 0], [30, 0, 52.0]]), np.array([30, 70.0, 17.3])
+    w = rng.dirichlet(np.ones(3), 6000)
+    faces = [w[:1500] @ corners, *(w[1500 * k : 1500 * (k + 1)] @ np.array([corners[k - 1], corners[k % 3], tip]) for k in (1, 2, 3))]
+    sizes = fitting.dimensions(np.concatenate([*faces, corners, np.repeat(tip[None], 50, 0)]), "pyramid")
+    assert abs(sizes["side"] - 60) < 1.5 and abs(sizes["edge"] - np.mean(np.linalg.norm(corners - tip, axis=1))) < 3
+    assert fitting.dimensions(rng.uniform(0, 50, (500, 3)), "pyramid") == {}
+    box = fitting.dimensions(np.array([[x, y, z] for x in (0, 30.0) for y in (0, 9.0) for z in (0, 20.0)]), "cube")
+    assert box == {"height": 9.0, "width": 30.0, "depth": 20.0}
+
+
+def test_edge_structure(spark):
+    from quarryline.operators import mesh
+
+    # a roof: two flat quads of two triangles each that meet at 90 degrees
+    v = spark.createDataFrame([(0, 0.0, 0.0, 0.0), (1, 0.0, 2.0, 0.0), (2, 1.0, 0.0, 1.0), (3, 1.0, 2.0, 1.0), (4, 2.0, 0.0, 0.0), (5, 2.0, 2.0, 0.0), (6, 9.0, 9.0, 9.0)], "vid long, x double, y double, z double")
+    f = spark.createDataFrame([(0, 0, 2, 1), (1, 1, 2, 3), (2, 2, 4, 3), (3, 3, 4, 5)], "fid long, a long, b long, c long")
+    e, w = mesh.edge_structure(f, v)
+    edges = {(r["lo"], r["hi"]): (round(r["dihedral"], 4), round(r["weight"], 6), r["rim"]) for r in e.collect()}
+    assert edges[2, 3] == (90.0, 0.08, False) and edges[1, 2] == (0.0, 1.0, False) and edges[0, 1] == (180.0, 0.0, True) and len(edges) == 9
+    assert {r["vid"]: r["strength"] for r in w.collect()} == {**{i: 0.0 for i in range(6)}, 6: 1.0}
+
+
+def test_turntable_and_silhouette():
+    from quarryline.operators import raster
+
+    rng = np.random.default_rng(0)
+    y, x = np.indices((120, 160))
+    disc = ((x - 80) / 45) ** 2 + ((y - 85) / 18) ** 2 <= 1
+    gray = np.where(disc, 150.0, 60.0) + rng.normal(0, 1, disc.shape)
+    valid = np.ones(disc.shape, bool)
+    depth = np.where(disc, 500.0, 900.0)
+    mask, found = raster.support_mask(gray, valid, depth)
+    assert found["status"] == "detected" and (mask & disc).sum() / (mask | disc).sum() > 0.9 and abs(found["ellipse"][0] - 80) < 1
+    assert raster.support_mask(np.full(disc.shape, 60.0) + rng.normal(0, 1, disc.shape), valid)[1]["status"] == "not detected"
+    scene = np.repeat(gray[..., None], 3, 2)
+    thing = (np.abs(x - 80) < 14) & (y > 30) & (y < 84)
+    shadow = disc & (np.abs(x - 110) < 8)
+    picture = scene + thing[..., None] * 70.0 - (shadow & ~thing)[..., None] * 9.0
+    got, how = raster.silhouette(picture, scene, valid, disc)
+    assert (got & thing).sum() / (got | thing).sum() > 0.85 and not (got & shadow).any() and how["verdict"] == "accepted"
+    empty, how = raster.silhouette(scene, scene, valid, disc)
+    assert not empty.any() and how["verdict"] == "rejected"
