@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ship
 from .mesh import ordered_loops
+from .sampling import ranked
 
 
 def ear_clip(p: np.ndarray) -> list[tuple[int, int, int]]:
@@ -54,5 +55,5 @@ def fill_loops(faces: DataFrame, vertices: DataFrame, most_edges: int, most_off:
 
     made = corners.groupBy("component").applyInPandas(close, f"component {kind}, k long, a {kind}, b {kind}, c {kind}")
     top = faces.agg(F.coalesce(F.max("fid"), F.lit(0)).alias("top"))
-    new = made.crossJoin(F.broadcast(top)).select((F.col("top") + F.row_number().over(Window.orderBy("component", "k"))).cast(id_kind).alias("fid"), "a", "b", "c")  # one row; new faces are few
+    new = ranked(made, [], [F.col("component"), F.col("k")]).crossJoin(F.broadcast(top)).select((F.col("top") + 1 + F.col("_i")).cast(id_kind).alias("fid"), "a", "b", "c")  # one row
     return faces.select("fid", "a", "b", "c").unionByName(new)

@@ -7,11 +7,14 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 
 from ..session import ship
+from .graph import cut
+from .stats import MAD_SIGMA, quantiles
 
-PLANE = "nx double, ny double, nz double, d double, inliers long, rmse double"
+DRAWN, LARGE = 1024, 500_000
 
 
 def fit_plane(p: np.ndarray) -> tuple[np.ndarray, float]:
@@ -42,19 +45,55 @@ def ransac_plane(p: np.ndarray, tolerance: float, rounds: int = 200, seed: int =
     return n, d, np.abs(p @ n - d) <= tolerance
 
 
-def plane_per_group(df: DataFrame, keys: list[str], axes: tuple, order: str, tolerance: float, seed: int = 0) -> DataFrame:
-    """A RANSAC plane for each group; groups of fewer than three points give none. Rows are put in ``order`` first."""
-    ship(df.sparkSession)
-    head = ", ".join(f"{k} {t}" for k, t in df.dtypes if k in keys)
-
-    def run(name: tuple, g: pd.DataFrame) -> pd.DataFrame:
-        p = g.sort_values(order)[list(axes)].to_numpy(float)
-        if len(p) < 3:
-            return pd.DataFrame(columns=[*keys, "nx", "ny", "nz", "d", "inliers", "rmse"])
-        n, d, near = ransac_plane(p, tolerance, seed=seed)
-        return pd.DataFrame([[*name, *n, d, int(near.sum()), float(np.sqrt(np.mean((p[near] @ n - d) ** 2))) if near.any() else None]], columns=[*keys, "nx", "ny", "nz", "d", "inliers", "rmse"])
+def plane_per_group(df: DataFrame, keys: list[str], axes: tuple, order: str, tolerance: float, seed: int = 0, rounds: int = 200) -> DataFrame:
+    """A RANSAC plane for each group: keys, unit normal (largest component positive), d, inliers, rmse.
 
-    return df.select(*keys, order, *axes).groupBy(*keys).applyInPandas(run, f"{head}, {PLANE}")
+    Planes are drawn through three of DRAWN rows of a group, chosen by a hash of ``order``; all rows vote on them by aggregates, so no
+    task holds a group. Most inliers win, of ties the least median distance, then the first drawn; the winner is refined on its
+    inliers by their covariance. Groups of fewer than three points in general position give none.
+    """
+    ship(df.sparkSession)
+    rows = df.select(*keys, order, *[F.col(a).cast("double").alias(a) for a in axes]).dropna(subset=list(axes))
+    head = ", ".join(f"{k} {t}" for k, t in rows.dtypes if k in keys)
+    by_hash = Window.partitionBy(*keys).orderBy(F.xxhash64(F.col(order), F.lit(seed)), order)
+    some = rows.withColumn("_r", F.row_number().over(by_hash)).where(F.col("_r") <= DRAWN)
+
+    def draw(name: tuple, g: pd.DataFrame) -> pd.DataFrame:
+        p, rng, out = g.sort_values("_r")[list(axes)].to_numpy(float), np.random.default_rng(seed), []
+        for h in range(rounds if len(p) >= 3 else 0):
+            a, b, c = p[rng.choice(len(p), 3, replace=False)]
+            n = np.cross(b - a, c - a)
+            if (size := np.linalg.norm(n)) >= 1e-12:
+                out.append((*name, h, *(n / size), float(n @ a / size)))
+        return pd.DataFrame(out, columns=[*keys, "h", "hx", "hy", "hz", "hd"])
+
+    drawn = cut(some.groupBy(*keys).applyInPandas(draw, f"{head}, h int, hx double, hy double, hz double, hd double"))
+    if drawn.count() <= 100_000:
+        drawn = F.broadcast(drawn)  # ``rounds`` planes for each of a counted number of groups
+    far = lambda n, d: F.abs(sum((F.col(a) * F.col(x) for a, x in zip(axes[1:], n[1:], strict=True)), F.col(axes[0]) * F.col(n[0])) - F.col(d))
+    votes = rows.join(drawn, keys).withColumn("far", far(("hx", "hy", "hz"), "hd")).where(F.col("far") <= tolerance)
+    counted = votes.groupBy(*keys, "h", "hx", "hy", "hz", "hd").agg(F.count("*").alias("n"))
+    best = cut(counted.withColumn("top", F.max("n").over(Window.partitionBy(*keys))).where("n = top").drop("top", "n"))  # ``rounds`` rows a group
+    near = rows.join(F.broadcast(best) if best.count() <= 100_000 else best, keys).withColumn("far", far(("hx", "hy", "hz"), "hd")).where(F.col("far") <= tolerance)
+    median = quantiles(near, [*keys, "h"], "far", {"m": 0.5})
+    chosen = best.join(median, [*keys, "h"]).groupBy(*keys).agg(F.min_by(F.struct("hx", "hy", "hz", "hd"), F.struct("m", "h")).alias("p")).select(*keys, "p.*")
+    near = rows.join(chosen, keys).where(far(("hx", "hy", "hz"), "hd") <= tolerance)
+    pairs = [(i, j) for i in range(3) for j in range(i, 3)]
+    moments = near.groupBy(*keys).agg(*[F.avg(a).alias(f"m{i}") for i, a in enumerate(axes)], *[F.covar_pop(axes[i], axes[j]).alias(f"c{i}{j}") for i, j in pairs])
+
+    def refine(g: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for r in g.to_dict("records"):
+            c = np.array([[r[f"c{min(i, j)}{max(i, j)}"] for j in range(3)] for i in range(3)])
+            n = np.linalg.eigh(c)[1][:, 0]
+            n = n * np.sign(n[np.argmax(np.abs(n))])
+            out.append((*[r[k] for k in keys], *n, float(n @ [r["m0"], r["m1"], r["m2"]])))
+        return pd.DataFrame(out, columns=[*keys, "nx", "ny", "nz", "d"])
+
+    planes = moments.groupBy(*keys).applyInPandas(refine, f"{head}, nx double, ny double, nz double, d double")
+    off = rows.join(planes, keys).withColumn("far", far(("nx", "ny", "nz"), "d"))
+    hit = F.col("far") <= tolerance
+    return off.groupBy(*keys, "nx", "ny", "nz", "d").agg(F.count_if(hit).alias("inliers"), F.sqrt(F.avg(F.when(hit, F.col("far") * F.col("far")))).alias("rmse"))
 
 
 def dominant_planes(p: np.ndarray, tolerance: float, least: int, most: int = 3, seed: int = 0) -> list[tuple]:
@@ -85,21 +124,53 @@ def quadratic_design(u: np.ndarray, v: np.ndarray) -> np.ndarray:
     return np.stack([u * u, v * v, u * v, u, v, np.ones_like(u)], 1)
 
 
-def quadratic_per_group(df: DataFrame, keys: list[str], u: str, v: str, y: str, order: str) -> DataFrame:
-    """Coefficients a..f and rmse of a robust quadratic for each group of six rows or more."""
+def quadratic_per_group(df: DataFrame, keys: list[str], u: str, v: str, y: str, order: str, rounds: int = 12, huber: float = 1.345) -> DataFrame:
+    """Coefficients a..f and rmse of a robust quadratic for each group of six rows or more.
+
+    Groups that are all counted to hold LARGE rows at most are fitted each in one task; else by the same rounds over aggregates:
+    weighted normal equations, then the residuals' scale from quantiles.
+    """
     ship(df.sparkSession)
+    rows = df.select(*keys, order, u, v, y).dropna(subset=[u, v, y])
     head = ", ".join(f"{k} {t}" for k, t in df.dtypes if k in keys)
     names = [*keys, *"abcdef", "rmse"]
+    if (rows.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0) > LARGE:
+        return _quadratic_by_sums(rows, keys, u, v, y, rounds, huber)
 
     def run(name: tuple, g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values(order)
         if len(g) < 6:
             return pd.DataFrame(columns=names)
         x, z = quadratic_design(g[u].to_numpy(float), g[v].to_numpy(float)), g[y].to_numpy(float)
-        beta = irls(x, z, np.ones(len(z)))
+        beta = irls(x, z, np.ones(len(z)), rounds, huber)
         return pd.DataFrame([[*name, *beta, float(np.sqrt(np.mean((z - x @ beta) ** 2)))]], columns=names)
 
-    return df.select(*keys, order, u, v, y).groupBy(*keys).applyInPandas(run, f"{head}, {', '.join(f'{c} double' for c in 'abcdef')}, rmse double")
+    return rows.groupBy(*keys).applyInPandas(run, f"{head}, {', '.join(f'{c} double' for c in 'abcdef')}, rmse double")
+
+
+def _quadratic_by_sums(rows: DataFrame, keys: list[str], u: str, v: str, y: str, rounds: int, huber: float) -> DataFrame:
+    design = [F.col(u) * F.col(u), F.col(v) * F.col(v), F.col(u) * F.col(v), F.col(u), F.col(v), F.lit(1.0)]
+    base = cut(rows.select(*keys, *[d.cast("double").alias(f"_d{i}") for i, d in enumerate(design)], F.col(y).cast("double").alias("_y")))
+    head, pairs = ", ".join(f"{k} {t}" for k, t in base.dtypes if k in keys), [(i, j) for i in range(6) for j in range(i, 6)]
+
+    def solve(g: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for r in g.to_dict("records"):
+            m = np.array([[r[f"s{min(i, j)}{max(i, j)}"] for j in range(6)] for i in range(6)])
+            out.append((*[r[k] for k in keys], *np.linalg.lstsq(m, np.array([r[f"t{i}"] for i in range(6)]), rcond=None)[0]))
+        return pd.DataFrame(out, columns=[*keys, *"abcdef"])
+
+    weighted, fit = base.withColumn("_w", F.lit(1.0)), None
+    off = F.col("_y") - sum((F.col(f"_d{i}") * F.col(c) for i, c in enumerate("bcdef", 1)), F.col("_d0") * F.col("a"))
+    for _ in range(rounds):
+        sums = weighted.groupBy(*keys).agg(F.count("*").alias("n"), *[F.sum(F.col("_w") * F.col(f"_d{i}") * F.col(f"_d{j}")).alias(f"s{i}{j}") for i, j in pairs], *[F.sum(F.col("_w") * F.col(f"_d{i}") * F.col("_y")).alias(f"t{i}") for i in range(6)])
+        fit = cut(sums.where("n >= 6").groupBy(*keys).applyInPandas(solve, f"{head}, {', '.join(f'{c} double' for c in 'abcdef')}"))
+        left = base.join(fit, keys).withColumn("_r", off)
+        middle = quantiles(left, keys, "_r", {"_m": 0.5})
+        scale = quantiles(left.join(middle, keys).withColumn("_s", F.abs(F.col("_r") - F.col("_m"))), keys, "_s", {"_mad": 0.5})
+        sigma = F.greatest(F.lit(1e-6), MAD_SIGMA * F.col("_mad"))
+        weighted = left.join(scale, keys).withColumn("_w", F.least(F.lit(1.0), huber * sigma / F.greatest(F.abs(F.col("_r")), F.lit(1e-12)))).select(*base.columns, "_w")
+    return base.join(fit, keys).groupBy(*keys, *"abcdef").agg(F.sqrt(F.avg(off * off)).alias("rmse"))
 
 
 def held_out_error(design: np.ndarray, y: np.ndarray, fold: np.ndarray) -> float:

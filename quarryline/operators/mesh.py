@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.geometry import cross
 from .graph import label_nodes
+from .sampling import ranked as ranked_rows
 from .stats import quantiles
 
 
@@ -250,7 +251,7 @@ def split_fans(faces: DataFrame, vertices: DataFrame) -> tuple[DataFrame, DataFr
     top = vertices.agg(F.max("vid").alias("top"))
     fresh = extra.crossJoin(F.broadcast(top)).withColumn("at", F.xxhash64("vid", "fan"))  # one row
     total = fresh.count()
-    numbered = fresh.withColumn("new", F.col("top") + F.row_number().over(Window.orderBy("vid", "fan"))) if total else fresh.withColumn("new", F.col("top"))  # extra fans are few
+    numbered = ranked_rows(fresh, [], [F.col("vid"), F.col("fan")]).withColumn("new", F.col("top") + 1 + F.col("_i")) if total else fresh.withColumn("new", F.col("top"))
     numbered = numbered.select("vid", "fan", "new")
     moved = named.join(numbered, ["vid", "fan"], "left").select("fid", "vid", F.coalesce("new", "vid").alias("to"))
     out = faces
@@ -286,7 +287,7 @@ def repair_orientation(faces: DataFrame, vertices: DataFrame, evidence: DataFram
         few = wrong.limit(most * 3 + 1).collect()  # conflicts of one mesh, within the budget
         if len(few) > most * 3:
             raise ValueError("orientation conflicts exceed the budget")
-        chosen = greedy_cover(faces.sparkSession, [(f"{r['u']}-{r['v']}", [r["u"], r["v"]]) for r in few], {r["fid"]: r["cost"] for r in cost.collect()})[: max(1, most)]
+        chosen = greedy_cover(faces.sparkSession, [(f"{r['u']}-{r['v']}", [r["u"], r["v"]]) for r in few], {r["fid"]: r["cost"] for r in cost.where(F.col("fid").isin(sorted({r[c] for r in few for c in "uv"}))).collect()})[: max(1, most)]
         removed += len(chosen)
         if removed > budget * total or not chosen:
             raise ValueError("orientation conflicts exceed the budget")

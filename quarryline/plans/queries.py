@@ -732,8 +732,8 @@ def face_evidence(spark, sf):
     return mesh.face_evidence(f, v, v.select("vid", (F.col("vid") % 7 + 0.5).cast("double").alias("evidence"))).select("fid", "evidence", "rim")
 
 
-@query("""WITH e AS (SELECT lang, substr(sha256(concat_ws('|', doc_id, sha256(text), CAST(octet_length(encode(text)) AS VARCHAR))), 1, 64) AS h FROM documents WHERE lang IS NOT NULL), p AS (SELECT lang, substr(h, 1, 2) AS p, sha256(string_agg(h, ',' ORDER BY h)) AS h, count(*) AS n FROM e GROUP BY 1, 2)
-SELECT lang, sha256(string_agg(h, ',' ORDER BY h)) AS digest, CAST(sum(n) AS BIGINT) AS entries FROM p GROUP BY 1""")
+@query("""WITH e AS (SELECT lang, sha256(concat_ws('|', doc_id, sha256(text), CAST(octet_length(encode(text)) AS VARCHAR))) AS h FROM documents WHERE lang IS NOT NULL), n AS (SELECT lang, i, sum(CAST(CAST('0x' || substr(h, CAST(16*i + 1 AS INT), 16) AS UBIGINT) AS HUGEINT)) AS s, count(*) AS n FROM e, (SELECT unnest(range(0, 4)) AS i) GROUP BY 1, 2)
+SELECT lang, sha256(string_agg(CAST(s AS VARCHAR), ',' ORDER BY i)) AS digest, max(n) AS entries FROM n GROUP BY 1""")
 def content_digest(spark, sf):
     d = read(spark, sf, "documents").where("lang is not null")
     return lineage.digest_of(lineage.manifest(d, "doc_id", "text").join(d.select(F.col("doc_id").alias("path"), "lang"), "path"), ["lang"])

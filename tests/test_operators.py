@@ -361,3 +361,32 @@ def test_numpy_median_and_percentile(spark):
     v = np.random.default_rng(0).normal(size=101)
     df = spark.createDataFrame([(float(x),) for x in v], "v double")
     assert df.select(stats.percentile("v", 0.37)).first()[0] == pytest.approx(np.percentile(v, 37))
+
+
+def test_large_groups_are_fitted_by_sums(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    u, v = rng.normal(size=(2, 400))
+    y = 0.5 * u * u - v * v + 0.3 * u * v + u - 2 * v + 4 + rng.normal(0, 0.05, 400)
+    y[:30] += 9
+    df = spark.createDataFrame([(i % 2, i, float(a), float(b), float(c)) for i, (a, b, c) in enumerate(zip(u, v, y, strict=True))], "k int, i int, u double, v double, y double").repartition(3)
+    one = {r["k"]: r for r in fitting.quadratic_per_group(df, ["k"], "u", "v", "y", "i", rounds=4).collect()}
+    monkeypatch.setattr(fitting, "LARGE", 0)
+    two = {r["k"]: r for r in fitting.quadratic_per_group(df, ["k"], "u", "v", "y", "i", rounds=4).collect()}
+    for k in (0, 1):
+        assert [two[k][c] for c in [*"abcdef", "rmse"]] == pytest.approx([one[k][c] for c in [*"abcdef", "rmse"]], rel=1e-6)
+
+
+def test_planes_of_groups(spark):
+    rng = np.random.default_rng(7)
+    n = np.array([[0.0, 0.6, 0.8], [1.0, 0.0, 0.0]])
+    rows = []
+    for k in (0, 1):
+        side = np.linalg.svd(n[k : k + 1])[2][1:]
+        p = rng.normal(size=(300, 2)) @ side + n[k] * (k + 1) + rng.normal(0, 0.005, (300, 1)) * n[k]
+        p[:80] += rng.normal(0, 3, (80, 3))
+        rows += [(k, i, *map(float, x)) for i, x in enumerate(p)]
+    df = spark.createDataFrame([*rows, (2, 0, 0.0, 0.0, 0.0), (2, 1, 1.0, 1.0, 1.0)], "k int, i int, x double, y double, z double")
+    got = {r["k"]: r for r in fitting.plane_per_group(df, ["k"], AXES, "i", 0.03).collect()}
+    assert set(got) == {0, 1}
+    for k, r in got.items():
+        assert abs(np.array([r["nx"], r["ny"], r["nz"]]) @ n[k]) > 0.9999 and abs(r["d"] - (k + 1)) < 0.01 and r["inliers"] >= 215 and r["rmse"] < 0.015
