@@ -106,3 +106,82 @@ def worth_applying(before: DataFrame, after: DataFrame, least_gain: float = 0.02
     both = before.join(after.withColumnRenamed("rmse", "new"), "pair")
     r = both.agg(F.percentile("rmse", F.lit(0.5)).alias("a"), F.percentile("new", F.lit(0.5)).alias("b"), F.max(F.col("new") / F.col("rmse")).alias("w")).first()
     return r["a"] is not None and r["b"] <= (1 - least_gain) * r["a"] and r["w"] <= 1 + least_gain
+
+
+def axis_consensus(planes: list[tuple[int, np.ndarray, float]], turn: float, prior: np.ndarray, most_tilt: float = 0.35, tolerance_deg: float = 3.0, trials: int = 2000, rounds: int = 3) -> tuple[np.ndarray, int]:
+    """The turn axis that most pairs of planes agree on, and how many: planes are (pose, unit normal, weight), poses ``turn`` radians apart.
+
+    Directions spread evenly over the cap of ``most_tilt`` radians around ``prior`` are tried; a pair agrees if the turn between its poses
+    takes one normal to the other within the tolerance. The best is refined on the pairs that agree with it, by the direction their
+    differences of normals are across from.
+    """
+    from ..functions.geometry import rotation
+
+    prior = np.asarray(prior, float) / np.linalg.norm(prior)
+    pairs = [(i, j) for i in range(len(planes)) for j in range(i + 1, len(planes)) if planes[i][0] != planes[j][0]]
+    least = np.cos(np.radians(tolerance_deg))
+
+    def agreeing(axis: np.ndarray) -> list[tuple[int, int]]:
+        level = np.array([rotation(axis, -p * turn) @ n for p, n, _ in planes])  # all in the first pose's frame
+        near = level @ level.T >= least
+        return [(i, j) for i, j in pairs if near[i, j]]
+
+    side = np.eye(3)[int(np.argmin(np.abs(prior)))]
+    x = side - prior * (side @ prior)
+    x /= np.linalg.norm(x)
+    y, best = np.cross(prior, x), (0.0, prior, [])
+    for k in range(trials):
+        tilt, way = most_tilt * np.sqrt((k + 0.5) / trials), k * np.pi * (3 - np.sqrt(5))
+        axis = np.cos(tilt) * prior + np.sin(tilt) * (np.cos(way) * x + np.sin(way) * y)
+        found = agreeing(axis)
+        score = sum(planes[i][2] * planes[j][2] for i, j in found)
+        if score > best[0]:
+            best = (score, axis, found)
+    _, axis, found = best
+    for _ in range(rounds):
+        if not found:
+            break
+        moved = [(i, j) for i, j in found if np.linalg.norm(planes[i][1] - planes[j][1]) > 0.05]
+        if len(moved) < 2:
+            break
+        new = axis_from_normals(np.array([[planes[i][1], planes[j][1]] for i, j in moved]), np.array([planes[i][2] * planes[j][2] for i, j in moved]))
+        new = new * np.sign(new @ prior)
+        again = agreeing(new)
+        if len(again) < len(found):
+            break
+        axis, found = new, again
+    return axis, len(found)
+
+
+def search_centre(views: dict[int, np.ndarray], turn: float, axis: np.ndarray, start: np.ndarray, reach: float, share: float = 0.8, rounds: int = 6, grid: int = 5) -> tuple[np.ndarray, float]:
+    """The point across the axis about which neighbouring views turn into each other best, and the trimmed RMS distance there.
+
+    ``views`` are bounded samples of points by pose. A grid around the best centre shrinks by half in each round; a centre's cost is the
+    RMS of the closest ``share`` of distances from each view's points to the next view's.
+    """
+    from ..functions.geometry import rotation
+
+    y = np.asarray(axis, float) / np.linalg.norm(axis)
+    side = np.eye(3)[int(np.argmin(np.abs(y)))]
+    x = side - y * (side @ y)
+    x /= np.linalg.norm(x)
+    z = np.cross(x, y)
+    poses = sorted(views)
+    steps = [(a, b, rotation(y, (b - a) * turn)) for a, b in zip(poses, poses[1:], strict=False)]
+
+    def cost(c: np.ndarray) -> float:
+        total = []
+        for a, b, r in steps:
+            p = (views[a] - c) @ r.T + c
+            d = np.sqrt(np.maximum((p * p).sum(1)[:, None] + (views[b] ** 2).sum(1)[None] - 2 * p @ views[b].T, 0).min(1))
+            total.append(np.sort(d)[: max(1, int(np.ceil(share * len(d))))])
+        return float(np.sqrt(np.mean(np.concatenate(total) ** 2))) if total else np.inf
+
+    best = (cost(np.asarray(start, float)), np.asarray(start, float))
+    for k in range(rounds):
+        middle = best[1]
+        for i in np.linspace(-1, 1, grid):
+            for j in np.linspace(-1, 1, grid):
+                c = middle + reach / 2**k * (i * x + j * z)
+                best = min(best, (cost(c), c), key=lambda b: b[0])
+    return best[1], best[0]
