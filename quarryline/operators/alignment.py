@@ -185,3 +185,60 @@ def search_centre(views: dict[int, np.ndarray], turn: float, axis: np.ndarray, s
                 c = middle + reach / 2**k * (i * x + j * z)
                 best = min(best, (cost(c), c), key=lambda b: b[0])
     return best[1], best[0]
+
+
+def adjust_turntable(matches: list[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]], turn: float, axis: np.ndarray, centre: np.ndarray, most_tilt: float = 0.05, most_shift: float = 5.0, most_angle: float = 0.02, tangential: float = 0.1, prior: float = 1.0, huber: float = 1.0, rounds: int = 4) -> tuple[np.ndarray, np.ndarray, dict[int, float], float]:
+    """Axis, centre and each pose's angle correction that make matched points of neighbouring views meet, and the RMS point-to-plane
+    distance left.
+
+    ``matches`` are (pose a, pose b, points of a, points of b, normals of b). All views are turned back to the first pose's frame; a
+    residual is the distance along b's normal, ``tangential`` of the rest, and every parameter's share of its bound times ``prior``.
+    Rounds reweight residuals over ``huber`` and solve inside the bounds; the first pose's angle stays.
+    """
+    from ..functions.geometry import rotation
+    from .fitting import damped_least_squares
+
+    y = np.asarray(axis, float) / np.linalg.norm(axis)
+    side = np.eye(3)[int(np.argmin(np.abs(y)))]
+    x = side - y * (side @ y)
+    x /= np.linalg.norm(x)
+    z, start = np.cross(x, y), np.asarray(centre, float)
+    poses = sorted({p for m in matches for p in m[:2]})
+    bound = np.r_[most_tilt, most_tilt, most_shift, most_shift, np.full(len(poses) - 1, most_angle)]
+    weights = [np.ones(len(m[2])) for m in matches]
+
+    def at(v: np.ndarray) -> tuple[np.ndarray, np.ndarray, dict]:
+        a = y + v[0] * x + v[1] * z
+        return a / np.linalg.norm(a), start + v[2] * x + v[3] * z, dict(zip(poses, [0.0, *v[4:]], strict=True))
+
+    def parts(v: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        a, c, fix = at(v)
+        back = {p: rotation(a, -p * turn - fix[p]) for p in poses}
+        out = []
+        for i, j, p, q, n in matches:
+            d, m = (p - c) @ back[i].T - (q - c) @ back[j].T, n @ back[j].T
+            along = (d * m).sum(1)
+            out.append((along, d - along[:, None] * m))
+        return out
+
+    def residual(v: np.ndarray) -> np.ndarray:
+        rows = [np.r_[along * np.sqrt(w), (tangential * rest * np.sqrt(w)[:, None]).ravel()] for (along, rest), w in zip(parts(v), weights, strict=True)]
+        return np.concatenate([*rows, prior * v / bound])
+
+    v = np.zeros(len(bound))
+    for _ in range(rounds):
+        v = damped_least_squares(residual, v, (-bound, bound))
+        weights = [np.minimum(1.0, huber / np.maximum(np.abs(along), 1e-12)) for along, _ in parts(v)]
+    a, c, fix = at(v)
+    return a, c, fix, float(np.sqrt(np.mean(np.concatenate([along for along, _ in parts(v)]) ** 2)))
+
+
+def propose_shift(views: dict[int, np.ndarray], turn: float, axis: np.ndarray, centre: np.ndarray, reach: float, least_gain: float = 0.02, seed: int = 0) -> tuple[np.ndarray, bool, float, float]:
+    """A better centre found on half of each view's points and judged on the other half: centre, accepted, error before, error after."""
+    rng = np.random.default_rng(seed)
+    first = {p: rng.random(len(v)) < 0.5 for p, v in sorted(views.items())}
+    found, _ = search_centre({p: v[first[p]] for p, v in views.items()}, turn, axis, centre, reach)
+    held = {p: v[~first[p]] for p, v in views.items()}
+    before, after = (search_centre(held, turn, axis, c, 0.0, rounds=1, grid=1)[1] for c in (centre, found))
+    accepted = after <= (1 - least_gain) * before
+    return (found if accepted else np.asarray(centre, float)), accepted, before, after

@@ -120,6 +120,28 @@ def irls(design: np.ndarray, y: np.ndarray, weight: np.ndarray, rounds: int = 12
     return beta
 
 
+def affine_consensus(points: np.ndarray, error: np.ndarray, threshold: float, draws: int = 500, refits: int = 3, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Coefficients (per u, per v, constant) of an affine error over image points and its inliers: three points drawn at a time, the draw
+    with most inliers refitted by least squares on them until they stay; fewer than three inliers give zeros and none."""
+    design, rng, best = np.c_[points, np.ones(len(points))], np.random.default_rng(seed), np.zeros(len(points), bool)
+    for _ in range(draws if len(points) >= 3 else 0):
+        some = design[rows := rng.choice(len(points), 3, replace=False)]
+        if abs(np.linalg.det(some)) < 1e-9:
+            continue
+        near = np.abs(error - design @ np.linalg.solve(some, error[rows])) <= threshold
+        best = near if near.sum() > best.sum() else best
+    beta = np.zeros(3)
+    for _ in range(refits):
+        if best.sum() < 3:
+            return np.zeros(3), np.zeros(len(points), bool)
+        beta = np.linalg.lstsq(design[best], error[best], rcond=None)[0]
+        now = np.abs(error - design @ beta) <= threshold
+        if (now == best).all():
+            break
+        best = now
+    return beta, best
+
+
 def quadratic_design(u: np.ndarray, v: np.ndarray) -> np.ndarray:
     return np.stack([u * u, v * v, u * v, u, v, np.ones_like(u)], 1)
 

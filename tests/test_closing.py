@@ -81,3 +81,46 @@ def test_components_and_samples(spark):
     kept = surface.supported_samples(df, F.col("id") != 44, 5.5, weight="w")
     assert kept.count() in (99, 100)
     assert surface.region_report(df.withColumn("s", F.lit("a")), "nz", "s", "z").first()["n"] == 100
+
+
+def grid_mesh(spark, n=6, hole=(2, 2)):
+    """A flat grid of squares, two triangles each, with one square left out."""
+    v = spark.createDataFrame([(y * n + x, float(x), float(y), 0.0) for y in range(n) for x in range(n)], "vid long, x double, y double, z double")
+    rows = []
+    for y in range(n - 1):
+        for x in range(n - 1):
+            if (x, y) != hole:
+                i = y * n + x
+                rows += [(i, i + 1, i + n), (i + 1, i + n + 1, i + n)]
+    return spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], "fid long, a long, b long, c long"), v
+
+
+def test_holes_are_filled_where_observed(spark):
+    from quarryline.operators import closing
+
+    f, v = grid_mesh(spark)
+    dense = spark.createDataFrame([(i, 2 + i % 11 / 10, 2 + i // 11 / 10, 0.0) for i in range(121)], "id long, x double, y double, z double")
+    out = closing.fill_supported(f, v, dense, 0.5, 1.0, most_wide=3.0)
+    new = out.where("inferred").collect()
+    assert len(new) == 2 and {x for r in new for x in (r["a"], r["b"], r["c"])} == {14, 15, 20, 21} and out.count() == f.count() + 2
+    assert closing.fill_supported(f, v, dense.where("x < 2.3"), 0.5, 1.0, most_wide=3.0).where("inferred").count() == 0
+    assert closing.fill_supported(f, v, dense, 0.5, 1.0, most_wide=1.0).where("inferred").count() == 0
+    assert closing.fill_supported(f, v, dense, 0.5, 1.0, most_wide=3.0, initial=f).where("inferred").count() == 0
+
+
+def test_meshes_keep_to_observations(spark):
+    from quarryline.operators import closing
+
+    f, v = grid_mesh(spark, 8, hole=(9, 9))
+    seen = v.where("x <= 3").select(F.col("vid").alias("id"), "x", "y", "z")
+    held = closing.trim_unsupported(f, v, seen, 0.1, 1.1)
+    assert held.count() == 4 * 7 * 2
+    back = closing.retract_unsupported(f, v, seen, 1.1, 20)
+    assert back.count() == 4 * 7 * 2
+    flap = spark.createDataFrame([(100, 2.2, 2.2, -1.0), (101, 2.8, 2.2, 1.0), (102, 2.5, 2.8, 1.0)], "vid long, x double, y double, z double")
+    more = f.unionByName(spark.createDataFrame([(500, 100, 101, 102)], f.schema))
+    cost = more.select("fid", F.when(F.col("fid") == 500, 0.1).otherwise(5.0).alias("cost"))
+    fixed = closing.repair_contacts(more, v.unionByName(flap), cost, 1.0)
+    assert {r["fid"] for r in more.select("fid").subtract(fixed.select("fid")).collect()} == {500}
+    with pytest.raises(ValueError):
+        closing.repair_contacts(more, v.unionByName(flap), cost, 1.0, budget=0.0)

@@ -109,3 +109,32 @@ def test_axis_and_centre():
     at, off = alignment.search_centre(views, turn, axis, np.zeros(3), 8.0, rounds=9)
     across = (at - centre) - axis * ((at - centre) @ axis)
     assert np.linalg.norm(across) < 0.2 and off < 0.5
+
+
+def test_turntable_is_adjusted():
+    rng = np.random.default_rng(5)
+    axis, centre, turn = np.array([0.02, 1.0, 0.01]), np.array([1.5, 0.0, -1.0]), 2 * np.pi / 25
+    axis /= np.linalg.norm(axis)
+    fix = {0: 0.0, 1: 0.004, 2: -0.006, 3: 0.0}
+    body, normal = rng.normal(size=(150, 3)) * 30, rng.normal(size=(150, 3))
+    normal /= np.linalg.norm(normal, axis=1)[:, None]
+    turned = lambda p, v, c: (v - c) @ rotation(axis, p * turn + fix[p]).T + c
+    matches = [(p, p + 1, turned(p, body, centre), turned(p + 1, body, centre), turned(p + 1, normal, np.zeros(3))) for p in range(3)]
+    a, c, found, left = alignment.adjust_turntable(matches, turn, np.array([0.0, 1.0, 0.0]), np.zeros(3), prior=1e-3, tangential=1.0)
+    across = (c - centre) - axis * ((c - centre) @ axis)
+    assert left < 1e-2 and a @ axis > 0.999999 and np.linalg.norm(across) < 0.05 and all(abs(found[p] - fix[p]) < 1e-3 for p in fix)
+    views = {p: turned(p, rng.normal(size=(250, 3)) * [20, 30, 12] if p < 0 else body, centre) for p in range(4)}
+    best, accepted, before, after = alignment.propose_shift(views, turn, axis, np.zeros(3), 4.0)
+    assert accepted == (after <= 0.98 * before) and (not accepted or not np.allclose(best, 0))
+
+
+def test_affine_consensus():
+    from quarryline.operators import fitting
+
+    rng = np.random.default_rng(8)
+    p = rng.uniform(0, 600, (200, 2))
+    dy = p @ [0.002, -0.001] + 0.5 + rng.normal(0, 0.02, 200)
+    dy[:60] += rng.uniform(2, 9, 60)
+    beta, near = fitting.affine_consensus(p, dy, 0.1)
+    assert np.allclose(beta, [0.002, -0.001, 0.5], atol=0.02) and near[60:].mean() > 0.98 and not near[:60].any()
+    assert not fitting.affine_consensus(p[:2], dy[:2], 0.1)[1].any()
