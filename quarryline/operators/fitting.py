@@ -205,6 +205,38 @@ def held_out_error(design: np.ndarray, y: np.ndarray, fold: np.ndarray) -> float
     return float(np.sqrt(np.mean(np.concatenate(errors) ** 2))) if errors else float("nan")
 
 
+def held_out_votes(design: np.ndarray, y: np.ndarray, fold: np.ndarray, weight: np.ndarray, tolerance: float) -> tuple[int, int]:
+    """How many folds keep, in the median, within ``tolerance`` of the fit of the others, and how many could be left out."""
+    passed = tested = 0
+    for f in np.unique(fold):
+        train = fold != f
+        if train.sum() >= design.shape[1]:
+            tested += 1
+            passed += float(np.median(np.abs(y[~train] - design[~train] @ irls(design[train], y[train], weight[train])))) <= tolerance
+    return int(passed), tested
+
+
+def posed_fit(p: np.ndarray, normal: np.ndarray, pose: np.ndarray, weight: np.ndarray, kind: str = "plane") -> dict:
+    """A robust plane or quadratic of points that several poses saw, each pose of equal total weight: origin, frame (rows u, v and the
+    normal's side), coefficients over (u, v) and rmse.
+
+    The frame is the weighted principal axes; too few points for the kind give a plane, fewer than three nothing.
+    """
+    if len(p) < 3:
+        return {}
+    names, which = np.unique(pose, return_inverse=True)
+    w = np.maximum(weight, 1e-12)
+    w = w / np.bincount(which, w, len(names))[which] / len(names)
+    origin = w @ p
+    d = p - origin
+    axes = np.linalg.eigh((d * w[:, None]).T @ d)[1][:, ::-1].T
+    frame = np.stack([axes[0], axes[1], axes[2] * (1.0 if axes[2] @ normal >= 0 else -1.0)])
+    u, v, h = (d @ frame.T).T
+    design = quadratic_design(u, v) if kind == "quadratic" and len(p) >= 6 else np.stack([u, v, np.ones(len(p))], 1)
+    beta = irls(design, h, w * len(p))
+    return {"origin": origin, "frame": frame, "coefficients": beta, "rmse": float(np.sqrt(w @ (h - design @ beta) ** 2))}
+
+
 def normals(df: DataFrame, id_: str, axes: tuple, radius: float, view: tuple = (0.0, 0.0, 0.0)) -> DataFrame:
     """PCA normal of each point's neighbours within ``radius``, turned to the viewpoint; null with fewer than three.
 

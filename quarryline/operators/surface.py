@@ -212,15 +212,15 @@ def fill_from_neighbors(missing: DataFrame, models: DataFrame, links: DataFrame,
     return s.where((F.col("n") >= least) & (F.col("gap") <= spread)).select("region", "u", "v", "disparity")
 
 
-def local_patches(df: DataFrame, seeds: DataFrame, radius: float, id_: str = "id", pose: str = "pose", most: int = 12, least: int = 8) -> DataFrame:
+def local_patches(df: DataFrame, seeds: DataFrame, radius: float, id_: str = "id", pose: str = "pose", most: int = 12, least: int = 8, vote: float = 0.5) -> DataFrame:
     """A robust quadratic patch for each seed over at most ``most`` nearest points of every pose, with the error of poses left
-    out in turn: id, height, slope_u, slope_v, rmse, held_out, poses."""
-    from .fitting import held_out_error, irls, quadratic_design
+    out in turn and how many of these keep within ``vote`` of the others' fit: id, height, slope_u, slope_v, rmse, held_out, poses, passed, tested."""
+    from .fitting import held_out_error, held_out_votes, irls, quadratic_design
     from .joins import per_seed_nearest
 
     ship(df.sparkSession)
     near = per_seed_nearest(radius_join(seeds, df.withColumns({n: F.lit(0.0) for n in NORMAL if n not in df.columns}), radius, id_, AXES, carry=(*NORMAL, pose, *AXES)), ["a_id", f"b_{pose}"], most)
-    kind = dict(seeds.dtypes)[id_]
+    kind, names = dict(seeds.dtypes)[id_], [id_, "height", "slope_u", "slope_v", "rmse", "held_out", "poses", "passed", "tested"]
 
     def fit(g: pd.DataFrame) -> pd.DataFrame:
         n = g[[f"a_{c}" for c in NORMAL]].iloc[0].to_numpy(float)
@@ -230,11 +230,11 @@ def local_patches(df: DataFrame, seeds: DataFrame, radius: float, id_: str = "id
         d = g[[f"b_{c}" for c in AXES]].to_numpy(float) - g[[f"a_{c}" for c in AXES]].to_numpy(float)
         q, t, folds = quadratic_design(d @ a, d @ np.cross(n, a)), d @ n, g[f"b_{pose}"].to_numpy()
         if len(g) < least:
-            return pd.DataFrame(columns=[id_, "height", "slope_u", "slope_v", "rmse", "held_out", "poses"])
+            return pd.DataFrame(columns=names)
         beta = irls(q, t, np.ones(len(t)))
-        return pd.DataFrame([[g["a_id"].iloc[0], beta[5], beta[3], beta[4], float(np.sqrt(np.mean((t - q @ beta) ** 2))), held_out_error(q, t, folds), len(set(folds))]], columns=[id_, "height", "slope_u", "slope_v", "rmse", "held_out", "poses"])
+        return pd.DataFrame([[g["a_id"].iloc[0], beta[5], beta[3], beta[4], float(np.sqrt(np.mean((t - q @ beta) ** 2))), held_out_error(q, t, folds), len(set(folds)), *held_out_votes(q, t, folds, np.ones(len(t)), vote)]], columns=names)
 
-    return near.groupBy("a_id").applyInPandas(fit, f"{id_} {kind}, height double, slope_u double, slope_v double, rmse double, held_out double, poses long")
+    return near.groupBy("a_id").applyInPandas(fit, f"{id_} {kind}, height double, slope_u double, slope_v double, rmse double, held_out double, poses long, passed long, tested long")
 
 
 def scale_guard(original: DataFrame, moved: DataFrame, least_ratio: float, rounds: int = 6, id_: str = "id") -> tuple[float, DataFrame]:

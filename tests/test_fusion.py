@@ -138,3 +138,31 @@ def test_affine_consensus():
     beta, near = fitting.affine_consensus(p, dy, 0.1)
     assert np.allclose(beta, [0.002, -0.001, 0.5], atol=0.02) and near[60:].mean() > 0.98 and not near[:60].any()
     assert not fitting.affine_consensus(p[:2], dy[:2], 0.1)[1].any()
+
+
+def test_features_are_rescued(spark):
+    rows = [(i, i % 10 * 0.5, i // 10 * 0.5, 0.0, 0.0, 0.0, 1.0) for i in range(100)] + [(100 + i, 0.0, i % 10 * 0.5, 0.5 + i // 10 * 0.5, -1.0, 0.0, 0.0) for i in range(100)]
+    df = spark.createDataFrame(rows, "id int, x double, y double, z double, nx double, ny double, nz double")
+    seeds = df.where("id in (40, 105, 99)").unionByName(df.where("id = 50").withColumns({"id": F.lit(500), "z": F.lit(0.9)}))
+    got = {r["id"]: r for r in fusion.feature_rescue(df, seeds, 0.5).collect()}
+    assert got[40]["rescued"] and got[105]["rescued"] and got[40]["families"] == 2
+    assert not got[99]["rescued"] and got[99]["families"] == 1  # a flat place needs no rescue
+    assert not got[500]["rescued"] and got[500]["residual"] > 0.8
+
+
+def test_posed_fits():
+    from quarryline.operators import fitting
+
+    rng = np.random.default_rng(9)
+    uv = rng.uniform(-1, 1, (400, 2))
+    n = np.array([0.2, 0.1, 1.0]) / np.linalg.norm([0.2, 0.1, 1.0])
+    side = np.linalg.svd(n[None])[2][1:]
+    pose = np.r_[np.zeros(340, int), np.arange(60) % 3 + 1]
+    p = uv * [3, 1.5] @ side + (0.1 * uv[:, :1] ** 2) * n
+    flat, bent = (fitting.posed_fit(p, n, pose, np.ones(400), kind) for kind in ("plane", "quadratic"))
+    assert bent["rmse"] < 1e-3 < flat["rmse"] and bent["frame"][2] @ n > 0.99
+    assert fitting.posed_fit(p[:2], n, pose[:2], np.ones(2)) == {}
+    design = np.stack([uv[:, 0], uv[:, 1], np.ones(400)], 1)
+    y = design @ [1.0, 2.0, 3.0]
+    y[pose == 3] += 4
+    assert fitting.held_out_votes(design, y, pose, np.ones(400), 0.1) == (3, 4)
