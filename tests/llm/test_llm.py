@@ -300,6 +300,35 @@ def test_media_odd(spark, odd):
     assert media.from_pictures(media.to_pictures(big)[1], len(big))[0] == big
 
 
+def test_features_that_stored_texts_use(spark):
+    """What the encoder takes on the table's texts, and that the colour features are taken where they pay."""
+    from quarryline.llm import webp
+
+    used = {"copies": 0, "palette": 0, "none": 0}
+    texts = [(r["text"] or "").encode() for r in spark.read.parquet(f"{SF}/documents.parquet").collect()] + [b"ab" * 900, b"tea " * 40]
+    for t in texts:
+        size, media_ = media.to_pictures(t)
+        samples = np.frombuffer(t.ljust(size, b"\0"), np.uint8)
+        kinds = [k for k, *_ in webp.choose((0xFF000000 | samples.astype(np.uint32) << 8).reshape(-1, 64))["transforms"]]
+        copies = len(webp.repeats(samples)[0]) > 0
+        used["copies"] += copies
+        used["palette"] += "palette" in kinds
+        used["none"] += not copies and not kinds
+        assert len(media_) < max(400, 0.8 * size)
+    assert used["copies"] > 0.8 * len(texts) and used["palette"] >= 2 and used["none"] < 0.2 * len(texts)
+    y, x = np.indices((64, 64))
+    ramp = (2 * x + 3 * y) & 255
+    smooth = (0xFF000000 | ramp << 16 | (ramp // 2 + x) << 8 & 0xFF00 | ramp).astype(np.uint32)
+    kinds = {k for k, *_ in webp.choose(smooth)["transforms"]}
+    assert "predictor" in kinds and len(webp.encode(smooth, **webp.choose(smooth))) < 0.3 * smooth.nbytes
+    noise = np.random.default_rng(0).integers(0, 128, (64, 64))
+    tinted = (0xFF000000 | (noise * 3 // 4 + noise.T % 4) << 16 | noise << 8 | noise // 2).astype(np.uint32)
+    assert "cross" in {k for k, *_ in webp.choose(tinted)["transforms"]}
+    some = np.random.default_rng(1).integers(0, 2**24, 400)
+    few = (0xFF000000 | some[np.random.default_rng(2).integers(0, 400, (90, 90))]).astype(np.uint32)
+    assert webp.choose(few)["cache_bits"] or len(np.unique(few)) <= 256
+
+
 # --- op6
 
 
@@ -502,6 +531,28 @@ def test_token_files_odd(spark, odd, reference):
     assert tokenio.read_tokens(tokenio.write_tokens(odd.where("false"), queries.vocabulary("byte_bpe_50k.json"))).count() == 0
 
 
+def test_token_files_are_read_selectively(spark):
+    """Encodings, page indexes and ranges of the files, and that a range of ids opens few of them."""
+    import pyarrow.parquet as pq
+
+    texts = spark.range(4000).select(F.col("id").alias("doc_id"), F.concat(F.lit("text number "), F.col("id").cast("string"), F.repeat(F.lit(" and more"), 20)).alias("text"))
+    files = tokenio.write_tokens(texts, queries.vocabulary("byte_bpe_50k.json"))
+    found = []
+    for path in files.inputFiles():
+        meta = pq.ParquetFile(path.removeprefix("file://")).metadata
+        for g in range(meta.num_row_groups):
+            cols = {c.path_in_schema.split(".")[0]: c for c in (meta.row_group(g).column(i) for i in range(meta.num_columns))}
+            assert "DELTA_BINARY_PACKED" in cols["key"].encodings and "RLE_DICTIONARY" in cols["ids"].encodings
+            assert cols["key"].has_column_index and cols["key"].has_offset_index
+            found.append((cols["key"].statistics.min, cols["key"].statistics.max))
+    found.sort()
+    assert len(found) > 1 and all(a[1] < b[0] for a, b in zip(found, found[1:], strict=False))
+    some = files.where("key between 100 and 120").select("key", "ids")
+    assert [r["key"] for r in some.orderBy("key").collect()] == list(range(100, 121))
+    plan = some._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [IsNotNull(key), GreaterThanOrEqual(key,100), LessThanOrEqual(key,120)]" in plan and "n_tokens" not in plan
+
+
 def packed_right(pieces, want):
     by: dict = {}
     for p in pieces:
