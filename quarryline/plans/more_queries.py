@@ -7,9 +7,9 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..functions import geometry, scalar
-from ..operators import consensus, fitting, joins, mesh, surface, views
-from ..operators.graph import cut
-from ..sources import files
+from ..operators import consensus, fitting, fusion, joins, mesh, surface, views
+from ..operators.graph import cut, keep_touching
+from ..sources import captures, files
 from .queries import AXES, D2, EDGES, FACES, SIDES, SQL, C, _NRM, cloud, query, r, read, strip
 
 
@@ -271,6 +271,52 @@ def local_box_statistics(spark, sf):
     return views.local_statistics(seen, rules).select("u", "v", "eligible", r("local_mean", 4).alias("local_mean"), r("local_scale", 3).alias("local_scale"))
 
 
+# --- fusion, verdicts and hysteresis
+
+
+@query("""WITH m AS (SELECT l_partkey AS seed, l_linenumber AS pose, l_quantity AS h FROM lineitem), g AS (SELECT *, sum(s) OVER (PARTITION BY seed ORDER BY h, pose) AS layer FROM (SELECT *, CASE WHEN h - lag(h) OVER (PARTITION BY seed ORDER BY h, pose) > 2 THEN 1 ELSE 0 END AS s FROM m)),
+p AS (SELECT seed, layer, pose, avg(h) AS h FROM g GROUP BY 1, 2, 3) SELECT seed, CAST(layer AS BIGINT) AS layer, round(avg(h), 6) AS height, count(*) AS poses FROM p GROUP BY 1, 2""")
+def layer_votes(spark, sf):
+    m = read(spark, sf, "lineitem").select(F.col("l_partkey").alias("seed"), F.col("l_linenumber").alias("pose"), F.col("l_quantity").alias("height"))
+    return fusion.resolve_layers(m, 2.0).select("seed", "layer", r("height").alias("height"), "poses")
+
+
+@query("""WITH r AS (SELECT l_suppkey AS cell, l_linenumber AS pose, l_quantity - 25 AS r FROM lineitem), s AS (SELECT cell FROM r GROUP BY 1 HAVING count(DISTINCT pose) > 1), u AS (SELECT r.* FROM r JOIN s USING (cell)), k AS (SELECT pose FROM u GROUP BY 1 HAVING count(*) >= 3), t AS (SELECT u.* FROM u JOIN k USING (pose)),
+g AS (SELECT cell, quantile_cont(-r, 0.5) AS g FROM t GROUP BY 1), b AS (SELECT pose, quantile_cont(r + g, 0.5) AS b, count(DISTINCT cell) AS cells FROM t JOIN g USING (cell) GROUP BY 1) SELECT pose, round(b - (SELECT quantile_cont(b, 0.5) FROM b), 6) AS bias, cells FROM b""")
+def pose_bias_round(spark, sf):
+    rows = read(spark, sf, "lineitem").select(F.col("l_suppkey").alias("cell"), F.col("l_linenumber").alias("pose"), (F.col("l_quantity") - 25).alias("r"))
+    return fusion.pose_biases(rows, rounds=1).withColumn("bias", r("bias"))
+
+
+@query("""WITH t AS (SELECT l_linenumber AS view, count(*) AS inside, count(CASE WHEN l_tax > 0.02 THEN 1 END) AS valid, count(CASE WHEN l_suppkey % 10 = 2 THEN 1 END) AS source_2, quantile_cont(CASE WHEN l_tax > 0.02 THEN l_extendedprice END, 0.5) AS m FROM lineitem GROUP BY 1)
+SELECT view, inside, valid, source_2, round(m, 6) AS median_depth, round(valid/inside, 6) AS share, CASE WHEN m IS NULL THEN 'rejected' WHEN valid/inside < 0.2 OR valid/inside > 0.98 THEN 'warning' ELSE 'accepted' END AS verdict FROM t""")
+def view_verdicts(spark, sf):
+    rows = read(spark, sf, "lineitem").select(F.col("l_linenumber").alias("view"), (F.col("l_suppkey") % 10).alias("source"), F.when(F.col("l_tax") > 0.02, F.col("l_extendedprice")).alias("depth"))
+    return views.view_report(rows).select("view", "inside", "valid", "source_2", r("median_depth").alias("median_depth"), r("share").alias("share"), "verdict")
+
+
+@query("SELECT s_suppkey, CASE WHEN s_suppkey % 3 = 0 AND s_suppkey % 7 >= 3 AND s_suppkey % 5 <= 1 AND s_suppkey % 2 = 0 THEN 3 WHEN s_suppkey % 7 >= 3 AND s_acctbal > 3000 AND s_nationkey > 8 THEN 2 ELSE 0 END AS class FROM supplier")
+def evidence_classes(spark, sf):
+    k = F.col("s_suppkey")
+    s = read(spark, sf, "supplier").withColumns({"heldout_ok": k % 3 == 0, "diversity": k % 7, "conflict_ratio": (k % 5) * 0.3, "layer_ok": k % 2 == 0, "poses": k % 7, "confidence": F.when(F.col("s_acctbal") > 3000, 0.9).otherwise(0.1), "agreement": F.when(F.col("s_nationkey") > 8, 0.9).otherwise(0.1)})
+    return s.select("s_suppkey", surface.evidence_class(s).alias("class"))
+
+
+@query("""WITH RECURSIVE c AS (SELECT c_custkey AS k FROM customer WHERE c_custkey % 6 <> 0), e AS (SELECT a.k AS u, b.k AS v FROM c a JOIN c b ON abs(a.k - b.k) = 1), w(i, r) AS (SELECT k, k FROM c UNION SELECT w.i, e.v FROM w JOIN e ON e.u = w.r) SELECT DISTINCT i AS c_custkey FROM w WHERE r % 11 = 0""")
+def touching_weak(spark, sf):
+    c = read(spark, sf, "customer").select("c_custkey")
+    weak = c.where("c_custkey % 6 <> 0")
+    e = weak.select(F.col("c_custkey").alias("u"), (F.col("c_custkey") + 1).alias("v")).join(weak.withColumnRenamed("c_custkey", "v"), "v", "left_semi")
+    return keep_touching(weak, e, weak.where("c_custkey % 11 = 0"), "c_custkey")
+
+
+@query("SELECT o_orderkey, o_orderpriority, CASE WHEN o_orderpriority LIKE '1%' THEN 'rejected' WHEN o_orderpriority LIKE '2%' THEN 'accepted' END AS session_quality, TRUE AS depth_enabled FROM orders")
+def advisory_quality(spark, sf):
+    o = read(spark, sf, "orders").select("o_orderkey", "o_orderpriority")
+    verdicts = o.select("o_orderpriority").distinct().withColumn("verdict", F.when(F.col("o_orderpriority").startswith("1"), "rejected").when(F.col("o_orderpriority").startswith("2"), "accepted")).where("verdict is not null")
+    return captures.finalized(o, verdicts, "o_orderpriority")
+
+
 # --- fits whose answer is known
 
 _FIT = "(SELECT DISTINCT l_returnflag, CAST(l_quantity AS DOUBLE) AS x, round(l_discount*100) AS y FROM lineitem)"
@@ -302,3 +348,9 @@ e AS (SELECT component, count(*) AS edges, sum(sqrt({D2})) AS perimeter FROM b q
 SELECT component, vertices, edges, round(perimeter, 6) AS perimeter, degree, degree = 2 AND least = 2 AS closed FROM e JOIN g USING (component)"""
 SQL["orientation_parity"] = f"""WITH RECURSIVE p AS {_PAIR}, b AS (SELECT u, v, flip FROM p UNION SELECT v, u, flip FROM p), w(f, r, s) AS (SELECT fid, fid, 0 FROM {FACES} UNION SELECT w.f, b.v, (w.s + b.flip) % 2 FROM w JOIN b ON b.u = w.r), m AS (SELECT f, min(r) AS k FROM w GROUP BY 1)
 SELECT w.f AS fid, CAST(CASE WHEN count(DISTINCT s) = 1 THEN min(s) END AS INT) AS label, count(DISTINCT s) = 2 AS conflict FROM w JOIN m ON m.f = w.f AND w.r = k GROUP BY 1"""
+SQL["pca_normals"] = f"""WITH n AS (SELECT a.vec_id, any_value(a.x) AS px, any_value(a.y) AS py, any_value(a.z) AS pz, count(*) AS neighbors, covar_pop(b.x, b.x) AS xx, covar_pop(b.x, b.y) AS xy, covar_pop(b.x, b.z) AS xz, covar_pop(b.y, b.y) AS yy, covar_pop(b.y, b.z) AS yz, covar_pop(b.z, b.z) AS zz FROM {C} a JOIN {C} b ON {D2} <= 0.0225 GROUP BY 1),
+q AS (SELECT *, (xx+yy+zz)/3 AS q FROM n), p AS (SELECT *, sqrt((pow(xx-q, 2) + pow(yy-q, 2) + pow(zz-q, 2) + 2*(xy*xy+xz*xz+yz*yz))/6) AS p FROM q WHERE neighbors >= 4),
+e AS (SELECT *, q + 2*p*cos(acos(greatest(-1.0, least(1.0, ((xx-q)*((yy-q)*(zz-q)-yz*yz) - xy*(xy*(zz-q)-yz*xz) + xz*(xy*yz-(yy-q)*xz))/(2*p*p*p))))/3 + 2*pi()/3) AS l FROM p),
+c AS (SELECT vec_id, px, py, pz, unnest([[xy*yz-xz*(yy-l), xz*xy-(xx-l)*yz, (xx-l)*(yy-l)-xy*xy], [xy*(zz-l)-xz*yz, xz*xz-(xx-l)*(zz-l), (xx-l)*yz-xy*xz], [(yy-l)*(zz-l)-yz*yz, yz*xz-xy*(zz-l), xy*yz-(yy-l)*xz]]) AS v FROM e),
+b AS (SELECT vec_id, px, py, pz, max({{'n': v[1]*v[1]+v[2]*v[2]+v[3]*v[3], 'v': v}}) AS b FROM c GROUP BY ALL), u AS (SELECT vec_id, b.v[1]/sqrt(b.n) AS x, b.v[2]/sqrt(b.n) AS y, b.v[3]/sqrt(b.n) AS z, CASE WHEN -(px*b.v[1]+py*b.v[2]+pz*b.v[3]) < 0 THEN -1.0 ELSE 1.0 END AS s FROM b)
+SELECT n.vec_id, round(s*u.x, 4) + 0.0 AS nx, round(s*u.y, 4) + 0.0 AS ny, round(s*u.z, 4) + 0.0 AS nz, neighbors FROM n LEFT JOIN u USING (vec_id)"""

@@ -679,7 +679,8 @@ def irls_quadratic(spark, sf):
 
 @query()
 def pca_normals(spark, sf):
-    return fitting.normals(cloud(spark, sf), "vec_id", AXES, 0.15)
+    n = fitting.normals(cloud(spark, sf), "vec_id", AXES, 0.15)
+    return n.select("vec_id", *[F.when(F.col("neighbors") >= 4, r(c, 4) + 0.0).alias(c) for c in ("nx", "ny", "nz")], "neighbors")
 
 
 @query(f"SELECT lo AS a, hi AS b, faces FROM {EDGES} WHERE faces >= 2")
