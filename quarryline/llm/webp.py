@@ -824,15 +824,22 @@ def _palette(pixels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (pixels.flat[0] & 0xFFFF00FF | np.flatnonzero(there) << 8).astype(np.uint32), (np.cumsum(there) - 1)[green]
 
 
+def _smooth(green: np.ndarray) -> bool:
+    """Whether eight differences from the row above or from the left make up most of a picture."""
+    for a, b in ((green[1:], green[:-1]), (green[:, 1:], green[:, :-1])):
+        counts = np.bincount((a - b).ravel(), minlength=256)
+        if np.partition(counts, -8)[-8:].sum() > 0.6 * max(int(counts.sum()), 1):
+            return True
+    return False
+
+
 def choose(pixels: np.ndarray) -> dict:
     """The features that are estimated to write a picture in the fewest bits."""
     shift = 5
     if _grey(pixels):
         green = (pixels >> 8).astype(np.uint8)
         colours = np.count_nonzero(np.bincount(green.ravel(), minlength=256))
-        steps = np.bincount((green[1:] - green[:-1]).ravel(), minlength=256) if len(green) > 1 else np.ones(1)
-        across = np.bincount((green[:, 1:] - green[:, :-1]).ravel(), minlength=256) if green.shape[1] > 1 else np.ones(1)
-        if pixels.size >= 1 << 10 and max(np.sort(x)[-8:].sum() / x.sum() for x in (steps, across)) > 0.6:  # smooth, or repeating by rows
+        if pixels.size >= 1 << 10 and _smooth(green):
             modes = _best_modes(pixels, shift)
             if _bits(_split(_predicted(pixels, modes, shift))[..., 1:2]) + 4 * modes.size < 0.8 * _bits(green[..., None]):
                 return {"transforms": (("predictor", shift, modes),), "copies": True}
