@@ -2,9 +2,10 @@
 
 Percentiles are exact with linear interpolation, at any size of a group: equal values are one row with their count or weight,
 a group's rows are cut by approximate quantiles into ``PARTS`` ranges, ranges are summed first, and a rank is a range's sum of
-lower ranges plus a window inside it, so no task holds a group (groups that are counted to hold ``SMALL`` rows at most take the
-built-in percentile, which gives the same). A statistic that needs another one's value (MAD needs the median)
-is a second aggregate joined on the group. Empty groups have count 0 and nulls. Values that are null, NaN or infinite don't count.
+lower ranges plus a window inside it, so no task holds a group. Groups that are counted to hold ``SMALL`` rows at most, or all but
+eight of them and those five times that, take the built-in percentile, which gives the same. A statistic that needs another one's
+value (MAD needs the median) is a second aggregate joined on the group. Empty groups have count 0 and nulls. Values that are null,
+NaN or infinite don't count.
 """
 
 from __future__ import annotations
@@ -56,11 +57,17 @@ def _keyed(df: DataFrame, keys: list[str]) -> tuple[DataFrame, list[str]]:
     return (df, list(keys)) if keys else (df.withColumn("_all", F.lit(0)), ["_all"])
 
 
+def _fits(values: DataFrame, by: list[str]) -> bool:
+    """Whether groups are counted to be so small, or so few and not too large, that one aggregate may hold their values."""
+    most, large = values.groupBy(*by).count().agg(F.coalesce(F.max("count"), F.lit(0)), F.count_if(F.col("count") > SMALL)).first()
+    return not large or most <= 5 * SMALL and large <= 8
+
+
 def quantiles(df: DataFrame, keys: list[str], value: str, wanted: dict[str, float]) -> DataFrame:
     """The named quantiles of finite values by group; groups without any are left out."""
     df, by = _keyed(df, keys)
     values, made = df.select(*by, _finite(value).alias("_x")).where("_x is not null"), []
-    if (values.groupBy(*by).count().agg(F.max("count")).first()[0] or 0) <= SMALL:  # no group is large: one aggregate gives the same
+    if _fits(values, by):
         return values.groupBy(*by).agg(*[percentile("_x", q).alias(n) for n, q in wanted.items()]).select(*keys, *wanted)
     for name, q in wanted.items():
         at = F.lit(q) * (F.col("_total") - 1)
@@ -73,7 +80,12 @@ def finite_stats(df: DataFrame, keys: list[str], value: str, wanted: dict[str, f
     """n, lowest, median, mean, highest, the named quantiles and mad of finite values, by group."""
     wanted = {"p05": 0.05, "p95": 0.95} if wanted is None else wanted
     rows, by = _keyed(df.select(*keys, _finite(value).alias("_x")), keys)
-    first = rows.groupBy(*by).agg(F.count("_x").alias("n"), F.min("_x").alias("lowest"), F.avg("_x").alias("mean"), F.max("_x").alias("highest"))
+    plain = [F.count("_x").alias("n"), F.min("_x").alias("lowest"), F.avg("_x").alias("mean"), F.max("_x").alias("highest")]
+    if _fits(rows, by):
+        first = rows.groupBy(*by).agg(*plain, *[percentile("_x", q).alias(n) for n, q in {"median": 0.5, **wanted}.items()])
+        mad = rows.join(first.select(*by, "median"), by).groupBy(*by).agg(percentile(F.abs(F.col("_x") - F.col("median")), 0.5).alias("mad"))
+        return first.join(mad, by, "left").select(*keys, "n", "lowest", "median", "mean", "highest", *wanted, "mad")
+    first = rows.groupBy(*by).agg(*plain)
     ranks = quantiles(rows, by, "_x", {"median": 0.5, **wanted})
     mad = quantiles(rows.join(ranks.select(*by, "median"), by).select(*by, F.abs(F.col("_x") - F.col("median")).alias("_off")), by, "_off", {"mad": 0.5})
     return first.join(ranks, by, "left").join(mad, by, "left").select(*keys, "n", "lowest", "median", "mean", "highest", *wanted, "mad")
