@@ -7,8 +7,8 @@ vector; only cells move, not vectors); a block keeps what its own kth lower boun
 all blocks excludes more, and only for the rest are the exact vectors joined and read, in the order of their bounds, until
 the kth score is above the next bound.
 
-Equal vectors are one entry with their k + 1 smallest ids, which is all that ties can need, so large groups of copies don't
-multiply. Vectors that are null, empty, or hold a null or non-finite component take no part, nor do null ids; vectors of different
+Equal vectors are one entry, so large groups of copies don't multiply. An entry keeps its 2k smallest ids, an id at most k times:
+whichever id asks, k others are among them, or all that there are. Vectors that are null, empty, or hold a null or non-finite component take no part, nor do null ids; vectors of different
 sizes have no inner product and don't meet. A query's own id is never its partner. Repeated query rows are answered once; repeated
 candidate rows count each. Products are exact, by Python's integers where 64 bits could overflow; a component, or a score among
 the best k, that no long can hold is an error (ValueError).
@@ -69,19 +69,26 @@ def _range(vectors: pa.Array) -> pa.Array:
     return pa.array([{"lo": x.min(0).tolist(), "hi": x.max(0).tolist()}] + [None] * (len(x) - 1), pa.struct([("lo", pa.list_(pa.int64())), ("hi", pa.list_(pa.int64()))]))
 
 
+def least_ids(ids: list[int], k: int) -> list[int]:
+    """The 2k smallest ids, each at most k times."""
+    ids = sorted(ids)
+    return [x for i, x in enumerate(ids) if i < k or ids[i - k] != x][: 2 * k]
+
+
 def _least(ids, k: int):
-    return F.slice(F.array_sort(F.flatten(F.collect_list(ids))), 1, k + 1)
+    every = F.array_sort(F.flatten(F.collect_list(ids)))
+    return F.transform(F.array(every), lambda a: F.slice(F.filter(a, lambda x, i: (i < k) | (F.get(a, i - k) != x)), 1, 2 * k))[0]
 
 
 def distinct_vectors(rows: DataFrame, k: int) -> DataFrame:
-    """rows(id, vector) -> (vector, dims, ids): each vector once with its k + 1 smallest ids; hot vectors are salted."""
+    """rows(id, vector) -> (vector, dims, ids): each vector once with the ids that answers can need; hot vectors are salted."""
 
     def run(batches):
         for batch in batches:
             seen: dict = {}
             for i, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 seen.setdefault(v, []).append(i)
-            yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array([sorted(x)[: k + 1] for x in seen.values()], pa.list_(pa.int64()))], names=["vector", "ids"])
+            yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array([least_ids(x, k) for x in seen.values()], pa.list_(pa.int64()))], names=["vector", "ids"])
 
     some = rows.mapInArrow(run, "vector binary, ids array<long>")
     some = some.groupBy("vector", F.pmod(F.element_at("ids", 1), F.lit(SALT)).alias("salt")).agg(_least("ids", k).alias("ids"))
@@ -102,7 +109,7 @@ def _cells(low: dict, width: dict):
     return of
 
 
-_FOUND = pa.schema([("query_id", pa.int64()), ("query", pa.int64()), ("least", pa.int64()), ("dims", pa.int32()), ("low", pa.float64()), ("high", pa.float64())])
+_FOUND = pa.schema([("query_id", pa.int64()), ("query", pa.int64()), ("entry", pa.int64()), ("low", pa.float64()), ("high", pa.float64())])
 
 
 def _scan(k: int, low: dict, width: dict):
@@ -114,7 +121,7 @@ def _scan(k: int, low: dict, width: dict):
         radius = (wide - 1) / 2
         middles = _matrix(cells["cells"], np.uint8) * wide + (base + radius)
         largest = np.abs(base) + wide * ((1 << BITS) + 1)
-        least, alone = cells["least"].to_numpy(), cells["alone"].to_numpy()
+        entry, least, alone = (cells[c].to_numpy() for c in ("entry", "least", "alone"))
         names, ids, vectors = queries["query"].to_numpy(), queries["query_id"].to_numpy(), queries["vector"]
         out = []
         for lo in range(0, queries.num_rows, ROWS):
@@ -126,7 +133,7 @@ def _scan(k: int, low: dict, width: dict):
             edge = np.partition(middle, -top, axis=1)[:, -top] - slack
             keep_q, keep_c = np.nonzero((middle + slack[:, None] >= edge[:, None]) & np.isfinite(middle))
             kept = middle[keep_q, keep_c]
-            out.append(pa.Table.from_arrays([pa.array(own[keep_q]), pa.array(names[lo : lo + ROWS][keep_q]), pa.array(least[keep_c]), pa.array(np.full(len(keep_q), d, np.int32)), pa.array(kept - slack[keep_q]), pa.array(kept + slack[keep_q])], schema=_FOUND))
+            out.append(pa.Table.from_arrays([pa.array(own[keep_q]), pa.array(names[lo : lo + ROWS][keep_q]), pa.array(entry[keep_c]), pa.array(kept - slack[keep_q]), pa.array(kept + slack[keep_q])], schema=_FOUND))
         return pa.concat_tables(out)
 
     return run
@@ -138,7 +145,7 @@ def _read(k: int, block: int = 32):
     def run(table: pa.Table, query: pa.Table) -> pa.Table:
         if not table.num_rows:
             return schema.empty_table()
-        table = table.sort_by([("high", "descending"), ("least", "ascending")])
+        table = table.sort_by([("high", "descending")])
         own, high = table["query_id"][0].as_py(), table["high"].to_pylist()
         q = np.frombuffer(query["vector"][0].as_py(), "<i8")[None, :]
         vectors, ids, best = table["vector"], table["ids"].to_pylist(), []
@@ -160,7 +167,7 @@ def top_k(table: DataFrame, k: int = 5, every: int = 50, scale: int = 256, key:
     spark = table.sparkSession
     prepare(spark)
     rows = stored(table.select(table[key].cast("long").alias("id"), quantised(scale)(table[vector]).alias("vector")).where("id is not null and vector is not null"), "vectors")
-    whole = stored(distinct_vectors(rows, k), "distinct")
+    whole = stored(distinct_vectors(rows, k).withColumn("entry", F.monotonically_increasing_id()), "distinct")
     ranges = whole.groupBy("dims").agg(F.count("*").alias("n")).collect()  # a row for each vector size
     low, width = {}, {}
     for d in [r["dims"] for r in ranges]:
@@ -173,13 +180,13 @@ def top_k(table: DataFrame, k: int = 5, every: int = 50, scale: int = 256, key:
     queries = rows.where(F.pmod("id", F.lit(every)) == 0).select(F.col("id").alias("query_id"), F.xxhash64("id", "vector").alias("query"), (F.length("vector") / 8).cast("int").alias("dims"), "vector")
     queries = stored(queries.dropDuplicates(["query_id", "query"]), "queries")
     blocks = max(1, -(-queries.count() // QUERIES))
-    cells = whole.select(F.element_at("ids", 1).alias("least"), "dims", (F.size("ids") == 1).alias("alone"), _cells(low, width)("vector", "dims").alias("cells"))
-    cells = cells.withColumn("chunk", F.pmod(F.xxhash64("least"), F.lit(chunks)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    cells = whole.select("entry", F.array_min("ids").alias("least"), "dims", (F.array_min("ids") == F.array_max("ids")).alias("alone"), _cells(low, width)("vector", "dims").alias("cells"))
+    cells = cells.withColumn("chunk", F.pmod(F.xxhash64("entry"), F.lit(chunks)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     asked = queries.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
     by, name = ["dims", "chunk", "block"], ["query_id", "query"]
-    found = stored(cells.groupBy(*by).cogroup(asked.groupBy(*by)).applyInArrow(_scan(k, low, width), "query_id long, query long, least long, dims int, low double, high double"), "found")
-    best = Window.partitionBy(*name).orderBy(F.desc("low"), "least")
-    edge = found.select(*name, "low", "least").withColumn("n", F.row_number().over(best)).where(F.col("n") <= k).groupBy(*name).agg(F.when(F.count("*") == k, F.min("low")).otherwise(F.lit(float("-inf"))).alias("edge"))
+    found = stored(cells.groupBy(*by).cogroup(asked.groupBy(*by)).applyInArrow(_scan(k, low, width), "query_id long, query long, entry long, low double, high double"), "found")
+    best = Window.partitionBy(*name).orderBy(F.desc("low"))
+    edge = found.select(*name, "low").withColumn("n", F.row_number().over(best)).where(F.col("n") <= k).groupBy(*name).agg(F.when(F.count("*") == k, F.min("low")).otherwise(F.lit(float("-inf"))).alias("edge"))
     left = found.join(edge, name).where(F.col("high") >= F.col("edge"))
-    exact = left.join(whole.select(F.element_at("ids", 1).alias("least"), "dims", "vector", "ids"), ["least", "dims"])
-    return exact.select(*name, "least", "high", "vector", "ids").groupBy(*name).cogroup(queries.groupBy(*name)).applyInArrow(_read(k), "query_id long, rank int, vec_id long, score long")
+    exact = left.join(whole.select("entry", "vector", "ids"), "entry")
+    return exact.select(*name, "high", "vector", "ids").groupBy(*name).cogroup(queries.groupBy(*name)).applyInArrow(_read(k), "query_id long, rank int, vec_id long, score long")
