@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import annular, bpe, htmltext, langid, media, packing, quality, simhash, tokenio, urlfilter, vafile, weak
+from . import align, annular, bpe, htmltext, langid, media, packing, quality, simhash, tokenio, urlfilter, vafile, weak
 
 RULES = (("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "block"), ("example.net", "/de/8", "block"), ("org", "/es/", "block"))
 
@@ -77,11 +77,15 @@ def op11_weak_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *weak.STATISTICS[:5], weak.base_failed().alias("base_failed"), weak.kept().alias("kept"), "quality_probability")
 
 
+def op12_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.align(_read(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model"))
+
+
 def op13_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return annular.compress(_read(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_url_filter, op3_quality, op4_langid, op5_media, op6_topk, op7_html, op8_bpe, op9_tokens, op10_packing, op11_weak_rules, op13_codes)}
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_url_filter, op3_quality, op4_langid, op5_media, op6_topk, op7_html, op8_bpe, op9_tokens, op10_packing, op11_weak_rules, op12_align, op13_codes)}
 
 _HOST = "translate(regexp_extract(coalesce(url, ''), '^[\\s\\S]*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _PATH = "regexp_extract(coalesce(url, ''), '^[\\s\\S]*?://[^/?#]*([^?#]*)', 1)"
