@@ -1,8 +1,11 @@
 """Main text of web pages: structure first, then a suffix array over each host's pages.
 
 A page becomes blocks in page order, each in a zone: the article (inside article or main), marked boilerplate (menus,
-headers, footers, sidebars, notices, adverts, forms, comments, by element, role or class; never kept), or unmarked. If a page
-has an article only its article is kept, else its unmarked blocks. A raw element (script, style) ends at its own end tag only.
+headers, footers, sidebars, notices, adverts, forms, comments, by element, role or class; never kept), or unmarked. If articles
+hold half or more of a page's text outside marks only they are kept; else an article is a teaser among others and its blocks are
+unmarked ones. A class name marks only as a whole (``sidebar``, ``cookie-notice``, ``related-posts``, but neither ``no-sidebar`` nor
+``share-price-box``), and where nothing is left outside marks those by a layout word are dropped. A raw element (script,
+style) ends at its own end tag only. The time is in proportion to a page's size, whatever it leaves open.
 
 Runs of ``RUN`` tokens or more that repeat across a host's pages are boilerplate. Pages of equal main blocks are one page
 here; a run doesn't reach from one zone into another. For a block of an article one occurrence at least must be in an unmarked
@@ -25,6 +28,7 @@ from __future__ import annotations
 import functools
 import html as entities
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -49,6 +53,8 @@ _WORDS = frozenset("ad ads adv advert adverts advertisement advertising sponsor
 _KEEP = frozenset("article post entry story main".split())
 _ADS = frozenset("ad ads adv advert adverts advertisement sponsored".split())
 _ASIDE = _ADS | frozenset("comment comments reply replies related recommended promo".split())
+# words that say nothing by themselves in a class name of several words
+_FILL = frozenset("area bar block bottom box button buttons col column container content desktop fixed global group inner item items left link links list mobile outer page panel posts primary right row secondary section site sticky sub text top wrap wrapper articles".split())
 
 
 @functools.cache
@@ -56,58 +62,121 @@ def _end_tag(name: str) -> re.Pattern:
     return re.compile(f"</{name}(?=[\\s/>])[^>]*>?", re.I)
 
 
-def _marked(name: str, attributes: str, in_article: bool) -> bool:
+_OWN, _LAYOUT = 1, 2  # a mark that stands, and one by a layout word only
+
+
+def _class_mark(names: str) -> int:
+    """What whole class names (or an id) say."""
+    found = 0
+    for name in names.split():
+        words = set(re.split(r"[-_]+|(?<=[a-z])(?=[A-Z])", name))
+        words = {w.lower() for w in words} - {""}
+        if words & _WORDS and words <= _WORDS | _FILL | _KEEP:
+            if words & _ASIDE:
+                return _OWN
+            if not words & _KEEP:
+                found = _LAYOUT
+    return found
+
+
+def _marked(name: str, attributes: str, in_article: bool) -> int:
+    """0, _OWN or _LAYOUT."""
     if name in _OUT or name == "header" and not in_article:
-        return True
+        return _OWN
     if not attributes.strip(" \t\r\n/"):
-        return False
-    found = {m[1].lower(): (m[2] or "").strip("\"'").lower() for m in _NAME.finditer(attributes)}
-    if "hidden" in found or found.get("aria-hidden") == "true" or "display:none" in found.get("style", "").replace(" ", ""):
-        return True
-    if found.get("role", "") in _ROLES:
-        return True
-    words = set(re.split(r"[^a-z0-9]+", f"{found.get('class', '')} {found.get('id', '')}"))
+        return 0
+    found = {m[1].lower(): (m[2] or "").strip("\"'") for m in _NAME.finditer(attributes)}
+    if "hidden" in found or found.get("aria-hidden", "").lower() == "true" or "display:none" in found.get("style", "").lower().replace(" ", ""):
+        return _OWN
+    if found.get("role", "").lower() in _ROLES:
+        return _OWN
     if name in ("main", "body", "html"):
-        return False
+        return 0
+    says = _class_mark(f"{found.get('class', '')} {found.get('id', '')}")
     if name == "article":
-        return bool(words & _ASIDE)
+        return says if says == _OWN else 0
     if name not in _BLOCK:
-        return bool(words & _ADS)
-    return bool(words & _WORDS) and (not words & _KEEP or bool(words & _ASIDE))
+        words = set(f"{found.get('class', '')} {found.get('id', '')}".lower().split())
+        return _OWN if words & _ADS else 0
+    if says == _LAYOUT and set(found.get("class", "").lower().split()) & _KEEP:
+        return 0
+    return says
 
 
 def blocks_of(page: str) -> list[tuple[int, str]]:
     """(zone, text) of every block with text, in page order. If marks cover the whole page, as when one is never closed, an
-    article ends them."""
-    found = _blocks(page, False)
-    return found if any(z != MARKED for z, _ in found) else _blocks(page, True)
+    article ends them, and else marks by a layout word don't count."""
+    for ends_marks, layout in ((False, True), (True, True), (True, False)):
+        found = _blocks(page, ends_marks, layout)
+        if not found or any(z != MARKED for z, _ in found):
+            break
+    of = lambda zone: sum(len(t) for z, t in found if z == zone)
+    if of(ARTICLE) < of(UNMARKED):
+        return [(UNMARKED if z == ARTICLE else z, t) for z, t in found]
+    return found
+
 
+_IMPLIED = {"p": ("p",), "li": ("li",), "dd": ("dd", "dt"), "dt": ("dd", "dt"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "body": ("head",)} | dict.fromkeys(("option", "h1", "h2", "h3", "h4", "h5", "h6"), ("p",))
 
-def _blocks(page: str, article_ends_marks: bool) -> list[tuple[int, str]]:
+
+class _Open:
+    """The open elements of a page: their names, how many there are of each, and which are blocks."""
+
+    def __init__(self):
+        self.stack: list[tuple[str, int, int, int]] = []  # name; adds to marked, article, hidden (marked inside a block)
+        self.count: Counter = Counter()
+        self.blocks: list[int] = []  # places of blocks in the stack
+        self.sums = [0, 0, 0]
+
+    def push(self, name: str, *adds: int) -> None:
+        if name in _BLOCK:
+            self.blocks.append(len(self.stack))
+        self.stack.append((name, *adds))
+        self.count[name] += 1
+        if any(adds):
+            self.sums = [a + b for a, b in zip(self.sums, adds, strict=True)]
+
+    def pop(self, to: int) -> None:
+        while len(self.stack) > to:
+            name, *adds = self.stack.pop()
+            self.count[name] -= 1
+            if any(adds):
+                self.sums = [a - b for a, b in zip(self.sums, adds, strict=True)]
+        while self.blocks and self.blocks[-1] >= to:
+            self.blocks.pop()
+
+    def end(self, name: str) -> None:
+        """An end tag: what it passes is closed too, so each search is paid for by what it closes."""
+        if self.count[name]:
+            self.pop(next(i for i in range(len(self.stack) - 1, -1, -1) if self.stack[i][0] == name))
+
+    def implied(self, ends: tuple[str, ...]) -> None:
+        """A start tag that ends an open element of these names, unless another block is between."""
+        for i in reversed(self.blocks):
+            name = self.stack[i][0]
+            if name in ends:
+                self.pop(i)
+                return
+            if name not in ("p", "td", "th"):
+                return
+
+
+def _blocks(page: str, article_ends_marks: bool, layout: bool) -> list[tuple[int, str]]:
     out: list[tuple[int, str]] = []
     text: list[str] = []
-    stack: list[tuple[str, int, int, int]] = []  # name; adds to marked, article, hidden (marked inside a block)
-    marked = article = hidden = 0
+    opened, endless = _Open(), set()
 
     def flush() -> None:
         if text:
             if joined := " ".join(entities.unescape("".join(text)).split()):
-                out.append((MARKED if marked else ARTICLE if article else UNMARKED, joined))
+                out.append((MARKED if opened.sums[0] else ARTICLE if opened.sums[1] else UNMARKED, joined))
             text.clear()
 
-    def pop(to: int) -> None:
-        nonlocal marked, article, hidden
-        while len(stack) > to:
-            _, m, a, h = stack.pop()
-            marked -= m
-            article -= a
-            hidden -= h
-
     at = 0
     while m := _TOKEN.match(page, at):
         at, name = m.end(), m[2]
         if name is None:
-            if not hidden and not m[0].startswith(("<!", "<?")):
+            if not opened.sums[2] and not m[0].startswith(("<!", "<?")):
                 text.append(m[0])
             continue
         name = name.lower()
@@ -117,34 +186,26 @@ def _blocks(page: str, article_ends_marks: bool) -> list[tuple[int, str]]:
         if name in _BLOCK:
             flush()
         if m[1]:
-            opened = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), None)
-            if opened is not None:
-                pop(opened)
+            opened.end(name)
             continue
         if name in _RAW:
             if name in _UNTIL or not m[3].rstrip().endswith("/"):
-                end = _end_tag(name).search(page, at)
+                end = None if name in endless else _end_tag(name).search(page, at)
+                if end is None:
+                    endless.add(name)
                 at = end.end() if end else len(page) if name in _UNTIL else at
             continue
         if name in _VOID:
             continue
-        if name in ("p", "li", "dd", "dt", "tr", "td", "th", "option", "body", "h1", "h2", "h3", "h4", "h5", "h6"):
-            ends = {"p": ("p",), "li": ("li",), "dd": ("dd", "dt"), "dt": ("dd", "dt"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "body": ("head",)}.get(name, ("p",))
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] in ends:
-                    pop(i)
-                    break
-                if stack[i][0] in _BLOCK and stack[i][0] not in ("p", "td", "th"):
-                    break
+        if name in _IMPLIED:
+            opened.implied(_IMPLIED[name])
         is_article = name in ("article", "main") or 'role="main"' in m[3]
-        is_marked = _marked(name, m[3], article > 0)
+        mark = _marked(name, m[3], opened.sums[1] > 0)
+        is_marked = mark == _OWN or mark == _LAYOUT and layout
         if is_article and article_ends_marks:
-            pop(0)
+            opened.pop(0)
         inside = is_marked and name not in _BLOCK
-        stack.append((name, is_marked and not inside, is_article, inside))
-        marked += is_marked and not inside
-        article += is_article
-        hidden += inside
+        opened.push(name, is_marked and not inside, is_article, inside)
     flush()
     return out
 

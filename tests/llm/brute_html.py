@@ -1,4 +1,6 @@
-"""Kept blocks of a host's pages by a dictionary of all runs."""
+"""Blocks of well-formed pages by the standard library's parser, and kept blocks of a host's pages by a dictionary of all runs."""
+
+from html.parser import HTMLParser
 
 from quarryline.llm.htmltext import ARTICLE, MARKED, RUN, UNMARKED
 
@@ -41,3 +43,58 @@ def clean(pages):
                 kept.append(" ".join(w for w, g in zip(text.split(" "), mine, strict=True) if not g))
         out.append(kept)
     return out
+
+
+class Zones(HTMLParser):
+    """Pages whose elements are all closed, but for p and br, and whose class names are single words."""
+
+    BLOCKS = frozenset("html body head nav div article section aside footer header main ul ol li p h1 h2 h3 form table tr td blockquote".split())
+    MARKS = frozenset("head nav footer aside form".split())
+    NAMES = frozenset("ad sidebar related comments cookie".split())
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.open, self.text, self.out, self.skip = [], [], [], 0
+
+    def flush(self):
+        joined = " ".join("".join(self.text).split())
+        if joined:
+            inside = [name for name, _ in self.open]
+            marked = any(m for _, m in self.open)
+            self.out.append((MARKED if marked else ARTICLE if {"article", "main"} & set(inside) else UNMARKED, joined))
+        self.text = []
+
+    def handle_starttag(self, tag, attrs):
+        if tag == "br":
+            self.text.append(" ")
+        if tag in self.BLOCKS:
+            self.flush()
+            if self.open and self.open[-1][0] == "p":
+                self.open.pop()
+        if tag in ("script", "style", "title"):
+            self.skip += 1
+        if tag not in ("br", "meta", "img", "link"):
+            attrs = dict(attrs)
+            self.open.append((tag, tag in self.MARKS or attrs.get("class") in self.NAMES or attrs.get("id") in self.NAMES))
+
+    def handle_endtag(self, tag):
+        if tag in ("script", "style", "title"):
+            self.skip -= 1
+        if tag in self.BLOCKS:
+            self.flush()
+        if tag in [name for name, _ in self.open]:
+            while self.open.pop()[0] != tag:
+                pass
+
+    def handle_data(self, data):
+        if not self.skip:
+            self.text.append(data)
+
+
+def zones_of(page):
+    parser = Zones()
+    parser.feed(page)
+    parser.close()
+    parser.flush()
+    size = {z: sum(len(t) for y, t in parser.out if y == z) for z in (ARTICLE, UNMARKED)}
+    return [(UNMARKED if z == ARTICLE and size[ARTICLE] < size[UNMARKED] else z, t) for z, t in parser.out]

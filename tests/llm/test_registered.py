@@ -8,9 +8,9 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from quarryline.llm import htmltext, langid, quality, queries
+from quarryline.llm import langid, quality, queries
 
-from .brute_html import clean
+from .brute_html import clean, zones_of
 
 SF = "/root/testdata/sf0.001"
 
@@ -98,7 +98,7 @@ def test_op7(spark):
         hosts.setdefault((p["url"] or "").partition("://")[2].partition("/")[0].lower(), []).append(p)
     want = {}
     for some in hosts.values():
-        for p, blocks in zip(some, clean([htmltext.blocks_of(p["html"] or "") for p in some]), strict=True):
+        for p, blocks in zip(some, clean([zones_of(p["html"] or "") for p in some]), strict=True):
             want[p["page_id"]] = "\n".join(blocks)
     got = queries.op7_html(spark, SF).collect()
     assert {r["page_id"]: r["text"] for r in got} == want and all(r["n_chars"] == len(r["text"]) for r in got)
