@@ -239,6 +239,14 @@ def test_langid_holds_out(spark):
     assert np.mean([r["lang_pred"] == r["lang"] for r in got]) > 0.98
 
 
+def test_fit_and_prediction_lower_alike(spark):
+    """Where Python's and Arrow's lower case differ, words learned are the words looked up."""
+    texts = ["İSTANBUL ΟΔΟΣ Straße", " ǅ  İİ "]
+    rows = spark.createDataFrame([(i, t, "k") for i, t in enumerate(texts)], "doc_id long, text string, lang string")
+    seen = {r["word"] for r in langid.word_counts(rows, "text", "lang").collect()}
+    assert seen == {langid.MARK + w for some in langid.words_of(langid.pa.array(texts)).to_pylist() for w in some if w}
+
+
 def test_langid_odd(spark, odd):
     got = {r["doc_id"]: r["langid"] for r in langid.identify(odd, odd, queries.vocabulary("piece_bpe_32k.model")).collect()}
     assert got[0]["lang_pred"] == got[1]["lang_pred"] == "und" and got[0]["score"] == 0 and got[3]["lang_pred"] in ("en", "fr")
