@@ -32,7 +32,7 @@ from .chunkcache import ChunkCache, gather
 from .common import claim, prepare, stored
 from .pretokens import _ODD, HEAD, _byte_letters, library_encoder
 
-CHUNKS = 1_000_000
+CHUNKS = 500_000
 BLOCK = "id {}, block long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, at binary, times binary, pairs binary, docs binary"
 RESULT = "id {}, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
 _COMMA, _BAR, _SEMICOLON = b",|;"
