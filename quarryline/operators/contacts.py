@@ -1,4 +1,4 @@
-"""Contacts of triangle pairs: candidates by a grid over boxes, classes by exact predicates in Arrow batches.
+"""Contacts of triangle pairs: candidates by grids of the levels of their boxes, classes by exact predicates in Arrow batches.
 
 Classes: separate, shared_vertex, shared_edge (allowed); touching, crossing, coplanar_overlap, duplicate, degenerate (blocking).
 """
@@ -11,8 +11,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ship
+from .boxes import SIDES, finite, meeting
 from .mesh import corners
 
+NINE = tuple(f"{k}{x}" for k in "abc" for x in "xyz")
 ALLOWED = ("separate", "shared_vertex", "shared_edge")
 BLOCKING = ("touching", "crossing", "coplanar_overlap", "duplicate", "degenerate")
 
@@ -121,21 +123,17 @@ def classify_all(a: np.ndarray, b: np.ndarray, eps: float = 1e-9) -> list[str]:
     return out.tolist()
 
 
-def contacts(faces: DataFrame, vertices: DataFrame, cell: float) -> DataFrame:
-    """fa < fb and category of every pair of faces whose boxes meet; pairs meet once, in the first cell they share."""
+def contacts(faces: DataFrame, vertices: DataFrame, cell: float = 1.0) -> DataFrame:
+    """fa < fb and category of every pair of faces whose boxes meet. ``cell`` is the unit of the grids' levels and changes no result.
+
+    Faces with a corner that is missing, null or not finite meet nothing.
+    """
     ship(faces.sparkSession)
-    wide = corners(faces, vertices)
+    wide = finite(corners(faces, vertices), NINE)
     for x in "xyz":
         wide = wide.withColumns({f"lo{x}": F.least(f"a{x}", f"b{x}", f"c{x}"), f"hi{x}": F.greatest(f"a{x}", f"b{x}", f"c{x}")})
-    for x in "xyz":
-        wide = wide.withColumn(f"k{x}", F.explode(F.sequence(F.floor(F.col(f"lo{x}") / cell), F.floor(F.col(f"hi{x}") / cell))))
-    cols = ["fid", *[f"{k}{x}" for k in "abc" for x in "xyz"], *[f"{s}{x}" for s in ("lo", "hi") for x in "xyz"]]
-    keys = ["kx", "ky", "kz"]
-    left, right = (wide.select(*keys, *[F.col(c).alias(f"{p}{c}") for c in cols]) for p in "pq")
-    near = left.join(right, keys).where("pfid < qfid")
-    for x in "xyz":
-        first = F.floor(F.greatest(f"plo{x}", f"qlo{x}") / cell)
-        near = near.where((F.col(f"plo{x}") <= F.col(f"qhi{x}")) & (F.col(f"qlo{x}") <= F.col(f"phi{x}")) & (F.col(f"k{x}") == first))
+    near = meeting(wide.select("fid", *NINE, *SIDES), "fid", cell)
+    near = near.select("pfid", "qfid", *[f"{s}{c}" for s in "pq" for c in NINE])
 
     def run(batches):
         for g in batches:

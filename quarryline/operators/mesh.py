@@ -393,45 +393,94 @@ def guarded(original: DataFrame, moved: DataFrame, faces: DataFrame, most_extent
     return new.join(flipped, "vid", "left_anti").unionByName(original.select("vid", "x", "y", "z").join(flipped, "vid", "left_semi"))
 
 
-def point_to_mesh(points: DataFrame, faces: DataFrame, vertices: DataFrame, reach: float, id_: str = "id") -> DataFrame:
-    """Exact distance of each point to the mesh: triangles are dealt to cells their box touches within ``reach``;
-    points farther than that are null."""
+def triangle_distance(q, a, b, c):
+    """Distance of each point to the triangle of its row, as arrays (n, 3)."""
     import numpy as np
-    import pandas as pd
 
+    def segment(u, v):
+        d = v - u
+        t = np.clip(((q - u) * d).sum(1) / np.maximum((d * d).sum(1), 1e-300), 0, 1)
+        return np.linalg.norm(q - u - t[:, None] * d, axis=1)
+
+    best = np.minimum(np.minimum(segment(a, b), segment(b, c)), segment(c, a))
+    n = np.cross(b - a, c - a)
+    size = np.maximum(np.linalg.norm(n, axis=1), 1e-300)
+    inside = np.ones(len(q), bool)
+    for u, v in ((a, b), (b, c), (c, a)):
+        inside &= (np.cross(v - u, q - u) * n).sum(1) >= 0
+    flat = np.abs(((q - a) * n).sum(1)) / size
+    return np.where(inside & (size > 1e-300), np.minimum(best, flat), best)
+
+
+LEAF, POINTS = 32, 128  # faces of a leaf, points of a block
+
+
+def _leaf_distances(batches):
+    """Of each row's points the distances to its leaf's faces, where they fall below what is known (``u``, empty: nothing)."""
+    import numpy as np
+    import pyarrow as pa
+
+    def lists(column):
+        ends = column.offsets.to_numpy()
+        flat = column.values.to_numpy()
+        return [flat[i:j] for i, j in zip(ends[:-1], ends[1:], strict=True)]
+
+    for batch in batches:
+        out = []
+        for block, points, u, tri in zip(batch.column(0).to_pylist(), *(lists(batch.column(i)) for i in (1, 2, 3)), strict=True):
+            p, t = points.reshape(-1, 3), tri.reshape(-1, 3, 3)
+            known = u if len(u) else np.full(len(p), np.inf)
+            low, high = t.min((0, 1)), t.max((0, 1))
+            off = np.maximum(0, np.maximum(low - p, p - high))
+            some = np.flatnonzero((off * off).sum(1) <= known * known * (1 + 1e-9))
+            if len(some):
+                q, f = np.repeat(p[some], len(t), axis=0), np.tile(t, (len(some), 1, 1))
+                d = triangle_distance(q, f[:, 0], f[:, 1], f[:, 2]).reshape(len(some), -1).min(1)
+                less = d < known[some]
+                out.append((np.full(int(less.sum()), block), some[less], d[less]))
+        columns = [np.concatenate(x) for x in zip(*out, strict=True)] if out else [[], [], []]
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int32(), pa.float64()), strict=True)], names=["block", "place", "d"])
+
+
+def point_to_mesh(points: DataFrame, faces: DataFrame, vertices: DataFrame, reach: float | None = None, id_: str = "id") -> DataFrame:
+    """Exact distance of each point to the mesh, however far; with ``reach``, null beyond it. One row for each row of ``points``.
+
+    Points go into blocks and faces into leaves of a tree, both in Morton order. A near leaf of each block gives its points a first
+    distance; only leaves that are as near to the block as the largest of these can hold a nearer face, and only points that are
+    as near to the leaf's box as their own are measured. Points with a null or non-finite coordinate have null, and so have all where
+    no face has three finite corners.
+    """
+    from ..functions.scalar import is_finite
     from ..session import ship
+    from . import boxes
+    from .graph import cut
 
     ship(points.sparkSession)
-    wide = corners(faces, vertices)
-    for x in "xyz":
-        low, high = F.least(f"a{x}", f"b{x}", f"c{x}") - reach, F.greatest(f"a{x}", f"b{x}", f"c{x}") + reach
-        wide = wide.withColumn(f"k{x}", F.explode(F.sequence(F.floor(low / reach), F.floor(high / reach))))
-    p = points.select(F.col(id_).alias("id"), *[F.col(x).alias(f"p{x}") for x in "xyz"], *[F.floor(F.col(x) / reach).alias(f"k{x}") for x in "xyz"])
-    met = p.join(wide, ["kx", "ky", "kz"]).select("id", *[f"{k}{x}" for k in "pabc" for x in "xyz"])
-    kind = dict(points.dtypes)[id_]
-
-    def run(batches):
-        for g in batches:
-            q, a, b, c = (g[[f"{k}{x}" for x in "xyz"]].to_numpy(float) for k in "pabc")
-            yield pd.DataFrame({"id": g["id"], "d": triangle_distance(q, a, b, c)})
-
-    def triangle_distance(q, a, b, c):
-        def segment(u, v):
-            d = v - u
-            t = np.clip(((q - u) * d).sum(1) / np.maximum((d * d).sum(1), 1e-300), 0, 1)
-            return np.linalg.norm(q - u - t[:, None] * d, axis=1)
-
-        best = np.minimum(np.minimum(segment(a, b), segment(b, c)), segment(c, a))
-        n = np.cross(b - a, c - a)
-        size = np.maximum(np.linalg.norm(n, axis=1), 1e-300)
-        inside = np.ones(len(q), bool)
-        for u, v in ((a, b), (b, c), (c, a)):
-            inside &= (np.cross(v - u, q - u) * n).sum(1) >= 0
-        flat = np.abs(((q - a) * n).sum(1)) / size
-        return np.where(inside & (size > 1e-300), np.minimum(best, flat), best)
-
-    near = met.mapInPandas(run, f"id {kind}, d double").groupBy("id").agg(F.min("d").alias("d")).where(F.col("d") <= reach)
-    return points.select(F.col(id_).alias("id")).join(near, "id", "left").select(F.col("id").alias(id_), F.col("d").alias("distance"))
+    p = points.select(F.col(id_).alias("id"), *[F.col(x).cast("double").alias(x) for x in "xyz"])
+    p = cut(p.withColumn("ok", is_finite("x") & is_finite("y") & is_finite("z")))
+    right, rest = p.where("ok").drop("ok"), p.where("not coalesce(ok, false)").select("id", F.lit(None).cast("double").alias("distance"))
+    wide = corners(faces.select("fid", "a", "b", "c"), vertices.select("vid", *[F.col(x).cast("double").alias(x) for x in "xyz"]))
+    wide = wide.withColumns({f"{s}{x}": f(f"a{x}", f"b{x}", f"c{x}") for s, f in (("lo", F.least), ("hi", F.greatest)) for x in "xyz"})
+    wide = cut(boxes.in_blocks(boxes.finite(wide, tuple(f"{k}{x}" for k in "abc" for x in "xyz")), {x: F.col(f"lo{x}") / 2 + F.col(f"hi{x}") / 2 for x in "xyz"}, "fid", LEAF))
+    if not wide.limit(1).count():
+        return p.select(F.col("id").alias(id_), F.lit(None).cast("double").alias("distance"))
+    levels = boxes.tree(boxes.around(wide, "block"))
+    nine = F.array(*[F.col(f"{k}{x}") for k in "abc" for x in "xyz"])
+    leaves = wide.groupBy(F.col("block").alias("node")).agg(F.flatten(F.collect_list(nine)).alias("tri"))  # LEAF faces each
+    dealt = boxes.in_blocks(right, {x: F.col(x) for x in "xyz"}, "id", POINTS).groupBy("block")
+    sides = [f(x).alias(f"b_{s}{x}") for s, f in (("lo", F.min), ("hi", F.max)) for x in "xyz"]
+    packed = dealt.agg(F.collect_list(F.struct("id", F.array("x", "y", "z").alias("p"))).alias("s"), *sides).withColumns({"ids": F.col("s.id"), "points": F.flatten("s.p")}).drop("s")
+    packed = cut(packed)
+    measured = lambda pairs, u: pairs.join(leaves, "node").join(packed if u is None else u, "block").select("block", "points", F.array().cast("array<double>").alias("u") if u is None else "u", "tri").mapInArrow(_leaf_distances, "block long, place int, d double")
+    first = measured(boxes.nearest_leaf(packed, levels), None)
+    known = first.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("place", "d"))).alias("s")).select("block", F.col("s.d").alias("u"))  # POINTS each
+    known = cut(packed.join(known, "block").withColumn("most", F.array_max("u")))
+    better = measured(boxes.leaves_within(known, levels, "most"), known).groupBy("block", "place").agg(F.min("d").alias("d"))
+    each = known.select("block", F.posexplode(F.arrays_zip("ids", "u")).alias("place", "s"))
+    found = each.join(better, ["block", "place"], "left").select(F.col("s.ids").alias("id"), F.least(F.col("s.u"), "d").alias("distance"))
+    if reach is not None:
+        found = found.withColumn("distance", F.when(F.col("distance") <= reach, F.col("distance")))
+    return found.unionByName(rest).withColumnRenamed("id", id_)
 
 
 def sample_surface(faces: DataFrame, vertices: DataFrame, count: int, seed: int = 0) -> DataFrame:
