@@ -470,11 +470,59 @@ def orientation_parity(spark, sf):
     return graph.parity(f, mesh.face_pairs(f), "fid")
 
 
-@query()
+def _dot(a: str, b: str) -> str:
+    return "(" + " + ".join(f"{a}{x} * {b}{x}" for x in AXES) + ")"
+
+
+def _less(a: str, b: str, name: str) -> str:
+    return ", ".join(f"{a}{x} - {b}{x} AS {name}{x}" for x in AXES)
+
+
+def _cross(a: str, b: str, name: str) -> str:
+    return ", ".join(f"{a}{y} * {b}{z} - {a}{z} * {b}{y} AS {name}{x}" for x, y, z in ("xyz", "yzx", "zxy"))
+
+
+CORNER = {"a": "i", "b": "j", "c": "k"}  # prefixes that make no keyword
+_TRI = f"(SELECT f.*, {', '.join(f'{k}.{x} AS {CORNER[k]}{x}' for k in 'abc' for x in AXES)} FROM {FACES} f JOIN {C} a ON a.vec_id = f.a JOIN {C} b ON b.vec_id = f.b JOIN {C} c ON c.vec_id = f.c)"
+_MEET = " AND ".join(f"least(p.i{x}, p.j{x}, p.k{x}) <= greatest(q.i{x}, q.j{x}, q.k{x}) AND least(q.i{x}, q.j{x}, q.k{x}) <= greatest(p.i{x}, p.j{x}, p.k{x})" for x in AXES)
+_SIX_SIDES = " UNION ALL ".join(
+    f"SELECT p.fid AS fa, q.fid AS fb, list_contains([{o}.a, {o}.b, {o}.c], {m}.{i}) OR list_contains([{o}.a, {o}.b, {o}.c], {m}.{j}) AS own, {', '.join(f'{m}.{CORNER[i]}{x} AS p{x}, {m}.{CORNER[j]}{x} AS q{x}, {o}.i{x} AS s{x}, {o}.j{x} AS t{x}, {o}.k{x} AS u{x}' for x in AXES)} FROM t p JOIN t q ON p.fid < q.fid AND {_MEET}"
+    for m, o in (("p", "q"), ("q", "p"))
+    for i, j in ("ab", "bc", "ca")
+)
+
+
+@query(f"""WITH t AS {_TRI}, sides AS ({_SIX_SIDES}), e AS (SELECT *, {_less("t", "s", "f")}, {_less("u", "s", "g")}, {_less("q", "p", "d")}, {_less("p", "s", "o")} FROM sides), h AS (SELECT *, {_cross("d", "g", "h")}, {_cross("o", "f", "k")} FROM e), w AS (SELECT *, {_dot("f", "h")} AS det, {_dot("o", "h")} AS a, {_dot("d", "k")} AS b, {_dot("g", "k")} AS c FROM h),
+hits AS (SELECT fa, fb, max(CAST(NOT own AND abs(det) >= 1e-9 AND a / det >= -1e-9 AND b / det >= -1e-9 AND (a + b) / det <= 1 + 1e-9 AND c / det BETWEEN -1e-9 AND 1 + 1e-9 AS INT)) AS hit FROM w GROUP BY 1, 2),
+k AS (SELECT hit, len(list_intersect([p.a, p.b, p.c], [q.a, q.b, q.c])) AS same FROM hits JOIN t p ON p.fid = fa JOIN t q ON q.fid = fb)
+SELECT CASE WHEN same = 2 THEN 'shared_edge' WHEN hit = 1 THEN 'crossing' WHEN same = 1 THEN 'shared_vertex' ELSE 'separate' END AS category, count(*) AS n FROM k GROUP BY 1""")
 def triangle_contacts(spark, sf):
     return contacts.contacts(*strip(spark, sf), 0.25).groupBy("category").agg(F.count("*").alias("n"))
 
 
+def _segment(u: str, v: str) -> str:
+    """Squared distance of p to the segment u v."""
+    along = "(" + " + ".join(f"(p{x} - {u}{x}) * ({v}{x} - {u}{x})" for x in AXES) + ")"
+    size = "(" + " + ".join(f"({v}{x} - {u}{x}) * ({v}{x} - {u}{x})" for x in AXES) + ")"
+    t = f"least(greatest({along} / greatest({size}, 1e-300), 0), 1)"
+    return "(" + " + ".join(f"(p{x} - {u}{x} - {t} * ({v}{x} - {u}{x})) * (p{x} - {u}{x} - {t} * ({v}{x} - {u}{x}))" for x in AXES) + ")"
+
+
+def _right_of(u: str, v: str) -> str:
+    """Whether p is on the inner side of u v, seen along the normal n."""
+    return "(" + " + ".join(f"(({v}{y} - {u}{y}) * (p{z} - {u}{z}) - ({v}{z} - {u}{z}) * (p{y} - {u}{y})) * n{x}" for x, y, z in ("xyz", "yzx", "zxy")) + " >= 0)"
+
+
+@query(f"""WITH t AS {_TRI}, p AS (SELECT vec_id, CAST(embedding[4] AS DOUBLE) AS px, CAST(embedding[5] AS DOUBLE) AS py, CAST(embedding[6] AS DOUBLE) AS pz FROM embeddings),
+e AS (SELECT *, {_less("j", "i", "f")}, {_less("k", "i", "g")} FROM p, t), n AS (SELECT *, {_cross("f", "g", "n")} FROM e),
+d AS (SELECT vec_id, least({_segment("i", "j")}, {_segment("j", "k")}, {_segment("k", "i")}) AS rim, CASE WHEN {_right_of("i", "j")} AND {_right_of("j", "k")} AND {_right_of("k", "i")} THEN (nx * (px - ix) + ny * (py - iy) + nz * (pz - iz)) ^ 2 / greatest(nx * nx + ny * ny + nz * nz, 1e-300) END AS flat FROM n)
+SELECT vec_id, round(sqrt(min(least(rim, coalesce(flat, rim)))), 6) AS distance FROM d GROUP BY 1""")
+def mesh_distance(spark, sf):
+    """Other components of each embedding as a point, and its distance to the strip."""
+    p = read(spark, sf, "embeddings").select("vec_id", *[F.element_at("embedding", i + 4).cast("double").alias(x) for i, x in enumerate(AXES)])
+    return mesh.point_to_mesh(p, *strip(spark, sf), id_="vec_id").select("vec_id", r("distance").alias("distance"))
+
+
 @query("SELECT min(vec_id) AS first, count(*) AS n FROM embeddings GROUP BY round(CAST(embedding[1] AS DOUBLE), 2), round(CAST(embedding[2] AS DOUBLE), 1) HAVING count(*) > 1")
 def duplicate_groups(spark, sf):
     v = cloud(spark, sf).select(F.col("vec_id").alias("vid"), F.round("x", 2).alias("x"), F.round("y", 1).alias("y"), F.lit(0.0).alias("z"))
