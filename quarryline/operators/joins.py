@@ -17,7 +17,9 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.scalar import is_finite
 from ..session import ship
+from . import density
 from .graph import cut
 
 KEYS = ("kx", "ky", "kz")
@@ -75,8 +77,7 @@ def radius_join(probe: DataFrame, points: DataFrame, radius: float, id_: str, ax
 
 def radius_counts(df: DataFrame, radius: float, id_: str, axes: tuple) -> DataFrame:
     """Neighbours within the radius of every row, itself left out; rows without any have 0."""
-    near = radius_join(df, df, radius, id_, axes).where("a_id <> b_id").groupBy(F.col("a_id").alias(id_)).agg(F.count("*").alias("neighbors"))
-    return df.select(id_).join(near, id_, "left").select(id_, F.coalesce("neighbors", F.lit(0)).alias("neighbors"))
+    return density.counts(df, radius, id_, axes)
 
 
 def _cell_size(points: np.ndarray, n: int, k: int) -> float:
@@ -115,13 +116,14 @@ def _scan_all(probes: list, points: DataFrame, k: int, n_axes: int) -> DataFrame
 def knn_join(probe: DataFrame, points: DataFrame, k: int, id_: str, axes: tuple, skip_self: bool = False) -> DataFrame:
     """The k nearest ``points`` of each probe: a_id, b_id, distance, rank; ties go to the smaller b_id.
 
-    Of points in one place only the k + 1 of smallest ids can be an answer, so copies don't multiply. Rows with a null axis
-    are no answer and have none.
+    Of points in one place only the k + 1 of smallest ids can be an answer, so copies don't multiply. Rows with a null or
+    non-finite axis are no answer and have none.
     """
     a, b = _sides(probe, points, id_, axes)
     na, nb = tuple(f"a_{x}" for x in axes), tuple(f"b_{x}" for x in axes)
     kinds = dict(a.dtypes)["a_id"], dict(b.dtypes)["b_id"]
-    a, b = a.dropna(subset=list(na)), b.dropna(subset=list(nb))
+    for x, y in zip(na, nb, strict=True):
+        a, b = a.where(is_finite(x)), b.where(is_finite(y))
     place = Window.partitionBy(*nb).orderBy("b_id")
     b = cut(b.withColumn("_r", F.row_number().over(place)).where(F.col("_r") <= k + 1).drop("_r"))
     n = b.count()
@@ -173,7 +175,8 @@ def outlier_filter(df: DataFrame, k: int, factor: float, id_: str, axes: tuple)
 
 
 def radius_filter(df: DataFrame, radius: float, least: int, id_: str, axes: tuple) -> DataFrame:
-    return df.join(radius_counts(df, radius, id_, axes).where(F.col("neighbors") >= least).select(id_), id_, "left_semi")
+    """Rows with ``least`` neighbours or more within the radius."""
+    return df.join(density.at_least(df, radius, least, id_, axes), id_, "left_semi")
 
 
 def circular_pairs(poses: DataFrame, pose: str, n: int, order: int, most_deg: float) -> DataFrame:

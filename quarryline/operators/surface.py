@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import clip
 from ..session import ship
+from . import density
 from .graph import cut, label_nodes
 from .joins import knn_join, outlier_filter, radius_filter, radius_join
 from .stats import MAD_SIGMA, finite_stats, percentile, quantiles, weighted_median
@@ -76,12 +77,7 @@ def smooth_rounds(df: DataFrame, radius: float, weight: str, rounds: int, most:
 def clusters(df: DataFrame, radius: float, least: int, id_: str = "id") -> DataFrame:
     """Density clusters: core points have ``least`` neighbours or more (themselves included); cores within the radius share a
     cluster, and a border point takes its least core neighbour's; noise has null."""
-    near = cut(radius_join(df, df, radius, id_, AXES).select("a_id", "b_id"))
-    core = near.groupBy("a_id").count().where(F.col("count") >= least).select(F.col("a_id").alias("core"))
-    core_edges = near.join(core.withColumnRenamed("core", "a_id"), "a_id", "left_semi").join(core.withColumnRenamed("core", "b_id"), "b_id", "left_semi").select(F.col("a_id").alias("u"), F.col("b_id").alias("v"))
-    named = label_nodes(core.withColumnRenamed("core", id_), core_edges, id_)
-    border = near.join(core.withColumnRenamed("core", "b_id"), "b_id", "left_semi").join(named.select(F.col(id_).alias("a_id")), "a_id", "left_anti").groupBy("a_id").agg(F.min("b_id").alias(id_)).join(named, id_).select(F.col("a_id").alias(id_), "component")
-    return df.select(id_).join(named.unionByName(border), id_, "left").withColumnRenamed("component", "cluster")
+    return density.clusters(df, radius, least, id_, AXES)
 
 
 def clean_cloud(df: DataFrame, weight: str, k: int = 16, factor: float = 2.0, radius: float = 3.0, least: int = 4, cluster_points: int = 10, share: float = 0.02, id_: str = "id") -> DataFrame:
