@@ -41,7 +41,7 @@ def loop_patches(faces: DataFrame, vertices: DataFrame, most_edges: int, most_of
     plane and is at most ``most_wide`` across its box; they run against the loop, so their sides pair with the rim's."""
     ship(faces.sparkSession)
     kind = dict(vertices.dtypes)["vid"]
-    loops = ordered_loops(faces, vertices).where(F.size("ring") <= most_edges)
+    loops = ordered_loops(faces, vertices, most_edges)
     corners = loops.select("component", F.posexplode("ring").alias("at", "vid")).join(vertices.select("vid", "x", "y", "z"), "vid")
 
     def close(g: pd.DataFrame) -> pd.DataFrame:
@@ -106,18 +106,14 @@ def repair_contacts(faces: DataFrame, vertices: DataFrame, cost: DataFrame, cell
     """``faces`` without those that a cheap cover of all blocking contacts takes out, round by round; more than ``budget`` of all faces is
     an error, as is a contact that is left after the rounds. ``cost``: fid, cost."""
     total, kept = faces.count(), faces.select("fid", "a", "b", "c")
-    most = int(budget * total)
+    known = cost.select(F.col("fid").alias("member"), "cost")
     for _ in range(rounds + 1):
-        pairs = contacts(kept, vertices, cell).where(F.col("category").isin(*BLOCKING)).select("fa", "fb")
-        few = pairs.limit(50 * most + 51).collect()  # conflicts of one mesh, within the budget
-        if not few:
+        pairs = cut(contacts(kept, vertices, cell).where(F.col("category").isin(*BLOCKING)).select("fa", "fb"))
+        if not pairs.limit(1).count():
             return kept
-        if len(few) > 50 * most + 50:
-            break
-        known = cost.where(F.col("fid").isin(sorted({r[c] for r in few for c in ("fa", "fb")}))).collect()
-        gone = greedy_cover(faces.sparkSession, [(f"{r['fa']}-{r['fb']}", [r["fa"], r["fb"]]) for r in few], {r["fid"]: r["cost"] for r in known})
-        kept = cut(kept.where(~F.col("fid").isin(gone)))
-        if total - kept.count() > most:
+        gone = greedy_cover(pairs.select(F.struct("fa", "fb").alias("conflict"), F.explode(F.array("fa", "fb")).alias("member")), known)
+        kept = cut(kept.join(gone.withColumnRenamed("member", "fid"), "fid", "left_anti").select("fid", "a", "b", "c"))
+        if total - kept.count() > int(budget * total):
             break
     raise ValueError("contacts exceed the budget")
 

@@ -86,6 +86,49 @@ def parity(nodes: DataFrame, edges: DataFrame, node: str, flip: str = "flip") ->
     return wide.select(F.col("n").alias(node), F.when(conflict, None).otherwise((F.col("r0") > F.col("r1")).cast("int")).alias("label"), conflict.alias("conflict"))
 
 
+def spanning_forest(edges: DataFrame) -> DataFrame:
+    """The least spanning forest of ``edges(u, v, w)``: u < v, w of its edges. Equal weights go by u, then v, so it is one forest.
+
+    In each round every component takes its least edge to another one; the components that these make are contracted, and of edges
+    between the same two the least stays. Components at least halve, so rounds grow with the logarithm of their number. Edges with a
+    null end or a weight that is null or NaN are ignored, as are loops; of repeated edges the lightest counts.
+    """
+    least = edges.where((F.col("u") != F.col("v")) & F.col("w").isNotNull() & ~F.isnan(F.col("w").cast("double")))
+    least = least.groupBy(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).agg(F.min("w").alias("w"))
+    open_, forest = cut(least.select(F.struct("w", "u", "v").alias("e"), F.col("u").alias("cu"), F.col("v").alias("cv"))), None
+    while open_.limit(1).count():
+        both = open_.select(F.col("cu").alias("c"), "e", "cu", "cv").unionByName(open_.select(F.col("cv").alias("c"), "e", "cu", "cv"))
+        chosen = cut(both.groupBy("c").agg(F.min(F.struct("e", "cu", "cv")).alias("m")).select("m.e", "m.cu", "m.cv").distinct())
+        forest = chosen.select("e.u", "e.v", "e.w") if forest is None else forest.unionByName(chosen.select("e.u", "e.v", "e.w"))
+        roots = cut(components(chosen.select(F.col("cu").alias("u"), F.col("cv").alias("v"))))
+        for c in ("cu", "cv"):
+            open_ = open_.join(roots.withColumnRenamed("node", c), c, "left").withColumn(c, F.coalesce("root", c)).drop("root")
+        ends = F.least("cu", "cv").alias("cu"), F.greatest("cu", "cv").alias("cv")
+        open_ = cut(open_.where(F.col("cu") != F.col("cv")).groupBy(*ends).agg(F.min("e").alias("e")))
+    return open_.select("e.u", "e.v", "e.w") if forest is None else forest
+
+
+def loop_places(steps: DataFrame) -> DataFrame:
+    """component, place, size and node of the closed loops of directed ``steps(p, q)``: from each loop's least node on, in step order.
+
+    Components in which a node has no, or more than one, step in or out are no loop and left out. Places come from list ranking:
+    each node knows a later one and how far it is, and doubles that each round, so a loop of any length takes the logarithm of
+    it and is never one group.
+    """
+    steps = cut(steps.select("p", "q"))
+    ends = steps.select(F.col("p").alias("node"), F.lit(1).alias("out"), F.lit(0).alias("in")).unionByName(steps.select(F.col("q").alias("node"), F.lit(0).alias("out"), F.lit(1).alias("in")))
+    degree = ends.groupBy("node").agg(F.sum("out").alias("out"), F.sum("in").alias("in"))
+    named = label_nodes(degree.select("node"), steps.select(F.col("p").alias("u"), F.col("q").alias("v")), "node")
+    simple = degree.join(named, "node").groupBy("component").agg(F.count("*").alias("size"), F.count_if((F.col("out") != 1) | (F.col("in") != 1)).alias("bad")).where("bad = 0").drop("bad")
+    on = cut(steps.join(named.withColumnRenamed("node", "p"), "p").join(simple, "component"))
+    # the last step, back to the least node, is cut
+    at = cut(on.select("component", "size", F.col("p").alias("node"), F.when(F.col("q") != F.col("component"), F.col("q")).alias("next"), (F.col("q") != F.col("component")).cast("long").alias("far")))
+    while at.where("next is not null").limit(1).count():
+        later = at.select(F.col("node").alias("next"), F.col("next").alias("_next"), F.col("far").alias("_far"))
+        at = cut(at.join(later, "next", "left").select("component", "size", "node", F.col("_next").alias("next"), (F.col("far") + F.coalesce("_far", F.lit(0))).alias("far")))
+    return at.select("component", (F.col("size") - 1 - F.col("far")).alias("place"), "size", "node")
+
+
 def rings(edges: DataFrame, centers: DataFrame, k: int) -> DataFrame:
     """Nodes at 1 to k steps from each center, the center left out: center, node, ring."""
     both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct()

@@ -281,47 +281,31 @@ def repair_orientation(faces: DataFrame, vertices: DataFrame, evidence: DataFram
         bad = labels.where("conflict").select("fid")
         if bad.limit(1).count() == 0:
             break
-        cost = orientation_cost(face_evidence(kept, vertices, evidence)).join(bad, "fid", "left_semi")
+        cost = orientation_cost(face_evidence(kept, vertices, evidence)).select(F.col("fid").alias("member"), "cost")
         wrong = pairs.where("flip = 1").join(bad.withColumnRenamed("fid", "u"), "u", "left_semi")
-        most = int(budget * total) - removed
-        few = wrong.limit(most * 3 + 1).collect()  # conflicts of one mesh, within the budget
-        if len(few) > most * 3:
+        chosen = cut(greedy_cover(wrong.select(F.struct("u", "v").alias("conflict"), F.explode(F.array("u", "v")).alias("member")), cost))
+        removed += chosen.count()
+        if removed > budget * total:
             raise ValueError("orientation conflicts exceed the budget")
-        chosen = greedy_cover(faces.sparkSession, [(f"{r['u']}-{r['v']}", [r["u"], r["v"]]) for r in few], {r["fid"]: r["cost"] for r in cost.where(F.col("fid").isin(sorted({r[c] for r in few for c in "uv"}))).collect()})[: max(1, most)]
-        removed += len(chosen)
-        if removed > budget * total or not chosen:
-            raise ValueError("orientation conflicts exceed the budget")
-        kept = cut(kept.where(~F.col("fid").isin(chosen)))
+        kept = cut(kept.join(chosen.withColumnRenamed("member", "fid"), "fid", "left_anti").select(faces.columns))
     turned = kept.join(labels.select("fid", "label"), "fid", "left")
     return turned.select("fid", "a", F.when(F.col("label") == 1, F.col("c")).otherwise(F.col("b")).alias("b"), F.when(F.col("label") == 1, F.col("b")).otherwise(F.col("c")).alias("c"))
 
 
-def ordered_loops(faces: DataFrame, vertices: DataFrame) -> DataFrame:
-    """component and ring of the simple closed boundary loops, in face direction; other boundary components are left out.
+def rim_places(faces: DataFrame) -> DataFrame:
+    """component, place, size and node of the simple closed boundary loops, in face direction, whatever their length."""
+    from .graph import loop_places
 
-    Loops of one component are followed in its own task; a boundary component is a rim, small against the mesh.
-    """
-    import pandas as pd
-
-    from ..session import ship
-
-    ship(faces.sparkSession)
-    h = half_edges(faces)
-    rim = h.join(boundary(faces), ["lo", "hi"], "left_semi").select("p", "q")
-    nodes = rim.select(F.explode(F.array("p", "q")).alias("vid")).distinct()
-    named = label_nodes(nodes, rim.select(F.col("p").alias("u"), F.col("q").alias("v")), "vid").withColumnRenamed("vid", "p")
-    kind = dict(vertices.dtypes)["vid"]
+    return loop_places(half_edges(faces).join(boundary(faces), ["lo", "hi"], "left_semi").select("p", "q"))
 
-    def follow(g: pd.DataFrame) -> pd.DataFrame:
-        after = dict(zip(g["p"], g["q"], strict=True))
-        ring, at = [], g["p"].min()
-        while at in after and len(ring) < len(g):
-            ring.append(at)
-            at = after[at]
-        whole = len(after) == len(g) and len(ring) == len(g) and ring and at == ring[0]
-        return pd.DataFrame({"component": [g["component"].iloc[0]] if whole else [], "ring": [ring] if whole else []})
 
-    return rim.join(named, "p").groupBy("component").applyInPandas(follow, f"component {kind}, ring array<{kind}>")
+def ordered_loops(faces: DataFrame, vertices: DataFrame, most: int | None = None) -> DataFrame:
+    """component and ring (an array) of the simple closed boundary loops, in face direction, of ``most`` edges or fewer if given;
+    other boundary components are left out."""
+    places = rim_places(faces)
+    if most is not None:
+        places = places.where(F.col("size") <= most)
+    return places.groupBy("component").agg(F.array_sort(F.collect_list(F.struct("place", "node"))).alias("r")).select("component", F.col("r.node").alias("ring"))
 
 
 def ring_residuals(faces: DataFrame, vertices: DataFrame, rings: int = 2, least: int = 6) -> DataFrame:

@@ -64,17 +64,21 @@ def capped_removal(df: DataFrame, flagged: str, score: str, key: str, by: list[s
     return placed.where(~F.col("_flag") | (F.col("_i") >= F.floor(share * F.col("_n")))).drop("_flag", "_i", "_n")
 
 
-def greedy_cover(spark, constraints: list[tuple[str, list[str]]], cost: dict[str, float]) -> list[str]:
-    """Greedy weighted cover of a conflict set (driver side, for the few conflicts of one mesh): most conflicts per cost first."""
-    open_, chosen = {c: set(m) for c, m in constraints}, []
-    while open_:
-        counts: dict[str, int] = {}
-        for members in open_.values():
-            for m in members:
-                counts[m] = counts.get(m, 0) + 1
-        if not counts:
-            raise ValueError("a conflict has no member to remove")
-        best = min(counts, key=lambda m: (-counts[m] / max(cost.get(m, 1.0), 1e-12), m))
-        chosen.append(best)
-        open_ = {c: m for c, m in open_.items() if best not in m}
-    return chosen
+def greedy_cover(conflicts: DataFrame, cost: DataFrame) -> DataFrame:
+    """Members that hit every conflict: of ``conflicts(conflict, member)`` those that taking the most open conflicts per cost first takes.
+
+    ``cost(member, cost)``; members without one cost 1. Ties go to the smaller member. A member whose score beats those of all members it shares a
+    conflict with is taken at once with all others like it: until it is taken, scores around it only fall, so the one-by-one order would take it
+    before any of them too, and the cover is the same.
+    """
+    open_ = conflicts.select("conflict", "member").where("conflict is not null and member is not null").distinct()
+    open_, taken = cut(open_.join(cost.groupBy("member").agg(F.min("cost").alias("cost")), "member", "left").select("conflict", "member", F.greatest(F.coalesce("cost", F.lit(1.0)), F.lit(1e-12)).alias("cost"))), None
+    while open_.limit(1).count():
+        per = cut(open_.groupBy("member").agg(F.count("*").alias("n"), (-F.count("*") / F.first("cost")).alias("score")))
+        best = open_.join(per, "member").groupBy("conflict").agg(F.min(F.struct("score", "member")).alias("m"))
+        wins = best.groupBy(F.col("m.member").alias("member")).agg(F.count("*").alias("wins"))
+        chosen = cut(per.join(wins, "member").where("wins = n").select("member"))
+        taken = chosen if taken is None else taken.unionByName(chosen)
+        gone = open_.join(chosen, "member", "left_semi").select("conflict").distinct()
+        open_ = cut(open_.join(gone, "conflict", "left_anti"))
+    return open_.select("member") if taken is None else taken

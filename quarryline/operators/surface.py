@@ -282,16 +282,17 @@ def region_report(points: DataFrame, region: str, status: str, value: str) -> Da
 
 
 def orient_normals(df: DataFrame, k: int = 8, id_: str = "id") -> DataFrame:
-    """Normals with signs that agree along a forest: each point takes the sign of its most parallel nearer-numbered neighbour,
-    and each tree points away from its median."""
-    from .graph import parity
+    """Normals with signs that agree along the spanning forest of nearest neighbours whose normals differ least (1 - |cos|), each
+    tree pointing away from its median."""
+    from .graph import parity, spanning_forest
 
     near = cut(knn_join(df, df, k, id_, AXES, skip_self=True).select("a_id", "b_id"))
-    both = near.unionByName(near.select(F.col("b_id").alias("a_id"), F.col("a_id").alias("b_id"))).where("b_id < a_id").distinct()
     n = df.select(id_, *NORMAL)
-    met = both.join(n.toDF("a_id", "ax", "ay", "az"), "a_id").join(n.toDF("b_id", "bx", "by", "bz"), "b_id")
+    met = near.join(n.toDF("a_id", "ax", "ay", "az"), "a_id").join(n.toDF("b_id", "bx", "by", "bz"), "b_id")
     dot = F.col("ax") * F.col("bx") + F.col("ay") * F.col("by") + F.col("az") * F.col("bz")
-    tree = cut(met.groupBy(F.col("a_id").alias("u")).agg(F.max_by(F.struct(F.col("b_id").alias("v"), (dot < 0).cast("int").alias("flip")), F.abs(dot)).alias("p")).select("u", "p.v", "p.flip"))
+    tree = spanning_forest(met.select(F.col("a_id").alias("u"), F.col("b_id").alias("v"), (1 - F.abs(dot)).alias("w"))).select("u", "v")
+    ends = tree.join(n.toDF("u", "ax", "ay", "az"), "u").join(n.toDF("v", "bx", "by", "bz"), "v")
+    tree = cut(ends.select("u", "v", (dot < 0).cast("int").alias("flip")))
     signs = parity(df, tree, id_).select(id_, F.when(F.col("label") == 1, -1.0).otherwise(1.0).alias("_s"))
     turned = df.join(signs, id_).withColumns({c: F.col(c) * F.col("_s") for c in NORMAL}).join(label_nodes(df, tree.select("u", "v"), id_).withColumnRenamed("component", "_t"), id_)
     out = turned

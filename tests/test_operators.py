@@ -232,7 +232,9 @@ def test_samples_are_stable(spark):
     a = sampling.weighted_sample(df, 50, "w", "id")
     b = sampling.weighted_sample(df.repartition(7), 50, "w", "id")
     assert {r["id"] for r in a.collect()} == {r["id"] for r in b.collect()} and a.count() == 50
-    assert sampling.greedy_cover(spark, [("p", ["a", "b"]), ("q", ["b", "c"])], {"a": 1, "b": 1, "c": 1}) == ["b"]
+    conflicts = spark.createDataFrame([("p", "a"), ("p", "b"), ("q", "b"), ("q", "c")], "conflict string, member string")
+    cost = spark.createDataFrame([(m, 1.0) for m in "abc"], "member string, cost double")
+    assert [r["member"] for r in sampling.greedy_cover(conflicts, cost).collect()] == ["b"]
 
 
 def test_gates(spark):
