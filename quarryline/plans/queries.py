@@ -824,3 +824,4 @@ def reprojection_support(spark, sf):
     return consensus.reprojection_support(v, poses, depth, 20.0, 10.0, 10.0, 0.05).select("voxel", "agree", "contradict", "occluded", "agree_mask")
 
 from . import more_queries as _more  # noqa: E402, F401  registers its queries
+from . import round_queries as _round  # noqa: E402, F401  registers its queries
