@@ -40,10 +40,10 @@ def json_round_trip(spark, sf):
     return files.with_defaults(spark.read.schema(schema).json(path), f"{schema}, quality int", {"quality": -1})
 
 
-@query("SELECT DISTINCT 'S' || lpad(CAST(s_suppkey % 30 AS VARCHAR), 2, '0') AS session FROM supplier WHERE s_suppkey % 30 <> 7")
+@query("SELECT DISTINCT 'S' || lpad(CAST(s_nationkey AS VARCHAR), 2, '0') AS session FROM supplier WHERE s_acctbal > 0")
 def session_names(spark, sf):
-    name = F.concat(F.lit("S"), F.lpad((F.col("s_suppkey") % 30).cast("string"), 2, "0"))
-    place = F.when(F.col("s_suppkey") % 30 == 7, F.lit("/data/notes/x.txt")).otherwise(F.concat(F.lit("/data/obj/"), name, F.lit("/left/a_V001_A000.png")))
+    name = F.concat(F.lit("S"), F.lpad(F.col("s_nationkey").cast("string"), 2, "0"))
+    place = F.when(F.col("s_acctbal") <= 0, F.lit("/data/notes/x.txt")).otherwise(F.concat(F.lit("/data/obj/"), name, F.lit("/left/a_V001_A000.png")))
     return files.sessions(read(spark, sf, "supplier").select(place.alias("path")))
 
 
@@ -302,12 +302,12 @@ def evidence_classes(spark, sf):
     return s.select("s_suppkey", surface.evidence_class(s).alias("class"))
 
 
-@query("""WITH RECURSIVE c AS (SELECT c_custkey AS k FROM customer WHERE c_custkey % 6 <> 0), e AS (SELECT a.k AS u, b.k AS v FROM c a JOIN c b ON abs(a.k - b.k) = 1), w(i, r) AS (SELECT k, k FROM c UNION SELECT w.i, e.v FROM w JOIN e ON e.u = w.r) SELECT DISTINCT i AS c_custkey FROM w WHERE r % 11 = 0""")
+@query("""WITH RECURSIVE c AS (SELECT c_custkey AS k, c_acctbal > 9000 AS strong FROM customer WHERE c_mktsegment <> 'BUILDING'), e AS (SELECT a.k AS u, b.k AS v FROM c a JOIN c b ON abs(a.k - b.k) = 1), w(i, r) AS (SELECT k, k FROM c UNION SELECT w.i, e.v FROM w JOIN e ON e.u = w.r) SELECT DISTINCT i AS c_custkey FROM w JOIN c ON c.k = w.r WHERE c.strong""")
 def touching_weak(spark, sf):
-    c = read(spark, sf, "customer").select("c_custkey")
-    weak = c.where("c_custkey % 6 <> 0")
+    c = read(spark, sf, "customer").where("c_mktsegment <> 'BUILDING'").select("c_custkey", "c_acctbal")
+    weak = c.select("c_custkey")
     e = weak.select(F.col("c_custkey").alias("u"), (F.col("c_custkey") + 1).alias("v")).join(weak.withColumnRenamed("c_custkey", "v"), "v", "left_semi")
-    return keep_touching(weak, e, weak.where("c_custkey % 11 = 0"), "c_custkey")
+    return keep_touching(weak, e, c.where("c_acctbal > 9000").select("c_custkey"), "c_custkey")
 
 
 @query("SELECT o_orderkey, o_orderpriority, CASE WHEN o_orderpriority LIKE '1%' THEN 'rejected' WHEN o_orderpriority LIKE '2%' THEN 'accepted' END AS session_quality, TRUE AS depth_enabled FROM orders")

@@ -390,29 +390,30 @@ def plane_pairs(spark, sf):
     return gates.plane_pairs(u, "label", AXES, "d", 20.0, 70.0).select("a", "b", r("angle", 4).alias("angle"), "relation")
 
 
-@query("WITH RECURSIVE e AS (SELECT c_custkey AS u, c_custkey + 1 AS v FROM customer WHERE c_custkey % 10 <> 9 AND c_custkey % 7 <> 0 AND c_custkey + 1 IN (SELECT c_custkey FROM customer)), b AS (SELECT u, v FROM e UNION SELECT v, u FROM e), w(n, r) AS (SELECT c_custkey, c_custkey FROM customer UNION SELECT w.n, b.v FROM w JOIN b ON b.u = w.r) SELECT n AS c_custkey, min(r) AS component FROM w GROUP BY 1")
+@query("WITH RECURSIVE e AS (SELECT c_custkey AS u, c_custkey + 1 AS v FROM customer WHERE c_mktsegment <> 'BUILDING' AND c_custkey + 1 IN (SELECT c_custkey FROM customer)), b AS (SELECT u, v FROM e UNION SELECT v, u FROM e), w(n, r) AS (SELECT c_custkey, c_custkey FROM customer UNION SELECT w.n, b.v FROM w JOIN b ON b.u = w.r) SELECT n AS c_custkey, min(r) AS component FROM w GROUP BY 1")
 def components(spark, sf):
-    c = read(spark, sf, "customer").select("c_custkey")
-    e = c.where("c_custkey % 10 <> 9 and c_custkey % 7 <> 0").select(F.col("c_custkey").alias("u"), (F.col("c_custkey") + 1).alias("v")).join(c.withColumnRenamed("c_custkey", "v"), "v", "left_semi")
+    c = read(spark, sf, "customer").select("c_custkey", "c_mktsegment")
+    e = c.where("c_mktsegment <> 'BUILDING'").select(F.col("c_custkey").alias("u"), (F.col("c_custkey") + 1).alias("v")).join(c.select(F.col("c_custkey").alias("v")), "v", "left_semi")
     return graph.label_nodes(c, e, "c_custkey")
 
 
-@query("WITH RECURSIVE e AS (SELECT s_suppkey AS u, s_suppkey + 1 AS v FROM supplier WHERE s_suppkey % 3 <> 0 AND s_suppkey + 1 IN (SELECT s_suppkey FROM supplier)), b AS (SELECT u, v FROM e UNION SELECT v, u FROM e), w(c, n, d) AS (SELECT s_suppkey, s_suppkey, 0 FROM supplier UNION SELECT w.c, b.v, w.d + 1 FROM w JOIN b ON b.u = w.n WHERE w.d < 2) SELECT c AS center, n AS node, min(d) AS ring FROM w GROUP BY 1, 2 HAVING min(d) > 0")
+@query("WITH RECURSIVE e AS (SELECT s_suppkey AS u, s_suppkey + 1 AS v FROM supplier WHERE s_nationkey > 8 AND s_suppkey + 1 IN (SELECT s_suppkey FROM supplier)), b AS (SELECT u, v FROM e UNION SELECT v, u FROM e), w(c, n, d) AS (SELECT s_suppkey, s_suppkey, 0 FROM supplier UNION SELECT w.c, b.v, w.d + 1 FROM w JOIN b ON b.u = w.n WHERE w.d < 2) SELECT c AS center, n AS node, min(d) AS ring FROM w GROUP BY 1, 2 HAVING min(d) > 0")
 def ring_neighbors(spark, sf):
-    s = read(spark, sf, "supplier").select("s_suppkey")
-    e = s.where("s_suppkey % 3 <> 0").select(F.col("s_suppkey").alias("u"), (F.col("s_suppkey") + 1).alias("v")).join(s.withColumnRenamed("s_suppkey", "v"), "v", "left_semi")
+    wide = read(spark, sf, "supplier")
+    s = wide.select("s_suppkey")
+    e = wide.where("s_nationkey > 8").select(F.col("s_suppkey").alias("u"), (F.col("s_suppkey") + 1).alias("v")).join(s.withColumnRenamed("s_suppkey", "v"), "v", "left_semi")
     return graph.rings(e, s.withColumnRenamed("s_suppkey", "center"), 2)
 
 
 def strip(spark, sf) -> tuple[DataFrame, DataFrame]:
-    """A strip of triangles over consecutive embeddings, with gaps."""
-    v = cloud(spark, sf).withColumnRenamed("vec_id", "vid").select("vid", *AXES)
-    ids = v.select("vid")
-    f = ids.where("vid % 5 <> 0").select(F.col("vid").alias("fid"), F.col("vid").alias("a"), (F.col("vid") + 1).alias("b"), (F.col("vid") + 2).alias("c"))
+    """A strip of triangles over consecutive embeddings, with gaps at two labels."""
+    points = cloud(spark, sf).withColumnRenamed("vec_id", "vid")
+    v, ids = points.select("vid", *AXES), points.select("vid")
+    f = points.where("label > 1").select(F.col("vid").alias("fid"), F.col("vid").alias("a"), (F.col("vid") + 1).alias("b"), (F.col("vid") + 2).alias("c"))
     return f.join(ids.withColumnRenamed("vid", "c"), "c", "left_semi").select("fid", "a", "b", "c"), v
 
 
-FACES = "(SELECT vec_id AS fid, vec_id AS a, vec_id + 1 AS b, vec_id + 2 AS c FROM embeddings WHERE vec_id % 5 <> 0 AND vec_id + 2 IN (SELECT vec_id FROM embeddings))"
+FACES = "(SELECT vec_id AS fid, vec_id AS a, vec_id + 1 AS b, vec_id + 2 AS c FROM embeddings WHERE label > 1 AND vec_id + 2 IN (SELECT vec_id FROM embeddings))"
 SIDES = f"(SELECT fid, a AS p, b AS q FROM {FACES} UNION ALL SELECT fid, b, c FROM {FACES} UNION ALL SELECT fid, c, a FROM {FACES})"
 EDGES = f"(SELECT least(p, q) AS lo, greatest(p, q) AS hi, count(*) AS faces, sum(CAST(p < q AS INT)) AS forward FROM {SIDES} GROUP BY 1, 2)"
 
@@ -573,10 +574,10 @@ def manifest_digest(spark, sf):
     return lineage.manifest(read(spark, sf, "documents"), "doc_id", "text").withColumnRenamed("path", "doc_id")
 
 
-@query("SELECT p.doc_id AS path, CASE WHEN q.doc_id IS NULL THEN 'missing' WHEN q.n <> p.n THEN 'size_changed' WHEN q.h <> p.h THEN 'content_changed' ELSE 'same' END AS state FROM (SELECT doc_id, sha256(text) AS h, octet_length(encode(text)) AS n FROM documents) p LEFT JOIN (SELECT doc_id, sha256(CASE WHEN doc_id % 7 = 0 THEN upper(text) ELSE text END) AS h, octet_length(encode(CASE WHEN doc_id % 5 = 0 THEN text || '.' ELSE text END)) AS n FROM documents WHERE doc_id % 11 <> 0) q USING (doc_id)")
+@query("SELECT p.doc_id AS path, CASE WHEN q.doc_id IS NULL THEN 'missing' WHEN q.n <> p.n THEN 'size_changed' WHEN q.h <> p.h THEN 'content_changed' ELSE 'same' END AS state FROM (SELECT doc_id, sha256(text) AS h, octet_length(encode(text)) AS n FROM documents) p LEFT JOIN (SELECT doc_id, sha256(CASE WHEN doc_id % 7 = 0 THEN upper(text) ELSE text END) AS h, octet_length(encode(CASE WHEN doc_id % 5 = 0 THEN text || '.' ELSE text END)) AS n FROM documents WHERE n_chars <= 2000) q USING (doc_id)")
 def reference_drift(spark, sf):
     d = read(spark, sf, "documents")
-    now = d.where("doc_id % 11 <> 0").select(F.col("doc_id").alias("path"), F.sha2(F.when(F.col("doc_id") % 7 == 0, F.upper("text")).otherwise(F.col("text")), 256).alias("sha256"), F.octet_length(F.when(F.col("doc_id") % 5 == 0, F.concat("text", F.lit("."))).otherwise(F.col("text"))).cast("bigint").alias("size_bytes"))
+    now = d.where("n_chars <= 2000").select(F.col("doc_id").alias("path"), F.sha2(F.when(F.col("doc_id") % 7 == 0, F.upper("text")).otherwise(F.col("text")), 256).alias("sha256"), F.octet_length(F.when(F.col("doc_id") % 5 == 0, F.concat("text", F.lit("."))).otherwise(F.col("text"))).cast("bigint").alias("size_bytes"))
     return lineage.drift(lineage.manifest(d, "doc_id", "text"), now)
 
 
