@@ -1,9 +1,10 @@
 """Robust and weighted statistics by group.
 
 Percentiles are exact with linear interpolation, at any size of a group: equal values are one row with their count or weight,
-a group's rows are cut by approximate quantiles into ``PARTS`` ranges, ranges are summed first, and a rank is a range's sum of
-lower ranges plus a window inside it, so no task holds a group. Groups that are counted to hold ``SMALL`` rows at most, or all but
-eight of them and those five times that, take the built-in percentile, which gives the same. A statistic that needs another one's
+a group's values are cut by approximate quantiles into ``PARTS`` ranges, and each range of more than ``SMALL`` values again, until none
+is; ranges are summed first, and a rank is a range's sum of lower ranges plus a window inside it, so a task's rows have a bound that
+doesn't depend on the group. Groups that are counted to hold SMALL rows at most, or all but eight of them and those five times that, take
+the built-in percentile or one window, which give the same. A statistic that needs another one's
 value (MAD needs the median) is a second aggregate joined on the group. Empty groups have count 0 and nulls. Values that are null,
 NaN or infinite don't count.
 """
@@ -37,19 +38,35 @@ def _part(value: str, edges: str) -> Column:
     return at
 
 
+def _same(a: DataFrame, b: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """A join on ``on`` in which null equals null."""
+    named = b.select(*[F.col(c).alias(f"_s{i}") for i, c in enumerate(on)], *[c for c in b.columns if c not in on])
+    return a.join(named, [a[c].eqNullSafe(F.col(f"_s{i}")) for i, c in enumerate(on)], how).drop(*[f"_s{i}" for i in range(len(on))])
+
+
 def _running(rows: DataFrame, keys: list[str], aggregates: dict[str, Column], weight: str) -> DataFrame:
     """One row for each distinct _x of ``rows`` (keys, _x, ...) with the ``aggregates``, with _c, the weights up to and with _x, and
     _total, those of the group."""
-    edges = cut(rows.groupBy(*keys).agg(F.percentile_approx("_x", [i / PARTS for i in range(1, PARTS)], 1000).alias("_e")))
-    few = edges.count() <= GROUPS
-    small = F.broadcast if few else lambda df: df  # an array of PARTS, and PARTS sums, for each of GROUPS groups at most
-    counted = cut(rows.join(small(edges), keys).withColumn("_b", _part("_x", "_e")).groupBy(*keys, "_b", "_x").agg(*[a.alias(n) for n, a in aggregates.items()]))
-    group = Window.partitionBy(*keys)
+    group, upto = Window.partitionBy(*keys), (Window.unboundedPreceding, 0)
+    counted = rows.groupBy(*keys, "_x").agg(*[a.alias(n) for n, a in aggregates.items()])
+    if _fits(rows, keys):
+        return counted.withColumns({"_c": F.sum(weight).over(group.orderBy("_x").rowsBetween(*upto)), "_total": F.sum(weight).over(group)})
+    counted = cut(counted.withColumn("_b", F.lit(0).cast("long")))
+    while True:
+        large = cut(counted.groupBy(*keys, "_b").count().where(F.col("count") > max(SMALL, 1)).drop("count"))
+        n = large.count()
+        if not n:
+            break
+        small = F.broadcast if n <= GROUPS else lambda df: df  # an array of PARTS for each of GROUPS ranges at most
+        inside = _same(counted, small(large.withColumn("_in", F.lit(True))), [*keys, "_b"])
+        edges = cut(inside.groupBy(*keys, "_b").agg(F.percentile_approx("_x", [i / PARTS for i in range(1, PARTS)], 1000).alias("_e")))
+        split = _same(counted, small(edges), [*keys, "_b"], "left")
+        counted = cut(split.withColumn("_b", F.col("_b") * PARTS + F.when(F.col("_e").isNull(), 0).otherwise(_part("_x", "_e"))).drop("_e"))
     sums = counted.groupBy(*keys, "_b").agg(F.sum(weight).alias("_s"))
     lower = F.sum("_s").over(group.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1))
     sums = sums.select(*keys, "_b", F.coalesce(lower, F.lit(0)).alias("_l"), F.sum("_s").over(group).alias("_total"))
-    inside = Window.partitionBy(*keys, "_b").orderBy("_x").rowsBetween(Window.unboundedPreceding, 0)
-    return counted.join(small(sums), [*keys, "_b"]).withColumn("_c", F.col("_l") + F.sum(weight).over(inside)).drop("_b", "_l")
+    within = Window.partitionBy(*keys, "_b").orderBy("_x").rowsBetween(*upto)
+    return _same(counted, sums, [*keys, "_b"]).withColumn("_c", F.col("_l") + F.sum(weight).over(within)).drop("_b", "_l")
 
 
 def _keyed(df: DataFrame, keys: list[str]) -> tuple[DataFrame, list[str]]:
