@@ -70,9 +70,10 @@ def _neighbours(cells: DataFrame, k: int, radius: float) -> DataFrame:
     steps = F.array(*[F.struct(*[F.lit(d).alias(f"d{i}") for i, d in enumerate(o)]) for o in half])
     looked = cells.withColumn("o", F.explode(steps)).withColumn("o_cell", F.struct(*[(F.col(f"cell.k{i}") + F.col(f"o.d{i}")).alias(f"k{i}") for i in range(k)])).drop("o")
     met = looked.join(cells.select(F.col("cell").alias("o_cell"), *[F.col(c).alias(f"o_{c}") for c in ("n", "lo", "hi")]), "o_cell")
-    met = cut(met.where(_gap2(k, "lo", "hi", lambda i: F.col("o_lo")[i], lambda i: F.col("o_hi")[i]) <= radius * radius))
-    back = met.where(F.col("cell") != F.col("o_cell")).select(F.col("o_cell").alias("cell"), *[F.col(f"o_{c}").alias(c) for c in ("n", "lo", "hi")], F.col("cell").alias("o_cell"), *[F.col(c).alias(f"o_{c}") for c in ("n", "lo", "hi")])
-    return met.select(*back.columns).unionByName(back)
+    met = met.where(_gap2(k, "lo", "hi", lambda i: F.col("o_lo")[i], lambda i: F.col("o_hi")[i]) <= radius * radius)
+    one = lambda a, b: F.struct(*[F.col(f"{a}{c}").alias(c) for c in ("cell", "n", "lo", "hi")], *[F.col(f"{b}{c}").alias(f"o_{c}") for c in ("cell", "n", "lo", "hi")])
+    both = F.when(F.col("cell") == F.col("o_cell"), F.array(one("", "o_"))).otherwise(F.array(one("", "o_"), one("o_", "")))
+    return met.select(F.explode(both).alias("s")).select("s.*")
 
 
 def _around(asking: DataFrame, near: DataFrame, places: DataFrame, k: int, radius: float) -> DataFrame:
@@ -91,7 +92,7 @@ def counts(df: DataFrame, radius: float, id_: str, axes: tuple) -> DataFrame:
     """id and neighbors of every row: the other rows within the radius."""
     k = len(axes)
     rows, places = _places(df, id_, axes, radius)
-    near = _neighbours(cut(_boxed(places, k)), k, radius)
+    near = _neighbours(_boxed(places, k), k, radius)
     found = rows.join(_around(places, near, places, k, radius), [f"p{i}" for i in range(k)]).select("id", (F.col("total") - 1).alias("neighbors"))
     lone = df.select(F.col(id_).alias("id"), *[is_finite(a).alias(f"ok{i}") for i, a in enumerate(axes)]).where(" or ".join(f"not ok{i}" for i in range(k))).select("id", F.lit(0).cast("long").alias("neighbors"))
     return found.unionByName(lone).withColumnRenamed("id", id_)
@@ -109,7 +110,7 @@ def at_least(df: DataFrame, radius: float, least: int, id_: str, axes: tuple) ->
     """The ids of rows with ``least`` other rows or more within the radius."""
     k = len(axes)
     rows, places = _places(df, id_, axes, radius)
-    boxed = cut(_boxed(places, k))
+    boxed = _boxed(places, k)
     good = _dense(places, _neighbours(boxed, k, radius), boxed, k, radius, least + 1)
     return rows.join(good.select(*[f"p{i}" for i in range(k)]), [f"p{i}" for i in range(k)], "left_semi").select(F.col("id").alias(id_))
 
@@ -120,12 +121,12 @@ def clusters(df: DataFrame, radius: float, least: int, id_: str, axes: tuple) ->
     k, r2 = len(axes), radius * radius
     ps = [f"p{i}" for i in range(k)]
     rows, places = _places(df, id_, axes, radius)
-    boxed = cut(_boxed(places, k))
+    boxed = _boxed(places, k)
     near = cut(_neighbours(boxed, k, radius))
     core = cut(_dense(places, near, boxed, k, radius, least).select("cell", *ps, "n", "least"))
     point = F.struct(*ps)
     outer = F.array_distinct(F.array(*[f(point, F.col(p)) for p in ps for f in (F.min_by, F.max_by)]))
-    summed = cut(core.groupBy("cell").agg(outer.alias("outer"), F.min("least").alias("least")))
+    summed = core.groupBy("cell").agg(outer.alias("outer"), F.min("least").alias("least"))
     pairs = near.where(F.col("cell") < F.col("o_cell")).select("cell", "o_cell")
     pairs = pairs.join(summed.select("cell", "outer"), "cell").join(summed.select(F.col("cell").alias("o_cell"), F.col("outer").alias("o_outer")), "o_cell")
     reach = F.exists("outer", lambda a: F.exists("o_outer", lambda b: _sum([a[p] - b[p] for p in ps]) <= r2))
@@ -135,7 +136,8 @@ def clusters(df: DataFrame, radius: float, least: int, id_: str, axes: tuple) ->
     open_ = pairs.where("not linked").select("cell", "o_cell").join(seen.withColumnRenamed("root", "u"), "cell").join(seen.select(F.col("cell").alias("o_cell"), F.col("root").alias("v")), "o_cell").where(F.col("u") != F.col("v"))
     other = core.select(F.col("cell").alias("o_cell"), *[F.col(p).alias(f"q{i}") for i, p in enumerate(ps)])
     more = open_.join(core.select("cell", *ps), "cell").join(other, "o_cell").where(_point2(k) <= r2).select("u", "v").distinct()
-    joined = named(seen.select(F.col("root").alias("cell")).distinct(), more).select(F.col("cell").alias("root"), F.col("root").alias("last"))
+    more, roots = cut(more), seen.select(F.col("root").alias("cell")).distinct()
+    joined = (named(roots, more) if more.limit(1).count() else roots.withColumn("root", F.col("cell"))).select(F.col("cell").alias("root"), F.col("root").alias("last"))
     of_cell = seen.join(joined, "root").join(summed.select("cell", "least"), "cell").select("cell", "last", "least")
     label = of_cell.groupBy("last").agg(F.min("least").alias("cluster"))
     of_cell = cut(of_cell.join(label, "last").select("cell", "cluster"))
