@@ -60,11 +60,15 @@ def test_one_huge_face_and_a_crowd_stay_in_bounds(spark, monkeypatch):
     df = spark.createDataFrame([*rows, (9999, -1.0, -1.0, -1.0, 9.0, 9.0, 9.0)], "fid long, lox double, loy double, loz double, hix double, hiy double, hiz double")
     met = boxes.meeting(df, "fid")
     assert met.where("qfid = 9999").count() == 700
-    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    shuffled = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}  # else the join of so few rows is broadcast
+    for k, v in shuffled.items():
+        spark.conf.set(k, v)
     try:
+        met = boxes.meeting(df, "fid")
         largest = met.where("qfid = 9999").groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0]
     finally:
-        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        for k in shuffled:
+            spark.conf.unset(k)
     assert largest < 500  # of 4 partitions
 
 
