@@ -116,6 +116,13 @@ def test_simhash_odd(spark, odd):
 # --- op2
 
 
+def test_url_filter_rules_of_the_contract(spark, tmp_path):
+    rows = [(1, "http://a.net/de/1"), (2, "http://www.example.net/de/7"), (3, "http://www.example.net/de/8x"), (4, "http://b.com/en/1"), (5, "http://example.com/en/7"), (6, "http://c.org/es/"), (7, "http://c.org/de/")]
+    spark.createDataFrame(rows, "page_id long, url string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = {r["page_id"]: (r["rule"], r["verdict"]) for r in queries.op2_url_filter(spark, str(tmp_path)).collect()}
+    assert got == {1: ("net/de/", "allow"), 2: ("net/de/", "allow"), 3: ("example.net/de/8", "block"), 4: ("com/en/", "block"), 5: ("example.com/en/7", "allow"), 6: ("org/es/", "block"), 7: (None, "allow")}
+
+
 def test_url_filter_odd(spark):
     urls = [None, "", "no scheme/en/7", "HTTP://A.EXAMPLE.COM/en/7x?q", "http://example.com/en/", "https://com/en/1#f", "x://b.net", "x://b.net/de/", "http://notcom/en/", "a://u://example.com/en/7", "http://xexample.com/en/7"]
     rows = spark.createDataFrame([(i, u, "mine") for i, u in enumerate(urls)] * 2, "page_id long, url string, verdict string")
