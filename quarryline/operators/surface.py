@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import clip
 from ..session import ship
-from . import density
+from . import density, near
 from .graph import cut, label_nodes
 from .joins import knn_join, outlier_filter, radius_filter, radius_join
 from .stats import MAD_SIGMA, finite_stats, percentile, quantiles, weighted_median
@@ -44,9 +44,9 @@ def surface_seeds(df: DataFrame, size: float, angle_deg: float, height: float, w
     return keyed.groupBy("kx", "ky", "kz").applyInPandas(run, f"seed {kind}, member {kind}")
 
 
-def _heights(df: DataFrame, radius: float, least_dot: float, weight: str, id_: str) -> DataFrame:
+def _heights(df: DataFrame, radius: float, least_dot: float, weight: str, id_: str, probe: DataFrame | None = None) -> DataFrame:
     """Signed heights of compatible neighbours over each point's tangent plane, with spatial, plane and confidence weights."""
-    near = radius_join(df, df, radius, id_, AXES, carry=(*NORMAL, weight, *AXES)).where("a_id <> b_id")
+    near = radius_join(df if probe is None else probe, df, radius, id_, AXES, carry=(*NORMAL, weight, *AXES)).where("a_id <> b_id")
     d = {x: F.col(f"b_{x}") - F.col(f"a_{x}") for x in AXES}
     dot = F.col("a_nx") * F.col("b_nx") + F.col("a_ny") * F.col("b_ny") + F.col("a_nz") * F.col("b_nz")
     h = d["x"] * F.col("a_nx") + d["y"] * F.col("a_ny") + d["z"] * F.col("a_nz")
@@ -55,15 +55,24 @@ def _heights(df: DataFrame, radius: float, least_dot: float, weight: str, id_: s
     return near.select(F.col("a_id").alias(id_), "h", w.alias("w"))
 
 
+def _median_heights(df: DataFrame, radius: float, least_dot: float, weight: str, id_: str, absolute: bool) -> DataFrame:
+    """(id_, median) of ``_heights``. Neighbours of rows that share an id count together; only these rows' pairs are listed."""
+    shared = cut(df.groupBy(id_).count().where("count > 1").select(id_))
+    if not shared.limit(1).count():
+        return near.weighted_median_height(df, radius, least_dot, weight, id_, absolute)
+    h = _heights(df, radius, least_dot, weight, id_, df.join(shared, id_, "left_semi"))
+    together = weighted_median(h.withColumn("h", F.abs("h")) if absolute else h, [id_], "h", "w")
+    return near.weighted_median_height(df, radius, least_dot, weight, id_, absolute, df.join(shared, id_, "left_anti")).unionByName(together)
+
+
 def local_residual(df: DataFrame, radius: float, weight: str, id_: str = "id", least_dot: float = 0.5) -> DataFrame:
     """Weighted median of neighbours' absolute heights; null without a neighbour."""
-    h = _heights(df, radius, least_dot, weight, id_).withColumn("h", F.abs("h"))
-    return df.select(id_).join(weighted_median(h, [id_], "h", "w"), id_, "left").withColumnRenamed("median", "residual")
+    return df.select(id_).join(_median_heights(df, radius, least_dot, weight, id_, True), id_, "left").withColumnRenamed("median", "residual")
 
 
 def smooth(df: DataFrame, radius: float, weight: str, most: float = 0.2, id_: str = "id", least_dot: float = 0.5) -> DataFrame:
     """Points moved along their normals by the weighted median height, at most ``most``."""
-    m = weighted_median(_heights(df, radius, least_dot, weight, id_), [id_], "h", "w").withColumnRenamed("median", "_m")
+    m = _median_heights(df, radius, least_dot, weight, id_, False).withColumnRenamed("median", "_m")
     step = clip(F.coalesce("_m", F.lit(0.0)), -most, most)
     return df.join(m, id_, "left").withColumns({a: F.col(a) + step * F.col(n) for a, n in zip(AXES, NORMAL, strict=True)}).drop("_m")
 
