@@ -5,16 +5,21 @@ Classes: separate, shared_vertex, shared_edge (allowed); touching, crossing, cop
 
 from __future__ import annotations
 
+from collections import Counter
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ship
+from . import near
 from .boxes import SIDES, finite, meeting
 from .mesh import corners
 
 NINE = tuple(f"{k}{x}" for k in "abc" for x in "xyz")
+PAIRS = 16_384
 ALLOWED = ("separate", "shared_vertex", "shared_edge")
 BLOCKING = ("touching", "crossing", "coplanar_overlap", "duplicate", "degenerate")
 
@@ -99,6 +104,73 @@ def _hits_all(a: np.ndarray, b: np.ndarray, eps: float = 1e-9) -> np.ndarray:
     return out
 
 
+def _less(u: list, v: list) -> list:
+    return [x - y for x, y in zip(u, v, strict=True)]
+
+
+def _cross(u: list, v: list) -> list:
+    return [u[1] * v[2] - u[2] * v[1], u[2] * v[0] - u[0] * v[2], u[0] * v[1] - u[1] * v[0]]
+
+
+def _dot(u: list, v: list) -> np.ndarray:
+    return u[0] * v[0] + u[1] * v[1] + u[2] * v[2]
+
+
+def _side_hits(p: list, q: list, t: list, eps: float = 1e-9) -> np.ndarray:
+    """``segment_hits`` of many, each coordinate an array."""
+    e1, e2, d, s = _less(t[1], t[0]), _less(t[2], t[0]), _less(q, p), _less(p, t[0])
+    h, k = _cross(d, e2), _cross(s, e1)
+    det = _dot(e1, h)
+    ok = np.abs(det) >= eps
+    safe = np.where(ok, det, 1.0)
+    u, v, w = _dot(s, h) / safe, _dot(d, k) / safe, _dot(e2, k) / safe
+    return ok & (u >= -eps) & (v >= -eps) & (u + v <= 1 + eps) & (w >= -eps) & (w <= 1 + eps)
+
+
+def count_all(a: np.ndarray, b: np.ndarray, eps: float = 1e-9) -> Counter:
+    """How many pairs ``classify_all`` gives each class: first those clearly on one side of the other's plane, then those clearly through it or
+    past it, by arrays for each coordinate; what is close to a limit or shares a corner goes to ``classify_all``."""
+    out: Counter = Counter()
+    low, high = np.minimum(a.min(1), b.min(1)), np.maximum(a.max(1), b.max(1))
+    size = np.maximum((high - low).max(1), 1e-12)
+    take = lambda t, at: [[np.ascontiguousarray(t[at, k, c]) for c in range(3)] for k in range(3)]
+    at, lengths = np.arange(len(a)), {}
+    for k, t in (("a", take(a, at)), ("b", take(b, at))):
+        n = _cross(_less(t[1], t[0]), _less(t[2], t[0]))
+        lengths[k] = np.sqrt(_dot(n, n))
+    solid = np.minimum(lengths["a"], lengths["b"]) >= eps * size * size * (1 + 1e-6)
+    for name, first, second in (("a", a, b), ("b", b, a)):
+        t, o, s, length = take(first, at), take(second, at), size[at], lengths[name][at]
+        n = _cross(_less(t[1], t[0]), _less(t[2], t[0]))
+        side = [_dot(_less(o[k], t[0]), n) for k in range(3)]
+        least = np.maximum(1e-7 * s * length, eps * s**3) * (1 + 1e-6)
+        apart = (np.minimum(np.minimum(*side[:2]), side[2]) > least) | (np.maximum(np.maximum(*side[:2]), side[2]) < -least)
+        apart &= solid[at]
+        out["separate"] += int(apart.sum())
+        at = at[~apart]
+    if not len(at):
+        return out
+    p, q, s = take(a, at), take(b, at), size[at]
+    n, m = _cross(_less(p[1], p[0]), _less(p[2], p[0])), _cross(_less(q[1], q[0]), _less(q[2], q[0]))
+    la, lb = np.sqrt(_dot(n, n)), np.sqrt(_dot(m, m))
+    side_b, side_a = [_dot(_less(x, p[0]), n) for x in q], [_dot(_less(x, q[0]), m) for x in p]
+    far_b, far_a = 1e-6 * s * la, 1e-6 * s * lb  # a shared corner would lie in both planes
+    clear = (np.minimum(la, lb) >= 1e-8 * s * s) & (far_b > 1e-8 * s**3) & (far_a > 1e-8 * s**3)
+    for v in side_b:
+        clear &= np.abs(v) > far_b
+    for v in side_a:
+        clear &= np.abs(v) > far_a
+    hit = np.zeros(len(at), bool)
+    for x, y in ((p, q), (q, p)):
+        for i, j in ((0, 1), (1, 2), (2, 0)):
+            hit |= _side_hits(x[i], x[j], y)
+    out["crossing"] += int((clear & hit).sum())
+    out["separate"] += int((clear & ~hit).sum())
+    rest = at[~clear]
+    out.update(classify_all(a[rest], b[rest], eps))
+    return out
+
+
 def classify_all(a: np.ndarray, b: np.ndarray, eps: float = 1e-9) -> list[str]:
     """``classify`` of many pairs: pairs without a shared corner and off each other's plane by arrays, the rest one by one."""
     if not len(a):
@@ -132,8 +204,8 @@ def contacts(faces: DataFrame, vertices: DataFrame, cell: float = 1.0) -> DataFr
     wide = finite(corners(faces, vertices), NINE)
     for x in "xyz":
         wide = wide.withColumns({f"lo{x}": F.least(f"a{x}", f"b{x}", f"c{x}"), f"hi{x}": F.greatest(f"a{x}", f"b{x}", f"c{x}")})
-    near = meeting(wide.select("fid", *NINE, *SIDES), "fid", cell)
-    near = near.select("pfid", "qfid", *[f"{s}{c}" for s in "pq" for c in NINE])
+    met = meeting(wide.select("fid", *NINE, *SIDES), "fid", cell)
+    met = met.select("pfid", "qfid", *[f"{s}{c}" for s in "pq" for c in NINE])
 
     def run(batches):
         for g in batches:
@@ -141,7 +213,36 @@ def contacts(faces: DataFrame, vertices: DataFrame, cell: float = 1.0) -> DataFr
             yield pd.DataFrame({"fa": g["pfid"], "fb": g["qfid"], "category": classify_all(p, q)})
 
     kind = dict(faces.dtypes)["fid"]
-    return near.mapInPandas(run, f"fa {kind}, fb {kind}, category string")
+    return met.mapInPandas(run, f"fa {kind}, fb {kind}, category string")
+
+
+def contact_counts(faces: DataFrame, vertices: DataFrame) -> DataFrame:
+    """category and n: how many of ``contacts`` are of each class. Every pair whose boxes meet is looked at, block by block, but none is a row."""
+    wide = finite(corners(faces, vertices), NINE).where("fid is not null")
+    wide = wide.withColumns({f"{s}{x}": f(f"a{x}", f"b{x}", f"c{x}") for s, f in (("lo", F.least), ("hi", F.greatest)) for x in "xyz"}).select("fid", *NINE, *SIDES)
+
+    class State:
+        def __init__(self, rows):
+            self.t, self.ids, self.n = near.numbers(rows, *NINE).T.reshape(-1, 3, 3), rows.column("fid").to_numpy(), Counter()
+            self.lo, self.hi = self.t.min(1), self.t.max(1)
+
+        def add(self, batch):
+            t, ids = near.numbers(batch, *NINE).T.reshape(-1, 3, 3), batch.column(batch.schema.names.index("fid")).to_numpy(zero_copy_only=False)
+            lo, hi = t.min(1), t.max(1)
+            some = np.flatnonzero(((self.lo <= hi.max(0)) & (self.hi >= lo.min(0))).all(1))
+            met = np.less.outer(self.ids[some], ids)
+            for k in range(3):
+                met &= np.less_equal.outer(self.lo[some, k], hi[:, k])
+                met &= np.greater_equal.outer(self.hi[some, k], lo[:, k])
+            i, j = np.nonzero(met)
+            for s in range(0, len(i), PAIRS):
+                self.n.update(count_all(self.t[some[i[s : s + PAIRS]]], t[j[s : s + PAIRS]]))
+
+        def end(self):
+            some = {k: v for k, v in self.n.items() if v}
+            yield pa.RecordBatch.from_arrays([pa.array(list(some), pa.string()), pa.array(list(some.values()), pa.int64())], names=["category", "n"])
+
+    return near.Meeting(wide, "fid").fold(State, "category string, n long").groupBy("category").agg(F.sum("n").alias("n"))
 
 
 def _largest(fits, steps: int) -> float:

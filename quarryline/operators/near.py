@@ -20,7 +20,7 @@ from . import boxes
 from .graph import cut
 
 AXES, NORMAL = ("x", "y", "z"), ("nx", "ny", "nz")
-PROBES, POINTS, TASKS = 2048, 512, 2000
+PROBES, POINTS, FACES, TASKS = 2048, 512, 512, 2000
 BINS, LEFT, ROUNDS, PENDING = 512, 128, 8, 50_000
 
 
@@ -90,7 +90,21 @@ class Near:
         return rows.mapInArrow(run, schema)
 
 
-def _numbers(table, *columns: str) -> np.ndarray:
+class Meeting(Near):
+    """Rows with boxes (id_, lox, ..., hiz, all finite) on both sides; blocks meet whose boxes do."""
+
+    def __init__(self, rows: DataFrame, id_: str):
+        ship(rows.sparkSession)
+        place = {x: F.col(f"lo{x}") / 2 + F.col(f"hi{x}") / 2 for x in AXES}
+        self.probe, self.points, self.id_ = cut(boxes.in_blocks(rows, place, id_, FACES)), cut(boxes.in_blocks(rows, place, id_, POINTS)), id_
+        own, other = cut(boxes.around(self.probe, "block")), cut(boxes.around(self.points, "block"))
+        self.n = own.count()
+        if self.n:
+            sides = own.select("block", *[F.col(c).alias(f"b_{c}") for c in boxes.SIDES], F.lit(0.0).alias("most"))
+            self.pairs = cut(boxes.leaves_within(sides, boxes.tree(other), "most").withColumn("gap", F.lit(0.0)))
+
+
+def numbers(table, *columns: str) -> np.ndarray:
     return np.stack([np.asarray(table.column(c).to_numpy(zero_copy_only=False) if isinstance(table, pa.RecordBatch) else table.column(c).to_numpy(), float) for c in columns])
 
 
@@ -120,12 +134,12 @@ def nearest_of_each(probe: DataFrame, points: DataFrame, radius: float, most: in
 
     class State:
         def __init__(self, probes):
-            self.p, self.ids, self.codes = _numbers(probes, *AXES), _one(probes.column(id_)), {}
+            self.p, self.ids, self.codes = numbers(probes, *AXES), _one(probes.column(id_)), {}
             self.far, self.new, self.n = np.empty((self.p.shape[1], 0)), [], 0
             self.kept = None
 
         def add(self, batch):
-            x, names = _numbers(batch, *AXES), batch.column(batch.schema.names.index("_by")).to_pylist()
+            x, names = numbers(batch, *AXES), batch.column(batch.schema.names.index("_by")).to_pylist()
             code = np.array([self.codes.setdefault(v, len(self.codes)) for v in names])
             if len(self.codes) > self.far.shape[1]:
                 more = np.full((self.p.shape[1], len(self.codes) - self.far.shape[1]), np.inf)
@@ -177,7 +191,7 @@ def nearest_of_each(probe: DataFrame, points: DataFrame, radius: float, most: in
 
 def _heights_near(state, batch, radius: float, least_dot: float, weight: str, id_: str, weighted: bool, absolute: bool):
     """(probe, height, weight) of compatible neighbours, as ``surface`` defines them."""
-    x, n, conf = _numbers(batch, *AXES), _numbers(batch, *NORMAL), _numbers(batch, weight)[0]
+    x, n, conf = numbers(batch, *AXES), numbers(batch, *NORMAL), numbers(batch, weight)[0]
     some, d2 = _meet(state.p, x, radius * radius)
     i, j = np.nonzero(d2 <= radius * radius)
     d2, i = d2[i, j], some[i]
@@ -207,11 +221,11 @@ def _selected(near: Near, radius: float, least_dot: float, weight: str, goal: st
 
     class Base:
         def __init__(self, probes):
-            self.p, self.normal, self.ids = _numbers(probes, *AXES), _numbers(probes, *NORMAL), _one(probes.column(id_))
+            self.p, self.normal, self.ids = numbers(probes, *AXES), numbers(probes, *NORMAL), _one(probes.column(id_))
             size = np.sqrt((self.normal**2).sum(0)) * radius * (1 + 1e-6)
             narrowed = "lo" in probes.schema.names
-            self.lo, self.hi = _numbers(probes, "lo", "hi") if narrowed else (np.zeros_like(size) if absolute else -size, size)
-            self.below, self.total = _numbers(probes, "below", "total") if narrowed else (np.zeros_like(size), None)
+            self.lo, self.hi = numbers(probes, "lo", "hi") if narrowed else (np.zeros_like(size) if absolute else -size, size)
+            self.below, self.total = numbers(probes, "below", "total") if narrowed else (np.zeros_like(size), None)
 
         def inside(self, batch):
             i, h, w = _heights_near(self, batch, radius, least_dot, weight, id_, weighted, absolute)

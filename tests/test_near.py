@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from quarryline.operators import near, surface
+from quarryline.operators import contacts, near, surface
 
 
 def small(monkeypatch):
@@ -52,3 +52,15 @@ def test_median_heights(spark, monkeypatch, plain):
         order = np.argsort(h)
         c = np.cumsum(v[order])
         assert got[i] == pytest.approx(float(h[order][np.argmax(c >= 0.5 * c[-1])]))
+
+
+def test_contact_counts(spark, monkeypatch):
+    small(monkeypatch)
+    rng = np.random.default_rng(5)
+    v = [(i, *map(float, np.round(x, 1))) for i, x in enumerate(rng.normal(size=(60, 3)))]
+    f = [(i, *map(int, rng.choice(60, 3, replace=False))) for i in range(70)] + [(70, 1, 1, 2), (71, 3, 4, 5), (72, 3, 4, 5)]
+    faces, vertices = spark.createDataFrame(f, "fid long, a long, b long, c long"), spark.createDataFrame(v, "vid long, x double, y double, z double")
+    want = {r["category"]: r["count"] for r in contacts.contacts(faces, vertices, 0.5).groupBy("category").count().collect()}
+    assert {r["category"]: r["n"] for r in contacts.contact_counts(faces, vertices).collect()} == want
+    assert {"crossing", "separate", "shared_edge", "degenerate", "duplicate"} <= set(want)
+    assert contacts.contact_counts(faces.where("false"), vertices).count() == 0
