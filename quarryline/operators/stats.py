@@ -1,10 +1,9 @@
 """Robust and weighted statistics by group.
 
-Percentiles are exact with linear interpolation, at any size of a group: equal values are one row with their count or weight,
-a group's values are cut by approximate quantiles into ``PARTS`` ranges, and each range of more than ``SMALL`` values again, until none
-is; ranges are summed first, and a rank is a range's sum of lower ranges plus a window inside it, so a task's rows have a bound that
-doesn't depend on the group. Groups that are counted to hold SMALL rows at most, or all but eight of them and those five times that, take
-the built-in percentile or one window, which give the same. A statistic that needs another one's
+Percentiles are exact with linear interpolation, at any size of a group. Groups of more than ``SMALL`` rows go down ranges: a range's values
+are cut by approximate quantiles into ``PARTS``, the weights of these are summed, which needs no shuffle of rows, and only the parts that hold
+a wanted rank are cut again, until each has ``SMALL`` rows at most; these are the only rows that are shuffled. Smaller groups, and few groups
+of up to five times that, take the built-in percentile or one window, which give the same. A statistic that needs another one's
 value (MAD needs the median) is a second aggregate joined on the group. Empty groups have count 0 and nulls. Values that are null,
 NaN or infinite don't count.
 """
@@ -44,29 +43,72 @@ def _same(a: DataFrame, b: DataFrame, on: list[str], how: str = "inner") -> Data
     return a.join(named, [a[c].eqNullSafe(F.col(f"_s{i}")) for i, c in enumerate(on)], how).drop(*[f"_s{i}" for i in range(len(on))])
 
 
-def _running(rows: DataFrame, keys: list[str], aggregates: dict[str, Column], weight: str) -> DataFrame:
-    """One row for each distinct _x of ``rows`` (keys, _x, ...) with the ``aggregates``, with _c, the weights up to and with _x, and
-    _total, those of the group."""
-    group, upto = Window.partitionBy(*keys), (Window.unboundedPreceding, 0)
-    counted = rows.groupBy(*keys, "_x").agg(*[a.alias(n) for n, a in aggregates.items()])
-    if _fits(rows, keys):
-        return counted.withColumns({"_c": F.sum(weight).over(group.orderBy("_x").rowsBetween(*upto)), "_total": F.sum(weight).over(group)})
-    counted = cut(counted.withColumn("_b", F.lit(0).cast("long")))
+def _reached(c: Column, goal: Column) -> Column:
+    return F.round(c, 9) >= F.round(goal, 9)
+
+
+def _first_at(rows: DataFrame, keys: list[str], goals: dict[str, Column]) -> DataFrame:
+    """One row for each group of ``rows`` (keys, _x, _v): _total, the summed weights _v, _n, the rows, and for each name the least _x up to which the
+    weights reach its goal, a column of _total."""
+    sizes = cut(rows.groupBy(*keys).agg(F.sum("_v").alias("_total"), F.count("*").alias("_n")))
+    most, large, groups = sizes.agg(F.coalesce(F.max("_n"), F.lit(0)), F.count_if(F.col("_n") > SMALL), F.count("*")).first()
+    few = F.broadcast if groups <= GROUPS else lambda df: df
+    whole = None
+    if not large:
+        return _windowed(rows, keys, sizes, goals)
+    if large < groups:
+        whole = _windowed(_same(rows, few(sizes.where(F.col("_n") <= SMALL).select(*keys)), keys), keys, sizes.where(F.col("_n") <= SMALL), goals)
+        sizes = sizes.where(F.col("_n") > SMALL)
+    wanted = sizes.select(*keys, "_total", "_n", F.explode(F.array(*[F.struct(F.lit(n).alias("_name"), g.cast("double").alias("_goal")) for n, g in goals.items()])).alias("_g")).select(*keys, "_g._name", "_g._goal", F.lit(0.0).alias("_below"), F.lit(0).cast("long").alias("_b"), F.col("_n"))
+    inside = _same(rows, few(sizes.select(*keys)), keys).withColumn("_b", F.lit(0).cast("long"))
+    done = None
     while True:
-        large = cut(counted.groupBy(*keys, "_b").count().where(F.col("count") > max(SMALL, 1)).drop("count"))
-        n = large.count()
+        ready = cut(wanted.where(F.col("_n") <= max(SMALL, 1)))
+        more = cut(wanted.where(F.col("_n") > max(SMALL, 1)))
+        if ready.limit(1).count():
+            found = _picked(inside, keys, ready)
+            done = found if done is None else done.unionByName(found)
+        open_ = cut(more.select(*keys, "_b").distinct())
+        n = open_.count()
         if not n:
             break
         small = F.broadcast if n <= GROUPS else lambda df: df  # an array of PARTS for each of GROUPS ranges at most
-        inside = _same(counted, small(large.withColumn("_in", F.lit(True))), [*keys, "_b"])
-        edges = cut(inside.groupBy(*keys, "_b").agg(F.percentile_approx("_x", [i / PARTS for i in range(1, PARTS)], 1000).alias("_e")))
-        split = _same(counted, small(edges), [*keys, "_b"], "left")
-        counted = cut(split.withColumn("_b", F.col("_b") * PARTS + F.when(F.col("_e").isNull(), 0).otherwise(_part("_x", "_e"))).drop("_e"))
-    sums = counted.groupBy(*keys, "_b").agg(F.sum(weight).alias("_s"))
-    lower = F.sum("_s").over(group.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1))
-    sums = sums.select(*keys, "_b", F.coalesce(lower, F.lit(0)).alias("_l"), F.sum("_s").over(group).alias("_total"))
-    within = Window.partitionBy(*keys, "_b").orderBy("_x").rowsBetween(*upto)
-    return _same(counted, sums, [*keys, "_b"]).withColumn("_c", F.col("_l") + F.sum(weight).over(within)).drop("_b", "_l")
+        at = _same(inside, small(open_.withColumn("_in", F.lit(True))), [*keys, "_b"]).drop("_in")
+        edges = cut(at.groupBy(*keys, "_b").agg(F.percentile_approx("_x", [i / PARTS for i in range(1, PARTS)], 20 * PARTS).alias("_e")))
+        # an edge's own value is a part of its own, so every part is smaller than the range
+        parted = _same(at, small(edges), [*keys, "_b"]).withColumn("_p", _part("_x", "_e"))
+        parted = parted.withColumn("_p", 2 * F.col("_p") + F.coalesce((F.get("_e", F.col("_p")) == F.col("_x")).cast("int"), F.lit(0))).drop("_e")
+        sums = cut(parted.groupBy(*keys, "_b", "_p").agg(F.sum("_v").alias("_s"), F.count("*").alias("_k"), F.min("_x").alias("_lo"), F.max("_x").alias("_hi")))
+        ranges = Window.partitionBy(*keys, "_b").orderBy("_p")
+        sums = sums.withColumn("_up", F.sum("_s").over(ranges.rowsBetween(Window.unboundedPreceding, 0))).withColumn("_last", F.lead("_p").over(ranges).isNull())
+        named = _same(more.drop("_n"), sums, [*keys, "_b"]).where(_reached(F.col("_below") + F.col("_up"), F.col("_goal")) | F.col("_last"))
+        first = Window.partitionBy(*keys, "_name").orderBy("_p")
+        part = named.withColumn("_r", F.row_number().over(first)).where("_r = 1").withColumn("_below", F.col("_below") + F.col("_up") - F.col("_s"))
+        part = cut(part.select(*keys, "_name", "_goal", "_below", "_lo", "_hi", "_k", (2 * PARTS * F.col("_b") + F.col("_p")).alias("_b")))
+        one = part.where("_lo = _hi").select(*keys, "_name", F.col("_lo").alias("_x"))
+        done = one if done is None else done.unionByName(one)
+        wanted = part.where("_lo < _hi").select(*keys, "_name", "_goal", "_below", "_b", F.col("_k").alias("_n"))
+        kept = parted.withColumn("_b", 2 * PARTS * F.col("_b") + F.col("_p")).drop("_p")
+        inside = cut(_same(kept, small(wanted.select(*keys, "_b").distinct()), [*keys, "_b"]))
+    values = done.groupBy(*keys).agg(*[F.max(F.when(F.col("_name") == n, F.col("_x"))).alias(n) for n in goals])
+    out = _same(sizes, values, keys).select(*keys, "_total", "_n", *goals)
+    return out if whole is None else whole.unionByName(out)
+
+
+def _windowed(rows: DataFrame, keys: list[str], sizes: DataFrame, goals: dict[str, Column]) -> DataFrame:
+    """``_first_at`` of groups of bounded size: a window over each."""
+    summed = rows.groupBy(*keys, "_x").agg(F.sum("_v").alias("_w"))
+    upto = summed.withColumn("_c", F.sum("_w").over(Window.partitionBy(*keys).orderBy("_x").rowsBetween(Window.unboundedPreceding, 0)))
+    made = _same(upto, sizes, keys).groupBy(*keys).agg(F.first("_total").alias("_total"), F.first("_n").alias("_n"), *[F.coalesce(F.min(F.when(_reached(F.col("_c"), g), F.col("_x"))), F.max("_x")).alias(n) for n, g in goals.items()])
+    return made.select(*keys, "_total", "_n", *goals)
+
+
+def _picked(inside: DataFrame, keys: list[str], ready: DataFrame) -> DataFrame:
+    """(keys, _name, _x): the wanted ranks of ranges of few rows."""
+    ranges = inside.groupBy(*keys, "_b", "_x").agg(F.sum("_v").alias("_w"))
+    upto = ranges.withColumn("_c", F.sum("_w").over(Window.partitionBy(*keys, "_b").orderBy("_x").rowsBetween(Window.unboundedPreceding, 0)))
+    met = _same(upto, ready.select(*keys, "_b", "_name", "_goal", "_below"), [*keys, "_b"])
+    return met.groupBy(*keys, "_name").agg(F.coalesce(F.min(F.when(_reached(F.col("_below") + F.col("_c"), F.col("_goal")), F.col("_x"))), F.max("_x")).alias("_x"))
 
 
 def _keyed(df: DataFrame, keys: list[str]) -> tuple[DataFrame, list[str]]:
@@ -83,14 +125,17 @@ def _fits(values: DataFrame, by: list[str]) -> bool:
 def quantiles(df: DataFrame, keys: list[str], value: str, wanted: dict[str, float]) -> DataFrame:
     """The named quantiles of finite values by group; groups without any are left out."""
     df, by = _keyed(df, keys)
-    values, made = df.select(*by, _finite(value).alias("_x")).where("_x is not null"), []
+    values = df.select(*by, _finite(value).alias("_x")).where("_x is not null")
     if _fits(values, by):
         return values.groupBy(*by).agg(*[percentile("_x", q).alias(n) for n, q in wanted.items()]).select(*keys, *wanted)
-    for name, q in wanted.items():
-        at = F.lit(q) * (F.col("_total") - 1)
-        made += [F.min(F.when(F.col("_c") > F.floor(at), F.col("_x"))).alias(f"_l_{name}"), F.min(F.when(F.col("_c") > F.ceil(at), F.col("_x"))).alias(f"_h_{name}"), F.first(at - F.floor(at)).alias(f"_f_{name}")]
-    found = _running(values, by, {"_n": F.count("*")}, "_n").groupBy(*by).agg(*made)
-    return found.select(*keys, *[(F.col(f"_l_{n}") + F.col(f"_f_{n}") * (F.col(f"_h_{n}") - F.col(f"_l_{n}"))).alias(n) for n in wanted])
+    return _large_quantiles(values, by, wanted).select(*keys, *wanted)
+
+
+def _large_quantiles(values: DataFrame, by: list[str], wanted: dict[str, float]) -> DataFrame:
+    at = {n: F.lit(q) * (F.col("_total") - 1) for n, q in wanted.items()}
+    goals = {f"_{s}_{n}": f(a) + 1 for n, a in at.items() for s, f in (("l", F.floor), ("h", F.ceil))}
+    found = _first_at(values.withColumn("_v", F.lit(1).cast("long")), by, goals)
+    return found.select(*by, *[(F.col(f"_l_{n}") + (a - F.floor(a)) * (F.col(f"_h_{n}") - F.col(f"_l_{n}"))).alias(n) for n, a in at.items()])
 
 
 def finite_stats(df: DataFrame, keys: list[str], value: str, wanted: dict[str, float] | None = None) -> DataFrame:
@@ -102,9 +147,10 @@ def finite_stats(df: DataFrame, keys: list[str], value: str, wanted: dict[str, f
         first = rows.groupBy(*by).agg(*plain, *[percentile("_x", q).alias(n) for n, q in {"median": 0.5, **wanted}.items()])
         mad = rows.join(first.select(*by, "median"), by).groupBy(*by).agg(percentile(F.abs(F.col("_x") - F.col("median")), 0.5).alias("mad"))
         return first.join(mad, by, "left").select(*keys, "n", "lowest", "median", "mean", "highest", *wanted, "mad")
-    first = rows.groupBy(*by).agg(*plain)
-    ranks = quantiles(rows, by, "_x", {"median": 0.5, **wanted})
-    mad = quantiles(rows.join(ranks.select(*by, "median"), by).select(*by, F.abs(F.col("_x") - F.col("median")).alias("_off")), by, "_off", {"mad": 0.5})
+    first, values = rows.groupBy(*by).agg(*plain), rows.where("_x is not null")
+    ranks = cut(_large_quantiles(values, by, {"median": 0.5, **wanted}))
+    off = values.join(_small(ranks.select(*by, "median")), by)
+    mad = _large_quantiles(off.select(*by, F.abs(F.col("_x") - F.col("median")).alias("_x")), by, {"mad": 0.5})
     return first.join(ranks, by, "left").join(mad, by, "left").select(*keys, "n", "lowest", "median", "mean", "highest", *wanted, "mad")
 
 
@@ -125,45 +171,56 @@ def background_threshold(df: DataFrame, keys: list[str], value: str, least: floa
     return s.select(*keys, F.greatest(F.lit(least), F.col("median") + factor * F.greatest(F.lit(0.75), MAD_SIGMA * F.col("mad"))).alias("threshold"))
 
 
-def _cumulated(df: DataFrame, keys: list[str], value: str, weight: str) -> DataFrame:
-    """Weights summed by distinct value first, then cumulated."""
-    rows = df.where(is_finite(value) & is_finite(weight) & (F.col(weight) > 0)).select(*keys, F.col(value).cast("double").alias("_x"), F.col(weight).alias("_v"))
-    return _running(rows, keys, {"_w": F.sum("_v"), "_n": F.count("*")}, "_w")
+def _weighted(df: DataFrame, keys: list[str], value: str, weight: str) -> tuple[DataFrame, list[str]]:
+    df, by = _keyed(df, keys)
+    return df.where(is_finite(value) & is_finite(weight) & (F.col(weight) > 0)).select(*by, F.col(value).cast("double").alias("_x"), F.col(weight).alias("_v")), by
 
 
-def lower_quantile(q: float) -> Column:
-    """Aggregate over ``_cumulated``: the first value whose cumulated weight reaches q of the total."""
-    return F.min(F.when(F.round("_c", 9) >= F.round(q * F.col("_total"), 9), F.col("_x")))
+def _small(df: DataFrame) -> DataFrame:
+    """Kept, and broadcast where it's counted to have few rows."""
+    df = cut(df)
+    return F.broadcast(df) if df.count() <= GROUPS else df
 
 
 def weighted_stats(df: DataFrame, keys: list[str], value: str, weight: str) -> DataFrame:
     """n, weight, and weighted median, mean, p90, p95 and highest, by group; quantiles are the lower weighted ones."""
-    return _cumulated(df, keys, value, weight).groupBy(*keys).agg(
-        F.sum("_n").alias("n"), F.sum("_w").alias("weight"), lower_quantile(0.5).alias("median"), (F.sum(F.col("_x") * F.col("_w")) / F.sum("_w")).alias("mean"),
-        lower_quantile(0.9).alias("p90"), lower_quantile(0.95).alias("p95"), F.max("_x").alias("highest"),
-    )
+    rows, by = _weighted(df, keys, value, weight)
+    plain = rows.groupBy(*by).agg(F.count("*").alias("n"), F.sum("_v").alias("weight"), (F.sum(F.col("_x") * F.col("_v")) / F.sum("_v")).alias("mean"), F.max("_x").alias("highest"))
+    ranks = _first_at(rows, by, {n: q * F.col("_total") for n, q in (("median", 0.5), ("p90", 0.9), ("p95", 0.95))})
+    return _same(plain, ranks.drop("_total", "_n"), by).select(*keys, "n", "weight", "median", "mean", "p90", "p95", "highest")
 
 
 def weighted_median(df: DataFrame, keys: list[str], value: str, weight: str) -> DataFrame:
     """Weighted median by group, or the plain median where no weight is positive."""
-    weighted = _cumulated(df, keys, value, weight).groupBy(*keys).agg(lower_quantile(0.5).alias("_m"))
-    plain = df.select(*keys).distinct().join(quantiles(df, keys, value, {"_p": 0.5}), keys, "left")
-    return plain.join(weighted, keys, "left").select(*keys, F.coalesce("_m", "_p").alias("median"))
+    rows, by = _weighted(df, keys, value, weight)
+    weighted = cut(_first_at(rows, by, {"median": 0.5 * F.col("_total")}).select(*by, "median"))
+    every = _keyed(df, keys)[0]
+    groups = _same(every.select(*by).distinct(), weighted.withColumn("_in", F.lit(True)), by, "left")
+    bare = cut(groups.where("_in is null").select(*by))
+    if bare.limit(1).count():
+        plain = quantiles(_same(every, _small(bare), by), by, value, {"median": 0.5})
+        weighted = weighted.unionByName(_same(bare, plain, by, "left").select(*by, "median"))
+    return weighted.select(*keys, "median")
 
 
 def weighted_robust_stats(df: DataFrame, keys: list[str], value: str, weight: str) -> DataFrame:
     """weighted_stats and the weighted MAD about the weighted median."""
-    first = weighted_stats(df, keys, value, weight)
-    off = df.join(first.select(*keys, F.col("median").alias("_m")), keys).withColumn("_off", F.abs(F.col(value) - F.col("_m")))
-    return first.join(_cumulated(off, keys, "_off", weight).groupBy(*keys).agg(lower_quantile(0.5).alias("mad")), keys)
+    first = cut(weighted_stats(df, keys, value, weight))
+    off = df.join(_small(first.select(*keys, F.col("median").alias("_m"))), keys).withColumn("_off", F.abs(F.col(value) - F.col("_m")))
+    rows, by = _weighted(off, keys, "_off", weight)
+    return first.join(_first_at(rows, by, {"mad": 0.5 * F.col("_total")}).select(*keys, "mad"), keys)
 
 
 def trimmed_rmse(df: DataFrame, keys: list[str], value: str, share: float, cap: float, least: int = 8) -> DataFrame:
     """RMS of the smallest ceil(share * n) values after capping, of ``least`` values at least."""
-    rows = df.where(is_finite(value)).select(*keys, F.least(F.col(value).cast("double"), F.lit(cap)).alias("_x"))
+    df, by = _keyed(df, keys)
+    rows = df.where(is_finite(value)).select(*by, F.least(F.col(value).cast("double"), F.lit(cap)).alias("_x"))
     most = F.least(F.greatest(F.ceil(share * F.col("_total")), F.lit(least)), F.col("_total"))
-    taken = F.greatest(F.least(most - (F.col("_c") - F.col("_n")), F.col("_n")), F.lit(0))
-    return _running(rows, keys, {"_n": F.count("*")}, "_n").groupBy(*keys).agg(F.sqrt(F.sum(taken * F.col("_x") * F.col("_x")) / F.sum(taken)).alias("rmse"), F.sum(taken).cast("long").alias("n"))
+    edge = _first_at(rows.withColumn("_v", F.lit(1).cast("long")), by, {"_t": most}).select(*by, most.cast("long").alias("n"), "_t")
+    low = _same(rows, _small(edge), by).where(F.col("_x") <= F.col("_t"))
+    below = F.col("_x") < F.col("_t")  # of the values at the edge as many as are left
+    sums = low.groupBy(*by).agg(F.first("n").alias("n"), F.first("_t").alias("_t"), F.count_if(below).alias("_k"), F.coalesce(F.sum(F.when(below, F.col("_x") * F.col("_x"))), F.lit(0.0)).alias("_s"))
+    return sums.select(*keys, F.sqrt((F.col("_s") + (F.col("n") - F.col("_k")) * F.col("_t") * F.col("_t")) / F.col("n")).alias("rmse"), "n")
 
 
 def weighted_mean(value: str, weight: str) -> Column:

@@ -33,3 +33,20 @@ def test_ranges_of_ranges(spark, monkeypatch, fits):
         low = np.minimum(sorted(groups[g]), 1.0)
         low = low[: min(len(low), max(8, int(np.ceil(0.8 * len(low)))))]
         assert trimmed[g]["rmse"] == pytest.approx(float(np.sqrt(np.mean(low**2)))) and trimmed[g]["n"] == len(low)
+
+
+def test_only_ranges_with_a_wanted_rank_are_sorted(spark, monkeypatch):
+    """Of a large group few rows reach a window; a value that fills nearly all of a group ends the search too."""
+    monkeypatch.setattr(stats, "SMALL", 50)
+    monkeypatch.setattr(stats, "PARTS", 16)
+    monkeypatch.setattr(stats, "_fits", lambda values, by: False)
+    seen, picked = [], stats._picked
+    monkeypatch.setattr(stats, "_picked", lambda inside, keys, ready: seen.append(stats._same(inside, ready.select(*keys, "_b").distinct(), [*keys, "_b"]).count()) or picked(inside, keys, ready))
+    rng = np.random.default_rng(2)
+    groups = {"a": rng.normal(size=3000), "b": np.r_[np.ones(3), np.full(997, 2.0)], "c": np.arange(9.0)}
+    df = spark.createDataFrame([(g, float(x)) for g, some in groups.items() for x in some], "g string, x double")
+    got = {r["g"]: r for r in stats.finite_stats(df, ["g"], "x", {"p05": 0.05}).collect()}
+    for g, some in groups.items():
+        middle = np.median(some)
+        assert [got[g]["median"], got[g]["p05"], got[g]["mad"]] == pytest.approx([middle, np.percentile(some, 5), np.median(np.abs(some - middle))])
+    assert seen and sum(seen) < 1000
