@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .graph import cut
 from .stats import MAD_SIGMA, finite_stats, quantiles
 
 FEW = 4096
@@ -23,7 +24,7 @@ def pairwise_agreement(df: DataFrame, cell: list[str], session: str, depth: str,
     """Pooled differences of all session pairs with ``least`` shared cells or more: pairs, median, mad and the clamped tolerance."""
     a = df.select(*cell, F.col(session).alias("sa"), F.col(depth).alias("da"))
     b = df.select(*cell, F.col(session).alias("sb"), F.col(depth).alias("db"))
-    both = a.join(b, cell).where("sa < sb").select("sa", "sb", F.abs(F.col("da") - F.col("db")).alias("d"))
+    both = cut(a.join(b, cell).where("sa < sb").select("sa", "sb", F.abs(F.col("da") - F.col("db")).alias("d")))  # read several times
     enough = both.groupBy("sa", "sb").count().where(F.col("count") >= least).select("sa", "sb")
     s = finite_stats(both.join(enough, ["sa", "sb"], "left_semi"), [], "d", {})
     return s.select(F.col("n").alias("pairs"), "median", "mad", F.least(F.greatest(F.coalesce(F.col("median") + factor * MAD_SIGMA * F.col("mad"), F.lit(low)), F.lit(low)), F.lit(high)).alias("tolerance"))
