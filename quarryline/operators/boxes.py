@@ -129,6 +129,15 @@ def gap2(a: str, b: str) -> Column:
     return out
 
 
+def far2(a: str, b: str) -> Column:
+    """The squared largest distance between two boxes."""
+    out = F.lit(0.0)
+    for x in AXES:
+        d = F.greatest(F.col(f"{a}hi{x}") - F.col(f"{b}lo{x}"), F.col(f"{b}hi{x}") - F.col(f"{a}lo{x}"))
+        out = out + d * d
+    return out
+
+
 def _children(front: DataFrame, level: DataFrame, n: int) -> DataFrame:
     below = level.select(F.col("parent").alias("node"), F.col("node").alias("child"), *[F.col(c).alias(f"n_{c}") for c in SIDES])
     return front.join(F.broadcast(below) if n <= NODES else below, "node")  # NODES boxes; beyond, parents are many

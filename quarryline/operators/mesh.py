@@ -396,72 +396,151 @@ def triangle_distance(q, a, b, c):
     return np.where(inside & (size > 1e-300), np.minimum(best, flat), best)
 
 
-LEAF, POINTS = 32, 128  # faces of a leaf, points of a block
+LEAF, POINTS = 256, 512  # faces of a leaf, points of a block at least
+SLACK, SINE = 1e-11, 1e-3  # of the coordinates, for rounding; below this sine a triangle's normal decides nothing
 
 
-def _leaf_distances(batches):
-    """Of each row's points the distances to its leaf's faces, where they fall below what is known (``u``, empty: nothing)."""
-    import numpy as np
-    import pyarrow as pa
-
-    def lists(column):
-        ends = column.offsets.to_numpy()
-        flat = column.values.to_numpy()
-        return [flat[i:j] for i, j in zip(ends[:-1], ends[1:], strict=True)]
-
-    for batch in batches:
-        out = []
-        for block, points, u, tri in zip(batch.column(0).to_pylist(), *(lists(batch.column(i)) for i in (1, 2, 3)), strict=True):
-            p, t = points.reshape(-1, 3), tri.reshape(-1, 3, 3)
-            known = u if len(u) else np.full(len(p), np.inf)
-            low, high = t.min((0, 1)), t.max((0, 1))
-            off = np.maximum(0, np.maximum(low - p, p - high))
-            some = np.flatnonzero((off * off).sum(1) <= known * known * (1 + 1e-9))
-            if len(some):
-                q, f = np.repeat(p[some], len(t), axis=0), np.tile(t, (len(some), 1, 1))
-                d = triangle_distance(q, f[:, 0], f[:, 1], f[:, 2]).reshape(len(some), -1).min(1)
-                less = d < known[some]
-                out.append((np.full(int(less.sum()), block), some[less], d[less]))
-        columns = [np.concatenate(x) for x in zip(*out, strict=True)] if out else [[], [], []]
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int32(), pa.float64()), strict=True)], names=["block", "place", "d"])
+class _Nearest:
+    """The distance of each point of a block to the nearest of the faces that come by.
+
+    Points lie in small chunks. A face is as far from a chunk as its plane and its box are, and from a point as its plane is, at least; only
+    what these leave as near as something already known is measured.
+    """
+
+    def __init__(self, points):
+        import numpy as np
+
+        from . import near
+
+        p = near.numbers(points, *"xyz")
+        order = near.chunks(p, near.FEW)
+        self.ends = np.r_[0, np.cumsum([len(i) for i in order])]
+        order = np.concatenate(order)
+        self.ids, self.p, self.seen = near._one(points.column("id")).take(near.pa.array(order)), p[:, order].T.copy(), 0
+        self.middle = self.p.min(0) / 2 + self.p.max(0) / 2
+        self.moved = self.p - self.middle
+        self.lo, self.hi = np.minimum.reduceat(self.p, self.ends[:-1]), np.maximum.reduceat(self.p, self.ends[:-1])
+        self.at = (self.lo / 2 + self.hi / 2) - self.middle
+        self.wide = np.sqrt(((self.hi - self.lo) ** 2).sum(1)) / 2 * (1 + 1e-9)
+        self.found, self.limit = np.full(len(p.T), np.inf), np.full(len(order), np.inf)
+        self.most = np.full(len(self.lo), np.inf)  # of a chunk's limits
+        self.size = float(np.abs(self.p).max())
+
+    def add(self, batch):
+        import numpy as np
+
+        from . import near
+
+        tri = near.numbers(batch, *(f"{k}{x}" for k in "abc" for x in "xyz")).T.reshape(-1, 3, 3)
+        done = 0
+        while done < len(tri):  # few at first, as long as nothing is known
+            n = max(16, 3 * self.seen)
+            with np.errstate(all="ignore"):
+                self._meet(tri[done : done + n])
+            self.seen, done = self.seen + min(n, len(tri) - done), done + n
+
+    def _meet(self, tri):
+        import numpy as np
+
+        a, e, f = tri[:, 0], tri[:, 1] - tri[:, 0], tri[:, 2] - tri[:, 0]
+        n = np.cross(e, f)
+        size = np.sqrt((n * n).sum(1))
+        even = size > SINE * np.sqrt((e * e).sum(1) * (f * f).sum(1))
+        n = np.where(even[:, None], n / np.where(even, size, 1.0)[:, None], 0.0)
+        d = (n * (a - self.middle)).sum(1)
+        slack = SLACK * (self.size + float(np.abs(tri).max()))
+        low, high = tri.min(1), tri.max(1)
+        open_ = np.flatnonzero(self.most > self.wide)
+        if len(open_):  # a corner bounds the distance of all points of a chunk
+            corner, at = tri.reshape(-1, 3) - self.middle, self.at[open_]
+            d2 = (corner * corner).sum(1)[None] - 2 * (at @ corner.T)
+            nearest = np.argmin(d2, 1)
+            bound = np.sqrt(((corner[nearest] - at) ** 2).sum(1)) + self.wide[open_] + slack
+            for s, b in zip(open_, bound, strict=True):
+                part = self.limit[self.ends[s] : self.ends[s + 1]]
+                np.fmin(part, b, out=part)
+                self.most[s] = part.max()
+        far = np.abs(self.at @ n.T - d) > (self.wide + self.most + slack)[:, None]
+        reach = (self.most * (1 + 1e-9) + slack)[:, None]
+        for x in range(3):
+            far |= low[:, x] > self.hi[:, x, None] + reach
+            far |= high[:, x] < self.lo[:, x, None] - reach
+        rows, faces = [], []
+        for s in np.flatnonzero(~far.all(1)):
+            some, i = np.flatnonzero(~far[s]), self.ends[s]
+            off = self.moved[i : self.ends[s + 1]] @ n[some].T
+            off -= d[some]
+            np.abs(off, out=off)
+            r, c = np.nonzero(~(off > (self.limit[i : self.ends[s + 1]] * (1 + 1e-9) + slack)[:, None]))
+            rows.append(r + i)
+            faces.append(some[c])
+        if not rows:
+            return
+        rows, faces = np.concatenate(rows), np.concatenate(faces)
+        reach = (self.limit[rows] * (1 + 1e-9) + slack)[:, None]
+        keep = ~((low[faces] > self.p[rows] + reach) | (high[faces] < self.p[rows] - reach)).any(1)
+        rows, faces = rows[keep], faces[keep]
+        for i in range(0, len(rows), 1 << 16):
+            r, t = rows[i : i + (1 << 16)], tri[faces[i : i + (1 << 16)]]
+            np.fmin.at(self.found, r, triangle_distance(self.p[r], t[:, 0], t[:, 1], t[:, 2]))
+        np.fmin(self.limit, self.found, out=self.limit)
+        self.most = np.maximum.reduceat(self.limit, self.ends[:-1])
+
+    def end(self):
+        from .near import pa
+
+        yield pa.RecordBatch.from_arrays([self.ids, pa.array(self.found)], names=["id", "distance"])
 
 
 def point_to_mesh(points: DataFrame, faces: DataFrame, vertices: DataFrame, reach: float | None = None, id_: str = "id") -> DataFrame:
     """Exact distance of each point to the mesh, however far; with ``reach``, null beyond it. One row for each row of ``points``.
 
-    Points go into blocks and faces into leaves of a tree, both in Morton order. A near leaf of each block gives its points a first
-    distance; only leaves that are as near to the block as the largest of these can hold a nearer face, and only points that are
-    as near to the leaf's box as their own are measured. Points with a null or non-finite coordinate have null, and so have all where
-    no face has three finite corners.
+    Points go into blocks and faces into leaves of a tree, both in Morton order. The nearest corner of a near leaf bounds the distances of
+    a block; faces whose box and plane are as near to the block as that come to its task, where small chunks of its points leave most of them out
+    (``_Nearest``), so faces that span the whole cloud cost little too. Points with a null or non-finite coordinate have null, and so have all where no
+    face has three finite corners.
     """
     from ..functions.scalar import is_finite
     from ..session import ship
-    from . import boxes
+    from . import boxes, near
     from .graph import cut
 
     ship(points.sparkSession)
     p = points.select(F.col(id_).alias("id"), *[F.col(x).cast("double").alias(x) for x in "xyz"])
     p = cut(p.withColumn("ok", is_finite("x") & is_finite("y") & is_finite("z")))
     right, rest = p.where("ok").drop("ok"), p.where("not coalesce(ok, false)").select("id", F.lit(None).cast("double").alias("distance"))
+    nine = [f"{k}{x}" for k in "abc" for x in "xyz"]
     wide = corners(faces.select("fid", "a", "b", "c"), vertices.select("vid", *[F.col(x).cast("double").alias(x) for x in "xyz"]))
     wide = wide.withColumns({f"{s}{x}": f(f"a{x}", f"b{x}", f"c{x}") for s, f in (("lo", F.least), ("hi", F.greatest)) for x in "xyz"})
-    wide = cut(boxes.in_blocks(boxes.finite(wide, tuple(f"{k}{x}" for k in "abc" for x in "xyz")), {x: F.col(f"lo{x}") / 2 + F.col(f"hi{x}") / 2 for x in "xyz"}, "fid", LEAF))
-    if not wide.limit(1).count():
+    wide = boxes.in_blocks(boxes.finite(wide, tuple(nine)), {x: F.col(f"lo{x}") / 2 + F.col(f"hi{x}") / 2 for x in "xyz"}, "fid", LEAF)
+    wide = cut(wide.select(F.col("block").alias("node"), *nine, *boxes.SIDES))
+    n = right.count()
+    if not n or not wide.limit(1).count():
         return p.select(F.col("id").alias(id_), F.lit(None).cast("double").alias("distance"))
-    levels = boxes.tree(boxes.around(wide, "block"))
-    nine = F.array(*[F.col(f"{k}{x}") for k in "abc" for x in "xyz"])
-    leaves = wide.groupBy(F.col("block").alias("node")).agg(F.flatten(F.collect_list(nine)).alias("tri"))  # LEAF faces each
-    dealt = boxes.in_blocks(right, {x: F.col(x) for x in "xyz"}, "id", POINTS).groupBy("block")
-    sides = [f(x).alias(f"b_{s}{x}") for s, f in (("lo", F.min), ("hi", F.max)) for x in "xyz"]
-    packed = dealt.agg(F.collect_list(F.struct("id", F.array("x", "y", "z").alias("p"))).alias("s"), *sides).withColumns({"ids": F.col("s.id"), "points": F.flatten("s.p")}).drop("s")
-    packed = cut(packed)
-    measured = lambda pairs, u: pairs.join(leaves, "node").join(packed if u is None else u, "block").select("block", "points", F.array().cast("array<double>").alias("u") if u is None else "u", "tri").mapInArrow(_leaf_distances, "block long, place int, d double")
-    first = measured(boxes.nearest_leaf(packed, levels), None)
-    known = first.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("place", "d"))).alias("s")).select("block", F.col("s.d").alias("u"))  # POINTS each
-    known = cut(packed.join(known, "block").withColumn("most", F.array_max("u")))
-    better = measured(boxes.leaves_within(known, levels, "most"), known).groupBy("block", "place").agg(F.min("d").alias("d"))
-    each = known.select("block", F.posexplode(F.arrays_zip("ids", "u")).alias("place", "s"))
-    found = each.join(better, ["block", "place"], "left").select(F.col("s.ids").alias("id"), F.least(F.col("s.u"), "d").alias("distance"))
+    levels = boxes.tree(boxes.around(wide, "node"), "node")
+    dealt = cut(boxes.in_blocks(right, {x: F.col(x) for x in "xyz"}, "id", near.share(n, POINTS)))
+    own = cut(dealt.groupBy("block").agg(*[f(x).alias(f"b_{s}{x}") for s, f in (("lo", F.min), ("hi", F.max)) for x in "xyz"]))
+    middle = {x: F.col(f"b_lo{x}") / 2 + F.col(f"b_hi{x}") / 2 for x in "xyz"}
+    norm = lambda parts: F.sqrt(sum((v * v for v in parts[1:]), parts[0] * parts[0]))
+    half = norm([F.col(f"b_hi{x}") / 2 - F.col(f"b_lo{x}") / 2 for x in "xyz"])
+    corner = F.least(*[norm([F.col(f"{k}{x}") - middle[x] for x in "xyz"]) for k in "abc"])
+    bound = boxes.nearest_leaf(own, levels).join(own, "block").join(wide, "node").groupBy("block").agg(((F.min(corner) + F.first(half)) * (1 + 1e-9)).alias("most"))
+    own = cut(own.join(bound, "block"))
+    e, f = ({x: F.col(f"{k}{x}") - F.col(f"a{x}") for x in "xyz"} for k in "bc")
+    normal = wide.withColumns({f"n{x}": e[y] * f[z] - e[z] * f[y] for x, y, z in ("xyz", "yzx", "zxy")})
+    normal = normal.withColumn("_size", norm([F.col(f"n{x}") for x in "xyz"])).withColumn("_even", F.col("_size") > SINE * norm(list(e.values())) * norm(list(f.values())))
+    normal = normal.withColumns({f"n{x}": F.when(F.col("_even"), F.col(f"n{x}") / F.col("_size")).otherwise(0.0) for x in "xyz"})
+    off = F.abs(sum(((middle[x] - F.col(f"a{x}")) * F.col(f"n{x}") for x in "yz"), (middle["x"] - F.col("ax")) * F.col("nx")))
+    slack = SLACK * F.greatest(*[F.abs(c) for c in (*boxes.SIDES, *(f"b_{c}" for c in boxes.SIDES))])
+    pairs = cut(boxes.leaves_within(own, levels, "most").join(own, "block"))
+    parts = max(int(p.sparkSession.conf.get("spark.sql.shuffle.partitions")), near.BLOCKS)
+    met = normal.repartition(parts, "node").join(pairs.repartition(parts, "node"), "node")
+    close = (boxes.gap2("b_", "") <= F.col("most") * F.col("most") * (1 + 1e-9)) & (F.isnan(off) | (off <= (half + F.col("most")) * (1 + 1e-9) + slack))
+    zero = F.lit(0).cast("long").alias("_node")
+    one = dealt.select("block", F.lit(0).alias("_kind"), zero, "id", *"xyz", *[F.lit(None).cast("double").alias(c) for c in nine])
+    other = met.where(close).select("block", F.lit(1).alias("_kind"), zero, F.lit(None).cast(dict(p.dtypes)["id"]).alias("id"), *[F.lit(None).cast("double").alias(x) for x in "xyz"], *nine)
+    rows = one.unionByName(other).repartition(min(2 * own.count(), near.TASKS), "block").sortWithinPartitions("block", "_kind")
+    found = near.streamed(rows, _Nearest, f"id {dict(p.dtypes)['id']}, distance double")
     if reach is not None:
         found = found.withColumn("distance", F.when(F.col("distance") <= reach, F.col("distance")))
     return found.unionByName(rest).withColumnRenamed("id", id_)

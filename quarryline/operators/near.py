@@ -22,6 +22,7 @@ from .graph import cut
 AXES, NORMAL = ("x", "y", "z"), ("nx", "ny", "nz")
 PROBES, POINTS, FACES, TASKS = 2048, 512, 512, 2000
 BINS, LEFT, ROUNDS, PENDING = 512, 128, 8, 50_000
+BLOCKS, LARGEST, FEW = 96, 65_536, 64  # FEW: of a chunk inside a task
 
 
 def _blocks(df: DataFrame, id_: str, most: int) -> DataFrame:
@@ -35,13 +36,60 @@ def _boxed(blocks: DataFrame, p: str) -> DataFrame:
     return blocks.groupBy("block").agg(*[f(x).alias(f"{p}{s}{x}") for s, f in (("lo", F.min), ("hi", F.max)) for x in AXES])
 
 
+def streamed(rows: DataFrame, state, schema: str) -> DataFrame:
+    """A state for each ``block`` of ``rows``, which come sorted by block, _kind (0: the block's own, 1: what it meets) and _node."""
+
+    def run(batches):
+        block, waiting, now = None, [], None
+        for batch in batches:
+            names = batch.schema.names
+            at = np.stack([batch.column(names.index(c)).to_numpy(zero_copy_only=False) for c in ("block", "_kind", "_node")])
+            ends = np.flatnonzero((at[:, 1:] != at[:, :-1]).any(0)) + 1
+            for s, e in zip([0, *ends], [*ends, batch.num_rows], strict=True):
+                if e == s:
+                    continue
+                if at[0, s] != block:
+                    if now is not None:
+                        yield from now.end()
+                    block, waiting, now = at[0, s], [], None
+                piece = batch.slice(s, e - s)
+                if at[1, s] == 0:
+                    waiting.append(piece)
+                elif waiting:
+                    now = state(pa.Table.from_batches(waiting).combine_chunks()) if now is None else now
+                    now.add(piece)
+        if now is not None:
+            yield from now.end()
+
+    return rows.mapInArrow(run, schema)
+
+
+def share(n: int, least: int) -> int:
+    """Rows of a block, so that there are about BLOCKS of them: what meets every block grows with the rows, not with their square."""
+    return min(max(-(-n // BLOCKS), least), LARGEST)
+
+
+def chunks(p: np.ndarray, most: int) -> list[np.ndarray]:
+    """The columns of ``p`` in compact groups of ``most`` or fewer: halves along the widest axis."""
+    out, open_ = [], [np.arange(p.shape[1])]
+    while open_:
+        i = open_.pop()
+        if len(i) <= most:
+            out.append(i)
+            continue
+        q = p[:, i]
+        order = np.argpartition(q[np.argmax(q.max(1) - q.min(1))], len(i) // 2)
+        open_ += [i[order[: len(i) // 2]], i[order[len(i) // 2 :]]]
+    return out
+
+
 class Near:
     """``probe`` and ``points`` (id_, x, y, z and other columns; ids of probes differ) in blocks; ``fold`` runs a state over the pairs."""
 
-    def __init__(self, probe: DataFrame, points: DataFrame, radius: float, id_: str):
+    def __init__(self, probe: DataFrame, points: DataFrame, radius: float, id_: str, probes: int | None = None):
         ship(probe.sparkSession)
         place = lambda df: df.withColumns({x: F.col(x).cast("double") for x in AXES})
-        self.probe, self.points, self.radius, self.id_ = _blocks(place(probe), id_, PROBES), _blocks(place(points), id_, POINTS), radius, id_
+        self.probe, self.points, self.radius, self.id_ = _blocks(place(probe), id_, probes or PROBES), _blocks(place(points), id_, POINTS), radius, id_
         own, other = cut(_boxed(self.probe, "b_")), cut(_boxed(self.points, ""))
         self.n = own.count()
         if not self.n or not other.limit(1).count():
@@ -50,7 +98,7 @@ class Near:
         levels = boxes.tree(other)
         pairs = boxes.leaves_within(own.withColumn("most", F.lit(float(radius))), levels, "most")
         sides = other.select(F.col("block").alias("node"), *[F.col(s).alias(f"n_{s}") for s in boxes.SIDES])
-        self.pairs = cut(pairs.join(own, "block").join(sides, "node").select("block", "node", boxes.gap2("b_", "n_").alias("gap")))
+        self.pairs = cut(pairs.join(own, "block").join(sides, "node").select("block", "node", boxes.gap2("b_", "n_").alias("gap"), boxes.far2("b_", "n_").alias("far")))
 
     def fold(self, state, schema: str, probe: DataFrame | None = None) -> DataFrame:
         """``state(probes)`` takes a table, ``add(points)`` a batch of points near them, ``end()`` yields batches of ``schema``."""
@@ -65,29 +113,7 @@ class Near:
         rows = side(a, 0, F.lit(0.0), F.lit(0).cast("long")).unionByName(side(met, 1, F.col("gap"), F.col("node")))
         rows = rows.repartition(min(2 * self.n, TASKS), "block").sortWithinPartitions("block", "_kind", "_gap", "_node")
 
-        def run(batches):
-            block, waiting, now = None, [], None
-            for batch in batches:
-                names = batch.schema.names
-                at = np.stack([batch.column(names.index(c)).to_numpy(zero_copy_only=False) for c in ("block", "_kind", "_node")])
-                ends = np.flatnonzero((at[:, 1:] != at[:, :-1]).any(0)) + 1
-                for s, e in zip([0, *ends], [*ends, batch.num_rows], strict=True):
-                    if e == s:
-                        continue
-                    if at[0, s] != block:
-                        if now is not None:
-                            yield from now.end()
-                        block, waiting, now = at[0, s], [], None
-                    piece = batch.slice(s, e - s)
-                    if at[1, s] == 0:
-                        waiting.append(piece)
-                    elif waiting:
-                        now = state(pa.Table.from_batches(waiting).combine_chunks()) if now is None else now
-                        now.add(piece)
-            if now is not None:
-                yield from now.end()
-
-        return rows.mapInArrow(run, schema)
+        return streamed(rows, state, schema)
 
 
 class Meeting(Near):
