@@ -19,6 +19,8 @@ from .joins import knn_join, radius_join
 from .stats import MAD_SIGMA, finite_stats, quantiles
 from .surface import AXES, NORMAL, evidence_class, independent_patches, local_residual, recover_coverage
 
+ROWS = 250_000  # members in a task
+
 
 def aligned_normals(df: DataFrame, radius: float, reference: DataFrame, id_: str = "id") -> DataFrame:
     """``df`` with PCA normals turned to the side of ``reference`` normals (id, nx, ny, nz); with too few neighbours those stay."""
@@ -112,17 +114,20 @@ def resolve_layers(members: DataFrame, gap: float, seed: str = "seed", pose: str
     """Layers of a seed's members along its normal: seed, layer, height, poses, held_out, chosen.
 
     Heights part where the next is more than ``gap`` away. The layer of most poses is chosen; of ties the one that poses left out
-    in turn stay closest to, then the lower. A seed's members are the points near it, so one window each is small.
+    in turn stay closest to, then the lower. A seed's members are the points near it, so one window each is small; tasks get about ROWS
+    members, so that what a task sorts and groups doesn't grow with the table.
     """
     from pyspark.sql import Window
 
+    parts = max(int(members.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-members.count() // ROWS))
     order = Window.partitionBy(seed).orderBy(height, pose)
     start = F.coalesce((F.col(height) - F.lag(height).over(order) > gap).cast("int"), F.lit(0))
-    rows = members.withColumn("_s", start).withColumn("layer", F.sum("_s").over(order))
-    per = cut(rows.groupBy(seed, "layer", pose).agg(F.avg(height).alias("h")))
-    sums = per.groupBy(seed, "layer").agg(F.avg("h").alias(height), F.count("*").alias("poses"), F.sum("h").alias("_t"))
-    left = per.join(sums, [seed, "layer"]).where("poses > 1").groupBy(seed, "layer").agg(F.avg(F.abs(F.col("h") - (F.col("_t") - F.col("h")) / (F.col("poses") - 1))).alias("held_out"))
-    layers = sums.drop("_t").join(left, [seed, "layer"], "left")
+    rows = members.select(seed, pose, height).repartition(parts, seed).withColumn("_s", start).withColumn("layer", F.sum("_s").over(order))
+    per = cut(rows.groupBy(seed, "layer", pose).agg(F.avg(height).alias("h"))).repartition(parts, seed)
+    whole = Window.partitionBy(seed, "layer")
+    n, t = F.count("*").over(whole), F.sum("h").over(whole)
+    others = per.withColumn("_o", F.when(n > 1, F.abs(F.col("h") - (t - F.col("h")) / (n - 1))))
+    layers = others.groupBy(seed, "layer").agg(F.avg("h").alias(height), F.count("*").alias("poses"), F.avg("_o").alias("held_out"))
     best = Window.partitionBy(seed).orderBy(F.desc("poses"), F.col("held_out").asc_nulls_last(), height)
     return layers.withColumn("chosen", F.row_number().over(best) == 1)
 
