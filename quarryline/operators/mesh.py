@@ -397,6 +397,7 @@ def triangle_distance(q, a, b, c):
 
 
 LEAF, POINTS = 256, 512  # faces of a leaf, points of a block at least
+PAIRS, MEASURED = 2_000_000, 65_536  # of chunks and faces, of points and faces, at a time
 SLACK, SINE = 1e-11, 1e-3  # of the coordinates, for rounding; below this sine a triangle's normal decides nothing
 
 
@@ -434,7 +435,7 @@ class _Nearest:
         tri = near.numbers(batch, *(f"{k}{x}" for k in "abc" for x in "xyz")).T.reshape(-1, 3, 3)
         done = 0
         while done < len(tri):  # few at first, as long as nothing is known
-            n = max(16, 3 * self.seen)
+            n = min(max(16, 3 * self.seen), max(64, PAIRS // len(self.most)))
             with np.errstate(all="ignore"):
                 self._meet(tri[done : done + n])
             self.seen, done = self.seen + min(n, len(tri) - done), done + n
@@ -465,7 +466,7 @@ class _Nearest:
         for x in range(3):
             far |= low[:, x] > self.hi[:, x, None] + reach
             far |= high[:, x] < self.lo[:, x, None] - reach
-        rows, faces = [], []
+        rows, faces, waiting = [], [], 0
         for s in np.flatnonzero(~far.all(1)):
             some, i = np.flatnonzero(~far[s]), self.ends[s]
             off = self.moved[i : self.ends[s + 1]] @ n[some].T
@@ -474,17 +475,24 @@ class _Nearest:
             r, c = np.nonzero(~(off > (self.limit[i : self.ends[s + 1]] * (1 + 1e-9) + slack)[:, None]))
             rows.append(r + i)
             faces.append(some[c])
-        if not rows:
-            return
-        rows, faces = np.concatenate(rows), np.concatenate(faces)
+            waiting += len(r)
+            if waiting > MEASURED:
+                self._measure(tri, low, high, slack, np.concatenate(rows), np.concatenate(faces))
+                rows, faces, waiting = [], [], 0
+        if waiting:
+            self._measure(tri, low, high, slack, np.concatenate(rows), np.concatenate(faces))
+        np.fmin(self.limit, self.found, out=self.limit)
+        self.most = np.maximum.reduceat(self.limit, self.ends[:-1])
+
+    def _measure(self, tri, low, high, slack, rows, faces):
+        import numpy as np
+
         reach = (self.limit[rows] * (1 + 1e-9) + slack)[:, None]
         keep = ~((low[faces] > self.p[rows] + reach) | (high[faces] < self.p[rows] - reach)).any(1)
         rows, faces = rows[keep], faces[keep]
-        for i in range(0, len(rows), 1 << 16):
-            r, t = rows[i : i + (1 << 16)], tri[faces[i : i + (1 << 16)]]
+        for i in range(0, len(rows), MEASURED):
+            r, t = rows[i : i + MEASURED], tri[faces[i : i + MEASURED]]
             np.fmin.at(self.found, r, triangle_distance(self.p[r], t[:, 0], t[:, 1], t[:, 2]))
-        np.fmin(self.limit, self.found, out=self.limit)
-        self.most = np.maximum.reduceat(self.limit, self.ends[:-1])
 
     def end(self):
         from .near import pa
@@ -511,8 +519,9 @@ def point_to_mesh(points: DataFrame, faces: DataFrame, vertices: DataFrame, reac
     right, rest = p.where("ok").drop("ok"), p.where("not coalesce(ok, false)").select("id", F.lit(None).cast("double").alias("distance"))
     nine = [f"{k}{x}" for k in "abc" for x in "xyz"]
     wide = corners(faces.select("fid", "a", "b", "c"), vertices.select("vid", *[F.col(x).cast("double").alias(x) for x in "xyz"]))
+    wide = boxes.finite(wide, tuple(nine)).groupBy(*nine).agg(F.min("fid").alias("fid"))  # copies are one
     wide = wide.withColumns({f"{s}{x}": f(f"a{x}", f"b{x}", f"c{x}") for s, f in (("lo", F.least), ("hi", F.greatest)) for x in "xyz"})
-    wide = boxes.in_blocks(boxes.finite(wide, tuple(nine)), {x: F.col(f"lo{x}") / 2 + F.col(f"hi{x}") / 2 for x in "xyz"}, "fid", LEAF)
+    wide = boxes.in_blocks(wide, {x: F.col(f"lo{x}") / 2 + F.col(f"hi{x}") / 2 for x in "xyz"}, "fid", LEAF)
     wide = cut(wide.select(F.col("block").alias("node"), *nine, *boxes.SIDES))
     n = right.count()
     if not n or not wide.limit(1).count():
