@@ -83,7 +83,7 @@ def _around(asking: DataFrame, places: DataFrame, k: int, radius: float) -> Data
     xs = [*near.AXES[:k], *ps[3:]]
     asking = cut(asking)
     named = lambda df, *more: df.select("least", *[F.col(p).alias(x) for p, x in zip(ps, xs, strict=True)], *[F.lit(0.0).alias(x) for x in near.AXES[k:]], *more)
-    met = near.Near(named(asking), named(places, "n"), radius, "least", near.share(asking.count(), near.POINTS))
+    met = near.Near(named(asking), named(places, "n"), radius, "least", near.share(asking.count(), near.FEW))
     schema = ", ".join(f"{p} double" for p in ps) + ", total long"
     if not met.n:
         return asking.sparkSession.createDataFrame([], schema)

@@ -396,7 +396,7 @@ def triangle_distance(q, a, b, c):
     return np.where(inside & (size > 1e-300), np.minimum(best, flat), best)
 
 
-LEAF, POINTS = 256, 512  # faces of a leaf, points of a block at least
+LEAF, POINTS = 256, 64  # faces of a leaf, points of a block at least
 PAIRS, MEASURED = 2_000_000, 65_536  # of chunks and faces, of points and faces, at a time
 SLACK, SINE = 1e-11, 1e-3  # of the coordinates, for rounding; below this sine a triangle's normal decides nothing
 
