@@ -1,4 +1,5 @@
-"""Contacts of triangle pairs: candidates by grids of the levels of their boxes, classes by exact predicates in Arrow batches.
+"""Contacts of triangle pairs: candidates by grids of the levels of their boxes, classes by exact predicates in Arrow batches. Mere counts go
+over blocks of faces by products of matrices (``tiles``), which leave few pairs to these predicates.
 
 Classes: separate, shared_vertex, shared_edge (allowed); touching, crossing, coplanar_overlap, duplicate, degenerate (blocking).
 """
@@ -15,11 +16,13 @@ from pyspark.sql import functions as F
 
 from ..session import ship
 from . import near
-from .boxes import SIDES, finite, meeting
+from .boxes import SIDES, around, finite, in_blocks, leaves_within, meeting, tree
+from .graph import cut
 from .mesh import corners
+from .tiles import count_pairs
 
 NINE = tuple(f"{k}{x}" for k in "abc" for x in "xyz")
-PAIRS = 16_384
+BLOCKS, LEAST, LARGEST, LINKS = 16, 512, 131_072, 100_000
 ALLOWED = ("separate", "shared_vertex", "shared_edge")
 BLOCKING = ("touching", "crossing", "coplanar_overlap", "duplicate", "degenerate")
 
@@ -217,32 +220,35 @@ def contacts(faces: DataFrame, vertices: DataFrame, cell: float = 1.0) -> DataFr
 
 
 def contact_counts(faces: DataFrame, vertices: DataFrame) -> DataFrame:
-    """category and n: how many of ``contacts`` are of each class. Every pair whose boxes meet is looked at, block by block, but none is a row."""
-    wide = finite(corners(faces, vertices), NINE).where("fid is not null")
-    wide = wide.withColumns({f"{s}{x}": f(f"a{x}", f"b{x}", f"c{x}") for s, f in (("lo", F.least), ("hi", F.greatest)) for x in "xyz"}).select("fid", *NINE, *SIDES)
-
-    class State:
-        def __init__(self, rows):
-            self.t, self.ids, self.n = near.numbers(rows, *NINE).T.reshape(-1, 3, 3), rows.column("fid").to_numpy(), Counter()
-            self.lo, self.hi = self.t.min(1), self.t.max(1)
-
-        def add(self, batch):
-            t, ids = near.numbers(batch, *NINE).T.reshape(-1, 3, 3), batch.column(batch.schema.names.index("fid")).to_numpy(zero_copy_only=False)
-            lo, hi = t.min(1), t.max(1)
-            some = np.flatnonzero(((self.lo <= hi.max(0)) & (self.hi >= lo.min(0))).all(1))
-            met = np.less.outer(self.ids[some], ids)
-            for k in range(3):
-                met &= np.less_equal.outer(self.lo[some, k], hi[:, k])
-                met &= np.greater_equal.outer(self.hi[some, k], lo[:, k])
-            i, j = np.nonzero(met)
-            for s in range(0, len(i), PAIRS):
-                self.n.update(count_all(self.t[some[i[s : s + PAIRS]]], t[j[s : s + PAIRS]]))
-
-        def end(self):
-            some = {k: v for k, v in self.n.items() if v}
-            yield pa.RecordBatch.from_arrays([pa.array(list(some), pa.string()), pa.array(list(some.values()), pa.int64())], names=["category", "n"])
-
-    return near.Meeting(wide, "fid").fold(State, "category string, n long").groupBy("category").agg(F.sum("n").alias("n"))
+    """category and n: how many of ``contacts`` are of each class. Every pair whose boxes meet is looked at, but none is a row.
+
+    A task takes two blocks of faces, or one with itself. Blocks are about ``BLOCKS``, so a face is shuffled BLOCKS times at most, as long
+    as they hold no more than ``LARGEST`` faces.
+    """
+    spark = faces.sparkSession
+    ship(spark)
+    wide = cut(finite(corners(faces, vertices), NINE).where("fid is not null").select("fid", *NINE))
+    sides = {f"{s}{x}": f(f"a{x}", f"b{x}", f"c{x}") for s, f in (("lo", F.least), ("hi", F.greatest)) for x in "xyz"}
+    place = {x: F.col(f"lo{x}") / 2 + F.col(f"hi{x}") / 2 for x in "xyz"}
+    blocks = cut(in_blocks(wide.withColumns(sides), place, "fid", min(max(-(-wide.count() // BLOCKS), LEAST), LARGEST)))
+    own = cut(around(blocks, "block"))
+    n = own.count()
+    if not n:
+        return spark.createDataFrame([], "category string, n long")
+    boxed = own.select("block", *[F.col(c).alias(f"b_{c}") for c in SIDES], F.lit(0.0).alias("most"))
+    pairs = leaves_within(boxed, tree(own), "most").where("block <= node").withColumn("task", F.col("block") * n + F.col("node"))
+    second = pairs.where("block < node").select(F.col("node").alias("block"), "task", F.lit(True).alias("second"))
+    links = cut(pairs.select("block", "task", F.lit(False).alias("second")).unionByName(second))
+    m = links.count()
+    rows = blocks.select("block", "fid", *NINE).join(F.broadcast(links) if m <= LINKS else links, "block").drop("block")
+
+    def run(table: pa.Table) -> pa.Table:
+        t, at = near.numbers(table, *NINE).T.reshape(-1, 3, 3), table.column("second").to_numpy()
+        some = {k: v for k, v in count_pairs(t, table.column("fid").to_numpy(), at, count_all).items() if v}
+        return pa.table({"category": pa.array(list(some), pa.string()), "n": pa.array(list(some.values()), pa.int64())})
+
+    counts = rows.repartition(min(m, near.TASKS), "task").groupBy("task").applyInArrow(run, "category string, n long")
+    return counts.groupBy("category").agg(F.sum("n").alias("n"))
 
 
 def _largest(fits, steps: int) -> float:
@@ -262,7 +268,6 @@ def intersection_guard(original: DataFrame, moved: DataFrame, faces: DataFrame,
     ``floor`` at the outermost ring's weight; the share at the conflicts is bisected, and rings are widened up to ``widenings`` times.
     If no share does, the whole move is bisected; the original is the last resort.
     """
-    from .graph import cut
     from .mesh import edges, face_geometry
 
     moved = cut(moved.select("vid", "x", "y", "z"))
